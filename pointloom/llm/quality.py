@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_checked, written
+from .common import join_checked, written
 
 BUCKETS = 10_000
 #: Weight of a trusted document that is rejected against a bad one that is kept.
@@ -29,7 +29,7 @@ GRID, LOW, HIGH = 4096, -8.0, 8.0
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Where a token ends: blanks, and between other characters and ASCII punctuation.
 TOKEN_GAP = r"[\x20\x09-\x0D]+|(?<=[0-9A-Za-z\x{80}-\x{10FFFF}])(?=[!-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~])(?=[0-9A-Za-z\x{80}-\x{10FFFF}])"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]+"
 
 
 def words_of(text: Column) -> Column:
@@ -41,39 +41,38 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("__words", words_of(F.col(text)))
     n = F.size("__words")
-    # (hash of the three words, place), sorted: equal windows are neighbours.
-    three = F.transform(
-        F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).alias("h"), i.alias("i")),
+    df = df.withColumn(
+        "__h",
+        F.transform(
+            F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)),
+        ),
     )
-    df = df.withColumn("__three", F.array_sort(three))
-    hashes = F.transform("__three", lambda x: x["h"])
-    df = df.withColumn("__h", hashes)
+    # Only texts that repeat a window: (hash, place) sorted, so that equal windows are neighbours.
+    repeats = F.size(F.array_distinct("__h")) < F.size("__h")
+    df = df.withColumn("__sorted", F.when(repeats, F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.filter(
-        F.transform("__three", lambda x, k: F.when((x["h"] == F.get("__h", k - 1)) | (x["h"] == F.get("__h", k + 1)), x["i"])),
+        F.transform("__sorted", lambda x, k: F.when((x["h"] == F.get("__sorted", k - 1)["h"]) | (x["h"] == F.get("__sorted", k + 1)["h"]), x["i"])),
         lambda i: i.isNotNull(),
     )
     # Sorted starts of repeated windows: each covers three words, less what the next covers too.
-    df = df.withColumn("__starts", F.when(F.size(F.array_distinct("__h")) == F.size("__h"), F.array().cast("array<int>")).otherwise(F.array_sort(again)))
-    covered = F.aggregate(
-        F.transform("__starts", lambda s, k: F.least(F.lit(3), F.coalesce(F.get("__starts", k + 1) - s, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x
-    )
+    df = df.withColumn("__starts", F.when(F.col("__sorted").isNotNull(), F.sort_array(again)))
+    covered = F.coalesce(F.aggregate("__starts", F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(s.alias("last"), (a["n"] + F.least(F.lit(3), s - a["last"])).alias("n")), lambda a: a["n"]), F.lit(0).cast("long"))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n_symbols = F.lit(0)
     return df.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.char_length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
+            "n_symbols": (F.char_length(body) - F.char_length(F.regexp_replace(body, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": covered,
         }
-    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__words", "__three", "__h", "__starts")
+    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("__words", "__h", "__sorted", "__starts")
 
 
 def with_buckets(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """Adds ``__grams``: hash buckets of all token 1-grams and 2-grams, repeats included."""
-    tokens = F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), TOKEN_GAP), lambda t: t != "")
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), TOKEN_GAP), lambda t: t != "")
     df = df.withColumn("__tokens", F.transform(tokens, lambda t: F.xxhash64(t)))
     bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
     ones = F.transform("__tokens", bucket)
