@@ -19,6 +19,8 @@ one.  With no training document every count is zero.
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 import math
 from collections import Counter
 
@@ -32,13 +34,13 @@ from .common import written
 
 END = b"\n"  # no word holds it
 BASE = 1.5
-BITS, HASHES = 8, 5
+BITS, HASHES = 6, 4
 MU = 2000.0
-HEAD = 200_000
+HEAD = 100_000
 BLOCK_TOKENS = 2_000_000
 MAX_BYTES = 512 << 20
 #: Tokens a worker keeps hashes of, and tokens it handles at once.
-CACHE, CHUNK = 400_000, 1_000_000
+CACHE, CHUNK = 100_000, 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -112,23 +114,49 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
+class _Ids(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Hashes:
-    """64-bit hashes of tokens, remembered up to ``CACHE`` of them."""
+    """Numbers and 64-bit hashes of tokens, remembered up to ``CACHE`` of them."""
 
     def __init__(self):
-        self.ids: dict[bytes, int] = {}
-        self.h = np.zeros(0, np.uint64)
+        self.clear()
+
+    def clear(self):
+        self.ids, self.words, self.h = _Ids(), [], np.zeros(0, np.uint64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.ids) > CACHE:
-            self.ids, self.h = {}, np.zeros(0, np.uint64)
-        ids = self.ids
-        new = [w for w in dict.fromkeys(words) if w not in ids]
-        if new:
-            ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
+            self.clear()
+        out = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        if len(self.ids) > len(self.words):
+            new = list(itertools.islice(self.ids, len(self.words), None))
+            self.words += new
             fresh = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in new), np.uint64, len(new))
             self.h = np.concatenate((self.h, mix(fresh)))
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        return out
+
+
+def _texts(column):
+    """The texts of a batch, a few at a time: a batch may be large."""
+    for at in range(0, len(column), 200):
+        yield from column.slice(at, 200).to_pylist()
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back: the workers of an executor live through many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def _chunks(texts):
@@ -144,10 +172,10 @@ def _chunks(texts):
         yield held
 
 
-def _contexts(ids: np.ndarray, sizes: list[int], end: int) -> np.ndarray:
+def _contexts(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    before[np.cumsum([0, *sizes[:-1]])] = end
+    before[starts] = end
     return before
 
 
@@ -158,13 +186,15 @@ def _count_words(batches):
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text in _texts(batch.column(0)):
             counts.update(tokens(text))
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield out()
                 counts.clear()
     if counts:
         yield out()
+    del counts
+    trim()
 
 
 def _count_grams(blocks: int):
@@ -182,19 +212,21 @@ def _count_grams(blocks: int):
     def run(batches):
         known, held, n = Hashes(), [], 0
         for batch in batches:
-            for docs in _chunks(batch.column(0).to_pylist()):
+            for docs in _chunks(_texts(batch.column(0))):
                 ids = known.numbers([t for d in docs for t in d] + [END])
                 end, ids = ids[-1], ids[:-1]
-                before = _contexts(ids, [len(d) for d in docs], end)
+                before = _contexts(ids, np.cumsum([0, *(len(d) for d in docs[:-1])]), end)
                 pairs, c2 = np.unique(pair_hash(known.h[before], known.h[ids]), return_counts=True)
                 words, c1 = np.unique(ids, return_counts=True)
                 held.append((np.concatenate((pairs, known.h[words])), np.concatenate((c2, c1))))
                 n += len(pairs) + len(words)
-                if n > 4_000_000:
+                if n > 1_200_000:
                     yield from flush(held)
                     held, n = [], 0
         if held:
             yield from flush(held)
+        del known, held
+        trim()
 
     return run
 
@@ -268,36 +300,41 @@ def _score(model, head, n_train: int, v_train: int, mu: float):
         data, blocks, block_bits = model.value
         frequent, counts, known = head.value, count_at(), Hashes()
         bloom = Filter(data, blocks, block_bits)
-        seen = np.zeros(0)  # counts of remembered tokens
+        seen = logs = np.zeros(0)  # of remembered tokens: count by the filter, exact log10(c + 1) if frequent
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            rows = []
-            for docs in _chunks(texts):
+            doc_ids, at = batch.column(0), 0
+            for docs in _chunks(_texts(batch.column(1))):
                 ids = known.numbers([t for d in docs for t in d] + [END])
                 if len(seen) > len(known.h):
-                    seen = np.zeros(0)
+                    seen = logs = np.zeros(0)
                 if len(seen) < len(known.h):
+                    logs = np.concatenate((logs, [frequent.get(w, 0.0) for w in known.words[len(seen) :]]))
                     seen = np.concatenate((seen, counts[bloom.levels(known.h[len(seen) :])]))
                 end, ids = ids[-1], ids[:-1]
-                sizes = [len(d) for d in docs]
-                before = _contexts(ids, sizes, end)
-                pair = np.minimum(counts[bloom.levels(pair_hash(known.h[before], known.h[ids]))], seen[before])
+                sizes = np.array([len(d) for d in docs])
+                starts = np.concatenate(([0], np.cumsum(sizes[:-1])))
+                before = _contexts(ids, starts, end)
+                # Frequent n-grams stand on many levels: each is read once a chunk.
+                grams, place = np.unique(pair_hash(known.h[before], known.h[ids]), return_inverse=True)
+                pair = np.minimum(counts[bloom.levels(grams)][place], seen[before])
                 p = (pair + mu * (seen[ids] + 1) / (n_train + v_train + 1)) / (seen[before] + mu)
-                scores = np.add.reduceat(np.log10(p), np.cumsum([0, *sizes[:-1]]))
-                for doc, score in zip(docs, scores.tolist(), strict=True):
-                    found, base, rest = 0, -scale * len(doc), []
-                    for t, n in Counter(doc).items():
-                        c = frequent.get(t)
-                        if c:
-                            found += n
-                            base += n * c
-                        else:
-                            rest.append({"t": t, "n": n})
-                    rows.append((batch.column(0)[at].as_py(), len(doc), found, base, score, rest))
-                    at += 1
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("t", pa.binary()), ("n", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_tokens", "found", "base", "score", "rest"])
+                scores = np.add.reduceat(np.log10(p), starts)
+                own = logs[ids]
+                found = np.add.reduceat((own > 0).astype(np.int64), starts)
+                base = np.add.reduceat(own, starts) - scale * sizes
+                # The other tokens of each document, with their number in it.
+                rare = np.flatnonzero(own == 0)
+                doc = np.searchsorted(starts, rare, "right") - 1
+                rest, times = np.unique(doc * len(known.h) + ids[rare], return_counts=True)
+                doc, rest = np.divmod(rest, len(known.h))
+                cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
+                pairs = pa.StructArray.from_arrays([pa.array([known.words[i] for i in rest], pa.binary()), pa.array(times, pa.int64())], ["t", "n"])
+                tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.slice(at, len(docs)), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), tail],
+                    ["doc_id", "n_tokens", "found", "base", "score", "rest"],
+                )
+                at += len(docs)
 
     return run
 
