@@ -15,6 +15,8 @@ start that bear no loss) is optional; null means 0.
 from __future__ import annotations
 
 import os
+import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,38 @@ from pyspark.sql import functions as F
 LENGTH, SEGMENTS, END_ID = 4096, 512, 2
 POOL = 256
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 500_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
+#: A word that ends in ASCII marks other than apostrophes: the vocabulary splits before them.
+MARKED = re.compile(rb"(?!.*<\|)(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
+
+
+class _Words(dict):
+    """Ids of words, with those of the last time it was full behind it."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            marked = MARKED.fullmatch(word)
+            out = self[marked[1]] + self[marked[2]] if marked else self.encode(word)
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
+        return out
+
+
 class WordTokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's own splitting never crosses ASCII white space, so ids are remembered
-    by white-space-separated word.
+    The vocabulary is lower case and its own splitting never crosses ASCII white space, nor
+    joins letters or digits with marks, so ids are remembered by word.
     """
 
     _known: dict[str, "WordTokenizer"] = {}
@@ -43,7 +67,8 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = _Words(self._encode)
 
     @classmethod
     def at(cls, path: str) -> "WordTokenizer":
@@ -51,17 +76,15 @@ class WordTokenizer:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    def _encode(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str | None) -> bytes:
-        parts = (text or "").encode("utf-8", "surrogatepass").split()
-        if len(self.words) > CACHE:
-            self.words = {}
-        words = self.words
-        new = [w for w in dict.fromkeys(parts) if w not in words]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(words.__getitem__, parts))
+        body = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" not in body:  # names of special tokens keep their case
+            body = body.lower()
+        return b"".join(map(self.words.__getitem__, body.split()))
 
 
 class Packer:

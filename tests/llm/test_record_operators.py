@@ -187,7 +187,7 @@ def test_links_connect_chains_groups_and_slices(spark, monkeypatch):
 def test_tokenizer_by_words_equals_the_whole_text(spark, sf_dir):
     tok = packing.WordTokenizer.at(queries.tokenizer_path())
     texts = [r.text for r in queries.table(spark, sf_dir, "documents").collect()]
-    texts += [None, "", "  a b c ", "ΑΣ ΑΣ.", "é ́x", "<|endoftext|>x <|startoftext|>", "it's 42nd\x1cx\x85y", "ﬁ İ ẞ 漢字 🙂"]
+    texts += [None, "", "  a b c ", "ΑΣ ΑΣ.", "é ́x", "<|endoftext|>x <|startoftext|>", "it's 42nd\x1cx\x85y", "ﬁ İ ẞ 漢字 🙂", "a*** b$$$ c's, don't. x<|endoftext|>, y<|endoftext|>. z_ q`~ é, ñ. É*"]
     for t in texts:
         assert tok.ids(t) == np.array(tok.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
