@@ -1,2 +1,457 @@
-QUERIES = {}
-ORACLE = {}
+"""Registered queries over the driver's tables, with DuckDB SQL where SQL can express them.
+
+``embeddings`` stands in for a cloud: its first three numbers are a place, the next three a
+normal, ``label`` the part label.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..operators import learning, mrf, parts, solids, spatial
+
+QUERIES, ORACLE = {}, {}
+RADIUS = 0.1
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", e.alias("e"))
+
+
+def cloud(spark: SparkSession, sf_dir: str, models: int = 1) -> DataFrame:
+    """model_id, point_id, x, y, z, nx, ny, nz, part_label."""
+    e = [F.get("e", F.lit(i)) for i in range(6)]
+    size = F.nullif(F.sqrt(e[3] * e[3] + e[4] * e[4] + e[5] * e[5]), F.lit(0.0))
+    return raw(spark, sf_dir).select(
+        F.pmod("vec_id", F.lit(models)).cast("int").alias("model_id"), F.col("vec_id").alias("point_id"), *[e[i].alias(c) for i, c in enumerate("xyz")], *[(e[i + 3] / size).alias(f"n{c}") for i, c in enumerate("xyz")], F.col("label").alias("part_label")
+    )
+
+
+def rounded(df: DataFrame, digits: int = 6, keep=()) -> DataFrame:
+    """Doubles rounded, without negative zeros."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in keep else c for c, t in df.dtypes])
+
+
+def r(expr: str, name: str, digits: int = 6) -> str:
+    return f"round({expr}, {digits}) + 0.0 AS {name}"
+
+
+CLOUD = """e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
+p AS (SELECT vec_id AS point_id, label AS part_label, e[1] AS x, e[2] AS y, e[3] AS z,
+             e[4] / nullif(sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6]), 0) AS nx, e[5] / nullif(sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6]), 0) AS ny,
+             e[6] / nullif(sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6]), 0) AS nz FROM e)"""
+
+
+def near(radius: float) -> str:
+    return f"""near AS (SELECT a.point_id AS src, b.point_id AS dst, b.x AS dx, b.y AS dy, b.z AS dz,
+    (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
+    FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {radius!r} * {radius!r})"""
+
+
+PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+
+
+def eigen(m: DataFrame, vectors=()) -> DataFrame:
+    return G.with_eigen(m, {"v": [F.col(c) for c in G.SIX]}, vectors)
+
+
+def moments_sql(radius: float, centered: bool, name: str = "m") -> str:
+    cells = ", ".join((f"avg(d{a} * d{b}) - avg(d{a}) * avg(d{b})" if centered else f"avg(d{a} * d{b})") + f" AS {a}{b}" for a, b in PAIRS)
+    return f"{name} AS (SELECT src, count(*) AS n, {cells} FROM near WHERE d2 <= {radius!r} * {radius!r} GROUP BY src)"
+
+
+def eigen_sql(source: str, name: str) -> str:
+    """CTEs that end in ``name`` (src, high, mid, low)."""
+    return f"""{name}1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM {source}),
+    {name}2 AS (SELECT *, xx - q AS a, yy - q AS b, zz - q AS c FROM {name}1),
+    {name}3 AS (SELECT *, sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s FROM {name}2),
+    {name}4 AS (SELECT *, acos(greatest(least(coalesce((a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)) / 2 / nullif(s * s * s, 0), 0), 1), -1)) / 3 AS phi FROM {name}3),
+    {name}5 AS (SELECT *, q + 2 * s * cos(phi) AS high, q + 2 * s * cos(phi + 2 * pi() / 3) AS low FROM {name}4),
+    {name} AS (SELECT *, 3 * q - high - low AS mid FROM {name}5)"""
+
+
+CURVATURE = "coalesce(CASE WHEN low / nullif(high + mid + low, 0) BETWEEN 0 AND 1 THEN low / nullif(high + mid + low, 0) END, 100.0)"
+
+# ---------------------------------------------------------------- neighbourhoods
+
+
+@query(f"WITH {CLOUD}, {near(RADIUS)} SELECT src, dst, {r('d2', 'd2')} FROM near")
+def radius_neighbors(spark, sf_dir):
+    return rounded(spatial.radius_join(cloud(spark, sf_dir), RADIUS).select("src", "dst", "d2"))
+
+
+@query(f"WITH {CLOUD}, {near(0.2)} SELECT src, count(*) AS n FROM near GROUP BY src")
+def neighbor_counts(spark, sf_dir):
+    return spatial.radius_join(cloud(spark, sf_dir), 0.2).groupBy("src").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CLOUD}, d AS (SELECT a.point_id AS src, b.point_id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM p a JOIN p b ON a.point_id <> b.point_id), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM d) SELECT src, dst, {r('d2', 'd2')}, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 16")
+def knn(spark, sf_dir):
+    return rounded(spatial.knn(cloud(spark, sf_dir), 16, 0.15).select("src", "dst", "d2", "rank"))
+
+
+@query(f"WITH {CLOUD}, {near(0.2)}, {moments_sql(0.2, False)} SELECT src, n, " + ", ".join(r(a + b, a + b) for a, b in PAIRS) + " FROM m")
+def second_moment(spark, sf_dir):
+    return rounded(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2)).drop("model_id"))
+
+
+@query(f"WITH {CLOUD}, {near(0.2)}, {moments_sql(0.2, True)} SELECT src, n, " + ", ".join(r(a + b, a + b) for a, b in PAIRS) + " FROM m")
+def centered_cov(spark, sf_dir):
+    return rounded(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2), centered=True).drop("model_id"))
+
+
+@query(f"WITH {CLOUD}, {near(0.2)}, {moments_sql(0.2, False)}, {eigen_sql('m', 'v')} SELECT src, {r('mid / nullif(high, 0)', 'evqu0', 4)}, {r('low / nullif(high, 0)', 'evqu1', 4)} FROM v")
+def eigen_quotients(spark, sf_dir):
+    m = eigen(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2)))
+    q = G.quotients("v")
+    return rounded(m.select("src", q[0].alias("evqu0"), q[1].alias("evqu1")), 4)
+
+
+@query(f"WITH {CLOUD}, {near(0.3)}, {moments_sql(0.3, True)}, {eigen_sql('m', 'v')} SELECT src, {r(CURVATURE, 'curvature', 4)} FROM v WHERE n > 3")
+def curvature(spark, sf_dir):
+    m = spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.3), centered=True).where("n > 3")
+    return rounded(eigen(m).select("src", G.curvature("v").alias("curvature")), 4)
+
+
+@query()
+def gravity_projections(spark, sf_dir):
+    m = eigen(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2)), ("v",))
+    return m.select("src", *[(-F.get(f"v_e{e}", F.lit(1))).alias(n) for e, n in ((1, "grav0"), (3, "grav1"))])
+
+
+def _multiscale_sql() -> str:
+    ctes, cols, joins = [CLOUD, near(0.5)], [], []
+    for s, c in enumerate(spatial.SCALES):
+        ctes += [moments_sql(c, False, f"m{s}"), eigen_sql(f"m{s}", f"v{s}")]
+        cols += [r(f"v{s}.mid / nullif(v{s}.high, 0)", f"evqu{s}0", 4), r(f"v{s}.low / nullif(v{s}.high, 0)", f"evqu{s}1", 4)]
+        joins.append(f"JOIN v{s} ON v{s}.src = p.point_id")
+    return f"WITH {', '.join(ctes)} SELECT p.point_id, {', '.join(cols)}, {r('p.y', 'height')} FROM p {' '.join(joins)}"
+
+
+@query(_multiscale_sql())
+def multiscale_quotients(spark, sf_dir):
+    points = cloud(spark, sf_dir)
+    out = spatial.multiscale(points).select("point_id", *[f"evqu{s}{k}" for s in range(5) for k in (0, 1)])
+    return rounded(rounded(out, 4).join(points.select("point_id", F.col("y").alias("height")), "point_id"))
+
+
+@query()
+def multiscale_features(spark, sf_dir):
+    return spatial.multiscale(cloud(spark, sf_dir))
+
+
+SDF = f"""WITH {CLOUD}, v AS (SELECT a.point_id AS src, b.x - a.x AS vx, b.y - a.y AS vy, b.z - a.z AS vz, a.nx, a.ny, a.nz
+    FROM p a JOIN p b ON a.point_id <> b.point_id AND a.nx * b.nx + a.ny * b.ny + a.nz * b.nz <= 0),
+d AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS d FROM v),
+h AS (SELECT src, d, degrees(acos(greatest(least(-(vx * nx + vy * ny + vz * nz) / nullif(d * sqrt(nx * nx + ny * ny + nz * nz), 0), 1), -1))) AS angle FROM d),
+c AS (SELECT * FROM h WHERE angle > 0 AND angle <= 30),
+m AS (SELECT src, median(d) AS med, stddev_pop(d) AS sd FROM c GROUP BY src),
+s AS (SELECT c.src, sum(d / angle) / sum(1 / angle) AS sdf FROM c JOIN m ON c.src = m.src WHERE abs(d - med) <= sd + 1e-8 GROUP BY c.src)
+SELECT p.point_id, {r('coalesce(s.sdf, 0)', 'sdf')} FROM p LEFT JOIN s ON s.src = p.point_id"""
+
+
+@query(SDF)
+def point_sdf(spark, sf_dir):
+    return rounded(spatial.point_sdf(cloud(spark, sf_dir)).select("point_id", "sdf"))
+
+
+@query(f"""WITH RECURSIVE {CLOUD}, {near(RADIUS)}, reach(id, seen) AS (SELECT point_id, point_id FROM p UNION SELECT reach.id, near.dst FROM reach JOIN near ON near.src = reach.seen)
+SELECT id, min(seen) AS component FROM reach GROUP BY id""")
+def components(spark, sf_dir):
+    points = cloud(spark, sf_dir)
+    return spatial.components(points.select(F.col("point_id").alias("id")), spatial.radius_join(points, RADIUS).where("src < dst"))
+
+
+# ---------------------------------------------------------------- scalars
+
+
+@query(f"WITH {CLOUD} SELECT point_id, {r('y', 'height')} FROM p")
+def height_projection(spark, sf_dir):
+    return rounded(cloud(spark, sf_dir).select("point_id", F.col("y").alias("height")))
+
+
+@query("SELECT vec_id, CASE label + 5 " + " ".join(f"WHEN {i} THEN {c[0]!r}" for i, c in enumerate(G.COLORS)) + f" ELSE {G.COLORS[10][0]!r} END * 1e0 AS red FROM embeddings")
+def label_color(spark, sf_dir):
+    return raw(spark, sf_dir).select("vec_id", F.get(G.label_color(F.col("label") + 5), F.lit(0)).alias("red"))
+
+
+@query("""SELECT page_id, split_part(regexp_extract(url, '([^/\\\\]*)$', 1), '.', 1) AS name,
+regexp_replace(url, '[^/\\\\]+([/\\\\])([^/\\\\]*)...$', 'gt\\1\\2seg') AS seg FROM pages""")
+def model_names(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", G.model_name(F.col("url")).alias("name"), G.seg_path(F.col("url")).alias("seg"))
+
+
+@query("SELECT n_nationkey, CAST(factorial(12) / (factorial(n_regionkey) * factorial(12 - n_regionkey)) AS BIGINT) AS ways, abs(n_regionkey * 1e-9 - 1e-9) < 1e-8 AS near FROM nation")
+def combinations(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return n.select("n_nationkey", G.n_choose_k(F.lit(12), F.col("n_regionkey")).cast("long").alias("ways"), G.nearly_equal(F.col("n_regionkey") * 1e-9, F.lit(1e-9)).alias("near"))
+
+
+MATRIX = (0.0, 2.0, 0.0, 1.0, -1.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.5, -1.0, 0.0, 0.0, 0.0, 1.0)
+
+
+@query(f"WITH {CLOUD} SELECT point_id, {r('2 * y + 1', 'x')}, {r('2 - x', 'y')}, {r('0.5 * z - 1', 'z')}, {r('2 * ny', 'nx')} FROM p")
+def affine_transform(spark, sf_dir):
+    p = cloud(spark, sf_dir)
+    place = G.transform([F.col(c) for c in "xyz"], MATRIX)
+    normal = G.transform([F.col(c) for c in ("nx", "ny", "nz")], MATRIX, 0.0)
+    return rounded(p.select("point_id", *[v.alias(c) for v, c in zip(place, "xyz", strict=True)], normal[0].alias("nx")))
+
+
+@query(f"WITH {CLOUD}, b AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p), d AS (SELECT p.*, cx, cy, cz FROM p, b), g AS (SELECT max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))) AS radius FROM d) SELECT point_id, {r('(x - cx) / radius', 'x')}, {r('(y - cy) / radius', 'y')}, {r('(z - cz) / radius', 'z')} FROM d, g")
+def normalize_given_ball(spark, sf_dir):
+    p = cloud(spark, sf_dir)
+    mean = p.groupBy("model_id").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
+    d2 = G.sum_of((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz")
+    found = p.join(F.broadcast(mean), "model_id").groupBy("model_id", "cx", "cy", "cz").agg(F.max(F.sqrt(d2)).alias("radius"))
+    return rounded(solids.normalize(p, found).select("point_id", "x", "y", "z"))
+
+
+# ---------------------------------------------------------------- meshes
+
+FACES = "f AS (SELECT vec_id AS face_id, vec_id AS v0, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS v1, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS v2, label, CAST(embedding[1] AS DOUBLE) AS value FROM embeddings), c AS (SELECT face_id, label, value, unnest([v0, v1, v2]) AS vertex_id FROM f)"
+
+
+def faces(spark, sf_dir) -> DataFrame:
+    e = raw(spark, sf_dir)
+    n = e.count()
+    return e.select(F.lit(0).alias("model_id"), F.col("vec_id").alias("face_id"), F.col("vec_id").alias("v0"), ((F.col("vec_id") + 1) % n).alias("v1"), ((F.col("vec_id") * 7 + 3) % n).alias("v2"), "label", F.get("e", F.lit(0)).alias("value"))
+
+
+@query(f"WITH {FACES} SELECT vertex_id, arg_max(label, face_id) AS label FROM c GROUP BY vertex_id")
+def vertex_label_last_face(spark, sf_dir):
+    f = faces(spark, sf_dir)
+    return solids.vertex_labels(f.drop("label", "value"), f.select("model_id", "face_id", "label")).select("vertex_id", "label")
+
+
+@query(f"WITH {FACES} SELECT vertex_id, {r('avg(value)', 'value')} FROM c GROUP BY vertex_id")
+def vertex_sdf_mean(spark, sf_dir):
+    f = faces(spark, sf_dir)
+    return rounded(solids.vertex_means(f.drop("label", "value"), f.select("model_id", "face_id", "value")).select("vertex_id", "value"))
+
+
+@query()
+def mesh_sdf(spark, sf_dir):
+    v = cloud(spark, sf_dir).select("model_id", F.col("point_id").alias("vertex_id"), "x", "y", "z")
+    return solids.mesh_sdf(v, faces(spark, sf_dir).drop("label", "value"), rays=20)
+
+
+# ---------------------------------------------------------------- labels
+
+DIST = """t AS (SELECT vec_id AS point_id, label AS l0, list_sum(list_transform(embedding[1:5], lambda v: abs(CAST(v AS DOUBLE)))) AS s, embedding FROM embeddings),
+dist AS (SELECT point_id, CAST(i - 1 AS INTEGER) AS label, abs(CAST(embedding[i] AS DOUBLE)) / s AS prob FROM t, unnest([1, 2, 3, 4, 5]) AS u(i))"""
+
+
+def distribution(spark, sf_dir) -> DataFrame:
+    five = F.transform(F.slice("e", 1, 5), lambda v: F.abs(v))
+    total = F.aggregate(five, F.lit(0.0), lambda a, b: a + b)
+    return raw(spark, sf_dir).select(F.lit(0).alias("model_id"), F.col("vec_id").alias("point_id"), F.posexplode(F.transform(five, lambda v: v / total)).alias("label", "prob"))
+
+
+@query(f"WITH {DIST} SELECT point_id, arg_max(label, prob) AS label, {r('max(prob)', 'prob')} FROM dist GROUP BY point_id")
+def argmax_label(spark, sf_dir):
+    return rounded(learning.best_label(distribution(spark, sf_dir)).select("point_id", "label", "prob"))
+
+
+@query(f"WITH {DIST} SELECT point_id, label, {r('prob', 'prob')} FROM dist UNION ALL SELECT DISTINCT point_id, 5, 0.1 FROM dist")
+def null_label_append(spark, sf_dir):
+    return rounded(learning.with_null_label(distribution(spark, sf_dir)).select("point_id", "label", "prob"))
+
+
+SYMMETRY = [(0, 1, 1), (0, 2, 1), (1, 3, 3), (1, 4, 3)]
+
+
+def symmetry(spark) -> DataFrame:
+    return spark.createDataFrame(SYMMETRY, "group_id int, label int, rep_label int")
+
+
+@query(f"""WITH {DIST}, sym(g, label, rep) AS (VALUES (0, 1, 1), (0, 2, 1), (1, 3, 3), (1, 4, 3)),
+a AS (SELECT point_id, g, rep, sum(prob) AS s FROM dist JOIN sym USING (label) GROUP BY ALL HAVING sum(prob) > 0.7 - 1e-6),
+b AS (SELECT point_id, arg_min(rep, g) AS part FROM a GROUP BY point_id),
+c AS (SELECT point_id, min(label) AS part FROM dist WHERE label NOT IN (SELECT label FROM sym) AND prob > 0.7 - 1e-6 GROUP BY point_id)
+SELECT coalesce(b.point_id, c.point_id) AS point_id, coalesce(b.part, c.part) AS part FROM b FULL JOIN c ON b.point_id = c.point_id""")
+def symmetry_assign(spark, sf_dir):
+    return parts.assign_clouds(distribution(spark, sf_dir), symmetry(spark)).select("point_id", "part")
+
+
+@query("SELECT DISTINCT label FROM embeddings WHERE label IS NULL OR label BETWEEN 0 AND 10")
+def distinct_labels(spark, sf_dir):
+    return raw(spark, sf_dir).where(F.col("label").isNull() | F.col("label").between(0, G.MAX_LABEL)).select("label").distinct()
+
+
+@query("SELECT count(*) AS elements, count(DISTINCT label) AS classes FROM embeddings")
+def dataset_counts(spark, sf_dir):
+    return raw(spark, sf_dir).agg(F.count("*").alias("elements"), F.count_distinct("label").alias("classes"))
+
+
+# ---------------------------------------------------------------- parts
+
+EIGHT = "e AS (SELECT vec_id, label AS label1, (label + 1) % 10 AS label2, list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE)) AS feat FROM embeddings), x AS (SELECT vec_id, label1, label2, unnest(range(0, 8)) AS i, unnest(feat) AS v FROM e)"
+
+
+@query(f"WITH {EIGHT} SELECT label1, label2, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, {r('avg(a.v)', 'mean_i')}, {r('avg(b.v)', 'mean_j')}, {r('covar_samp(a.v, b.v)', 'cov')}, count(*) AS n FROM x a JOIN x b USING (vec_id, label1, label2) WHERE a.i <= b.i GROUP BY ALL")
+def pair_priors(spark, sf_dir):
+    rel = raw(spark, sf_dir).select(F.col("label").alias("label1"), ((F.col("label") + 1) % 10).alias("label2"), F.slice("e", 1, 8).alias("feat"))
+    return rounded(parts.priors(rel))
+
+
+@query("WITH m AS (SELECT DISTINCT vec_id % 5 AS model_id, label FROM embeddings) SELECT a.label AS label1, b.label AS label2, count(*) AS n FROM m a JOIN m b USING (model_id) WHERE a.label <> b.label GROUP BY ALL")
+def part_pair_counts(spark, sf_dir):
+    return parts.pair_relations(parts.part_boxes(cloud(spark, sf_dir, 5))).groupBy("label1", "label2").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY ix, sx DESC, iy, sy DESC) - 1 AS INTEGER) AS frame, ix, sx, iy, sy, 3 - ix - iy AS iz, sx * sy AS sz,
+CASE WHEN (ix + 1) % 3 = iy THEN 1 ELSE -1 END * sx * sy * sx * sy AS det FROM (VALUES (0), (1), (2)) a(ix), (VALUES (1), (-1)) b(sx), (VALUES (0), (1), (2)) c(iy), (VALUES (1), (-1)) d(sy) WHERE ix <> iy""")
+def candidate_frames(spark, sf_dir):
+    return spark.createDataFrame(parts.FRAMES, "frame int, ix int, sx int, iy int, sy int, iz int, sz int, det int")
+
+
+def boxes(spark, sf_dir) -> DataFrame:
+    """Twelve boxes: means of numbers by vec_id modulo 12 (their axes are no rotation)."""
+    means = raw(spark, sf_dir).groupBy(F.pmod("vec_id", F.lit(12)).cast("int").alias("cand_id")).agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(15)]).alias("m"))
+    cut = lambda a, n: F.slice("m", a, n)
+    out = means.select(F.lit(0).alias("model_id"), "cand_id", F.floor(F.col("cand_id") / 3).cast("int").alias("cluster_no"), cut(1, 9).alias("rot"), cut(10, 3).alias("trans"), cut(13, 3).alias("scale"))
+    return out.withColumn("height", G.height_vector(F.col("rot"), F.col("trans"), F.col("scale")))
+
+
+def _relation_sql(a: str, b: str) -> list[str]:
+    def seen(o, n):
+        rot = [f"({' + '.join(f'{n}.m[{3 * k + i + 1}] * {o}.m[{3 * k + j + 1}]' for k in range(3))}) * {o}.m[{13 + j}]" for j in range(3) for i in range(3)]
+        return rot + [" + ".join(f"{n}.m[{3 * k + i + 1}] * ({o}.m[{10 + k}] - {n}.m[{10 + k}])" for k in range(3)) for i in range(3)]
+
+    def height(o):
+        return [f"-{o}.m[{4 + i}] * {o}.m[{13 + i}]" for i in range(3)] + [f"-{o}.m[11]"]
+
+    return seen(a, b) + height(a) + seen(b, a) + height(b)
+
+
+BOXES = f"w AS (SELECT CAST(vec_id % 12 AS INTEGER) AS cand_id, [{', '.join(f'avg(CAST(embedding[{i}] AS DOUBLE))' for i in range(1, 16))}] AS m FROM embeddings GROUP BY 1)"
+
+
+@query(f"WITH {BOXES} SELECT cand_id, " + ", ".join(r(h, f"h{i}", 8) for i, h in enumerate(["-m[4] * m[13]", "-m[5] * m[14]", "-m[6] * m[15]", "-m[11]"])) + " FROM w")
+def height_vector(spark, sf_dir):
+    return rounded(boxes(spark, sf_dir).select("cand_id", *[F.get("height", F.lit(i)).alias(f"h{i}") for i in range(4)]), 8)
+
+
+@query(f"WITH {BOXES} SELECT a.cand_id AS i, b.cand_id AS j, " + ", ".join(r(x, f"f{n}", 8) for n, x in enumerate(_relation_sql("a", "b"))) + " FROM w a JOIN w b ON a.cand_id <> b.cand_id")
+def relation_vector(spark, sf_dir):
+    side = lambda n: boxes(spark, sf_dir).select(*[F.col(c).alias(f"{c}{n}") for c in ("cand_id", "rot", "trans", "scale", "height")])
+    both = side(1).join(side(2), F.col("cand_id1") != F.col("cand_id2"))
+    feat = G.relation(*[F.col(f"{c}1") for c in ("rot", "trans", "scale", "height")], *[F.col(f"{c}2") for c in ("rot", "trans", "scale", "height")])
+    return rounded(both.select(F.col("cand_id1").alias("i"), F.col("cand_id2").alias("j"), feat.alias("f")).select("i", "j", *[F.get("f", F.lit(n)).alias(f"f{n}") for n in range(32)]), 8)
+
+
+@query(f"WITH {DIST} SELECT CAST(point_id % 7 AS INTEGER) AS cand_id, label, {r('0.0025 * avg(CASE WHEN prob < 1e-6 THEN 1e9 ELSE -ln(prob) END)', 'cost')} FROM dist GROUP BY ALL")
+def unary_energy(spark, sf_dir):
+    d = distribution(spark, sf_dir)
+    members = d.select("model_id", F.pmod("point_id", F.lit(7)).cast("int").alias("cand_id"), "point_id").distinct()
+    return rounded(parts.unary_energy(members, d).drop("model_id"))
+
+
+@query(f"""WITH {BOXES}, l(label) AS (VALUES (0), (1), (2), (3)),
+c AS (SELECT a.cand_id AS i, b.cand_id AS j, floor(a.cand_id / 3) = floor(b.cand_id / 3) AS same, l1.label AS label1, l2.label AS label2,
+      {' + '.join(f'pow({x} - 0.1 * l1.label, 2)' for x in _relation_sql('a', 'b'))} AS square
+      FROM w a JOIN w b ON a.cand_id < b.cand_id, l l1, l l2)
+SELECT i, j, label1, label2, {r('CASE WHEN same THEN CASE WHEN label1 <> 3 AND label2 <> 3 THEN 3.3e33 ELSE 0.0 END WHEN label1 = 3 OR label2 = 3 THEN 5e8 WHEN label1 = label2 OR (label1 = 0 AND label2 = 2) THEN 1e9 ELSE 1e-4 * sqrt(square) END', 'cost', 9)} FROM c""")
+def pairwise_energy(spark, sf_dir):
+    labels = spark.createDataFrame([(i,) for i in range(4)], "label int")
+    unit = [float(i == j) for i in range(32) for j in range(32)]
+    inverses = spark.createDataFrame([(a, b, [0.1 * a] * 32, unit) for a in range(3) for b in range(3) if a != b and (a, b) != (0, 2)], "label1 int, label2 int, mean array<double>, inverse array<double>")
+    return rounded(parts.pairwise_energy(boxes(spark, sf_dir), labels, inverses, 3).drop("model_id"), 9)
+
+
+@query(f"WITH {CLOUD} SELECT part_label, " + ", ".join(f"{r(f'min({c})', f'low_{c}')}, {r(f'max({c})', f'high_{c}')}" for c in "xyz") + " FROM p GROUP BY part_label")
+def box_extents(spark, sf_dir):
+    return rounded(cloud(spark, sf_dir).groupBy("part_label").agg(*itertools.chain(*[(F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}")) for c in "xyz"])))
+
+
+@query(f"WITH {CLOUD}, b AS (SELECT part_label, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, min(z) AS az, max(z) AS bz FROM p GROUP BY part_label) SELECT part_label, CAST(4 * i + 2 * j + k AS INTEGER) AS corner, {r('CASE WHEN i = 0 THEN ax ELSE bx END', 'x')}, {r('CASE WHEN j = 0 THEN ay ELSE by_ END', 'y')}, {r('CASE WHEN k = 0 THEN az ELSE bz END', 'z')} FROM b, (VALUES (0), (1)) a(i), (VALUES (0), (1)) c(j), (VALUES (0), (1)) d(k)")
+def box_corners(spark, sf_dir):
+    b = cloud(spark, sf_dir).groupBy("part_label").agg(F.array(*[(F.min(c) + F.max(c)) / 2 for c in "xyz"]).alias("trans"), F.array(*[F.max(c) - F.min(c) for c in "xyz"]).alias("scale"))
+    b = b.withColumns({"axes": F.array(*[F.lit(float(i in (0, 4, 8))) for i in range(9)]), "rot": F.lit(None), "height": F.lit(None)})
+    return rounded(parts.box_corners(b))
+
+
+@query(f"WITH {CLOUD} SELECT part_label, count(*) AS n FROM p WHERE abs(x) <= 0.1 AND abs(y) <= 0.1 AND abs(z) <= 0.1 GROUP BY part_label")
+def points_in_box(spark, sf_dir):
+    zero, unit = [F.lit(0.0)] * 3, [[F.lit(float(i == j)) for j in range(3)] for i in range(3)]
+    inside = G.in_box([F.col(c) for c in "xyz"], zero, unit, [F.lit(0.2)] * 3)
+    return cloud(spark, sf_dir).where(inside).groupBy("part_label").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- whole-model solvers
+
+
+@query()
+def miniball(spark, sf_dir):
+    return solids.balls(cloud(spark, sf_dir, 5))
+
+
+@query()
+def part_boxes(spark, sf_dir):
+    return parts.part_boxes(cloud(spark, sf_dir, 5))
+
+
+@query()
+def jet_normals(spark, sf_dir):
+    return solids.jet_normals(cloud(spark, sf_dir))
+
+
+@query()
+def mst_orient(spark, sf_dir):
+    return solids.orient_normals(cloud(spark, sf_dir, 5))
+
+
+@query()
+def rf_predict(spark, sf_dir):
+    p = cloud(spark, sf_dir)
+    return learning.with_null_label(learning.distributions(learning.train(p, ["x", "y", "z", "nx", "ny", "nz"], trees=20), p))
+
+
+@query()
+def candidate_boxes(spark, sf_dir):
+    p = cloud(spark, sf_dir, 5).withColumn("part", F.col("part_label"))
+    return parts.candidates(parts.clusters(p.select("model_id", "point_id", "part", "x", "y", "z"))).drop("point_ids")
+
+
+def _energies(spark, sf_dir):
+    d = distribution(spark, sf_dir).where("label < 4")
+    members = d.select("model_id", F.pmod("point_id", F.lit(12)).cast("int").alias("cand_id"), "point_id").distinct()
+    unary = parts.unary_energy(members, d).withColumnRenamed("cand_id", "node")
+    return unary, pairwise_energy(spark, sf_dir).withColumn("model_id", F.lit(0))
+
+
+@query()
+def trws(spark, sf_dir):
+    return mrf.solve(*_energies(spark, sf_dir), "trws")
+
+
+@query()
+def belief_propagation(spark, sf_dir):
+    return mrf.solve(*_energies(spark, sf_dir), "bp")
+
+
+@query()
+def structure_inference(spark, sf_dir):
+    from . import actions
+
+    p = cloud(spark, sf_dir, 5)
+    model = learning.train(p, ["x", "y", "z", "nx", "ny", "nz"], trees=20)
+    dist = learning.with_null_label(learning.distributions(model, p))
+    sharp = dist.withColumn("prob", F.when(F.col("prob") > 0.2, 0.8).otherwise(F.col("prob")))
+    return actions.infer_structure(p, sharp, actions.train_part_relations(p), spark.createDataFrame([], "group_id int, label int, rep_label int"), iterations=10)
