@@ -28,32 +28,77 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 TILE, ITEM = 512, 32_768
 
 
-def fingerprint(text: str | None, words_in: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint: a bit is set if it is set in over half of the shingles' hashes."""
+#: Makes further words of a signature from the shingles' hashes (a fixed value).
+STEP = 0x9E3779B97F4A7C15
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in each column of ``h``: (n, words) -> (words, 64).
+
+    Rows are added in halves as bit-sliced numbers, 64 at once; the last few by unpacking.
+    """
+    planes, total = [h], np.zeros((h.shape[1], 64), np.int64)
+
+    def count(rows, weight):
+        bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1, 8), axis=2, bitorder="little")
+        total[:] += weight * bits.sum(axis=0, dtype=np.int64)
+
+    while len(planes[0]) > 32:
+        half = len(planes[0]) // 2
+        if len(planes[0]) % 2:
+            for j, p in enumerate(planes):
+                count(p[-1:], 1 << j)
+        out, carry = [], None
+        for p in planes:
+            x, y = p[:half], p[half : 2 * half]
+            t, both = x ^ y, x & y
+            out.append(t if carry is None else t ^ carry)
+            carry = both if carry is None else both | (t & carry)
+        planes = [*out, carry]
+    for j, p in enumerate(planes):
+        if len(p):
+            count(p, 1 << j)
+    return total
+
+
+def signature(text: str | None, words_in: int = SHINGLE, size: int = 1) -> np.ndarray:
+    """Unsigned 64-bit fingerprints; a bit is set if it is set in over half of the shingles' hashes.
+
+    The first is over the hashes themselves, others over hashes of those.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(size, np.uint64)
     body = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words_in, len(words))
-    total, hash64 = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    total, hash64 = np.zeros((size, 64), np.int64), xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    for at in range(0, n, 1 << 16):  # a long text's bits are summed in slices
-        to = min(n, at + (1 << 16))
-        hashes = np.array([hash64(body[s:e], SEED) for s, e in zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist(), strict=True)], np.uint64)
-        # Rows of bits summed a byte column at a time would overflow; 16-bit sums of 2^16 - 1 bits do not.
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    chosen = 2 * total > n
-    return int(np.packbits(chosen, bitorder="little").view(np.uint64)[0])
+    salts = np.arange(size, dtype=np.uint64) * np.uint64(STEP)
+    for at in range(0, n, 1 << 14):  # a long text's bits are summed in slices
+        to = min(n, at + (1 << 14))
+        h = np.array([hash64(body[s:e], SEED) for s, e in zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist(), strict=True)], np.uint64)[:, None]
+        if size > 1:
+            more = h ^ salts[1:]
+            for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
+                more = (more ^ (more >> np.uint64(shift))) * np.uint64(factor)
+            h = np.concatenate((h, more ^ (more >> np.uint64(33))), axis=1)
+        total += bit_counts(h)
+    return np.packbits(2 * total > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: str | None, words_in: int = SHINGLE) -> int:
+    return int(signature(text, words_in)[0])
 
 
-def _fingerprints(words_in: int):
+def _fingerprints(words_in: int, size: int):
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, words_in) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            prints = [signature(t, words_in, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * size, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat[::size], pa.int64()), more], ["doc_id", "fp", "words"])
 
     return run
 
@@ -77,11 +122,11 @@ def forest(nodes: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
         label = new[label]
 
 
-def links_in(prints: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among ``prints``; between parts 0 and 1 only, where both occur."""
+def links_in(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``prints`` whose pairs are a spanning forest of the links among them."""
     bits = np.bitwise_count(prints)
     order = np.lexsort((prints, bits))
-    prints, part, bits = prints[order], part[order], bits[order].astype(np.int64)
+    prints, bits = prints[order], bits[order].astype(np.int64)
     n, label = len(prints), None
     held_a, held_b, held = [], [], 0
     for i in range(0, n, TILE):
@@ -104,13 +149,13 @@ def links_in(prints: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndar
     if held:
         label = forest(n, np.concatenate(held_a), np.concatenate(held_b), label)
     if label is None:
-        return prints[:0], prints[:0]
+        return order[:0], order[:0]
     child = np.nonzero(label != np.arange(n))[0]
-    return prints[child], prints[label[child]]
+    return order[child], order[label[child]]
 
 
 def _compare(radius: int):
-    """Input sorted by work item: item (long), part (int), fp (long); items may span batches."""
+    """Input sorted by work item: item, fp, node (long); items may span batches."""
 
     def run(batches):
         held = None
@@ -126,7 +171,7 @@ def _compare(radius: int):
             yield from done(held)
 
     def done(cols):
-        item, part, fp = cols[0], cols[1], cols[2].astype(np.int64).view(np.uint64)
+        item, fp, node = cols[0], cols[1].astype(np.int64).view(np.uint64), cols[2]
         if len(item) < 2:
             return
         edges = np.flatnonzero(np.diff(item)) + 1
@@ -137,31 +182,36 @@ def _compare(radius: int):
         for d in range(1, int(size[size <= 32].max(initial=1))):
             x = np.flatnonzero((item[d:] == item[:-d]) & small[d:])
             x = x[np.bitwise_count(fp[x] ^ fp[x + d]) <= radius]
-            out_a.append(fp[x])
-            out_b.append(fp[x + d])
+            out_a.append(node[x])
+            out_b.append(node[x + d])
         for k in np.flatnonzero(size > 32):
-            a, b = links_in(fp[starts[k] : ends[k]], part[starts[k] : ends[k]], radius)
-            out_a.append(a)
-            out_b.append(b)
-        a, b = np.concatenate(out_a) if out_a else fp[:0], np.concatenate(out_b) if out_b else fp[:0]
+            a, b = links_in(fp[starts[k] : ends[k]], radius)
+            out_a.append(node[starts[k] + a])
+            out_b.append(node[starts[k] + b])
+        a, b = np.concatenate(out_a) if out_a else node[:0], np.concatenate(out_b) if out_b else node[:0]
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (a, b) that connect all distinct values of column ``fp`` within ``radius`` bits."""
+    """Rows (a, b) that connect all nodes with fingerprints within ``radius`` bits.
+
+    prints: node and fp (long), and, if nodes have several fingerprints, word, which one:
+    only equal words are compared.
+    """
     bands = radius + 1
     width = 64 // bands
     band = [F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) if i + 1 < bands else F.shiftrightunsigned("fp", width * i) for i in range(bands)]
-    keyed = prints.select("fp", F.explode(F.array(*[b * bands + i for i, b in enumerate(band)])).alias("key"))
-    # At most bands x 2^width rows have a band value over the size of a work item.
+    word = F.col("word") if "word" in prints.columns else F.lit(0)
+    keyed = prints.select("node", "fp", F.explode(F.array(*[F.struct(word.alias("w"), F.lit(i).alias("i"), b.alias("b")) for i, b in enumerate(band)])).alias("key"))
+    # At most words x bands x 2^width rows have a band value over the size of a work item.
     large = written(keyed.groupBy("key").count().where(F.col("count") > ITEM).select("key", F.ceil(F.col("count") / ITEM).alias("slices")), "large")
     keyed = join_checked(keyed, large, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("slices"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).cast("int").alias("part")))
-    items = keyed.select("fp", "key", F.explode(pairs).alias("p")).select((F.xxhash64("key", "p.i", "p.j")).alias("item"), F.col("p.part").alias("part"), "fp")
+    own = F.pmod(F.xxhash64("fp", "node"), F.col("slices"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    items = keyed.select("fp", "node", "key", F.explode(pairs).alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("item"), "fp", "node")
     count = prints.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return items.repartition(int(count), "item").sortWithinPartitions("item").mapInArrow(_compare(radius), "a long, b long")
 
@@ -189,15 +239,23 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_components(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, fp (signed 64-bit) and component_id."""
+def near_components(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, fp (signed 64-bit) and component_id.
+
+    With more ``words``, documents have that many independent fingerprints and link if any
+    two of the same word are within ``radius``: near copies whose single fingerprints are
+    further apart are still found, at a work that grows with the number of words.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = written(rows.mapInArrow(_fingerprints(words_in), "doc_id long, fp long"), "prints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = written(components(links(prints, radius)), "roots")
-    linked = prints.join(roots, F.col("fp") == F.col("node"))
+    rows = rows.mapInArrow(_fingerprints(words_in, words), "doc_id long, fp long, words array<long>")
+    rows = written(rows.select("doc_id", "fp", *([F.xxhash64("words").alias("node"), "words"] if words > 1 else [F.col("fp").alias("node")])), "prints")
+    distinct = [F.min("doc_id").alias("least"), F.first("words" if words > 1 else "fp").alias("own")]
+    prints = written(rows.groupBy("node").agg(*distinct), "distinct")
+    each = prints.select("node", F.posexplode("own").alias("word", "fp")) if words > 1 else prints.select("node", F.col("own").alias("fp"))
+    roots = written(components(links(each, radius)).withColumnRenamed("node", "__node"), "roots")
+    linked = prints.join(roots, F.col("node") == F.col("__node"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = written(linked.join(least, "root").select("fp", "component_id"), "linked")
+    linked = written(linked.join(least, "root").select("node", "component_id"), "linked")
     # Fingerprints that link to no other: their own smallest id.
-    known = prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    known = prints.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.select("doc_id", "fp", "node").join(known, "node", "left").select("doc_id", "fp", "component_id")

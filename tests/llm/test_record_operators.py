@@ -171,7 +171,7 @@ def test_links_connect_chains_groups_and_slices(spark, monkeypatch):
     prints = sorted(set(base + chain + group + hot + [0, 1, 2]))
     signed = [p - (1 << 64) * (p >> 63) for p in prints]
     monkeypatch.setattr(simhash, "ITEM", 64)
-    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    df = spark.createDataFrame([(p, p) for p in signed], "node long, fp long")
     roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
     want = brute_components(prints, signed)
     together = defaultdict(set)
@@ -181,6 +181,26 @@ def test_links_connect_chains_groups_and_slices(spark, monkeypatch):
         assert {roots.get(m, m) for m in members} == {min(members)}
 
 
+def test_more_words_find_near_copies_and_leave_others(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows, near = [], []
+    for i in range(150):
+        ws = rng.choices(vocabulary, k=300)
+        rows.append((i, " ".join(ws)))
+        if i < 40:  # 0.8 and more of the 5-word shingles
+            for _ in range(6):
+                ws[rng.randrange(300)] = rng.choice(vocabulary)
+            near.append((1000 + i, " ".join(ws)))
+    df = spark.createDataFrame(rows + near + [(2000, rows[0][1]), (2001, None), (2002, "")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_components(df, words=64).collect()}
+    assert sum(got[1000 + i] == i for i in range(40)) >= 34
+    assert all(got[i] == i for i in range(150)) and got[2000] == 0 and got[2002] == 2001
+    h = np.array([[rng.getrandbits(64) for _ in range(3)] for _ in range(777)], np.uint64)
+    want = [[sum(int(x) >> b & 1 for x in h[:, w]) for b in range(64)] for w in range(3)]
+    assert simhash.bit_counts(h).tolist() == want
+
+
 # ------------------------------------------------------------------ packing
 
 
