@@ -6,8 +6,13 @@ a band value fingerprints stand sorted by their number of set bits, in tiles of
 A pair of tiles is compared by numpy exclusive-or and bit counts unless their bit counts are
 further apart than the radius.  A band value with more than ``ITEM`` fingerprints is dealt
 into slices whose pairs are work items of their own.  Every work item keeps only a spanning
-forest of the links it finds, so a group of k near copies gives at most k - 1 rows an item.
-Components come from alternating large-star and small-star rounds on those links.
+forest of the links it finds, the closest links first, so a group of k near copies gives at
+most k - 1 rows an item.  Components come from alternating large-star and small-star rounds
+on those links.
+
+With a ``similarity``, links of the forests are checked by the Jaccard similarity of their
+texts' word shingles, and components hold over those that pass: no two documents meet but by
+a chain of texts that are that similar.
 
 Null texts have no words; texts without words get fingerprint 0 and link like others.  Rows
 that repeat a doc_id are fingerprinted one by one.  A null doc_id never names a component
@@ -92,66 +97,101 @@ def fingerprint(text: str | None, words_in: int = SHINGLE) -> int:
     return int(signature(text, words_in)[0])
 
 
+def shingles(text: str | None, words_in: int) -> np.ndarray:
+    """Distinct hashes of the text's word shingles (fewer words: the whole sequence; none: none)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k, hash64 = min(words_in, len(words)), xxhash.xxh64_intdigest
+    found = {hash64(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)} if words else ()
+    return np.fromiter(found, np.uint64, len(found)).view(np.int64)
+
+
+def _shingled(words_in: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t, words_in) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "set"])
+
+    return run
+
+
 def _fingerprints(words_in: int, size: int):
     def run(batches):
         for batch in batches:
             prints = [signature(t, words_in, size).view(np.int64) for t in batch.column(1).to_pylist()]
             flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * size, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat[::size], pa.int64()), more], ["doc_id", "fp", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat[::size], pa.int64()), more, batch.column(2)], ["doc_id", "fp", "words", "text_hash"])
 
     return run
 
 
-def forest(nodes: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest index of each node's component, given links and the labels so far."""
-    label = np.arange(nodes) if label is None else label
+def forest(nodes: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of links, as places in them, and each node's component (its smallest node).
+
+    Links are taken in their order: every component takes its first link to another one.
+    """
+    label, live, kept = np.arange(nodes), np.arange(len(a)), [np.zeros(0, np.int64)]
     while True:
-        low = np.minimum(label[a], label[b])
-        apart = label[a] != label[b]
-        if not apart.any():
-            return label
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
+        live = live[label[a[live]] != label[b[live]]]
+        if not len(live):
+            return np.concatenate(kept), label
+        first = np.full(nodes, len(a))
+        np.minimum.at(first, label[a[live]], live)
+        np.minimum.at(first, label[b[live]], live)
+        taken = np.unique(first[first < len(a)])
+        kept.append(taken)
+        x, y = a[taken], b[taken]
         while True:
-            jumped = new[new]
-            if (jumped == new).all():
+            low = np.minimum(label[x], label[y])
+            if (label[x] == label[y]).all():
                 break
-            new = jumped
-        label = new[label]
+            new = label.copy()
+            np.minimum.at(new, label[x], low)
+            np.minimum.at(new, label[y], low)
+            while not (new[new] == new).all():
+                new = new[new]
+            label = new[label]
 
 
-def links_in(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``prints`` whose pairs are a spanning forest of the links among them."""
+def links_in(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``prints`` whose pairs are a spanning forest of the links among them, and their differing bits."""
     bits = np.bitwise_count(prints)
     order = np.lexsort((prints, bits))
     prints, bits = prints[order], bits[order].astype(np.int64)
-    n, label = len(prints), None
-    held_a, held_b, held = [], [], 0
+    n, label = len(prints), np.arange(len(prints))
+    held, size, draw = [np.zeros((3, 0), np.int64)], 0, np.random.default_rng(n)
+
+    def reduced():
+        nonlocal held, size, label
+        a, b, d = np.concatenate(held, axis=1)
+        first = np.lexsort((draw.random(len(d)), d))  # of equally close links any: no hubs
+        a, b, d = a[first], b[first], d[first]
+        kept, label = forest(n, a, b)
+        held, size = [np.stack((a[kept], b[kept], d[kept]))], 0
+
     for i in range(0, n, TILE):
         i_end = min(n, i + TILE)
         for j in range(i, n, TILE):
             if bits[j] - bits[i_end - 1] > radius:
                 break  # later tiles have still more bits
             j_end = min(n, j + TILE)
-            near = np.bitwise_count(prints[i:i_end, None] ^ prints[None, j:j_end]) <= radius
+            apart = np.bitwise_count(prints[i:i_end, None] ^ prints[None, j:j_end])
+            near = apart <= radius
             if i == j:
                 near = np.triu(near, 1)
             x, y = np.nonzero(near)
-            if len(x):
-                held_a.append(x + i)
-                held_b.append(y + j)
-                held += len(x)
-            if held > 1 << 20:
-                label = forest(n, np.concatenate(held_a), np.concatenate(held_b), label)
-                held_a, held_b, held = [], [], 0
-    if held:
-        label = forest(n, np.concatenate(held_a), np.concatenate(held_b), label)
-    if label is None:
-        return order[:0], order[:0]
-    child = np.nonzero(label != np.arange(n))[0]
-    return order[child], order[label[child]]
+            x, y, d = x + i, y + j, apart[x, y].astype(np.int64)
+            new = label[x] != label[y]
+            if new.any():
+                held.append(np.stack((x[new], y[new], d[new])))
+                size += int(new.sum())
+            if size > 1 << 20:
+                reduced()
+    reduced()
+    a, b, d = held[0]
+    return order[a], order[b], d
 
 
 def _compare(radius: int):
@@ -177,26 +217,29 @@ def _compare(radius: int):
         edges = np.flatnonzero(np.diff(item)) + 1
         starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(item)]))
         size = ends - starts
-        out_a, out_b = [], []
+        out_a, out_b, out_d = [node[:0]], [node[:0]], [node[:0]]
         small = np.repeat(size, size) <= 32  # many tiny items: compare neighbours at each distance at once
         for d in range(1, int(size[size <= 32].max(initial=1))):
             x = np.flatnonzero((item[d:] == item[:-d]) & small[d:])
-            x = x[np.bitwise_count(fp[x] ^ fp[x + d]) <= radius]
+            apart = np.bitwise_count(fp[x] ^ fp[x + d]).astype(np.int64)
+            x, apart = x[apart <= radius], apart[apart <= radius]
             out_a.append(node[x])
             out_b.append(node[x + d])
+            out_d.append(apart)
         for k in np.flatnonzero(size > 32):
-            a, b = links_in(fp[starts[k] : ends[k]], radius)
+            a, b, apart = links_in(fp[starts[k] : ends[k]], radius)
             out_a.append(node[starts[k] + a])
             out_b.append(node[starts[k] + b])
-        a, b = np.concatenate(out_a) if out_a else node[:0], np.concatenate(out_b) if out_b else node[:0]
+            out_d.append(apart)
+        a, b, d = map(np.concatenate, (out_a, out_b, out_d))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "bits"])
 
     return run
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (a, b) that connect all nodes with fingerprints within ``radius`` bits.
+    """Rows (a, b, bits) that connect all nodes with fingerprints within ``radius`` bits.
 
     prints: node and fp (long), and, if nodes have several fingerprints, word, which one:
     only equal words are compared.
@@ -213,7 +256,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     items = keyed.select("fp", "node", "key", F.explode(pairs).alias("p")).select(F.xxhash64("key", "p.i", "p.j").alias("item"), "fp", "node")
     count = prints.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return items.repartition(int(count), "item").sortWithinPartitions("item").mapInArrow(_compare(radius), "a long, b long")
+    return items.repartition(int(count), "item").sortWithinPartitions("item").mapInArrow(_compare(radius), "a long, b long, bits long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,20 +282,88 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def near_components(docs: DataFrame, words_in: int = SHINGLE, radius: int = RADIUS, words: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) whose texts' shingles have a Jaccard similarity of ``least`` or more.
+
+    edges: a, b, bits; sets: node and set.  Links inside a component of links that passed
+    are not needed, so rounds check the closest links of each node first and every link that
+    is left in the last one.  Each round checks a multiple of the number of nodes.
+    """
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    live = written(edges.select(*pair, "bits").where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits")), "live")
+    passed = None
+    for share in (1, 4, 16, None):
+        if share is None:
+            tried = live
+        else:
+            link = F.struct("bits", F.xxhash64("a", "b").alias("order"), "a", "b")
+            ends = live.select(F.explode(F.array("a", "b")).alias("n"), link.alias("link"))
+            tried = ends.groupBy("n", F.pmod("link.order", F.lit(share)).alias("part")).agg(F.min("link").alias("link")).select("link.a", "link.b").distinct()
+        one = sets.select(F.col("node").alias("a"), F.col("set").alias("one")).hint("merge")
+        two = sets.select(F.col("node").alias("b"), F.col("set").alias("two")).hint("merge")
+        both = F.size(F.array_intersect("one", "two"))
+        close = both >= least * (F.size("one") + F.size("two") - both)  # no shingles at all: alike
+        tried = written(tried.select("a", "b").join(one, "a").join(two, "b").select("a", "b", close.alias("close")), "tried")
+        new = tried.where("close").select("a", "b")
+        passed = new if passed is None else passed.unionByName(new)
+        if share is None:
+            return passed
+        live = live.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if not new.isEmpty():
+            roots = written(components(passed), "roots")
+            for end in ("a", "b"):
+                live = live.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            live = live.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "bits")
+        live = written(live, "live")
+        if live.isEmpty():
+            return passed
+    return passed
+
+
+def node_sets(docs: DataFrame, nodes: DataFrame, words_in: int) -> DataFrame:
+    """node and set (shingle hashes) of a text of each node.
+
+    docs: doc_id, text; nodes: node and of one of its texts doc_id and text_hash.
+    """
+    own = written(nodes.select(F.col("doc_id").alias("__id"), "text_hash", "node"), "nodes")
+    texts = docs.select("doc_id", "text")
+    same = texts["doc_id"].eqNullSafe(own["__id"]) & (F.xxhash64(F.coalesce(texts["text"], F.lit(""))) == own["text_hash"])
+    return join_checked(texts, own, same, "inner").select("node", "text").dropDuplicates(["node"]).mapInArrow(_shingled(words_in), "node long, set array<long>")
+
+
+def near_components(
+    docs: DataFrame,
+    words_in: int = SHINGLE,
+    radius: int = RADIUS,
+    words: int = 1,
+    similarity: float | None = None,
+    checked_words: int = 5,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """Per row of ``docs``: doc_id, fp (signed 64-bit) and component_id.
 
     With more ``words``, documents have that many independent fingerprints and link if any
     two of the same word are within ``radius``: near copies whose single fingerprints are
     further apart are still found, at a work that grows with the number of words.
+
+    With a ``similarity``, links count only if the texts' shingles of ``checked_words``
+    words have that Jaccard similarity.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(_fingerprints(words_in, words), "doc_id long, fp long, words array<long>")
-    rows = written(rows.select("doc_id", "fp", *([F.xxhash64("words").alias("node"), "words"] if words > 1 else [F.col("fp").alias("node")])), "prints")
-    distinct = [F.min("doc_id").alias("least"), F.first("words" if words > 1 else "fp").alias("own")]
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.mapInArrow(_fingerprints(words_in, words), "doc_id long, fp long, words array<long>, text_hash long")
+    rows = written(rows.select("doc_id", "fp", "text_hash", *([F.xxhash64("words").alias("node"), "words"] if words > 1 else [F.col("fp").alias("node")])), "prints")
+    distinct = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("text_of"), F.first("words" if words > 1 else "fp").alias("own")]
     prints = written(rows.groupBy("node").agg(*distinct), "distinct")
     each = prints.select("node", F.posexplode("own").alias("word", "fp")) if words > 1 else prints.select("node", F.col("own").alias("fp"))
-    roots = written(components(links(each, radius)).withColumnRenamed("node", "__node"), "roots")
+    edges = links(each, radius)
+    if similarity is not None:
+        edges = written(edges, "links")
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = written(node_sets(docs, prints.join(ends, "node").select("node", "text_of.*"), checked_words), "sets")
+        edges = similar(edges, sets, similarity)
+    roots = written(components(edges).withColumnRenamed("node", "__node"), "roots")
     linked = prints.join(roots, F.col("node") == F.col("__node"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = written(linked.join(least, "root").select("node", "component_id"), "linked")

@@ -201,6 +201,54 @@ def test_more_words_find_near_copies_and_leave_others(spark):
     assert simhash.bit_counts(h).tolist() == want
 
 
+def test_forest_is_made_of_links_and_spans(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    prints = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(30)])
+    a, b, bits = simhash.links_in(prints, 3)
+    assert (np.bitwise_count(prints[a] ^ prints[b]) == bits).all() and (bits <= 3).all()
+    want = brute_components([int(p) for p in prints], list(range(len(prints))))
+    assert len(a) == len(prints) - len(set(want))
+    kept, label = simhash.forest(len(prints), a, b)
+    assert len(kept) == len(a) and [want[i] for i in label] == want
+
+
+def test_checked_links_hold_the_similarity(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for i in range(60):  # families of texts that share from 0.5 to 1 of their shingles
+        ws = rng.choices(vocabulary, k=200)
+        for j, edits in enumerate((0, 1, 3, 6, 9, 12)):
+            own = list(ws)
+            for _ in range(edits):
+                own[rng.randrange(200)] = rng.choice(vocabulary)
+            rows.append((10 * i + j, " ".join(own)))
+    rows += [(5000, None), (5001, ""), (5002, "one"), (5003, "one"), (5004, "one two"), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit("x"))
+    got = simhash.near_components(df, words=32, similarity=0.8)
+    assert got.count() == len(rows)
+    found = {r.doc_id: r.component_id for r in got.collect()}
+    sets = {d: set(simhash.shingles(t, 5).tolist()) for d, t in rows}
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    linked = missed = 0
+    for i in range(60):
+        ids = [10 * i + j for j in range(6)]
+        want = {d: d for d in ids}
+        for x in ids:
+            for y in ids:
+                if y < x and alike(x, y):
+                    low, high = sorted((want[x], want[y]))
+                    want = {k: low if v == high else v for k, v in want.items()}
+        for d in ids:
+            assert found[d] == d or want[found[d]] == want[d]
+            linked += want[d] != d
+            missed += want[d] != d and found[d] == d
+    assert linked > 60 and missed <= 0.1 * linked
+    assert [found[d] for d in (5000, 5001, 5002, 5003, 5004)] == [5000, 5000, 5002, 5002, 5004]
+    assert simhash.near_components(spark.createDataFrame([], "doc_id long, text string"), words=2, similarity=0.8).count() == 0
+
+
 # ------------------------------------------------------------------ packing
 
 
