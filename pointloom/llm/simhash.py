@@ -6,8 +6,9 @@ a band value fingerprints stand sorted by their number of set bits, in tiles of
 A pair of tiles is compared by numpy exclusive-or and bit counts unless their bit counts are
 further apart than the radius.  A band value with more than ``ITEM`` fingerprints is dealt
 into slices whose pairs are work items of their own.  Every work item keeps only a spanning
-forest of the links it finds, the closest links first, so a group of k near copies gives at
-most k - 1 rows an item.  Components come from alternating large-star and small-star rounds
+forest of the links it finds, so a group of k near copies gives at most k - 1 rows an item;
+links are taken by a hash of their ends, the same in all items, so that the forests of one
+group are much alike and have no hubs.  Components come from alternating large-star and small-star rounds
 on those links.
 
 With a ``similarity``, links of the forests are checked by the Jaccard similarity of their
@@ -155,18 +156,27 @@ def forest(nodes: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
             label = new[label]
 
 
-def links_in(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def order_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order in which links of nodes are taken: by a hash of both ends."""
+    low, high = np.minimum(a, b).view(np.uint64), np.maximum(a, b).view(np.uint64)
+    h = (low * np.uint64(STEP)) ^ (high + (high >> np.uint64(29)))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return np.argsort(h ^ (h >> np.uint64(27)), kind="stable")
+
+
+def links_in(prints: np.ndarray, radius: int, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in ``prints`` whose pairs are a spanning forest of the links among them, and their differing bits."""
     bits = np.bitwise_count(prints)
     order = np.lexsort((prints, bits))
     prints, bits = prints[order], bits[order].astype(np.int64)
     n, label = len(prints), np.arange(len(prints))
-    held, size, draw = [np.zeros((3, 0), np.int64)], 0, np.random.default_rng(n)
+    node = prints.view(np.int64) if node is None else node[order]
+    held, size = [np.zeros((3, 0), np.int64)], 0
 
     def reduced():
         nonlocal held, size, label
         a, b, d = np.concatenate(held, axis=1)
-        first = np.lexsort((draw.random(len(d)), d))  # of equally close links any: no hubs
+        first = order_of(node[a], node[b])
         a, b, d = a[first], b[first], d[first]
         kept, label = forest(n, a, b)
         held, size = [np.stack((a[kept], b[kept], d[kept]))], 0
@@ -218,16 +228,22 @@ def _compare(radius: int):
         starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(item)]))
         size = ends - starts
         out_a, out_b, out_d = [node[:0]], [node[:0]], [node[:0]]
+        held = [np.zeros((3, 0), np.int64)]
         small = np.repeat(size, size) <= 32  # many tiny items: compare neighbours at each distance at once
         for d in range(1, int(size[size <= 32].max(initial=1))):
             x = np.flatnonzero((item[d:] == item[:-d]) & small[d:])
             apart = np.bitwise_count(fp[x] ^ fp[x + d]).astype(np.int64)
             x, apart = x[apart <= radius], apart[apart <= radius]
-            out_a.append(node[x])
-            out_b.append(node[x + d])
-            out_d.append(apart)
+            held.append(np.stack((x, x + d, apart)))
+        x, y, apart = np.concatenate(held, axis=1)
+        first = order_of(node[x], node[y])
+        x, y, apart = x[first], y[first], apart[first]
+        kept, _ = forest(len(item), x, y)  # of all these items at once
+        out_a.append(node[x[kept]])
+        out_b.append(node[y[kept]])
+        out_d.append(apart[kept])
         for k in np.flatnonzero(size > 32):
-            a, b, apart = links_in(fp[starts[k] : ends[k]], radius)
+            a, b, apart = links_in(fp[starts[k] : ends[k]], radius, node[starts[k] : ends[k]])
             out_a.append(node[starts[k] + a])
             out_b.append(node[starts[k] + b])
             out_d.append(apart)
@@ -297,8 +313,9 @@ def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             tried = live
         else:
             link = F.struct("bits", F.xxhash64("a", "b").alias("order"), "a", "b")
-            ends = live.select(F.explode(F.array("a", "b")).alias("n"), link.alias("link"))
-            tried = ends.groupBy("n", F.pmod("link.order", F.lit(share)).alias("part")).agg(F.min("link").alias("link")).select("link.a", "link.b").distinct()
+            part = F.pmod(F.xxhash64("a", "b"), F.lit(share)).alias("part")
+            of_a, of_b = (live.groupBy(end, part).agg(F.min(link).alias("link")).select("link.a", "link.b") for end in ("a", "b"))
+            tried = of_a.unionByName(of_b).distinct()
         one = sets.select(F.col("node").alias("a"), F.col("set").alias("one")).hint("merge")
         two = sets.select(F.col("node").alias("b"), F.col("set").alias("two")).hint("merge")
         both = F.size(F.array_intersect("one", "two"))
