@@ -17,9 +17,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ LENGTH, SEGMENTS, END_ID = 4096, 512, 2
 POOL = 256
 #: Words whose ids a worker remembers.
 CACHE = 500_000
+#: Bytes of texts that are split into words at once (a longer text by itself).
+SLICE = 8 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -37,7 +41,10 @@ MARKED = re.compile(rb"(?!.*<\|)(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 class _Words(dict):
-    """Ids of words, with those of the last time it was full behind it."""
+    """Ids of words, with those of the last time it was full behind it.
+
+    Words with marks at their end are put together from their two parts each time.
+    """
 
     def __init__(self, encode):
         self.encode, self.old = encode, {}
@@ -46,8 +53,10 @@ class _Words(dict):
         out = self.old.get(word)
         if out is None:
             marked = MARKED.fullmatch(word)
-            out = self[marked[1]] + self[marked[2]] if marked else self.encode(word)
-        if len(self) > CACHE:
+            if marked:
+                return self[marked[1]] + self[marked[2]]
+            out = self.encode(word)
+        if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
         self[word] = out
@@ -81,10 +90,29 @@ class WordTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
-        body = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" not in body:  # names of special tokens keep their case
-            body = body.lower()
-        return b"".join(map(self.words.__getitem__, body.split()))
+        return next(self.all_ids(pa.array([text], pa.string())))
+
+    def all_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, null as empty; about ``SLICE`` bytes of texts at once.
+
+        Words are split and numbered by Arrow, so that only a slice's distinct words are
+        looked up one by one.
+        """
+        texts = pc.fill_null(texts, "")
+        parts = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(parts)) + 1, [len(texts)])) if len(texts) else [0]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            some = texts.slice(start, end - start)
+            # Names of special tokens keep their case.
+            some = pc.if_else(pc.match_substring(some, "<|"), some, pc.ascii_lower(some))
+            split = pc.ascii_split_whitespace(some)
+            words = split.flatten().dictionary_encode()
+            known = list(map(self.words.__getitem__, words.dictionary.cast(pa.binary()).to_pylist()))
+            found = pa.array(known, pa.large_binary()).take(words.indices)
+            _, offsets, data = found.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(found) + 1)[split.offsets.to_numpy()]
+            for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield data.slice(x, y - x).to_pybytes() if y > x else b""
 
 
 class Packer:
@@ -185,8 +213,8 @@ def _pack(path: str, length: int, segments: int, loss: int, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            for doc_id, text, prompt in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                packer.add(doc_id, tokenizer.ids(text) + end, prompt or 0)
+            for doc_id, ids, prompt in zip(batch.column(0).to_pylist(), tokenizer.all_ids(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                packer.add(doc_id, ids + end, prompt or 0)
                 if len(packer.open) >= 2 * POOL or len(packer.open[-1][1]) > 40 * length:
                     packer.fill(POOL)
                 if len(packer.rows) >= 4000:

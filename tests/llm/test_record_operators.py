@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -260,6 +261,22 @@ def test_tokenizer_by_words_equals_the_whole_text(spark, sf_dir):
         assert tok.ids(t) == np.array(tok.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_do_not_depend_on_slices_or_on_words_remembered(spark, sf_dir, monkeypatch):
+    path = queries.tokenizer_path()
+    texts = [r.text for r in queries.table(spark, sf_dir, "documents").collect()][:60]
+    texts += [None, "", " \n", "Word. <|endoftext|>", "a" * 5000, "\tx\x1cy ", None, "Word. word, WORD!"]
+    tok = packing.WordTokenizer(path)
+    want = [np.array(tok.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "CACHE", 50)
+    for size in (1, 700, 1 << 20):
+        monkeypatch.setattr(packing, "SLICE", size)
+        own = packing.WordTokenizer(path)
+        assert list(own.all_ids(pa.array(texts, pa.string()))) == want
+        assert list(own.all_ids(pa.array(texts, pa.string()).slice(55, 10))) == want[55:65]
+        assert len(own.words) <= 51
+    assert list(tok.all_ids(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("length,segments,loss", [(4096, 512, None), (64, 3, None), (128, 512, 50), (100, 4, 30)])
 def test_packing(spark, sf_dir, length, segments, loss):
     tok = packing.WordTokenizer.at(queries.tokenizer_path())
