@@ -11,9 +11,10 @@ links are taken by a hash of their ends, the same in all items, so that the fore
 group are much alike and have no hubs.  Components come from alternating large-star and small-star rounds
 on those links.
 
-With a ``similarity``, links of the forests are checked by the Jaccard similarity of their
-texts' word shingles, and components hold over those that pass: no two documents meet but by
-a chain of texts that are that similar.
+With a ``similarity``, components of those links are only groups of candidates: inside each,
+all pairs are checked by the Jaccard similarity of their texts' word shingles, unless chains
+of pairs that passed already join them.  So no two documents meet but by a chain of texts
+that are that similar, and no such chain inside a group is missed.
 
 Null texts have no words; texts without words get fingerprint 0 and link like others.  Rows
 that repeat a doc_id are fingerprinted one by one.  A null doc_id never names a component
@@ -22,6 +23,8 @@ that has another id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +35,8 @@ from .common import join_checked, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 TILE, ITEM = 512, 32_768
+#: Shingles in a slice of a group whose pairs are checked.
+PART = 1_000_000
 
 
 #: Makes further words of a signature from the shingles' hashes (a fixed value).
@@ -298,43 +303,101 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) whose texts' shingles have a Jaccard similarity of ``least`` or more.
+def alike(flat: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all pairs of sets with a Jaccard similarity of ``least`` or more.
+
+    flat: the sets' elements one after the other; size: how many each has.  Every set that a
+    component reaches is compared with all that are in none yet: no other pair can matter.
+    A set is compared only if one of those holds one of its rarest elements, of which it
+    can miss all but one too few to be that similar.
+    """
+    n, starts = len(size), np.concatenate(([0], np.cumsum(size)))
+    owner, ids = np.repeat(np.arange(n), size), np.unique(flat, return_inverse=True)[1]
+    kinds, free, left = int(ids.max(initial=-1)) + 1, np.ones(n, bool), n
+
+    def index():
+        live = free[owner]
+        first = np.concatenate(([0], np.cumsum(np.bincount(ids[live], minlength=kinds))))
+        return owner[live][np.argsort(ids[live], kind="stable")], first, left
+
+    def holding(own):
+        low, many = first[own], first[own + 1] - first[own]
+        return holders[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+
+    holders, first, indexed = index()
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for seed in range(n):
+        if not free[seed]:
+            continue
+        free[seed], left, todo = False, left - 1, [seed]
+        while todo and left:
+            if 2 * left < indexed:
+                holders, first, indexed = index()
+            i = todo.pop()
+            own = ids[starts[i] : starts[i + 1]]
+            rare = own[np.argsort(first[own + 1] - first[own])][: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+            if not free[holding(rare)].any():
+                continue
+            both = np.bincount(holding(own), minlength=n)
+            near = np.flatnonzero(free & (both >= least * (size[i] + size - both)))
+            free[near], left = False, left - len(near)
+            todo += near.tolist()
+            out_a.append(np.full(len(near), i))
+            out_b.append(near)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _alike(least: float):
+    """Input sorted by work item: item, node (long), set; items may span batches."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            sets = batch.column(2)
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy()]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
+            cut = int(cols[2][:last].sum())
+            yield from done([*(c[:last] for c in cols[:3]), cols[3][:cut]])
+            held = [*(c[last:] for c in cols[:3]), cols[3][cut:]]
+        if held is not None:
+            yield from done(held)
+
+    def done(cols):
+        item, node, size, flat = cols
+        if len(item) < 2:
+            return
+        edges = np.flatnonzero(np.diff(item)) + 1
+        at, out_a, out_b = np.concatenate(([0], np.cumsum(size))), [node[:0]], [node[:0]]
+        for start, end in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(item)])), strict=True):
+            if end - start > 1:
+                a, b = alike(flat[at[start] : at[end]], size[start:end], least)
+                out_a.append(node[start + a])
+                out_b.append(node[start + b])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
 
-    edges: a, b, bits; sets: node and set.  Links inside a component of links that passed
-    are not needed, so rounds check the closest links of each node first and every link that
-    is left in the last one.  Each round checks a multiple of the number of nodes.
+def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect all nodes of a group whose sets have a Jaccard similarity of ``least`` or more.
+
+    groups: node and root; sets: node and set.  All pairs of a group count, checked before
+    any is left out.  Groups with over ``PART`` elements are dealt into slices whose pairs
+    are work items of their own.
     """
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    live = written(edges.select(*pair, "bits").where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits")), "live")
-    passed = None
-    for share in (1, 4, 16, None):
-        if share is None:
-            tried = live
-        else:
-            link = F.struct("bits", F.xxhash64("a", "b").alias("order"), "a", "b")
-            part = F.pmod(F.xxhash64("a", "b"), F.lit(share)).alias("part")
-            of_a, of_b = (live.groupBy(end, part).agg(F.min(link).alias("link")).select("link.a", "link.b") for end in ("a", "b"))
-            tried = of_a.unionByName(of_b).distinct()
-        one = sets.select(F.col("node").alias("a"), F.col("set").alias("one")).hint("merge")
-        two = sets.select(F.col("node").alias("b"), F.col("set").alias("two")).hint("merge")
-        both = F.size(F.array_intersect("one", "two"))
-        close = both >= least * (F.size("one") + F.size("two") - both)  # no shingles at all: alike
-        tried = written(tried.select("a", "b").join(one, "a").join(two, "b").select("a", "b", close.alias("close")), "tried")
-        new = tried.where("close").select("a", "b")
-        passed = new if passed is None else passed.unionByName(new)
-        if share is None:
-            return passed
-        live = live.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        if not new.isEmpty():
-            roots = written(components(passed), "roots")
-            for end in ("a", "b"):
-                live = live.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-            live = live.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "bits")
-        live = written(live, "live")
-        if live.isEmpty():
-            return passed
-    return passed
+    held = sets.join(groups.hint("merge"), "node").select("root", "node", "set")
+    large = held.groupBy("root").agg(F.sum(F.size("set")).alias("total")).where(F.col("total") > PART)
+    large = written(large.select("root", F.ceil(F.col("total") / PART).alias("slices")), "large")
+    held = join_checked(held, large, "root", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("slices"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    items = held.select("root", "node", "set", F.explode(pairs).alias("p")).select(F.xxhash64("root", "p.i", "p.j").alias("item"), "node", "set")
+    count = sets.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return items.repartition(int(count), "item").sortWithinPartitions("item").mapInArrow(_alike(least), "a long, b long")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, words_in: int) -> DataFrame:
@@ -376,10 +439,9 @@ def near_components(
     each = prints.select("node", F.posexplode("own").alias("word", "fp")) if words > 1 else prints.select("node", F.col("own").alias("fp"))
     edges = links(each, radius)
     if similarity is not None:
-        edges = written(edges, "links")
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = written(node_sets(docs, prints.join(ends, "node").select("node", "text_of.*"), checked_words), "sets")
-        edges = similar(edges, sets, similarity)
+        groups = written(components(edges), "groups")
+        sets = written(node_sets(docs, prints.join(groups, "node").select("node", "text_of.*"), checked_words), "sets")
+        edges = similar(groups, sets, similarity)
     roots = written(components(edges).withColumnRenamed("node", "__node"), "roots")
     linked = prints.join(roots, F.col("node") == F.col("__node"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))

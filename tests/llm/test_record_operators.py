@@ -250,6 +250,24 @@ def test_checked_links_hold_the_similarity(spark):
     assert simhash.near_components(spark.createDataFrame([], "doc_id long, text string"), words=2, similarity=0.8).count() == 0
 
 
+def test_no_similar_pair_of_a_group_is_lost(spark, monkeypatch):
+    """Copies of a text that are 0.8-similar to it and not to each other."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 60, 300)
+    stars = [np.unique(np.concatenate((rng.permutation(base)[:270], rng.integers(0, 1 << 60, 20)))) for _ in range(2000)]
+    sets = [np.unique(rng.integers(0, 1 << 60, n)) for n in (1, 5, 300)] + stars[:1000] + [np.unique(base)] + stars[1000:]
+    flat, size = np.concatenate(sets), np.array([len(x) for x in sets])
+    a, b = simhash.alike(flat, size, 0.8)
+    assert len(a) == 2000 and not {0, 1, 2} & {*a.tolist(), *b.tolist()}
+    held = [set(x.tolist()) for x in sets]
+    assert all(len(held[x] & held[y]) >= 0.8 * len(held[x] | held[y]) for x, y in zip(a, b))
+    monkeypatch.setattr(simhash, "PART", 50_000)  # 12 slices
+    rows = [(i, x.tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, set array<long>")
+    roots = simhash.components(simhash.similar(df.select("node", F.lit(0).cast("long").alias("root")), df, 0.8)).collect()
+    assert {r.node for r in roots} == set(range(3, 2004)) and {r.root for r in roots} == {3}
+
+
 # ------------------------------------------------------------------ packing
 
 
