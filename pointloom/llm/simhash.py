@@ -11,8 +11,11 @@ links are taken by a hash of their ends, the same in all items, so that the fore
 group are much alike and have no hubs.  Components come from alternating large-star and small-star rounds
 on those links.
 
-With a ``similarity``, components of those links are only groups of candidates: inside each,
-all pairs are checked by the Jaccard similarity of their texts' word shingles, unless chains
+With a ``similarity``, candidates come from MinHash instead, as fingerprints of radius 3 are
+too sparse for it: nodes are sets of shingles, and those that agree in one of ``bands_for``
+bands of ``ROWS`` smallest hashes are candidates.  A pair of just that similarity is missed
+with a chance of ``MISSED`` at most, wherever the texts differ.  Components of candidates are
+only groups: inside each, all pairs are checked by the Jaccard similarity of their texts' word shingles, unless chains
 of pairs that passed already join them.  So no two documents meet but by a chain of texts
 that are that similar, and no such chain inside a group is missed.
 
@@ -23,6 +26,7 @@ that has another id.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -37,6 +41,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 TILE, ITEM = 512, 32_768
 #: Shingles in a slice of a group whose pairs are checked.
 PART = 1_000_000
+#: Smallest hashes in a band, and the chance that a pair of the least similarity is no candidate.
+ROWS, MISSED = 8, 1e-4
 
 
 #: Makes further words of a signature from the shingles' hashes (a fixed value).
@@ -111,6 +117,53 @@ def shingles(text: str | None, words_in: int) -> np.ndarray:
     return np.fromiter(found, np.uint64, len(found)).view(np.int64)
 
 
+def bands_for(least: float) -> int:
+    """Bands with which a pair of similarity ``least`` is missed with a chance of ``MISSED``."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-(least**ROWS)))) if least < 1 else 1
+
+
+@functools.cache
+def _hashing(places: int) -> np.ndarray:
+    salts, factors = np.random.default_rng(SEED).integers(0, 1 << 32, (2, places), np.uint32)
+    return np.stack((salts, factors | np.uint32(1)))
+
+
+def band_keys(found: np.ndarray, bands: int) -> np.ndarray:
+    """A hash of each band's ``ROWS`` smallest hashes of a set; other hash functions for each place."""
+    salts, factors = _hashing(bands * ROWS)
+    h, low = (found.view(np.uint64) >> np.uint64(32)).astype(np.uint32), np.full(bands * ROWS, ~np.uint32(0))
+    for at in range(0, len(h), 64):
+        np.minimum(low, ((h[at : at + 64, None] ^ salts) * factors).min(axis=0), out=low)
+    key = np.arange(bands, dtype=np.uint64) * np.uint64(STEP)
+    for x in low.astype(np.uint64).reshape(bands, ROWS).T:
+        key = (key ^ x) * np.uint64(0x7FB5D329728EA185)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def _sketched(words_in: int, bands: int, prints: int):
+    """prints: words of a fingerprint, or 0 for nulls."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sets = [np.sort(shingles(t, words_in)) for t in texts]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
+            keys = np.concatenate([band_keys(x, bands) for x in sets]) if sets else np.zeros(0, np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys))
+            fps = pa.array([signature(t, prints).view(np.int64)[0] if prints else None for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, keys, batch.column(2), pa.array(nodes)], ["doc_id", "fp", "keys", "text_hash", "node"])
+
+    return run
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all nodes with a common key. prints: node and own, its keys."""
+    keyed = prints.select("node", F.explode("own").alias("key"))
+    low = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    return keyed.join(low.hint("merge"), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def _shingled(words_in: int):
     def run(batches):
         for batch in batches:
@@ -411,6 +464,34 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words_in: int) -> DataFrame:
     return join_checked(texts, own, same, "inner").select("node", "text").dropDuplicates(["node"]).mapInArrow(_shingled(words_in), "node long, set array<long>")
 
 
+def _grouped(docs: DataFrame, words_in: int, radius: int, words: int, similarity: float | None, checked_words: int, with_fp: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp, text_hash, node), and of each node component_id and first, the first row of its component."""
+    rows = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    if similarity is None:
+        rows = rows.mapInArrow(_fingerprints(words_in, words), "doc_id long, fp long, words array<long>, text_hash long")
+        rows = rows.select("doc_id", "fp", "text_hash", *([F.xxhash64("words").alias("node"), "words"] if words > 1 else [F.col("fp").alias("node")]))
+    else:
+        sketched = _sketched(checked_words, bands_for(similarity), words_in if with_fp else 0)
+        rows = rows.mapInArrow(sketched, "doc_id long, fp long, keys array<long>, text_hash long, node long")
+    rows = written(rows, "prints")
+    own = "keys" if similarity is not None else "words" if words > 1 else "fp"
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    prints = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.first(own).alias("own")), "distinct")
+    if similarity is None:
+        edges = links(prints.select("node", F.posexplode("own").alias("word", "fp")) if words > 1 else prints.select("node", F.col("own").alias("fp")), radius)
+    else:
+        groups = written(components(candidates(prints)), "groups")
+        sets = written(node_sets(docs, prints.join(groups, "node").select("node", "first.doc_id", "first.text_hash"), checked_words), "sets")
+        edges = similar(groups, sets, similarity)
+    roots = written(components(edges).withColumnRenamed("node", "__node"), "roots")
+    linked = prints.join(roots, F.col("node") == F.col("__node"))
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("best"))
+    linked = written(linked.join(best, "root").select("node", "component_id", "best"), "linked")
+    # Nodes that link to no other: their own smallest id.
+    known = prints.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("best", "first").alias("first"))
+    return rows, known
+
+
 def near_components(
     docs: DataFrame,
     words_in: int = SHINGLE,
@@ -427,25 +508,9 @@ def near_components(
     two of the same word are within ``radius``: near copies whose single fingerprints are
     further apart are still found, at a work that grows with the number of words.
 
-    With a ``similarity``, links count only if the texts' shingles of ``checked_words``
-    words have that Jaccard similarity.
+    With a ``similarity``, texts link if their shingles of ``checked_words`` words have that
+    Jaccard similarity, whatever their fingerprints are.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.mapInArrow(_fingerprints(words_in, words), "doc_id long, fp long, words array<long>, text_hash long")
-    rows = written(rows.select("doc_id", "fp", "text_hash", *([F.xxhash64("words").alias("node"), "words"] if words > 1 else [F.col("fp").alias("node")])), "prints")
-    distinct = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("text_of"), F.first("words" if words > 1 else "fp").alias("own")]
-    prints = written(rows.groupBy("node").agg(*distinct), "distinct")
-    each = prints.select("node", F.posexplode("own").alias("word", "fp")) if words > 1 else prints.select("node", F.col("own").alias("fp"))
-    edges = links(each, radius)
-    if similarity is not None:
-        groups = written(components(edges), "groups")
-        sets = written(node_sets(docs, prints.join(groups, "node").select("node", "text_of.*"), checked_words), "sets")
-        edges = similar(groups, sets, similarity)
-    roots = written(components(edges).withColumnRenamed("node", "__node"), "roots")
-    linked = prints.join(roots, F.col("node") == F.col("__node"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = written(linked.join(least, "root").select("node", "component_id"), "linked")
-    # Fingerprints that link to no other: their own smallest id.
-    known = prints.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.select("doc_id", "fp", "node").join(known, "node", "left").select("doc_id", "fp", "component_id")
+    rows, known = _grouped(docs, words_in, radius, words, similarity, checked_words)
+    return rows.select("doc_id", "fp", "node").join(known.select("node", "component_id"), "node", "left").select("doc_id", "fp", "component_id")

@@ -268,6 +268,28 @@ def test_no_similar_pair_of_a_group_is_lost(spark, monkeypatch):
     assert {r.node for r in roots} == set(range(3, 2004)) and {r.root for r in roots} == {3}
 
 
+@pytest.mark.parametrize("size,appended", [(200, True), (200, False), (400, True), (400, False)])
+def test_block_edits_near_the_least_similarity_are_found(spark, size, appended):
+    rng = random.Random(size + appended)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for i in range(150):
+        ws = [word() for _ in range(size)]
+        share = rng.uniform(0.8, 0.85)
+        n = size - 4
+        if appended:
+            other = ws + [word() for _ in range(int(n / share) - n)]
+        else:
+            gone = int(n * (1 - share) / (1 + share)) - 4
+            at = rng.randrange(size - gone)
+            other = ws[:at] + [word() for _ in range(gone)] + ws[at + gone :]
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(other))]
+        one, two = (set(simhash.shingles(r[1], 5).tolist()) for r in rows[-2:])
+        assert 0.8 <= len(one & two) / len(one | two) < 0.87
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 149 and all(got[2 * i] == 2 * i for i in range(150))
+
+
 # ------------------------------------------------------------------ packing
 
 
