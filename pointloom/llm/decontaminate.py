@@ -109,13 +109,14 @@ def _scan(sent, with_text: bool):
                 rows.append((len(ws), n, sorted(found), (without(text, hit) if n else text) if with_text else None))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
             cols = zip(*rows, strict=True) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "clean"])
+            found = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "items", "clean", *batch.schema.names[2:]])
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items and clean.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True, hashed: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items and clean; text_hash if ``hashed``.
 
     ``items`` are the item_ids with occurring windows, sorted as strings; ``clean`` is the
     text with hit spans removed.
@@ -126,4 +127,5 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text:
         raise ValueError(f"the benchmark has {size} bytes; one set holds {12 * MAX_WORDS}. Scan it in parts.")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").collect()
     sent = spark.sparkContext.broadcast(Windows([(r["item"], words(r["text"])) for r in items], window))
-    return docs.select("doc_id", "text").mapInArrow(_scan(sent, with_text), "doc_id long, n_words long, n_hit long, items array<string>, clean string")
+    more = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")] if hashed else []
+    return docs.select("doc_id", "text", *more).mapInArrow(_scan(sent, with_text), "doc_id long, n_words long, n_hit long, items array<string>, clean string" + ", text_hash long" * hashed)

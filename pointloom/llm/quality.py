@@ -133,10 +133,10 @@ def threshold(scored: DataFrame, labels: DataFrame, keep_weight: float = KEEP_WE
     return LOW + step * ((start + end) // 2)
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, keep_weight: float = KEEP_WEIGHT) -> DataFrame:
-    """Per row of ``docs``: doc_id, the base counts, base_failed, llr, cut and kept."""
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, keep_weight: float = KEEP_WEIGHT, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, columns ``more``, the base counts, base_failed, llr, cut and kept."""
     ratios = log_ratios(docs, labels, buckets, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *more, F.col(text).alias("__text"))
     scored = written(with_score(base_counts(rows, "__text"), ratios, "__text").drop("__text"), "quality")
     cut = threshold(scored, labels, keep_weight)
     return scored.withColumn("cut", F.lit(cut)).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.col("cut")))

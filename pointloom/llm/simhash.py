@@ -514,3 +514,14 @@ def near_components(
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, known = _grouped(docs, words_in, radius, words, similarity, checked_words)
     return rows.select("doc_id", "fp", "node").join(known.select("node", "component_id"), "node", "left").select("doc_id", "fp", "component_id")
+
+
+def near_rows(docs: DataFrame, similarity: float, checked_words: int = 5) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, text_hash and whether it is the first of its near copies.
+
+    Rows stand in order of doc_id (nulls last), then text_hash; rows with equal ids and texts are alike.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, known = _grouped(docs, SHINGLE, RADIUS, 1, similarity, checked_words, with_fp=False)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    return rows.join(known.select("node", "first"), "node").select("doc_id", "text_hash", own.eqNullSafe(F.col("first")).alias("first"))

@@ -428,3 +428,22 @@ def test_pipeline(spark, sf_dir):
     for r in pieces[:50]:
         ids = np.frombuffer(tok.ids(texts[r.doc_id]) + np.array([2], "<u4").tobytes(), "<u4")
         assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
+def test_pipeline_judges_rows_with_null_and_repeated_ids_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    clean, leaked, junk = [text() for _ in range(4)], text(), "too short"
+    spark.createDataFrame([(1, leaked)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda stage, rows: Counter((r.doc_id, r.text) for r in stage(spark, frame(rows), str(tmp_path)).collect())
+    good = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (8, clean[3])]
+    for stage, bad in ((corpus_pipeline.quality_rules, junk), (corpus_pipeline.clean_of_benchmark, leaked)):
+        assert left(stage, [*good, (None, bad), (7, bad), (9, bad)]) == Counter(good)
+    copies = [(None, clean[0]), (None, clean[0]), (None, clean[1]), (5, clean[1]), (7, clean[2]), (7, clean[2]), (7, clean[2] + " more"), (7, clean[3]), (None, clean[3])]
+    got = left(corpus_pipeline.near_duplicates, copies)
+    assert got.total() == 4 and got[None, clean[0]] == 1 and got[5, clean[1]] == 1 and got[7, clean[3]] == 1
+    assert got[7, clean[2]] + got[7, clean[2] + " more"] == 1
