@@ -2,9 +2,10 @@
 
 The filter holds, for every token 1-gram and 2-gram of the training documents, the events
 (n-gram, 1) ... (n-gram, q) where q is its count's level on a logarithmic scale.  A count is
-read by asking for level after level until one is absent.  The filter is sent to all
-workers; its size follows the corpus at ``BITS`` a level, up to ``max_bytes``, beyond which
-bits a level fall and the error rate rises (no n-gram is left out).
+read by asking for level after level until one is absent.  The filter's size follows the
+corpus at ``BITS`` a level.  Up to ``max_bytes`` it is sent to all workers; a larger one stays
+a table of blocks, and the documents' n-grams go to the block that holds them and come back
+with their levels.  Scores are the same either way.
 
 Smoothing is Dirichlet: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu) with
 P(w) = (c(w) + 1) / (N + V + 1), all counts as the filter gives them, c(vw) at most c(v).
@@ -41,6 +42,8 @@ BLOCK_TOKENS = 2_000_000
 MAX_BYTES = 512 << 20
 #: Tokens a worker keeps hashes of, and tokens it handles at once.
 CACHE, CHUNK = 100_000, 200_000
+#: Documents of a chunk whose n-grams are asked for together, as a power of two.
+CHUNK_BITS = 7
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -276,69 +279,136 @@ def _bits(block_bits: int):
     return run
 
 
-def build_filter(texts: DataFrame, n_tokens: int, max_bytes: int = MAX_BYTES) -> Filter:
-    """Counts n-grams block by block and builds each block's bits in one task."""
+def build_filter(texts: DataFrame, n_tokens: int, max_bytes: int = MAX_BYTES) -> tuple[Filter, DataFrame | None]:
+    """Counts n-grams block by block and builds each block's bits in one task.
+
+    A filter of over ``max_bytes`` has no data: its blocks are the table beside it.
+    """
     if not n_tokens:
-        return Filter(np.zeros(0, np.uint8), 0, 0)
+        return Filter(np.zeros(0, np.uint8), 0, 0), None
     blocks = max(1, math.ceil(n_tokens / BLOCK_TOKENS))
     grams = texts.select("text").mapInArrow(_count_grams(blocks), "block long, data binary").groupBy("block").applyInArrow(_levels, "block long, data binary, events long")
     grams = written(grams, "grams")
     most = grams.agg(F.max("events")).collect()[0][0] or 1
     # Blocks get equal shares of the n-grams by hash, so the fullest one sets the size.
-    block_bits = 64 * math.ceil(min(most * BITS, max_bytes * 8 // blocks) / 64)
+    block_bits = 64 * math.ceil(most * BITS / 64)
+    table = grams.select("block", "data").mapInArrow(_bits(block_bits), "block long, bits binary")
+    if blocks * block_bits // 8 > max_bytes:
+        return Filter(np.zeros(0, np.uint8), blocks, block_bits), written(table, "bits")
     data = np.zeros(blocks * block_bits // 8, np.uint8)
-    for row in grams.select("block", "data").mapInArrow(_bits(block_bits), "block long, bits binary").toLocalIterator():
+    for row in table.toLocalIterator():
         at = row["block"] * block_bits // 8
         data[at : at + block_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(data, blocks, block_bits)
+    return Filter(data, blocks, block_bits), None
 
 
-def _score(model, head, n_train: int, v_train: int, mu: float):
-    scale = math.log10(n_train + v_train + 1)
+def _probes(blocks: int):
+    """Input chunk, text; rows (chunk, block, data): sorted hashes of a chunk's 1-grams and 2-grams."""
 
     def run(batches):
-        data, blocks, block_bits = model.value
-        frequent, counts, known = head.value, count_at(), Hashes()
-        bloom = Filter(data, blocks, block_bits)
-        seen = logs = np.zeros(0)  # of remembered tokens: count by the filter, exact log10(c + 1) if frequent
+        known = Hashes()
         for batch in batches:
-            doc_ids, at = batch.column(0), 0
-            for docs in _chunks(_texts(batch.column(1))):
-                ids = known.numbers([t for d in docs for t in d] + [END])
-                if len(seen) > len(known.h):
-                    seen = logs = np.zeros(0)
-                if len(seen) < len(known.h):
-                    logs = np.concatenate((logs, [frequent.get(w, 0.0) for w in known.words[len(seen) :]]))
-                    seen = np.concatenate((seen, counts[bloom.levels(known.h[len(seen) :])]))
-                end, ids = ids[-1], ids[:-1]
-                sizes = np.array([len(d) for d in docs])
-                starts = np.concatenate(([0], np.cumsum(sizes[:-1])))
-                before = _contexts(ids, starts, end)
-                # Frequent n-grams stand on many levels: each is read once a chunk.
-                grams, place = np.unique(pair_hash(known.h[before], known.h[ids]), return_inverse=True)
-                pair = np.minimum(counts[bloom.levels(grams)][place], seen[before])
-                p = (pair + mu * (seen[ids] + 1) / (n_train + v_train + 1)) / (seen[before] + mu)
-                scores = np.add.reduceat(np.log10(p), starts)
-                own = logs[ids]
-                found = np.add.reduceat((own > 0).astype(np.int64), starts)
-                base = np.add.reduceat(own, starts) - scale * sizes
-                # The other tokens of each document, with their number in it.
-                rare = np.flatnonzero(own == 0)
-                doc = np.searchsorted(starts, rare, "right") - 1
-                rest, times = np.unique(doc * len(known.h) + ids[rare], return_counts=True)
-                doc, rest = np.divmod(rest, len(known.h))
-                cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
-                pairs = pa.StructArray.from_arrays([pa.array([known.words[i] for i in rest], pa.binary()), pa.array(times, pa.int64())], ["t", "n"])
-                tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(at, len(docs)), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), tail],
-                    ["doc_id", "n_tokens", "found", "base", "score", "rest"],
-                )
-                at += len(docs)
+            chunk = batch.column(0).to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)])) if len(chunk) else [0]
+            for start, end in itertools.pairwise(edges):
+                for docs in _chunks(_texts(batch.column(1).slice(start, end - start))):
+                    ids = known.numbers([t for d in docs for t in d] + [END])
+                    end_id, ids = ids[-1], ids[:-1]
+                    before = _contexts(ids, np.cumsum([0, *(len(d) for d in docs[:-1])]), end_id)
+                    h = np.unique(np.concatenate((pair_hash(known.h[before], known.h[ids]), known.h[np.unique(ids)])))
+                    cuts = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1))
+                    full = np.flatnonzero(np.diff(cuts))
+                    data = pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), chunk[start])), pa.array(full), data], ["chunk", "block", "data"])
+
+    return run
+
+
+def _answers(block_bits: int):
+    """The probes of one block and its bits: rows (chunk, data), hashes and then a byte a level."""
+
+    def run(key, probes, bits):
+        parts, out = [np.frombuffer(x, np.uint64) for x in probes.column("data").to_pylist()], []
+        if parts:
+            h, at = np.concatenate(parts), 0
+            q = np.zeros(len(h), np.uint8)
+            for data in bits.column("bits").to_pylist():
+                q = Filter(np.frombuffer(data, np.uint8), 1, block_bits).levels(h).astype(np.uint8)
+            for part in parts:
+                out.append(part.tobytes() + q[at : at + len(part)].tobytes())
+                at += len(part)
+        return pa.table({"chunk": probes.column("chunk"), "data": pa.array(out, pa.binary())})
+
+    return run
+
+
+class Levels:
+    """Levels of known n-grams, in place of a filter."""
+
+    def __init__(self, parts: list[bytes]):
+        h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 9) for x in parts])
+        q = np.concatenate([np.frombuffer(x, np.uint8, -1, len(x) // 9 * 8) for x in parts])
+        self.h, first = np.unique(h, return_index=True)
+        self.q = q[first].astype(np.int64)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return self.q[np.searchsorted(self.h, h)]
+
+
+def _score_chunk(head, n_train: int, v_train: int, mu: float):
+    """The documents of one chunk and the answers to their probes."""
+
+    def run(key, docs, answers):
+        own = Levels(answers.column("data").to_pylist())
+        return pa.Table.from_batches(list(_scored(docs.select(["doc_id", "text"]).to_batches(), own, head.value, n_train, v_train, mu)))
 
     return run
 
 
+def _score(model, head, n_train: int, v_train: int, mu: float):
+    return lambda batches: _scored(batches, Filter(*model.value), head.value, n_train, v_train, mu)
+
+
+def _scored(batches, bloom, frequent: dict, n_train: int, v_train: int, mu: float):
+    scale = math.log10(n_train + v_train + 1)
+    counts, known = count_at(), Hashes()
+    seen = logs = np.zeros(0)  # of remembered tokens: count by the filter, exact log10(c + 1) if frequent
+    for batch in batches:
+        doc_ids, at = batch.column(0), 0
+        for docs in _chunks(_texts(batch.column(1))):
+            ids = known.numbers([t for d in docs for t in d] + [END])
+            if len(seen) > len(known.h):
+                seen = logs = np.zeros(0)
+            if len(seen) < len(known.h):
+                logs = np.concatenate((logs, [frequent.get(w, 0.0) for w in known.words[len(seen) :]]))
+                seen = np.concatenate((seen, counts[bloom.levels(known.h[len(seen) :])]))
+            end, ids = ids[-1], ids[:-1]
+            sizes = np.array([len(d) for d in docs])
+            starts = np.concatenate(([0], np.cumsum(sizes[:-1])))
+            before = _contexts(ids, starts, end)
+            # Frequent n-grams stand on many levels: each is read once a chunk.
+            grams, place = np.unique(pair_hash(known.h[before], known.h[ids]), return_inverse=True)
+            pair = np.minimum(counts[bloom.levels(grams)][place], seen[before])
+            p = (pair + mu * (seen[ids] + 1) / (n_train + v_train + 1)) / (seen[before] + mu)
+            scores = np.add.reduceat(np.log10(p), starts)
+            own = logs[ids]
+            found = np.add.reduceat((own > 0).astype(np.int64), starts)
+            base = np.add.reduceat(own, starts) - scale * sizes
+            # The other tokens of each document, with their number in it.
+            rare = np.flatnonzero(own == 0)
+            doc = np.searchsorted(starts, rare, "right") - 1
+            rest, times = np.unique(doc * len(known.h) + ids[rare], return_counts=True)
+            doc, rest = np.divmod(rest, len(known.h))
+            cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
+            pairs = pa.StructArray.from_arrays([pa.array([known.words[i] for i in rest], pa.binary()), pa.array(times, pa.int64())], ["t", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids.slice(at, len(docs)), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), tail],
+                ["doc_id", "n_tokens", "found", "base", "score", "rest"],
+            )
+            at += len(docs)
+
+
 def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MAX_BYTES, head_size: int = HEAD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -348,7 +418,7 @@ def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MA
     vocabulary = written(train.select("text").mapInArrow(_count_words, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "vocabulary")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
     n_train, v_train = int(total[0]), int(total[1])
-    bloom = build_filter(train, n_train, max_bytes)
+    bloom, bits = build_filter(train, n_train, max_bytes)
     # The most frequent tokens, whole eighths of a power of two at a time, head_size at most.
     eighth = F.floor(F.log2("c") * 8).cast("int")
     cut, taken = None, 0
@@ -358,9 +428,17 @@ def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MA
         cut, taken = row["e"], taken + row["count"]
     in_head = eighth >= F.lit(cut if cut is not None else 1 << 20)
     head = {bytes(r["token"]): math.log10(r["c"] + 1) for r in vocabulary.where(in_head).collect()}
-    sent = spark.sparkContext.broadcast((bloom.data, bloom.blocks, bloom.block_bits))
     sent_head = spark.sparkContext.broadcast(head)
-    scored = docs.select("doc_id", "text").mapInArrow(_score(sent, sent_head, n_train, v_train, mu), "doc_id long, n_tokens long, found long, base double, score double, rest array<struct<t:binary,n:bigint>>")
+    schema = "doc_id long, n_tokens long, found long, base double, score double, rest array<struct<t:binary,n:bigint>>"
+    if bits is None:
+        sent = spark.sparkContext.broadcast((bloom.data, bloom.blocks, bloom.block_bits))
+        scored = docs.select("doc_id", "text").mapInArrow(_score(sent, sent_head, n_train, v_train, mu), schema)
+    else:
+        # Chunks of neighbours share n-grams, each asked for once.
+        rows = written(docs.select(F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"), "doc_id", "text"), "rows")
+        probes = rows.select("chunk", "text").mapInArrow(_probes(bloom.blocks), "chunk long, block long, data binary")
+        answers = probes.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_answers(bloom.block_bits), "chunk long, data binary")
+        scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(sent_head, n_train, v_train, mu), schema)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", F.col("x.t").alias("token"), F.col("x.n").alias("n"))
     known = rest.join(vocabulary.where(~in_head), "token").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))

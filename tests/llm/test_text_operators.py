@@ -166,6 +166,16 @@ def test_language_model_filter_never_loses_a_count():
     assert list(map(list, language_model.unpack(language_model.pack(h, c)))) == [list(h), list(c)]
 
 
+def test_language_model_scores_do_not_depend_on_the_filters_place(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 10_000)  # several blocks
+    d = docs(spark, TEXTS + [(r.doc_id + 100, r.text) for r in queries.table(spark, sf_dir, "documents").collect()])
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score)
+    sent = sorted(map(key, language_model.score(d, d.where(~queries.held_out())).collect()))
+    kept = sorted(map(key, language_model.score(d, d.where(~queries.held_out()), max_bytes=10_000).collect()))
+    assert [r[:3] for r in kept] == [r[:3] for r in sent]
+    assert [x for r in kept for x in r[3:]] == pytest.approx([x for r in sent for x in r[3:]], rel=1e-9)
+
+
 def test_language_model_without_training(spark):
     d = docs(spark)
     assert language_model.score(d, d.where("false")).where("n_known <> 0").count() == 0
