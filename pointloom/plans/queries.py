@@ -451,7 +451,7 @@ def structure_inference(spark, sf_dir):
     from . import actions
 
     p = cloud(spark, sf_dir, 5)
-    model = learning.train(p, ["x", "y", "z", "nx", "ny", "nz"], trees=20)
+    model = learning.train(p, ["x", "y", "z", "nx", "ny", "nz"])
     dist = learning.with_null_label(learning.distributions(model, p))
-    sharp = dist.withColumn("prob", F.when(F.col("prob") > 0.25, 0.8).otherwise(F.col("prob")))
-    return actions.infer_structure(p, sharp, actions.train_part_relations(p), spark.createDataFrame([], "group_id int, label int, rep_label int"), iterations=10)
+    sharp = dist.withColumn("prob", F.when(F.col("prob") > 0.2, 0.8).otherwise(F.col("prob")))
+    return actions.infer_structure(p, sharp, actions.train_part_relations(p), spark.createDataFrame([], "group_id int, label int, rep_label int"))
