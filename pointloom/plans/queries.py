@@ -248,7 +248,7 @@ def vertex_sdf_mean(spark, sf_dir):
 @query()
 def mesh_sdf(spark, sf_dir):
     v = cloud(spark, sf_dir).select("model_id", F.col("point_id").alias("vertex_id"), "x", "y", "z")
-    return solids.mesh_sdf(v, faces(spark, sf_dir).drop("label", "value"), rays=20)
+    return solids.mesh_sdf(v, faces(spark, sf_dir).drop("label", "value"))
 
 
 # ---------------------------------------------------------------- labels
@@ -420,7 +420,7 @@ def mst_orient(spark, sf_dir):
 @query()
 def rf_predict(spark, sf_dir):
     p = cloud(spark, sf_dir)
-    return learning.with_null_label(learning.distributions(learning.train(p, ["x", "y", "z", "nx", "ny", "nz"], trees=20), p))
+    return learning.with_null_label(learning.distributions(learning.train(p, ["x", "y", "z", "nx", "ny", "nz"]), p))
 
 
 @query()

@@ -49,3 +49,16 @@ def test_structure_inference_does_the_whole_job(spark, sf_dir, monkeypatch):
     sharp = QUERIES["structure_inference"](spark, sf_dir).where(F.col("label") == 0)
     assert {r.point_id: r.prob for r in sharp.collect()} == {1: 0.8, 2: 0.2}
     assert "trees" not in given["train"] and "iterations" not in given["infer"]
+
+
+def test_rays_and_trees_are_the_operators_defaults(spark, sf_dir, monkeypatch):
+    from pointloom.operators import learning, solids
+
+    given = []
+    monkeypatch.setattr(solids, "mesh_sdf", lambda *a, **b: given.append(b))
+    monkeypatch.setattr(learning, "train", lambda *a, **b: given.append(b))
+    monkeypatch.setattr(learning, "distributions", lambda *a: None)
+    monkeypatch.setattr(learning, "with_null_label", lambda *a: None)
+    QUERIES["mesh_sdf"](spark, sf_dir)
+    QUERIES["rf_predict"](spark, sf_dir)
+    assert given == [{}, {}]
