@@ -28,10 +28,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 GROUPED = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOGIN = re.compile(r"://[A-Za-z0-9._%+~-]{1,256}:[^\s/@:\"'<>]{1,256}@[A-Za-z0-9.-]+(?::[0-9]{1,5})?[^\s\"'<>]*")
+LOGIN = re.compile(r"://[A-Za-z0-9._%+~-]+:[^\s/@:\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]{1,5})?[^\s\"'<>]*")
 IBAN = re.compile(r"[^\S\n]*(?:(?:no|nr|number)\.?)?[^\S\n]*[:=#]?[^\S\n]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"[^\S\n]*(?:(?:no|nr|number|id)\.?)?[^\S\n]*[:=#]?[^\S\n]*([A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,16})(?![A-Za-z0-9])", re.I)
-SECRET = re.compile(r"(?:[_-]?(?:id|key|token|secret))?[\"']?[^\S\n]*[:=][^\S\n]*[\"']?([A-Za-z0-9+/_=.-]{16,512})(?![A-Za-z0-9])", re.I)
+SECRET = re.compile(r"(?:[_-]?(?:id|key|token|secret))?[\"']?[^\S\n]*[:=][^\S\n]*[\"']?", re.I)
+TOKEN = re.compile(r"([A-Za-z0-9+/_=.-]{16,})", re.I)
 
 #: Cue words and the kind behind them (fixed values); each is looked for in lower, title and upper case.
 CUES = {
@@ -86,7 +87,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         if valid:
             found[kind].append((start, end))
 
-    digit = -2  # the last digit seen
+    digit, spelt = -2, 0  # the last digit seen; where the last run behind a secret's cue ends
     for last, (size, what) in ANCHORS.iter(text):
         at = last - size + 1
         if what in DIGITS:
@@ -115,6 +116,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                     add("url", start, m.end())
         elif at >= done[what] and not (at and text[at - 1].isalpha()):
             m = {"iban": IBAN, "account": ACCOUNT, "secret": SECRET}[what].match(text, last + 1)
+            if m and what == "secret":  # not again in a run that has no digit: its end has none either
+                m = TOKEN.match(text, m.end()) if m.end() >= spelt else None
+                spelt = m.end() if m else spelt
             if m and m.start(1) >= done[what]:
                 # A word that is spelt out is no secret: it needs a digit.
                 valid = iban_valid(m[1]) if what == "iban" else what == "account" or any(c in DIGITS for c in m[1])

@@ -231,6 +231,21 @@ def test_pii_added_spans_and_rows(spark):
     assert pii.search(docs(spark, [])).count() == 0
 
 
+def test_pii_long_secrets_and_logins_are_found_whole():
+    import time
+
+    for value in ("a1" * 2000, "eyJhbGciOi1." + "b2" * 1500 + "." + "c3" * 1500):
+        text = f"token = {value} and more"
+        assert [text[s:e] for k, s, e in pii.find(text) if k == "secret"] == [value]
+    text = f"see https://{'u' * 3000}:{'p' * 3000}@host.example/x now"
+    assert [text[s:e] for k, s, e in pii.find(text) if k == "url"] == [text[4:-4]]
+    assert [s for s in pii.find("secret=tokentokentokentoken: a1b2c3d4e5f6a7b8c9") if s[0] == "secret"] == []
+    assert [s for s in pii.find("secret=aaaaaaaaaaaaaaaa.token=a1b2c3d4e5f6a7b8c9") if s[0] == "secret"] == [("secret", 7, 48)]
+    began = time.process_time()
+    assert pii.find("token=" * 100_000) == []
+    assert time.process_time() - began < 20
+
+
 def brute_decontaminate(rows, items):
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
     out = Counter()
