@@ -11,8 +11,16 @@ Smoothing is Dirichlet: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu) with
 P(w) = (c(w) + 1) / (N + V + 1), all counts as the filter gives them, c(vw) at most c(v).
 The first token's context is the end token.
 
-A base score beside it needs exact 1-gram counts.  The ``HEAD`` most frequent tokens at most
-are sent to all workers, the rest are joined; so a frequent word is never a join key.
+Inside a block an n-gram is known by 40 bits of its hash: a block holds about a million, so
+one in a million shares its own with another, far fewer than the filter's own false answers.
+
+A base score beside it needs exact 1-gram counts, kept by 96 bits of hashes of a token.  The
+``HEAD`` most frequent tokens at most are sent to all workers, the rest are joined; so a
+frequent word is never a join key.
+
+One pass over the training texts counts both.  Texts are split and their words numbered by
+Arrow, about ``SLICE`` bytes at once (a longer text by itself); only a slice's distinct words
+are hashed.
 
 Null or empty texts have the end token only.  Repeated rows are learnt and scored one by
 one.  With no training document every count is zero.
@@ -21,13 +29,15 @@ one.  With no training document every count is zero.
 from __future__ import annotations
 
 import ctypes
+import functools
 import itertools
 import math
-from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,22 +45,23 @@ from .common import written
 
 END = b"\n"  # no word holds it
 BASE = 1.5
-BITS, HASHES = 6, 4
+BITS, HASHES = 6, 3
 MU = 2000.0
-HEAD = 100_000
-BLOCK_TOKENS = 2_000_000
-MAX_BYTES = 512 << 20
-#: Tokens a worker keeps hashes of, and tokens it handles at once.
-CACHE, CHUNK = 100_000, 200_000
-#: Documents of a chunk whose n-grams are asked for together, as a power of two.
-CHUNK_BITS = 7
+HEAD = 300_000
+#: Bytes of training text that share a block of the filter.
+BLOCK_BYTES = 12 << 20
+#: Largest filter that is sent to all workers: each holds a copy of its own.
+MAX_BYTES = 64 << 20
+#: Bytes of text handled at once, and n-grams a worker counts before it passes them on.
+SLICE, HELD = 2 << 20, 1_500_000
+#: Documents of a chunk whose n-grams are asked for together, as a power of two; a text over ``LONG`` bytes is one by itself.
+CHUNK_BITS, LONG = 9, 1 << 16
 
+#: The part of a hash that an n-gram is known by in its block.
+OWN = np.uint64((1 << 40) - 1)
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, then the end token."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+#: Odd factors that make hashes differ (fixed values).
+SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +74,85 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
+    return mix(v * np.uint64(SALTS[0]) + w)
+
+
+@functools.lru_cache(maxsize=2)
+def _factors(salt: int, size: int) -> np.ndarray:
+    return mix((np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(salt))
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each string, one of 64 and one of 32 bits: its bytes, each times a random factor of its place, summed."""
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    ends -= ends[0]
+    size = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], size)
+    longest = 1 << int(size.max(initial=1)).bit_length()
+    out = []
+    for salt in SALTS:
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * _factors(salt, longest)[place])))
+        out.append(mix(total[ends[1:]] - total[ends[:-1]] + size.astype(np.uint64) * np.uint64(salt)))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+END_HASHES = word_hashes(pa.array([END.decode()], pa.string()))
+
+
+@dataclass
+class Tokens:
+    """Tokens of some texts, one text after the other: numbers of words, the last number the end token."""
+
+    sizes: np.ndarray  # of the texts, end tokens included
+    ids: np.ndarray
+    h1: np.ndarray  # by number
+    h2: np.ndarray
+
+    def pairs(self) -> np.ndarray:
+        """Hashes of all 2-grams.  What stands before a text is the end token, of the text before or not."""
+        return pair_hash(self.h1[self.before()], self.h1[self.ids])
+
+    def before(self) -> np.ndarray:
+        return np.concatenate((np.array([len(self.h1) - 1]), self.ids[:-1]))
+
+
+def tokenized(texts: pa.Array) -> Tokens:
+    """Words with A-Z lower-cased, then the end token."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    h1, h2 = word_hashes(words)
+    none = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) == 0) if len(words) else []
+    if len(none):  # before a blank at the start, after one at the end, and of empty texts
+        own, keep = np.repeat(np.arange(len(sizes)), sizes), ids != none[0]
+        sizes, ids = np.bincount(own[keep], minlength=len(sizes)), ids[keep]
+    out = np.full(len(ids) + len(sizes), len(h1))
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return Tokens(sizes + 1, out, np.concatenate((h1, END_HASHES[0])), np.concatenate((h2, END_HASHES[1])))
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, Tokens]]:
+    """Place of the first text and tokens of about ``SLICE`` bytes of texts at once."""
+    if not len(texts):
+        return
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // SLICE
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(texts)]))
+    for start, end in itertools.pairwise(cuts.tolist()):
+        yield start, tokenized(texts.slice(start, end - start))
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back: the workers of an executor live through many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -80,286 +169,255 @@ def count_at() -> np.ndarray:
 
 
 class Filter:
-    """Blocks of equal size, one after the other; an n-gram's bits all lie in its block."""
+    """Blocks one after the other; an n-gram's bits all lie in its block.
+
+    sizes: bits of each block.
+    """
 
-    def __init__(self, data: np.ndarray, blocks: int, block_bits: int):
-        self.data, self.blocks, self.block_bits = data, blocks, block_bits
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        self.data, self.sizes = data, sizes.astype(np.uint64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     @staticmethod
-    def positions(h: np.ndarray, level: int, block_bits: int):
-        x = mix(h + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
-        a, b = x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-        for i in range(HASHES):
-            yield (((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(block_bits)) >> np.uint64(32)
+    def hashed(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        x = mix((h & OWN) + np.array([level], np.uint64) * np.uint64(SALTS[1]))
+        return x >> np.uint64(32), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+
+    @staticmethod
+    def position(a: np.ndarray, b: np.ndarray, i: int, size) -> np.ndarray:
+        return (((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
+
+    @classmethod
+    def positions(cls, h: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+        a, b = cls.hashed(h, level)
+        return (cls.position(a, b, i, np.uint64(size)) for i in range(HASHES))
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """The highest level each n-gram holds, asking upwards from 1."""
         out = np.zeros(len(h), np.int64)
-        if not self.blocks:
+        if not len(self.sizes):
             return out
-        live, start, level = np.arange(len(h)), block_of(h, self.blocks) * np.uint64(self.block_bits), 0
+        block = block_of(h, len(self.sizes)).astype(np.int64)
+        live, start, size, level = np.arange(len(h)), self.starts[block], self.sizes[block], 0
         while len(live):
             level += 1
-            live = live[self._holds(h[live], start[live], level)]
+            held = self._holds(h, start, size, level)
+            live, h, start, size = live[held], h[held], start[held], size[held]
             out[live] = level
         return out
 
-    def _holds(self, h: np.ndarray, start: np.ndarray, level: int) -> np.ndarray:
-        """Indexes of those n-grams all of whose bits are set, one hash after the other."""
-        keep = np.arange(len(h))
-        for at in self.positions(h, level, self.block_bits):
-            at = start[keep] + at[keep]
-            keep = keep[((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+    def _holds(self, h: np.ndarray, start: np.ndarray, size: np.ndarray, level: int) -> np.ndarray:
+        """Places of those n-grams all of whose bits are set, one hash after the other."""
+        (a, b), keep = self.hashed(h, level), np.arange(len(h))
+        for i in range(HASHES):
+            at = start + self.position(a, b, i, size)
+            on = np.flatnonzero((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+            keep, a, b, start, size = keep[on], a[on], b[on], start[on], size[on]
         return keep
 
 
-def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-
-
-class _Ids(dict):
-    """Numbers words in the order they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-class Hashes:
-    """Numbers and 64-bit hashes of tokens, remembered up to ``CACHE`` of them."""
+def bits_of(h: np.ndarray, q: np.ndarray, each: int = BITS) -> bytes:
+    """A block that holds n-grams up to their levels, with ``each`` bits for each level."""
+    size = 64 * math.ceil(int(q.sum()) * each / 64)
+    bits = np.zeros(size, bool)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        for at in Filter.positions(h[q >= level], level, size):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
-    def __init__(self):
-        self.clear()
 
-    def clear(self):
-        self.ids, self.words, self.h = _Ids(), [], np.zeros(0, np.uint64)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.ids) > CACHE:
-            self.clear()
-        out = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        if len(self.ids) > len(self.words):
-            new = list(itertools.islice(self.ids, len(self.words), None))
-            self.words += new
-            fresh = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in new), np.uint64, len(new))
-            self.h = np.concatenate((self.h, mix(fresh)))
-        return out
-
-
-def _texts(column):
-    """The texts of a batch, a few at a time: a batch may be large."""
-    for at in range(0, len(column), 200):
-        yield from column.slice(at, 200).to_pylist()
-    trim()
-
-
-def trim() -> None:
-    """Hands freed memory back: the workers of an executor live through many stages."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
-def _chunks(texts):
-    """Lists of documents' token lists with about ``CHUNK`` tokens together."""
-    held, n = [], 0
-    for text in texts:
-        held.append(tokens(text))
-        n += len(held[-1])
-        if n >= CHUNK:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
-def _contexts(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[starts] = end
-    return before
-
-
-def _count_words(batches):
-    counts: Counter = Counter()
+def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
 
-    for batch in batches:
-        for text in _texts(batch.column(0)):
-            counts.update(tokens(text))
-            if len(counts) > 200_000:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
-    del counts
-    trim()
+# ---------------------------------------------------------------- counting
 
 
-def _count_grams(blocks: int):
-    """Rows (block, data): sorted hashes of 1-grams and 2-grams, then their counts."""
+def _count(blocks: int):
+    """Rows (block, grams, words): 2-grams by their hash, tokens by both of theirs, and how often each occurs."""
 
-    def flush(held):
-        h, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        h, c = summed(h, c)
-        cuts = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        for at in range(0, len(full), 64):
-            rows = [(int(k), pack(h[cuts[k] : cuts[k + 1]], c[cuts[k] : cuts[k + 1]])) for k in full[at : at + 64]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["block", "data"])
+    def flush(grams, words):
+        h, c = summed(*map(np.concatenate, zip(*grams, strict=True)))
+        h1, h2, n = summed(*map(np.concatenate, zip(*words, strict=True)))
+        ends = np.arange(blocks + 1)
+        x, y = np.searchsorted(block_of(h, blocks), ends), np.searchsorted(block_of(h1, blocks), ends)
+        for at in range(0, blocks, 64):
+            some = range(at, min(at + 64, blocks))
+            first = [pack(h[x[k] : x[k + 1]], c[x[k] : x[k + 1]], 5) for k in some]
+            second = [h2[y[k] : y[k + 1]].tobytes() + pack(h1[y[k] : y[k + 1]], n[y[k] : y[k + 1]], 8) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["block", "grams", "words"])
 
     def run(batches):
-        known, held, n = Hashes(), [], 0
+        grams, words, n = [], [], 0
         for batch in batches:
-            for docs in _chunks(_texts(batch.column(0))):
-                ids = known.numbers([t for d in docs for t in d] + [END])
-                end, ids = ids[-1], ids[:-1]
-                before = _contexts(ids, np.cumsum([0, *(len(d) for d in docs[:-1])]), end)
-                pairs, c2 = np.unique(pair_hash(known.h[before], known.h[ids]), return_counts=True)
-                words, c1 = np.unique(ids, return_counts=True)
-                held.append((np.concatenate((pairs, known.h[words])), np.concatenate((c2, c1))))
-                n += len(pairs) + len(words)
-                if n > 1_200_000:
-                    yield from flush(held)
-                    held, n = [], 0
-        if held:
-            yield from flush(held)
-        del known, held
+            for _, t in slices(batch.column(0)):
+                c = np.bincount(t.ids, minlength=len(t.h1))
+                seen = c > 0  # a blank's empty neighbour has a number and is no word
+                grams.append(np.unique(t.pairs(), return_counts=True))
+                words.append((t.h1[seen], t.h2[seen], c[seen]))
+                n += len(grams[-1][0]) + 2 * len(words[-1][0])
+                if n > HELD:
+                    yield from flush(grams, words)
+                    grams, words, n = [], [], 0
+        if grams:
+            yield from flush(grams, words)
+        del grams, words
         trim()
 
     return run
 
 
-def summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[starts], np.add.reduceat(c, starts) if len(h) else c
+def summed(*cols: np.ndarray) -> list[np.ndarray]:
+    """Rows with equal keys as one, counts (the last column) added; sorted by the first key."""
+    order = np.argsort(cols[0]) if len(cols) == 2 else np.lexsort(cols[-2::-1])
+    *keys, c = (x[order] for x in cols)
+    if not len(c):
+        return [*keys, c]
+    new = functools.reduce(np.logical_or, (x[1:] != x[:-1] for x in keys))
+    starts = np.flatnonzero(np.concatenate(([True], new)))
+    return [*(x[starts] for x in keys), np.add.reduceat(c, starts)]
 
 
-def pack(h: np.ndarray, c: np.ndarray) -> bytes:
-    """Hashes, one byte a count, and the counts over 254 after them."""
+def pack(h: np.ndarray, c: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of hashes, one byte a count, the counts over 254, and how many those are."""
     small = np.minimum(c, 255).astype(np.uint8)
-    return np.int64(len(h)).tobytes() + h.tobytes() + small.tobytes() + c[small == 255].astype(np.int64).tobytes()
+    large = c[small == 255].astype(np.int64)
+    own = np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8)[:, :width]
+    return own.tobytes() + small.tobytes() + large.tobytes() + np.int64(len(large)).tobytes()
+
+
+def unpack(data: bytes, width: int, before: int = 0) -> tuple[np.ndarray, ...]:
+    """What ``pack`` made: hashes and counts; with ``before`` also numbers of that many bytes that stand before."""
+    large = int(np.frombuffer(data, np.int64, 1, len(data) - 8)[0])
+    n = (len(data) - 8 - 8 * large) // (before + width + 1)
+    h = np.zeros((n, 8), np.uint8)
+    h[:, :width] = np.frombuffer(data, np.uint8, n * width, n * before).reshape(n, width)
+    c = np.frombuffer(data, np.uint8, n, n * (before + width)).astype(np.int64)
+    c[c == 255] = np.frombuffer(data[len(data) - 8 - 8 * large : len(data) - 8], np.int64)
+    out = h.view(np.uint64)[:, 0]
+    return (out, np.frombuffer(data, np.uint32, n), c) if before else (out, c)
+
+
+def _built(each: int):
+    """One block: its bits, its tokens with their exact counts, how many those are and how many kinds."""
+
+    def run(key, table):
+        h, c = map(np.concatenate, zip(*(unpack(x, 5) for x in table.column("grams").to_pylist()), strict=True))
+        h1, h2, n = summed(*map(np.concatenate, zip(*(unpack(x, 8, 4) for x in table.column("words").to_pylist()), strict=True)))
+        h, c = summed(np.concatenate((h, h1 & OWN)), np.concatenate((c, n)))
+        row = [key[0].as_py(), bits_of(h, level_of(c), each), h2.tobytes() + pack(h1, n, 8), len(n), int(n.sum())]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["block", "bits", "words", "kinds", "tokens"])
 
+    return run
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    h = np.frombuffer(data, np.uint64, n, 8)
-    c = np.frombuffer(data, np.uint8, n, 8 + 8 * n).astype(np.int64)
-    c[c == 255] = np.frombuffer(data, np.int64, -1, 8 + 9 * n)
-    return h, c
 
+def _words(batches):
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            h1, h2, c = unpack(data, 8, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(c)], ["h1", "h2", "c"])
 
-def _levels(key, table):
-    """The summed n-grams of one block with their levels: block, data, events."""
-    parts = [unpack(x) for x in table.column("data").to_pylist()]
-    h, c = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    q = level_of(c)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([pack(h, q)], pa.binary()), "events": pa.array([int(q.sum())], pa.int64())})
 
+@dataclass
+class Learnt:
+    """What the training texts gave: exact token counts, and the filter as a table of its blocks."""
 
-def _bits(block_bits: int):
-    def run(batches):
-        for batch in batches:
-            blocks, out = batch.column(0).to_pylist(), []
-            for data in batch.column(1).to_pylist():
-                h, q = unpack(data)
-                bits = np.zeros(block_bits, bool)
-                for level in range(1, int(q.max(initial=0)) + 1):
-                    for at in Filter.positions(h[q >= level], level, block_bits):
-                        bits[at] = True
-                out.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], ["block", "bits"])
+    vocabulary: DataFrame  # h1, h2, c
+    tokens: int
+    kinds: int
+    bits: DataFrame  # block, bits
+    blocks: int
+    size: int  # bytes of all blocks
 
-    return run
+    def filter(self) -> Filter:
+        """The whole filter; its bytes reach the driver."""
+        found = [np.zeros(0, np.uint8)] * self.blocks
+        for row in self.bits.toLocalIterator():
+            found[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        return Filter(np.concatenate([*found, np.zeros(0, np.uint8)]), np.array([8 * len(x) for x in found]))
 
 
-def build_filter(texts: DataFrame, n_tokens: int, max_bytes: int = MAX_BYTES) -> tuple[Filter, DataFrame | None]:
-    """Counts n-grams block by block and builds each block's bits in one task.
+def learn(texts: DataFrame, each: int = BITS) -> Learnt:
+    """Counts n-grams block by block and builds each block's bits in one task."""
+    size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    found = texts.select("text").mapInArrow(_count(blocks), "block long, grams binary, words binary").groupBy("block")
+    table = written(found.applyInArrow(_built(each), "block long, bits binary, words binary, kinds long, tokens long"), "blocks")
+    vocabulary = table.select("words").mapInArrow(_words, "h1 long, h2 int, c long")
+    totals = table.agg(F.sum("tokens"), F.sum("kinds"), F.sum(F.octet_length("bits")), F.count("*")).collect()[0]
+    tokens, kinds, bits, full = (int(x or 0) for x in totals)
+    return Learnt(vocabulary, tokens, kinds, table.select("block", "bits"), blocks if full else 0, bits)
 
-    A filter of over ``max_bytes`` has no data: its blocks are the table beside it.
-    """
-    if not n_tokens:
-        return Filter(np.zeros(0, np.uint8), 0, 0), None
-    blocks = max(1, math.ceil(n_tokens / BLOCK_TOKENS))
-    grams = texts.select("text").mapInArrow(_count_grams(blocks), "block long, data binary").groupBy("block").applyInArrow(_levels, "block long, data binary, events long")
-    grams = written(grams, "grams")
-    most = grams.agg(F.max("events")).collect()[0][0] or 1
-    # Blocks get equal shares of the n-grams by hash, so the fullest one sets the size.
-    block_bits = 64 * math.ceil(most * BITS / 64)
-    table = grams.select("block", "data").mapInArrow(_bits(block_bits), "block long, bits binary")
-    if blocks * block_bits // 8 > max_bytes:
-        return Filter(np.zeros(0, np.uint8), blocks, block_bits), written(table, "bits")
-    data = np.zeros(blocks * block_bits // 8, np.uint8)
-    for row in table.toLocalIterator():
-        at = row["block"] * block_bits // 8
-        data[at : at + block_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(data, blocks, block_bits), None
+
+# ---------------------------------------------------------------- asking block by block
 
 
 def _probes(blocks: int):
     """Input chunk, text; rows (chunk, block, data): sorted hashes of a chunk's 1-grams and 2-grams."""
 
     def run(batches):
-        known = Hashes()
         for batch in batches:
             chunk = batch.column(0).to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)])) if len(chunk) else [0]
             for start, end in itertools.pairwise(edges):
-                for docs in _chunks(_texts(batch.column(1).slice(start, end - start))):
-                    ids = known.numbers([t for d in docs for t in d] + [END])
-                    end_id, ids = ids[-1], ids[:-1]
-                    before = _contexts(ids, np.cumsum([0, *(len(d) for d in docs[:-1])]), end_id)
-                    h = np.unique(np.concatenate((pair_hash(known.h[before], known.h[ids]), known.h[np.unique(ids)])))
+                for _, t in slices(batch.column(1).slice(start, end - start)):
+                    h = np.unique(np.concatenate((t.pairs(), t.h1)))
                     cuts = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1))
                     full = np.flatnonzero(np.diff(cuts))
-                    data = pa.array([h[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())
+                    data = pa.array([short(h[cuts[k] : cuts[k + 1]]) for k in full], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), chunk[start])), pa.array(full), data], ["chunk", "block", "data"])
 
     return run
 
 
-def _answers(block_bits: int):
-    """The probes of one block and its bits: rows (chunk, data), hashes and then a byte a level."""
+def short(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8)[:, :5].tobytes()
 
-    def run(key, probes, bits):
-        parts, out = [np.frombuffer(x, np.uint64) for x in probes.column("data").to_pylist()], []
-        if parts:
-            h, at = np.concatenate(parts), 0
-            q = np.zeros(len(h), np.uint8)
-            for data in bits.column("bits").to_pylist():
-                q = Filter(np.frombuffer(data, np.uint8), 1, block_bits).levels(h).astype(np.uint8)
-            for part in parts:
-                out.append(part.tobytes() + q[at : at + len(part)].tobytes())
-                at += len(part)
-        return pa.table({"chunk": probes.column("chunk"), "data": pa.array(out, pa.binary())})
 
-    return run
+def unshort(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
+    return out.view(np.uint64)[:, 0]
+
+
+def _answers(key, probes, bits):
+    """The probes of one block and its bits: rows (chunk, block, data), hashes and then a byte a level."""
+    parts, out = probes.column("data").to_pylist(), []
+    data = bits.column("bits").to_pylist()
+    for part in parts:
+        h = unshort(part, len(part) // 5)
+        q = Filter(np.frombuffer(data[0], np.uint8), np.array([8 * len(data[0])])).levels(h) if data else np.zeros(len(h))
+        out.append(part + q.astype(np.uint8).tobytes())
+    return pa.table({"chunk": probes.column("chunk"), "block": probes.column("block"), "data": pa.array(out, pa.binary())})
 
 
 class Levels:
     """Levels of known n-grams, in place of a filter."""
 
-    def __init__(self, parts: list[bytes]):
-        h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 9) for x in parts])
-        q = np.concatenate([np.frombuffer(x, np.uint8, -1, len(x) // 9 * 8) for x in parts])
+    def __init__(self, block: list[int], parts: list[bytes], blocks: int):
+        self.blocks = blocks
+        h = np.concatenate([self.key(np.full(len(x) // 6, k, np.uint64), unshort(x, len(x) // 6)) for k, x in zip(block, parts, strict=True)])
+        q = np.concatenate([np.frombuffer(x, np.uint8, -1, len(x) // 6 * 5) for x in parts])
         self.h, first = np.unique(h, return_index=True)
         self.q = q[first].astype(np.int64)
 
+    @staticmethod
+    def key(block: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (block << np.uint64(40)) | (h & OWN)
+
     def levels(self, h: np.ndarray) -> np.ndarray:
-        return self.q[np.searchsorted(self.h, h)]
+        return self.q[np.searchsorted(self.h, self.key(block_of(h, self.blocks), h))]
+
+
+# ---------------------------------------------------------------- scoring
 
 
-def _score_chunk(head, n_train: int, v_train: int, mu: float):
+def _score_chunk(blocks: int, head, n_train: int, v_train: int, mu: float):
     """The documents of one chunk and the answers to their probes."""
 
     def run(key, docs, answers):
-        own = Levels(answers.column("data").to_pylist())
+        own = Levels(answers.column("block").to_pylist(), answers.column("data").to_pylist(), blocks)
         return pa.Table.from_batches(list(_scored(docs.select(["doc_id", "text"]).to_batches(), own, head.value, n_train, v_train, mu)))
 
     return run
@@ -369,56 +427,53 @@ def _score(model, head, n_train: int, v_train: int, mu: float):
     return lambda batches: _scored(batches, Filter(*model.value), head.value, n_train, v_train, mu)
 
 
-def _scored(batches, bloom, frequent: dict, n_train: int, v_train: int, mu: float):
-    scale = math.log10(n_train + v_train + 1)
-    counts, known = count_at(), Hashes()
-    seen = logs = np.zeros(0)  # of remembered tokens: count by the filter, exact log10(c + 1) if frequent
+def _scored(batches, bloom, head: tuple[np.ndarray, np.ndarray, np.ndarray], n_train: int, v_train: int, mu: float):
+    """head: two hashes of the most frequent tokens, sorted by the first, and log10(c + 1)."""
+    scale, counts = math.log10(n_train + v_train + 1), count_at()
     for batch in batches:
-        doc_ids, at = batch.column(0), 0
-        for docs in _chunks(_texts(batch.column(1))):
-            ids = known.numbers([t for d in docs for t in d] + [END])
-            if len(seen) > len(known.h):
-                seen = logs = np.zeros(0)
-            if len(seen) < len(known.h):
-                logs = np.concatenate((logs, [frequent.get(w, 0.0) for w in known.words[len(seen) :]]))
-                seen = np.concatenate((seen, counts[bloom.levels(known.h[len(seen) :])]))
-            end, ids = ids[-1], ids[:-1]
-            sizes = np.array([len(d) for d in docs])
-            starts = np.concatenate(([0], np.cumsum(sizes[:-1])))
-            before = _contexts(ids, starts, end)
-            # Frequent n-grams stand on many levels: each is read once a chunk.
-            grams, place = np.unique(pair_hash(known.h[before], known.h[ids]), return_inverse=True)
+        for at, t in slices(batch.column(1)):
+            seen = counts[bloom.levels(t.h1)]  # by number: count by the filter
+            # Frequent n-grams stand on many levels: each is read once a slice.
+            grams, place = np.unique(t.pairs(), return_inverse=True)
+            before, ids = t.before(), t.ids
             pair = np.minimum(counts[bloom.levels(grams)][place], seen[before])
-            p = (pair + mu * (seen[ids] + 1) / (n_train + v_train + 1)) / (seen[before] + mu)
+            p = (pair + (mu * (seen + 1) / (n_train + v_train + 1))[ids]) / (seen + mu)[before]
+            starts = np.concatenate(([0], np.cumsum(t.sizes[:-1])))
             scores = np.add.reduceat(np.log10(p), starts)
+            logs = _frequent(t, head)
             own = logs[ids]
             found = np.add.reduceat((own > 0).astype(np.int64), starts)
-            base = np.add.reduceat(own, starts) - scale * sizes
+            base = np.add.reduceat(own, starts) - scale * t.sizes
             # The other tokens of each document, with their number in it.
             rare = np.flatnonzero(own == 0)
-            doc = np.searchsorted(starts, rare, "right") - 1
-            rest, times = np.unique(doc * len(known.h) + ids[rare], return_counts=True)
-            doc, rest = np.divmod(rest, len(known.h))
-            cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
-            pairs = pa.StructArray.from_arrays([pa.array([known.words[i] for i in rest], pa.binary()), pa.array(times, pa.int64())], ["t", "n"])
-            tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
+            kinds, docs = len(t.h1), len(starts)
+            rest, times = np.unique((np.searchsorted(starts, rare, "right") - 1) * kinds + ids[rare], return_counts=True)
+            doc, rest = np.divmod(rest, kinds)
+            cuts = np.searchsorted(doc, np.arange(docs + 1))
+            pairs = pa.StructArray.from_arrays([pa.array(t.h1[rest].view(np.int64)), pa.array(t.h2[rest].view(np.int32)), pa.array(times, pa.int64())], ["h1", "h2", "n"])
             yield pa.RecordBatch.from_arrays(
-                [doc_ids.slice(at, len(docs)), pa.array(sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), tail],
+                [batch.column(0).slice(at, docs), pa.array(t.sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)],
                 ["doc_id", "n_tokens", "found", "base", "score", "rest"],
             )
-            at += len(docs)
 
 
-def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MAX_BYTES, head_size: int = HEAD) -> DataFrame:
+def _frequent(t: Tokens, head) -> np.ndarray:
+    """By number: log10(c + 1) of frequent tokens, 0 of others."""
+    h1, h2, logs = head
+    if not len(h1):
+        return np.zeros(len(t.h1))
+    at = np.minimum(np.searchsorted(h1, t.h1), len(h1) - 1)
+    return np.where((h1[at] == t.h1) & (h2[at] == t.h2), logs[at], 0.0)
+
+
+def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MAX_BYTES, head_size: int = HEAD, bits: int = BITS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``train`` has the texts to learn from.
+    ``train`` has the texts to learn from.  With more ``bits`` a level the filter errs less.
     """
     spark = docs.sparkSession
-    vocabulary = written(train.select("text").mapInArrow(_count_words, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
-    n_train, v_train = int(total[0]), int(total[1])
-    bloom, bits = build_filter(train, n_train, max_bytes)
+    model = learn(train, bits)
+    vocabulary, n_train, v_train = model.vocabulary, model.tokens, model.kinds
     # The most frequent tokens, whole eighths of a power of two at a time, head_size at most.
     eighth = F.floor(F.log2("c") * 8).cast("int")
     cut, taken = None, 0
@@ -426,22 +481,26 @@ def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MA
         if taken + row["count"] > head_size:
             break
         cut, taken = row["e"], taken + row["count"]
-    in_head = eighth >= F.lit(cut if cut is not None else 1 << 20)
-    head = {bytes(r["token"]): math.log10(r["c"] + 1) for r in vocabulary.where(in_head).collect()}
-    sent_head = spark.sparkContext.broadcast(head)
-    schema = "doc_id long, n_tokens long, found long, base double, score double, rest array<struct<t:binary,n:bigint>>"
-    if bits is None:
-        sent = spark.sparkContext.broadcast((bloom.data, bloom.blocks, bloom.block_bits))
+    rows = vocabulary.where(eighth >= F.lit(cut if cut is not None else 1 << 20)).toArrow()
+    h1, h2, c = (rows.column(i).to_numpy() for i in range(3))
+    order = np.argsort(h1.view(np.uint64))
+    sent_head = spark.sparkContext.broadcast((h1.view(np.uint64)[order], h2.view(np.uint32)[order], np.log10(c[order] + 1)))
+    schema = "doc_id long, n_tokens long, found long, base double, score double, rest array<struct<h1:bigint,h2:int,n:bigint>>"
+    if model.size <= max_bytes:
+        bloom = model.filter()
+        sent = spark.sparkContext.broadcast((bloom.data, bloom.sizes))
         scored = docs.select("doc_id", "text").mapInArrow(_score(sent, sent_head, n_train, v_train, mu), schema)
     else:
         # Chunks of neighbours share n-grams, each asked for once.
-        rows = written(docs.select(F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"), "doc_id", "text"), "rows")
-        probes = rows.select("chunk", "text").mapInArrow(_probes(bloom.blocks), "chunk long, block long, data binary")
-        answers = probes.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_answers(bloom.block_bits), "chunk long, data binary")
-        scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(sent_head, n_train, v_train, mu), schema)
+        numbered = docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text")
+        chunk = F.when(F.octet_length("text") > LONG, -1 - F.col("n")).otherwise(F.shiftright("n", CHUNK_BITS))
+        rows = written(numbered.select(chunk.alias("chunk"), "doc_id", "text"), "rows")
+        probes = rows.select("chunk", "text").mapInArrow(_probes(model.blocks), "chunk long, block long, data binary")
+        answers = probes.groupBy("block").cogroup(model.bits.groupBy("block")).applyInArrow(_answers, "chunk long, block long, data binary")
+        scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(model.blocks, sent_head, n_train, v_train, mu), schema)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = scored.select("row", F.explode("rest").alias("x")).select("row", F.col("x.t").alias("token"), F.col("x.n").alias("n"))
-    known = rest.join(vocabulary.where(~in_head), "token").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
+    rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h1", "x.h2", "x.n")
+    known = rest.join(vocabulary, ["h1", "h2"]).groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
     out = scored.drop("rest").join(known, "row", "left")
     return out.select(
         "doc_id", "n_tokens", (F.col("found") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("sum", F.lit(0.0))).alias("base_score"), "score"

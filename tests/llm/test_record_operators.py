@@ -105,6 +105,16 @@ def test_url_filter(spark, first, then):
     assert got == {i: brute_rule(u, rules) for i, u in enumerate(urls)}
 
 
+def test_url_lists_beyond_the_plan_are_joined(spark, monkeypatch):
+    rules = queries.RULES + [url_filter.Rule("block" if i % 3 else "allow", f"h{i}.com", f"/p{i % 3}") for i in range(40)] + [url_filter.Rule("allow", "h1.com", "/p1")]
+    urls = URLS + [f"http://w.h{i % 50}.com/p{i % 4}/z" for i in range(300)]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    key = lambda: {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(df, rules).collect()}
+    within = key()
+    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
+    assert key() == within == {i: brute_rule(u, rules[:-1]) for i, u in enumerate(urls)}
+
+
 def test_url_cascade_has_levels_and_empty_lists(spark):
     keys = lambda r: spark.createDataFrame([(f"k{i}",) for i in r], "key string")
     cascade = url_filter.build_cascade(keys(range(200)), keys(range(3000)), 0.9, 0.9)
@@ -343,6 +353,36 @@ def test_packing(spark, sf_dir, length, segments, loss):
         assert n == length or n & (n - 1) == 0
 
 
+def test_packing_holds_few_open_tokens(monkeypatch):
+    monkeypatch.setattr(packing, "POOL_TOKENS", 5_000)
+    most, add = [], packing.Packer.add
+
+    def seen(self, *a):
+        add(self, *a)
+        most.append(self.tokens() - self.sizes[-1, 0])
+
+    monkeypatch.setattr(packing.Packer, "add", seen)
+    monkeypatch.setattr(packing.TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda s: 0})()))
+    rng = random.Random(6)
+    texts = [" ".join(["word"] * rng.choice([1, 30, 900, 20_000])) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts), pa.array([0] * 300)], ["doc_id", "text", "prompt"])
+    out = list(packing._pack(queries.tokenizer_path(), 4096, 512, 4096, 2)(iter([batch])))
+    assert max(most) <= 5_000 and max(len(b) for b in out) < 5_000
+    assert sum(sum(b.column(2).to_pylist()) for b in out) == sum(len(t.split()) + 1 for t in texts)
+
+
+def test_the_loss_limit_binds(spark):
+    """Prompts bear no loss, so more tokens fit beside a few that do."""
+    rows = [(i, "word " * 60, 50) for i in range(200)] + [(1000 + i, "word " * 60, 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt long").coalesce(1)
+    seqs = defaultdict(list)
+    for r in packing.pack(df, queries.tokenizer_path(), 512, 64, 100, prompt="prompt").collect():
+        seqs[r.sequence_id].append(r)
+    loss = [sum(r.loss_tokens for r in own) for own in seqs.values()]
+    assert 95 <= max(loss) <= 100 and sum(loss) == 200 * 11 + 40 * 61
+    assert any(sum(r.length for r in own) == 512 for own in seqs.values())
+
+
 # ------------------------------------------------------------------ chat
 
 

@@ -151,23 +151,27 @@ def test_language_model_base(spark, sf_dir):
 def test_language_model_filter_never_loses_a_count():
     import numpy as np
 
-    h = np.random.default_rng(1).integers(0, 1 << 63, 2000).astype(np.uint64)
-    c = np.random.default_rng(2).integers(1, 5000, 2000)
-    q, bits = language_model.level_of(c), 1 << 18
-    data = np.zeros(bits, bool)
-    for level in range(1, q.max() + 1):
-        for at in language_model.Filter.positions(h[q >= level], level, bits):
-            data[at] = True
-    bloom = language_model.Filter(np.packbits(data, bitorder="little"), 1, bits)
+    h = np.random.default_rng(1).integers(0, 1 << 63, 40_000).astype(np.uint64)
+    c = np.random.default_rng(2).integers(1, 5000, 40_000)
+    q, block = language_model.level_of(c), language_model.block_of(h, 3)
+    parts = [np.frombuffer(language_model.bits_of(h[block == k], q[block == k]), np.uint8) for k in range(3)]
+    bloom = language_model.Filter(np.concatenate(parts), np.array([8 * len(p) for p in parts]))
     read = bloom.levels(h)
     assert (read >= q).all() and (read == q).mean() > 0.85
+    assert (bloom.levels(h ^ np.uint64(12345)) > 0).mean() < 0.1
     low, high = language_model.count_at()[q], c
     assert (abs(low - high) <= 0.5 * high + 1).all()
-    assert list(map(list, language_model.unpack(language_model.pack(h, c)))) == [list(h), list(c)]
+    for width in (5, 8):
+        own, n = language_model.unpack(language_model.pack(h, c, width), width)
+        assert n.tolist() == c.tolist() and own.tolist() == (h & np.uint64((1 << 8 * width) - 1)).tolist()
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    assert [x.tolist() for x in language_model.unpack(low.tobytes() + language_model.pack(h, c, 8), 8, 4)] == [h.tolist(), low.tolist(), c.tolist()]
+    assert language_model.unpack(language_model.pack(h[:0], c[:0], 5), 5)[0].tolist() == []
 
 
 def test_language_model_scores_do_not_depend_on_the_filters_place(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 10_000)  # several blocks
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 60_000)  # several blocks
+    monkeypatch.setattr(language_model, "LONG", 2_000)
     d = docs(spark, TEXTS + [(r.doc_id + 100, r.text) for r in queries.table(spark, sf_dir, "documents").collect()])
     key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score)
     sent = sorted(map(key, language_model.score(d, d.where(~queries.held_out())).collect()))
@@ -176,9 +180,91 @@ def test_language_model_scores_do_not_depend_on_the_filters_place(spark, sf_dir,
     assert [x for r in kept for x in r[3:]] == pytest.approx([x for r in sent for x in r[3:]], rel=1e-9)
 
 
+def test_language_model_score_equals_brute_force(spark, sf_dir):
+    """The same quantised counts from a dictionary; 200 bits a level leave no room for false answers."""
+    rows = TEXTS + [(r.doc_id + 100, r.text) for r in queries.table(spark, sf_dir, "documents").collect()]
+    d = docs(spark, rows)
+    toks = lambda t: [w.translate(UP) for w in WORD.findall(t or "")] + [None]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    ones, twos = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            ones.update(toks(t))
+            twos.update(zip([None, *toks(t)], toks(t)))
+    n, v, at = ones.total(), len(ones), language_model.count_at()
+    read = lambda c: at[1 + math.floor(math.log(c) / math.log(1.5) + 1e-9)] if c else 0.0
+
+    def score(t):
+        out = 0.0
+        for a, b in zip([None, *toks(t)], toks(t)):
+            seen = read(ones[a])
+            out += math.log10((min(read(twos[a, b]), seen) + 2000 * (read(ones[b]) + 1) / (n + v + 1)) / (seen + 2000))
+        return out
+
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in language_model.score(d, d.where(~queries.held_out()), bits=200).collect())
+    want = sorted((-1 if i is None else i, len(toks(t)), score(t)) for i, t in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-9)
+
+
+def test_language_model_tokens():
+    import pyarrow as pa
+
+    texts = ["a  B\ta", None, "", " \n\x0b\x0c\r", "x\x1cy\x85z \u00a0 É", "w" * 100_000, "b"]
+    t = language_model.tokenized(pa.array(texts, pa.string()))
+    want = [[w.translate(UP) for w in WORD.findall(x or "")] + [None] for x in texts]
+    assert t.sizes.tolist() == [len(w) for w in want]
+    names = {}
+    for i, w in zip(t.ids.tolist(), [w for own in want for w in own], strict=True):
+        assert names.setdefault(i, w) == w
+    assert len({*zip(t.h1.tolist(), t.h2.tolist())}) == len(t.h1) and len(set(names.values())) == len(names)
+    part = language_model.tokenized(pa.array(texts, pa.string()).slice(4, 2))
+    assert part.h1[part.ids].tolist() == t.h1[t.ids][sum(t.sizes[:4]) : sum(t.sizes[:6])].tolist()
+    words = pa.array(["", "a", "aa", "\x00", "\x00\x00", "ab", "ba", "é"], pa.string())
+    h1, h2 = language_model.word_hashes(words)
+    assert len(set(h1.tolist())) == len(set(h2.tolist())) == 8
+    assert [x.tolist() for x in language_model.word_hashes(words.slice(2, 3))] == [h1[2:5].tolist(), h2[2:5].tolist()]
+    assert language_model.tokenized(pa.array([], pa.string())).sizes.tolist() == []
+
+
 def test_language_model_without_training(spark):
     d = docs(spark)
     assert language_model.score(d, d.where("false")).where("n_known <> 0").count() == 0
+    assert language_model.score(d.where("false"), d).count() == 0
+    assert language_model.score(d, d.where("text IS NULL")).where("train_tokens = 1").count() == len(TEXTS)
+
+
+def test_quality_verdicts_equal_brute_force(spark, sf_dir):
+    """Cut and kept from the scores and labels, and rows kept by their own verdicts."""
+    rows = TEXTS + [(r.doc_id, r.text) for r in queries.table(spark, sf_dir, "documents").collect()]
+    d, labels = docs(spark, rows), queries.table(spark, sf_dir, "labels")
+    got = quality.judge(d, labels).collect()
+    known = {}
+    for r in labels.collect():
+        if r.quality == 0 or r.quality == 1 and not r.toxic:
+            known[r.doc_id] = min(known.get(r.doc_id, 1), r.quality)
+    scores = [(known[r.doc_id], math.floor((r.llr + 8) * 256)) for r in got if not r.base_failed and r.doc_id in known]
+    good, bad = [b for q, b in scores if q], [b for q, b in scores if not q]
+    costs = [10 * sum(b < i for b in good) / len(good) + sum(b >= i for b in bad) / len(bad) for i in range(4097)]
+    best = [i for i, c in enumerate(costs) if c == min(costs)]
+    end = next(i for i in range(best[0], 4098) if i not in best) - 1
+    assert {r.cut for r in got} == {-8 + ((best[0] + end) // 2) / 256}
+    assert all(r.kept == (not r.base_failed and r.llr >= r.cut) for r in got)
+    back = quality.filtered(d, labels)
+    assert back.columns == d.columns
+    texts = {(d, t): None for d, t in rows}
+    keep = Counter()
+    for r in got:
+        own = [t for (d, t) in texts if d == r.doc_id and brute_quality(t) == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)]
+        keep[r.doc_id, own[0]] += r.kept
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == +keep
+
+
+def test_quality_fits_on_a_bounded_sample(spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5000)] + [(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    assert quality.trusted_ids(labels, 10_000).count() == 5000
+    some = {r["__id"] for r in quality.trusted_ids(labels, 1000).collect()}
+    assert 850 < len(some) < 1150 and some == {r["__id"] for r in quality.trusted_ids(labels.orderBy(F.desc("doc_id")), 1000).collect()}
 
 
 BASE = {
@@ -246,6 +332,50 @@ def test_pii_long_secrets_and_logins_are_found_whole():
     assert time.process_time() - began < 20
 
 
+def test_pii_cues_in_any_case_and_long_schemes():
+    for cue in ("ApI_kEy", "API_KEY", "api key", "sEcReT"):
+        text = f"é {cue}: a1b2c3d4e5f6a7b8c9"
+        assert [text[s:e] for k, s, e in pii.find(text) if k == "secret"] == ["a1b2c3d4e5f6a7b8c9"]
+    text = "İ averylongschemename://bob:pw1@host.example/x y"
+    assert [text[s:e] for k, s, e in pii.find(text) if k == "url"] == ["averylongschemename://bob:pw1@host.example/x"]
+    text = "x" * 300_000 + "://bob:pw1@host.example " * 3
+    assert [s for s in pii.find(text) if s[0] == "url"][0][1] == 0
+
+
+CUE = {"iban": "iban", "account": "account|acct|passport|ssn|social security|routing", "secret": "api_key|apikey|api key|access_key|secret|token|password|passwd"}
+
+
+def brute_added(text):
+    """The added kinds from one look at each place for a cue or a scheme, kind by kind."""
+    out = []
+    low = text.translate(UP)
+    for kind, cues in CUE.items():
+        done = spelt = 0
+        for i in range(len(text)):
+            m = max((re.compile(c).match(low, i) for c in cues.split("|") if re.compile(c).match(low, i)), key=lambda m: m.end(), default=None)
+            for end in sorted({re.compile(c).match(low, i).end() for c in cues.split("|") if re.compile(c).match(low, i)}) if m else ():
+                if i < done or i and text[i - 1].isalpha():
+                    continue
+                hit = {"iban": pii.IBAN, "account": pii.ACCOUNT, "secret": pii.SECRET}[kind].match(text, end)
+                if hit and kind == "secret":
+                    hit = pii.TOKEN.match(text, hit.end()) if hit.end() >= spelt else None
+                    spelt = hit.end() if hit else spelt
+                if hit and hit.start(1) >= done and (kind == "account" or kind == "iban" and pii.iban_valid(hit[1]) or kind == "secret" and re.search("[0-9]", hit[1])):
+                    done = hit.end(1)
+                    out.append((kind, *hit.span(1)))
+    return out
+
+
+def test_pii_added_kinds_equal_brute_force():
+    import random
+
+    rng = random.Random(12)
+    pieces = ["iban", "IBAN:", " DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "account", " no. ", "12345678", "X1234567", "token", "Secret", "=", ": ", "a1b2c3d4e5f6a7b8c9d0", "abcdefghijklmnopqrst", " ", "\n", "é", "x", "password", "Api Key", "_id", "\"", "0044", "-", "."]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        assert [s for s in pii.find(text) if s[0] in CUE] == sorted(brute_added(text), key=lambda s: (pii.KINDS.index(s[0]), s[1])), text
+
+
 def brute_decontaminate(rows, items):
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
     out = Counter()
@@ -270,6 +400,13 @@ def test_decontaminate(spark, sf_dir):
         bench = spark.createDataFrame(own, "item_id long, text string")
         got = decontaminate.scan(docs(spark, rows), bench).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"]), ",".join(r["items"])) for r in got) == brute_decontaminate(rows, own)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1, 3000):  # dealt into parts
+        got = decontaminate.scan(docs(spark, rows), bench, max_bytes=size if size > 1 else 20_000).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"]), ",".join(r["items"])) for r in got) == brute_decontaminate(rows, items)
+    hit = {(d, t) for (d, t) in rows if brute_decontaminate([(d, t)], items).popitem()[0][2]}
+    left = decontaminate.clean_rows(docs(spark, rows), bench)
+    assert left.columns == docs(spark, rows).columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter(x for x in rows if x not in hit)
     bench = spark.createDataFrame([(1, "b c a")], "item_id long, text string")
     assert [r.clean for r in decontaminate.scan(docs(spark, [(1, "x, A B, c; (a) y")]), bench).collect()] == ["x, A ) y"]
     assert decontaminate.scan(docs(spark, []), bench).count() == 0
