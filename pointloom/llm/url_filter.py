@@ -3,19 +3,23 @@
 Level 1 encodes the listed keys, level 2 those keys of the corpus that level 1 takes for
 listed though they are not, level 3 the listed keys that level 2 holds, and so on until a
 level makes no mistake.  Over the keys the levels were built from membership is exact, and
-asking needs no join: the levels are constants of the expression.
+asking needs no join: the levels are constants of the expression.  Which of the listed keys
+block is asked of a second cascade, over the listed keys alone.
+
+Constants of a plan must stay small: a list whose cascades would need over ``MAX_BITS`` bits is
+met by a shuffled join of the asked keys instead, with equal results.
 
 A key is ``host suffix + path prefix``.  A url asks for every suffix of its host (whole
 labels) with every prefix length that occurs among the rules.
 
 Nulls and urls without ``://`` have an empty host and path and fit no rule; an empty rule
-list allows everything; repeated rows are judged one by one; url columns are read by
-position of name only, so other columns may have any name.
+list allows everything; repeated rows are judged one by one.  Columns named host, path, rule or
+verdict are replaced; others may have any name.  A url of any length is read whole; it asks for
+as many keys as its host has labels times the prefix lengths of the rules.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from dataclasses import dataclass
 
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
-#: Bits of filter constants a plan may carry (16 MiB): about 4.6 million rules at the default rate.
-MAX_BITS = 1 << 27
+#: Bits of a level that a plan may carry (512 KiB): about 290,000 rules at the default rate.
+MAX_BITS = 1 << 22
 #: Level 1 wrongly takes this share of the corpus's keys for listed; later levels half.
 FIRST_RATE, NEXT_RATE = 1e-3, 0.5
 
@@ -51,12 +55,10 @@ class Level:
 
     def holds(self, key: Column) -> Column:
         """Whether every probed bit is set."""
-        # One foldable expression: the optimizer turns it into a single array constant.
+        # One foldable expression, named once: the optimizer turns it into a single array constant.
         table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        out = F.lit(True)
-        for pos in positions(key, self.seed, self.hashes, len(self.words) * 64):
-            out = out & (F.getbit(F.get(table, F.floor(pos / 64).cast("int")), (pos % 64).cast("int")) == 1)
-        return out
+        places = F.array(*positions(key, self.seed, self.hashes, len(self.words) * 64))
+        return F.forall(places, lambda at: F.getbit(F.get(table, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1)
 
 
 def positions(key: Column, seed: int, hashes: int, bits: int) -> list[Column]:
@@ -66,11 +68,13 @@ def positions(key: Column, seed: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(hashes)]
 
 
+def words_for(n: int, rate: float) -> int:
+    return max(1, math.ceil(max(n, 1) * -math.log(rate) / math.log(2) ** 2 / 64))
+
+
 def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A level over the ``n`` keys in column ``key``; only its words reach the driver."""
-    size = max(1, math.ceil(max(n, 1) * -math.log(rate) / math.log(2) ** 2 / 64))
-    if size * 64 > MAX_BITS:
-        raise ValueError(f"{n} keys need {size * 64} bits; a cascade holds at most {MAX_BITS}. Split the rules by host into several cascades.")
+    size = words_for(n, rate)
     hashes = max(1, round(size * 64 / max(n, 1) * math.log(2))) if n else 1
     hashes = min(hashes, 16)
     words = [0] * size
@@ -144,14 +148,29 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "al
     The longest fitting rule decides (of rules with one key: block before allow); without
     one the cascade finds none of the url's keys listed and the verdict is ``default``.
     """
-    df = with_parts(df, url)
+    df = with_parts(df.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url]), url)
     if not rules:
         return df.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     spark = df.sparkSession
-    listed = spark.createDataFrame([(r.key,) for r in rules], "key string")
+    first = {r.key: r.verdict for r in sorted(rules, key=lambda r: r.verdict)}  # the last one stays
+    listed = spark.createDataFrame(list(first.items()), "key string, verdict string")
+    if 64 * words_for(len(first), first_rate) > MAX_BITS:
+        return _joined(df, written(listed, "rules"), rules, default)
     universe = df.select("host", "path").select(F.explode(asked_keys(rules)).alias("key"))
-    cascade = build_cascade(listed, universe, first_rate, next_rate)
-    verdicts = {r.key: r.verdict for r in sorted(rules, key=lambda r: r.verdict, reverse=True)}
-    table = F.from_json(F.lit(json.dumps(verdicts)), "map<string,string>")
-    rule = F.get(F.filter(asked_keys(rules), cascade.contains), F.lit(0))
-    return df.withColumn("rule", rule).withColumn("verdict", F.coalesce(F.try_element_at(table, F.col("rule")), F.lit(default)))
+    cascade = build_cascade(listed.select("key"), universe, first_rate, next_rate)
+    df = df.withColumn("rule", F.get(F.filter(asked_keys(rules), cascade.contains), F.lit(0)))
+    *others, last = sorted(set(first.values()))
+    verdict = F.lit(last)
+    for name in reversed(others):
+        own = build_cascade(listed.where(F.col("verdict") == name).select("key"), listed.select("key"), first_rate, next_rate)
+        verdict = F.when(own.contains(F.col("rule")), name).otherwise(verdict)
+    return df.withColumn("verdict", F.when(F.col("rule").isNull(), default).otherwise(verdict))
+
+
+def _joined(df: DataFrame, listed: DataFrame, rules: list[Rule], default: str) -> DataFrame:
+    """The longest listed key (of equally long ones the first) of each distinct host and path, by a join of their asked keys."""
+    places = written(df.select("host", "path").distinct(), "places")
+    asked = places.select("host", "path", F.explode(asked_keys(rules)).alias("key"))
+    met = asked.join(listed.hint("merge"), "key").groupBy("host", "path").agg(F.min_by(F.struct("key", "verdict"), F.struct(-F.char_length("key"), F.col("key"))).alias("best"))
+    out = df.join(met.hint("merge"), ["host", "path"], "left")
+    return out.select(*df.columns, F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
