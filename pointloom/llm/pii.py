@@ -1,6 +1,7 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds anchors: at-signs, ``://``, plus signs, digits and cue words.
+One Aho-Corasick pass finds anchors: at-signs, ``://``, plus signs, digits and cue words in
+any case.
 From each anchor a local parser expands to the boundaries of what may stand there and
 validates it: e-mail addresses left and right of the at-sign, dotted addresses and card
 numbers from the first digit of a run, phone numbers from the plus sign, URLs with
@@ -8,6 +9,7 @@ credentials around the scheme, and accounts, IBANs and secrets behind their cue.
 
 Within a kind spans do not overlap, and the leftmost one wins.  Null and empty texts have no
 spans; repeated rows are searched one by one.  Places count code points, ends exclusive.
+Spans have no largest length, and a text's work grows in proportion to its length.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import LOWER, UPPER
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "account", "secret")
 
@@ -34,7 +38,7 @@ ACCOUNT = re.compile(r"[^\S\n]*(?:(?:no|nr|number|id)\.?)?[^\S\n]*[:=#]?[^\S\n]*
 SECRET = re.compile(r"(?:[_-]?(?:id|key|token|secret))?[\"']?[^\S\n]*[:=][^\S\n]*[\"']?", re.I)
 TOKEN = re.compile(r"([A-Za-z0-9+/_=.-]{16,})", re.I)
 
-#: Cue words and the kind behind them (fixed values); each is looked for in lower, title and upper case.
+#: Cue words and the kind behind them (fixed values), in lower case.
 CUES = {
     "iban": ("iban",),
     "account": ("account", "acct", "passport", "ssn", "social security", "routing"),
@@ -49,13 +53,14 @@ def _automaton() -> ahocorasick.Automaton:
     out.add_word("://", (3, "://"))
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in {cue, cue.title(), cue.capitalize(), cue.upper()}:
-                out.add_word(form, (len(form), kind))
+            out.add_word(cue, (len(cue), kind))
     out.make_automaton()
     return out
 
 
 ANCHORS = _automaton()
+#: Of other letters the lower case may have another length.
+LOWERED = str.maketrans(UPPER, LOWER)
 
 
 def luhn(digits: str) -> bool:
@@ -88,7 +93,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             found[kind].append((start, end))
 
     digit, spelt = -2, 0  # the last digit seen; where the last run behind a secret's cue ends
-    for last, (size, what) in ANCHORS.iter(text):
+    for last, (size, what) in ANCHORS.iter(text.lower() if text.isascii() else text.translate(LOWERED)):
         at = last - size + 1
         if what in DIGITS:
             starts_run, digit = at != digit + 1, at
@@ -110,7 +115,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         elif what == "://":
             if at >= done["url"] and (m := LOGIN.match(text, at)):
                 start = at
-                while start > max(done["url"], at - 12) and text[start - 1].isascii() and text[start - 1].isalnum():
+                while start > done["url"] and text[start - 1].isascii() and text[start - 1].isalnum():
                     start -= 1
                 if start < at:
                     add("url", start, m.end())
