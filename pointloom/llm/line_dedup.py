@@ -4,25 +4,27 @@ A run is a table bucketed and sorted by the 128-bit hash of a line's key, one ro
 in how many documents the run's batch holds it, and the key's owner if the key was new
 when the batch came.  Each batch merge-anti-joins the runs to find its new keys and adds a
 run of its own at level 0; when a level has ``fanout`` runs they are merged into one run of
-the next level.  Batches are slices of the documents in descending order of doc_id, so a
-key's owner is the largest doc_id that holds it.
+the next level.  Batches are slices of the documents in descending order of doc_id, of about
+equally many lines each, so a key's owner is the largest doc_id that holds it.
 
 Keys of ``min_chars`` code points or more found in ``min_docs`` documents or more lose all
 their lines but the owner's.  A null or empty text is one empty line.  Rows that repeat a
 doc_id count as one document and lose the same lines by key; a null doc_id counts as one
-document below all others.  Very common lines meet only as one partial sum a task.
+document below all others.  Very common lines meet only as one partial sum a task, and find their
+documents by a broadcast of the few such keys.  Texts of any length are split whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, BROADCAST_ROWS, ascii_lower, join_checked, scratch, written
+from .common import BLANKS, BROADCAST_ROWS, ascii_lower, join_checked, join_counted, scratch, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 2
@@ -114,15 +116,16 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     """doc_id, row (hash of the text) and ``__drop``, the places of its lines that go; documents that lose none are absent."""
     spark = docs.sparkSession
     lines = written(line_hashes(docs, min_chars), "lines")
-    span = lines.agg(F.min("doc_id"), F.max("doc_id")).collect()[0]
-    low, high = (span[0] or 0, span[1] or 0)
-    width = (high - low) // batches + 1
+    # Where batches end decides how much each holds, and nothing else: an approximate quantile will do.
+    ends = lines.agg(F.percentile_approx("doc_id", [b / batches for b in range(1, batches)] or [0.5], 1000)).collect()[0][0] or []
+    edges = [None, *sorted(set(ends[: batches - 1])), None]
     runs = LineRuns(spark, fanout=fanout)
-    for b in reversed(range(batches)):
-        inside = (F.col("doc_id") >= low + b * width) & (F.col("doc_id") < low + (b + 1) * width)
-        runs.add(lines.where(inside if b else inside | F.col("doc_id").isNull()))
-    common = runs.merged(runs.names()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner")
-    hit = join_checked(lines, written(common, "common"), ["h1", "h2"], "inner").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    for low, high in reversed(list(itertools.pairwise(edges))):
+        inside = F.lit(True) if high is None else F.col("doc_id") <= high
+        inside = (inside & (F.col("doc_id") > low)) if low is not None else inside | F.col("doc_id").isNull()
+        runs.add(lines.where(inside))
+    common = runs.merged(runs.names()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner", "n_docs")
+    hit = join_counted(lines, written(common, "common"), ["h1", "h2"], "inner", "n_docs").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
     out = written(hit.groupBy("doc_id", "row").agg(F.collect_set("place").alias("__drop")), "drops")
     runs.drop()
     return out

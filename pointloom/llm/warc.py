@@ -14,7 +14,9 @@ any file system, in splits, and finds candidates only: payloads may hold the mag
    that hold the magic or cross splits are joined by record.
 
 Candidates off the chain are dropped, so is a record cut off by the end of its file; a file
-that does not start with the magic yields nothing.  The number of rounds is the logarithm
+that does not start with the magic yields nothing.  Rows may repeat, and columns beside the
+three that are read may have any name; an empty table gives archives without records.  A
+payload is held whole in the task that writes or reads it.  The number of rounds is the logarithm
 of the splits a file has.  Both scans must see the same splits; if the session's split
 settings change in between, the second one fails rather than lose records.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, join_checked, scratch, written
+from .common import BROADCAST_ROWS, join_counted, scratch, written
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -85,12 +87,13 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     Of rows with equal payloads of at least ``least`` bytes that with the largest key is a
     response and others revisit it (rows that repeat the largest key are all responses); a
     null payload is empty.  Copies are found from digests alone: payloads are not shuffled
-    while the table of repeated digests is small enough to send to every executor.
+    while the table of repeated digests is small enough to send to every executor; beyond it
+    those of very common digests still are not.
     """
     rows = pages.select(F.col(key).cast("long").alias("__id"), F.col(url).cast("string").alias("__url"), F.col(payload).cast("binary").alias("__data"))
     rows = rows.mapInArrow(_with_digest, "__id long, __url string, __data binary, __n long, __digest string")
-    copies = rows.where(F.col("__n") >= least).groupBy("__digest").agg(F.max("__id").alias("__winner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = join_checked(rows, written(copies, "copies"), "__digest", "left")
+    copies = rows.where(F.col("__n") >= least).groupBy("__digest").agg(F.max("__id").alias("__winner"), F.count("*").alias("__copies")).where("__copies > 1")
+    joined = join_counted(rows, written(copies, "copies"), ["__digest"], "left", "__copies")
     lines = joined.select("__id", "__url", "__data", "__winner", "__digest").mapInArrow(_render(least, date), "value binary")
     lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
 
