@@ -5,7 +5,8 @@ packs its own rows: from a pool of open documents the sequence in work takes the
 fits and whose size vector has the largest dot product with the room left; when none fits
 whole, the longest one is cut to fill the room.  A sequence that ends short of the token
 limit is dealt into sequences whose lengths are powers of two, which need no padding.
-Nothing is shuffled and no task holds more than ``POOL`` open documents.
+Nothing is shuffled and no task holds more than twice ``POOL`` open documents, or more than
+``POOL_TOKENS`` open tokens beside the document that came last.
 
 Null texts are empty; every document ends with ``end_id``, so an empty one is one token.
 Repeated rows are packed one by one.  A column of prompt lengths (tokens at a document's
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, SEGMENTS, END_ID = 4096, 512, 2
-POOL = 256
+POOL, POOL_TOKENS = 256, 4 << 20
 #: Words whose ids a worker remembers.
 CACHE = 500_000
 #: Bytes of texts that are split into words at once (a longer text by itself).
@@ -137,9 +138,14 @@ class Packer:
         n = len(ids) // 4
         return np.array([n - start, 1, n - max(start, min(prompt, n))], np.float64)
 
-    def fill(self, keep: int):
-        """Closes sequences until at most ``keep`` documents are open."""
-        while len(self.open) > keep:
+    def tokens(self) -> float:
+        return float(self.sizes[:, 0].sum())
+
+    def fill(self, keep: int, tokens: float = np.inf):
+        """Closes sequences until at most ``keep`` documents with ``tokens`` tokens left are open."""
+        while len(self.open) > keep or self.open and self.tokens() > tokens:
+            if len(self.rows) >= 4000:
+                return
             fits = (self.sizes <= self.left).all(axis=1)
             if fits.any():
                 worth = (self.sizes / self.limit) @ (self.left / self.limit)
@@ -194,10 +200,6 @@ class Packer:
             room, offset = room - m, offset + m
         self._reset()
 
-    def finish(self):
-        self.fill(0)
-        if self.pieces:
-            self._close()
 
 
 def _pack(path: str, length: int, segments: int, loss: int, end_id: int):
@@ -215,11 +217,17 @@ def _pack(path: str, length: int, segments: int, loss: int, end_id: int):
         for batch in batches:
             for doc_id, ids, prompt in zip(batch.column(0).to_pylist(), tokenizer.all_ids(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 packer.add(doc_id, ids + end, prompt or 0)
-                if len(packer.open) >= 2 * POOL or len(packer.open[-1][1]) > 40 * length:
-                    packer.fill(POOL)
-                if len(packer.rows) >= 4000:
+                if len(packer.open) >= 2 * POOL or packer.tokens() > POOL_TOKENS:
+                    packer.fill(POOL, POOL_TOKENS / 2)
+                while len(packer.rows) >= 4000:
                     yield out()
-        packer.finish()
+                    packer.fill(2 * POOL, POOL_TOKENS)
+        while packer.open:
+            packer.fill(0)
+            if packer.rows:
+                yield out()
+        if packer.pieces:
+            packer._close()
         if packer.rows:
             yield out()
 
