@@ -12,8 +12,10 @@ several; each of its segments is condensed to a 4 x 4 cost matrix, from which th
 (two matrices a task at most) finds the cost to go at each segment's end and the state at
 its start.  The result does not depend on where segments end.
 
-Turns of one number are ordered by role, then text, null first; equal rows are all kept.  A
-null text is empty.  A null conv_id is a conversation of its own.
+Turns of one number are ordered by role, then by their text's first ``PREFIX`` characters and
+a hash of the text, null first; equal rows are all kept.  So whole texts are no sort keys of
+which samples reach the driver.  A null text is empty.  A null conv_id is a conversation of
+its own.  Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_checked, written
 
 #: States: nothing yet, and the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -34,6 +36,9 @@ INF = 1 << 40
 #: Cost of ending in a state: a missing reply (and a missing question) is inserted.
 FINAL = (0, 2 * INSERT, INSERT, 0)
 
+#: Characters of a text that order turns of one number and role.
+PREFIX = 64
+
 OUT = "conv_id long, position long, step int, turn long, action string, role string, text string, rendered string"
 
 
@@ -166,8 +171,9 @@ def repair(turns: DataFrame) -> DataFrame:
     """
     spark = turns.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "turn", "role", "text", "__n"]
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.monotonically_increasing_id().alias("__n"))
+    order = ["conv_id", "turn", "role", "start", "hash", "n"]
+    start = F.substring("text", 1, PREFIX)
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", start.alias("start"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("n"))
     rows = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
     rows = written(rows.select("conv_id", "turn", "role", "text", F.spark_partition_id().cast("long").alias("pid"), F.monotonically_increasing_id().alias("seq")), "turns")
     # Conversations in more than one task: at most one per task boundary.
@@ -175,7 +181,7 @@ def repair(turns: DataFrame) -> DataFrame:
     long = written(long, "long")
     ends: dict = {}
     if not long.isEmpty():
-        parts = rows.join(F.broadcast(long), F.col("conv_id").eqNullSafe(F.col("__long"))).select("pid", "conv_id", "role", "seq")
+        parts = join_checked(rows, long, F.col("conv_id").eqNullSafe(F.col("__long")), "inner").select("pid", "conv_id", "role", "seq")
         parts = written(parts, "parts").repartition(count, "pid").sortWithinPartitions("pid", "seq").select("pid", "conv_id", "role")
         schema = "pid long, conv_id long, n long, cells array<long>"
         by_conv: dict = {}
