@@ -287,9 +287,10 @@ def _compare(radius: int):
         size = ends - starts
         out_a, out_b, out_d = [node[:0]], [node[:0]], [node[:0]]
         held = [np.zeros((3, 0), np.int64)]
-        small = np.repeat(size, size) <= 32  # many tiny items: compare neighbours at each distance at once
+        # Many tiny items, each a tile: neighbours at each distance at once, unless their bit counts are too far apart.
+        small, bits = np.repeat(size, size) <= 32, np.bitwise_count(fp).astype(np.int64)
         for d in range(1, int(size[size <= 32].max(initial=1))):
-            x = np.flatnonzero((item[d:] == item[:-d]) & small[d:])
+            x = np.flatnonzero((item[d:] == item[:-d]) & small[d:] & (np.abs(bits[d:] - bits[:-d]) <= radius))
             apart = np.bitwise_count(fp[x] ^ fp[x + d]).astype(np.int64)
             x, apart = x[apart <= radius], apart[apart <= radius]
             held.append(np.stack((x, x + d, apart)))
