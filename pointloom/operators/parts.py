@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,15 +55,17 @@ def upright_axes(axes: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def part_boxes(points: DataFrame) -> DataFrame:
-    """One upright oriented box per model and part label (null labels have none)."""
+def part_boxes(points: DataFrame, axes=None) -> DataFrame:
+    """One oriented box per model and part label (null labels have none): upright, or along given ``axes`` (rows)."""
 
     def fit(pdf):
-        row = box_along(pdf[["x", "y", "z"]].to_numpy(float), upright_axes(principal_axes(pdf[["x", "y", "z"]].to_numpy(float))))
+        xyz = pdf[["x", "y", "z"]].to_numpy(float)
+        row = box_along(xyz, upright_axes(principal_axes(xyz)) if axes is None else np.array(axes, float))
         return pdf.iloc[:1][["model_id", "part_label"]].assign(**{n: [v] for n, v in zip(("rot", "trans", "scale", "height", "axes"), row, strict=True)})
 
     kinds = dict(points.dtypes)
-    return points.where("part_label IS NOT NULL").groupBy("model_id", "part_label").applyInPandas(fit, f"model_id {kinds['model_id']}, part_label {kinds['part_label']}, {BOX}")
+    rows = points.where("part_label IS NOT NULL").select("model_id", "part_label", "x", "y", "z")
+    return rows.groupBy("model_id", "part_label").applyInPandas(fit, f"model_id {kinds['model_id']}, part_label {kinds['part_label']}, {BOX}")
 
 
 def box_corners(boxes: DataFrame) -> DataFrame:
@@ -76,6 +79,38 @@ def box_corners(boxes: DataFrame) -> DataFrame:
 TRIANGLES = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
 
 
+def box_triangles(boxes: DataFrame) -> DataFrame:
+    """Twelve triangles a box: triangle, a, b, c (places) and the unit normal of its face, outward."""
+    rows = F.array(*[F.struct(F.lit(n).alias("triangle"), F.array(*[F.lit(v) for v in t]).alias("corners")) for n, t in enumerate(TRIANGLES)])
+    keep = [c for c in boxes.columns if c not in ("rot", "trans", "scale", "height", "axes")]
+    half = lambda bit, a: (F.when(bit == 1, 0.5).otherwise(-0.5)) * F.get("scale", F.lit(a))
+
+    def place(corner):
+        bits = [F.floor(corner / 4) % 2, F.floor(corner / 2) % 2, corner % 2]
+        return F.array(*[F.get("trans", F.lit(w)) + G.sum_of(half(b, a) * F.get("axes", F.lit(3 * a + w)) for a, b in enumerate(bits)) for w in range(3)])
+
+    out = boxes.withColumn("t", F.explode(rows)).withColumns({n: place(F.get("t.corners", F.lit(i))) for i, n in enumerate("abc")})
+    side = lambda n: [F.get(n, F.lit(i)) - F.get("a", F.lit(i)) for i in range(3)]
+    normal = G.cross(side("b"), side("c"))
+    middle = [(F.get("a", F.lit(i)) + F.get("b", F.lit(i)) + F.get("c", F.lit(i))) / 3 - F.get("trans", F.lit(i)) for i in range(3)]
+    size = F.nullif(F.sqrt(G.dot(normal, normal)), F.lit(0.0)) * F.when(G.dot(normal, middle) < 0, -1.0).otherwise(1.0)
+    return out.select(*keep, F.col("t.triangle").alias("triangle"), "a", "b", "c", F.array(*[x / size for x in normal]).alias("normal"))
+
+
+def as_obb(boxes: DataFrame) -> DataFrame:
+    """A part as an oriented box: its three axes, centroid and full side lengths."""
+    keep = [c for c in boxes.columns if c not in ("rot", "trans", "scale", "height", "axes")]
+    return boxes.select(*keep, *[F.slice("axes", 3 * i + 1, 3).alias(f"axis_{c}") for i, c in enumerate("xyz")], F.col("trans").alias("centroid"), F.col("scale").alias("lengths"))
+
+
+def as_part(obb: DataFrame) -> DataFrame:
+    """An oriented box as a part: the columns of its rotation are the axes."""
+    keep = [c for c in obb.columns if c not in ("axis_x", "axis_y", "axis_z", "centroid", "lengths")]
+    rot = F.array(*[F.get(f"axis_{c}", F.lit(w)) for w in range(3) for c in "xyz"])
+    out = obb.select(*keep, rot.alias("rot"), F.col("centroid").alias("trans"), F.col("lengths").alias("scale"), F.concat("axis_x", "axis_y", "axis_z").alias("axes"))
+    return out.withColumn("height", G.height_vector(F.col("rot"), F.col("trans"), F.col("scale")))
+
+
 def pair_relations(boxes: DataFrame) -> DataFrame:
     """All ordered pairs of differently labelled parts of a model with their 32 numbers."""
     side = lambda n: boxes.select("model_id", *[F.col(c).alias(f"{c}{n}") for c in ("part_label", "rot", "trans", "scale", "height")])
@@ -114,7 +149,7 @@ def assign_clouds(dist: DataFrame, symmetry: DataFrame) -> DataFrame:
     label outside all groups; other points have none.
     """
     sure = lambda c: F.col(c) > CONFIDENT - 1e-6
-    with_groups = dist.join(F.broadcast(symmetry), "label", "left")
+    with_groups = dist.join(symmetry, "label", "left")
     groups = with_groups.where("group_id IS NOT NULL").groupBy("model_id", "point_id", "group_id", "rep_label").agg(F.sum("prob").alias("p")).where(sure("p"))
     first = groups.groupBy("model_id", "point_id").agg(F.min_by("rep_label", "group_id").alias("by_group"))
     single = with_groups.where("group_id IS NULL").where(sure("prob")).groupBy("model_id", "point_id").agg(F.min("label").alias("by_label"))
@@ -170,32 +205,57 @@ def unary_energy(members: DataFrame, dist: DataFrame, weight: float = UNARY_WEIG
     return members.join(dist, ["model_id", "point_id"]).groupBy("model_id", "cand_id", "label").agg((weight * F.avg(cost)).alias("cost"))
 
 
-def pairwise_energy(cands: DataFrame, labels: DataFrame, inverses: DataFrame, null_label: int, weight: float = PAIR_WEIGHT, null_cost: float = INF / 2) -> DataFrame:
-    """Costs of all label pairs for all candidate pairs i < j of a model.
+def pair_costs(cands: DataFrame, labels: DataFrame, inverses: DataFrame, null_label: int, weight: float = PAIR_WEIGHT, null_cost: float = INF / 2, slices: int = 8) -> DataFrame:
+    """One row a candidate pair i < j of a model: ``costs`` of all label pairs, by label1, then label2, ascending.
 
     Two labels other than null in one cluster are out of the question; a null label costs
     ``null_cost``; equal labels and pairs without a prior cost ``INF``; else ``weight`` times
-    the Mahalanobis distance of the pair's relation.
+    the Mahalanobis distance of the pair's relation.  A model's pairs are dealt into
+    ``slices``.  Labels are few by the data model (0 to ``MAX_LABEL`` and null), so the priors
+    sent to the workers have a fixed bound; more labels than that are refused.
     """
+    names = sorted(row["label"] for row in labels.where("label IS NOT NULL").distinct().limit(G.MAX_LABEL + 3).collect())
+    if len(names) > G.MAX_LABEL + 2:
+        raise ValueError(f"labels run from 0 to {G.MAX_LABEL}, with one more for null")
+    place, size = {v: k for k, v in enumerate(names)}, len(names)
+    known = inverses.where(F.col("label1").isin(names) & F.col("label2").isin(names) & (F.col("label1") != F.col("label2")) & F.col("inverse").isNotNull())
+    table = [(place[row["label1"]], place[row["label2"]], np.array(row["mean"]), np.array(row["inverse"])) for row in known.collect() if null_label not in (row["label1"], row["label2"])]
+    sent = cands.sparkSession.sparkContext.broadcast(table)
+    free = np.array([v == null_label for v in names])
+    base = np.where(free[:, None] | free[None, :], null_cost, INF)
+    alike = np.where(free[:, None] | free[None, :], 0.0, HARD_INF)
+
+    def fill(batches):
+        for batch in batches:
+            n = len(batch)
+            same = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            feat = batch.column(4).flatten().to_numpy().reshape(n, -1)
+            out = np.tile(base, (n, 1, 1))
+            for a, b, mean, inverse in sent.value:
+                off = feat - mean
+                out[:, a, b] = weight * np.sqrt(np.maximum(((off @ inverse.reshape(len(mean), -1).T) * off).sum(axis=1), 0.0))
+            out[same] = alike
+            costs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size * size, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], costs], ["model_id", "i", "j", "costs"])
+
     side = lambda n: cands.select("model_id", *[F.col(c).alias(f"{c}{n}") for c in ("cand_id", "cluster_no", "rot", "trans", "scale", "height")])
-    both = side(1).join(side(2), "model_id").where("cand_id1 < cand_id2")
-    both = both.withColumn("feat", G.relation(*[F.col(f"{c}1") for c in ("rot", "trans", "scale", "height")], *[F.col(f"{c}2") for c in ("rot", "trans", "scale", "height")]))
-    both = both.select("model_id", F.col("cand_id1").alias("i"), F.col("cand_id2").alias("j"), (F.col("cluster_no1") == F.col("cluster_no2")).alias("same"), "feat")
-    pairs = labels.select(F.col("label").alias("label1")).join(labels.select(F.col("label").alias("label2"))).join(inverses, ["label1", "label2"], "left")
-    cells = both.join(F.broadcast(pairs))  # label pairs: a fixed, small number a class
-    off = F.zip_with("feat", "mean", lambda a, b: a - b)
-    cells = cells.withColumn("off", off)
-    size = F.size("off")
-    rows = F.transform("off", lambda x, r: x * F.aggregate(F.zip_with(F.slice("inverse", r * size + 1, size), "off", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t))
-    square = F.aggregate(rows, F.lit(0.0), lambda s, t: s + t)
-    null1, null2 = F.col("label1") == null_label, F.col("label2") == null_label
-    cost = (
-        F.when(F.col("same"), F.when(~null1 & ~null2, HARD_INF).otherwise(0.0))
-        .when(null1 | null2, null_cost)
-        .when((F.col("label1") == F.col("label2")) | F.col("inverse").isNull(), INF)
-        .otherwise(weight * F.sqrt(F.greatest(square, F.lit(0.0))))
-    )
-    return cells.select("model_id", "i", "j", "label1", "label2", cost.alias("cost"))
+    left = side(1).withColumn("slice", F.pmod(F.xxhash64("cand_id1"), F.lit(slices)))
+    right = side(2).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    both = left.join(right, ["model_id", "slice"]).where("cand_id1 < cand_id2")
+    feat = G.relation(*[F.col(f"{c}1") for c in ("rot", "trans", "scale", "height")], *[F.col(f"{c}2") for c in ("rot", "trans", "scale", "height")])
+    rows = both.select("model_id", F.col("cand_id1").alias("i"), F.col("cand_id2").alias("j"), (F.col("cluster_no1") == F.col("cluster_no2")).alias("same"), feat.alias("feat"))
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(fill, f"model_id {kinds['model_id']}, i {kinds['i']}, j {kinds['j']}, costs array<double>")
+
+
+def pairwise_energy(cands: DataFrame, labels: DataFrame, inverses: DataFrame, null_label: int, weight: float = PAIR_WEIGHT, null_cost: float = INF / 2) -> DataFrame:
+    """``pair_costs`` in long form: model_id, i, j, label1, label2, cost."""
+    packed = pair_costs(cands, labels, inverses, null_label, weight, null_cost)
+    names = sorted(row["label"] for row in labels.where("label IS NOT NULL").distinct().collect())
+    known = F.array(*[F.lit(v).cast(dict(labels.dtypes)["label"]) for v in names])
+    cells = packed.select("model_id", "i", "j", F.posexplode("costs").alias("n", "cost"))
+    at = lambda n: F.get(known, n.cast("int"))
+    return cells.select("model_id", "i", "j", at(F.floor(F.col("n") / len(names))).alias("label1"), at(F.col("n") % len(names)).alias("label2"), "cost")
 
 
 def picked(solution: DataFrame, null_label: int) -> DataFrame:

@@ -66,7 +66,7 @@ def balls(points: DataFrame) -> DataFrame:
         basis = _fixed(basis)
         found = basis.groupBy("model_id").applyInPandas(fit, schema)
         d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 + (F.col("z") - F.col("cz")) ** 2
-        out = points.select("model_id", "x", "y", "z").join(F.broadcast(found), "model_id").where(d2 > F.col("radius") ** 2 * (1 + 1e-10) + 1e-14)
+        out = points.select("model_id", "x", "y", "z").join(found, "model_id").where(d2 > F.col("radius") ** 2 * (1 + 1e-10) + 1e-14)
         worst = _fixed(out.groupBy("model_id").agg(F.max_by(F.struct("x", "y", "z"), d2).alias("p")).select("model_id", "p.x", "p.y", "p.z"))
         if worst.isEmpty():
             return found
@@ -131,26 +131,43 @@ def jet_normals(points: DataFrame, k: int = 18, radius: float = 0.2) -> DataFram
     return sets.mapInPandas(run, f"model_id {kinds['model_id']}, point_id {kinds['point_id']}, nx double, ny double, nz double")
 
 
-def orient_normals(points: DataFrame, k: int = 16) -> DataFrame:
-    """Normals flipped along a minimum spanning tree of the neighbour graph, top point outward."""
+def radius_normals(points: DataFrame, radius: float = 0.1) -> DataFrame:
+    """Per point the normal of the plane through all within ``radius``, largest component positive."""
+    from .spatial import moments, radius_join
+
+    flat = moments(radius_join(points, radius), centered=True)
+    found = G.with_eigen(flat, {"v": [F.col(c) for c in G.SIX]}, ("v",))
+    return found.select("model_id", F.col("src").alias("point_id"), *[F.get("v_e3", F.lit(i)).alias(f"n{c}") for i, c in enumerate("xyz")])
+
+
+def orient_normals(points: DataFrame, k: int = 16, radius: float = 0.2) -> DataFrame:
+    """Normals flipped along a minimum spanning tree of the neighbour graph, top point outward.
+
+    The graph is a join; only the tree is grown inside a model's group.
+    """
+    from .spatial import knn
+
     kinds = dict(points.dtypes)
     columns = ", ".join(f"{c} {kinds[c]}" for c in points.columns)
+    normal = lambda c, name: points.select("model_id", F.col("point_id").alias(c), F.array("nx", "ny", "nz").alias(name))
+    links = knn(points, k, radius).select("model_id", "src", "dst").join(normal("src", "n1"), ["model_id", "src"]).join(normal("dst", "n2"), ["model_id", "dst"])
+    cosine = F.aggregate(F.zip_with("n1", "n2", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    # Of one plan with the points: columns of their own keep the two apart.
+    links = links.select(F.col("model_id").alias("model_id"), "src", "dst", (1 - F.abs(cosine)).alias("cost"))
 
-    def flip(pdf):
+    def flip(key, pdf, own):
         pdf = pdf.sort_values("point_id").reset_index(drop=True)
-        xyz, normals = pdf[["x", "y", "z"]].to_numpy(float), pdf[["nx", "ny", "nz"]].to_numpy(float).copy()
-        n, near = len(pdf), [[] for _ in range(len(pdf))]
-        for i in range(n):
-            for j in np.argsort(((xyz - xyz[i]) ** 2).sum(axis=1), kind="stable")[1 : k + 1]:
-                cost = 1 - abs(float(normals[i] @ normals[j]))
-                near[i].append((cost, int(j)))
-                near[int(j)].append((cost, i))
-        seen = np.zeros(n, bool)
-        for root in np.argsort(-xyz[:, 2], kind="stable"):
+        z, normals = pdf.z.to_numpy(float), pdf[["nx", "ny", "nz"]].to_numpy(float).copy()
+        ids, near = pdf.point_id.to_numpy(), [[] for _ in range(len(pdf))]
+        for i, j, cost in zip(np.searchsorted(ids, own.src).tolist(), np.searchsorted(ids, own.dst).tolist(), own.cost.tolist(), strict=True):
+            near[i].append((cost, j))
+            near[j].append((cost, i))
+        seen = np.zeros(len(pdf), bool)
+        for root in np.argsort(-z, kind="stable").tolist():
             if seen[root]:
                 continue
             normals[root] *= 1 if normals[root][2] >= 0 else -1
-            heap = [(0.0, int(root), int(root))]
+            heap = [(0.0, root, root)]
             while heap:
                 _, i, parent = heapq.heappop(heap)
                 if seen[i]:
@@ -164,11 +181,14 @@ def orient_normals(points: DataFrame, k: int = 16) -> DataFrame:
         pdf[["nx", "ny", "nz"]] = normals
         return pdf
 
-    return points.groupBy("model_id").applyInPandas(flip, columns)
+    return points.groupBy("model_id").cogroup(links.groupBy("model_id")).applyInPandas(flip, columns)
 
 
-def facet_sdf(vertices: np.ndarray, faces: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0) -> np.ndarray:
-    """Raw shape diameter of each facet: rays in a cone around its inward normal."""
+def facet_sdf(vertices: np.ndarray, faces: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0, own=None) -> np.ndarray:
+    """Raw shape diameter of each facet (or of those at places ``own``): rays in a cone around its inward normal.
+
+    All facets get the same rays, so values do not depend on which are asked for together.
+    """
     a, b, c = (vertices[faces[:, i]] for i in range(3))
     normal = np.cross(b - a, c - a)
     normal /= np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-300)
@@ -176,51 +196,66 @@ def facet_sdf(vertices: np.ndarray, faces: np.ndarray, rays: int = 100, cone: fl
     rng = np.random.default_rng(seed)
     angle = np.radians(cone / 2) * np.sqrt(rng.random(rays))
     turn = 2 * np.pi * rng.random(rays)
-    out = np.zeros(len(faces))
-    for f in range(len(faces)):
+    e1, e2 = b - a, c - a
+    own = np.arange(len(faces)) if own is None else own
+    out = np.zeros(len(own))
+    for n, f in enumerate(own):
         w = -normal[f]
         u = np.cross(w, np.eye(3)[np.abs(w).argmin()])
         u /= max(np.linalg.norm(u), 1e-300)
         ways = np.cos(angle)[:, None] * w + np.sin(angle)[:, None] * (np.cos(turn)[:, None] * u + np.sin(turn)[:, None] * np.cross(w, u))
-        e1, e2 = b - a, c - a
-        p = np.cross(ways[:, None], e2[None])
-        det = (p * e1).sum(axis=2)
+        s = middle[f] - a
+        # Triple products, turned so that rays meet facets by matrix products only.
+        det = ways @ np.cross(e2, e1).T
+        q = np.cross(s, e1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            s = middle[f] - a
-            x = (p * s).sum(axis=2) / det
-            q = np.cross(s, e1)
+            x = (ways @ np.cross(e2, s).T) / det
             y = (ways @ q.T) / det
             t = (q * e2).sum(axis=1) / det
-        hit = (np.abs(det) > 1e-12) & (x >= 0) & (y >= 0) & (x + y <= 1) & (t > 1e-9)
+            hit = (np.abs(det) > 1e-12) & (x >= 0) & (y >= 0) & (x + y <= 1) & (t > 1e-9)
         hit[:, f] = False
         d = np.where(hit, t, np.inf).min(axis=1)
         got = np.isfinite(d)
         if got.any():
-            own, at = d[got], angle[got]
-            near = np.abs(own - np.median(own)) <= own.std() + 1e-8
-            out[f] = (own[near] / np.maximum(at[near], 1e-6)).sum() / (1 / np.maximum(at[near], 1e-6)).sum()
+            far, at = d[got], angle[got]
+            near = np.abs(far - np.median(far)) <= far.std() + 1e-8
+            out[n] = (far[near] / np.maximum(at[near], 1e-6)).sum() / (1 / np.maximum(at[near], 1e-6)).sum()
     return out
 
 
-def mesh_sdf(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: float = 45.0) -> DataFrame:
-    """model_id, vertex_id, sdf: mean of the incident facets' values, scaled to [0, 1] a model."""
+def facet_values(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: float = 45.0, slice_faces: int = 500) -> DataFrame:
+    """model_id, face_id and the raw value of each facet.
+
+    A model's facets are dealt into slices of about ``slice_faces``, each a task's work of its
+    own against the whole mesh, so a large mesh is not one task.
+    """
+    place = lambda n: vertices.select("model_id", F.col("vertex_id").alias(f"v{n}"), F.array("x", "y", "z").alias(f"p{n}"))
+    whole = faces
+    for n in range(3):
+        whole = whole.join(place(n), ["model_id", f"v{n}"])
+    whole = whole.select("model_id", "face_id", F.concat("p0", "p1", "p2").alias("p"))
+    slices = faces.groupBy("model_id").agg(F.ceil(F.count("*") / slice_faces).alias("slices"))
+    dealt = whole.join(slices, "model_id").withColumn("own", F.pmod(F.xxhash64("face_id"), "slices"))
+    dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select("model_id", "slice", "face_id", (F.col("own") == F.col("slice")).alias("asked"), "p")
+    kinds = dict(faces.dtypes)
+
+    def shoot(pdf):
+        pdf = pdf.sort_values("face_id")
+        asked = np.flatnonzero(pdf.asked.to_numpy())
+        corners = np.array(pdf.p.tolist()).reshape(-1, 3)
+        value = facet_sdf(corners, np.arange(len(corners)).reshape(-1, 3), rays, cone, own=asked)
+        return pdf.iloc[asked][["model_id", "face_id"]].assign(value=value)
+
+    return dealt.groupBy("model_id", "slice").applyInPandas(shoot, f"model_id {kinds['model_id']}, face_id {kinds['face_id']}, value double")
 
-    def one(key, v, f):
-        import pandas as pd
 
-        v = v.sort_values("vertex_id")
-        at = {i: n for n, i in enumerate(v.vertex_id)}
-        tri = np.array([[at[x] for x in row] for row in f.sort_values("face_id")[["v0", "v1", "v2"]].to_numpy()]).reshape(-1, 3)
-        raw = facet_sdf(v[["x", "y", "z"]].to_numpy(float), tri, rays, cone)
-        spread = raw.max() - raw.min() if len(raw) else 0
-        raw = (raw - raw.min()) / spread if spread else raw * 0
-        total, n = np.zeros(len(v)), np.zeros(len(v))
-        np.add.at(total, tri.ravel(), np.repeat(raw, 3))
-        np.add.at(n, tri.ravel(), 1)
-        return pd.DataFrame({"model_id": key[0], "vertex_id": v.vertex_id, "sdf": np.where(n > 0, total / np.maximum(n, 1), np.nan)})
-
-    kinds = dict(vertices.dtypes)
-    return vertices.groupBy("model_id").cogroup(faces.groupBy("model_id")).applyInPandas(one, f"model_id {kinds['model_id']}, vertex_id {kinds['vertex_id']}, sdf double")
+def mesh_sdf(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: float = 45.0) -> DataFrame:
+    """model_id, vertex_id, sdf: mean of the incident facets' values, scaled to [0, 1] a model; null without facets."""
+    raw = facet_values(vertices, faces, rays, cone)
+    span = raw.groupBy("model_id").agg(F.min("value").alias("low"), (F.max("value") - F.min("value")).alias("spread"))
+    scaled = raw.join(span, "model_id").select("model_id", "face_id", F.coalesce((F.col("value") - F.col("low")) / F.nullif("spread", F.lit(0.0)), F.lit(0.0)).alias("value"))
+    means = vertex_means(faces, scaled).withColumnRenamed("value", "sdf")
+    return vertices.select("model_id", "vertex_id").join(means, ["model_id", "vertex_id"], "left")
 
 
 def vertex_labels(faces: DataFrame, labels: DataFrame) -> DataFrame:

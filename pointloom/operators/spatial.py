@@ -52,11 +52,20 @@ def knn(points: DataFrame, k: int, radius: float) -> DataFrame:
 
 
 def checkpointed(spark, df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
+    """Cuts the lineage in the shared checkpoint folder (``spark.checkpoint.dir``).
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointloom-"))
+    Only a session on one machine may go without: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not given:
+            import tempfile
+
+            given = tempfile.mkdtemp(prefix="pointloom-")
+        context.setCheckpointDir(given)
     return df.checkpoint()
 
 
@@ -90,13 +99,14 @@ def multiscale(points: DataFrame, model_radius: float = 1.0, scales=SCALES, cent
     """The five numbers of every scale in one join at the largest radius.
 
     Eigenvalue quotients and gravity projections come from the raw (or centred) second
-    moment, curvature from the centred one.
+    moment, curvature from the centred one; n0, n1 ... count the neighbours, the point included.
     """
     near = radius_join(points, max(scales) * model_radius)
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
     agg = []
     for s, c in enumerate(scales):
         inside = F.col("d2") <= (c * model_radius) ** 2
+        agg.append(F.count_if(inside).alias(f"n{s}"))
         for a, b in pairs:
             both = F.when(inside, F.col(f"d{a}") * F.col(f"d{b}"))
             agg.append(F.avg(both).alias(f"m{s}{a}{b}"))
@@ -112,18 +122,22 @@ def multiscale(points: DataFrame, model_radius: float = 1.0, scales=SCALES, cent
         grav = [-F.get(f"{own}_e{e}", F.lit(1)) for e in (1, 3)]
         out += [q[0].alias(f"evqu{s}0"), q[1].alias(f"evqu{s}1"), grav[0].alias(f"grav{s}0"), grav[1].alias(f"grav{s}1"), G.curvature(f"mid{s}").alias(f"curvature{s}")]
     solved = G.with_eigen(sums, sets, tuple(n for n in sets if n.startswith("mid" if centered else "raw")))
-    return solved.select("model_id", F.col("src").alias("point_id"), *out)
+    return solved.select("model_id", F.col("src").alias("point_id"), *[f"n{s}" for s in range(len(scales))], *out)
 
 
-def point_sdf(points: DataFrame, cone: float = 30.0, slices: int = 16) -> DataFrame:
+def point_sdf(points: DataFrame, cone: float = 30.0, slice_points: int = 256) -> DataFrame:
     """Shape diameter of each point: what lies opposite, inside a cone around its inward normal.
 
-    Every pair of a model is tried (a cone has no radius), in ``slices`` slices of the
-    points a model, each met by all its points.  Kept distances lie within one standard
+    Every pair of a model is tried (a cone has no radius), in slices of about ``slice_points``
+    points a model, each met by all its points, so a slice's work grows with the model only
+    once.  Kept distances lie within one standard
     deviation of their median and are weighted by one over the angle; without hits it is 0.
     """
-    own = points.select("model_id", F.col("point_id").alias("src"), *[F.col(c).alias(f"s{c}") for c in ("x", "y", "z", "nx", "ny", "nz")], F.pmod(F.xxhash64("point_id"), F.lit(slices)).cast("int").alias("slice"))
-    all_of = points.select("model_id", F.col("point_id").alias("dst"), *[F.col(c).alias(f"d{c}") for c in ("x", "y", "z", "nx", "ny", "nz")]).withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(slices)])))
+    slices = points.groupBy("model_id").agg(F.ceil(F.count("*") / slice_points).alias("slices"))
+    dealt = points.join(slices, "model_id")
+    own = dealt.select("model_id", F.col("point_id").alias("src"), *[F.col(c).alias(f"s{c}") for c in ("x", "y", "z", "nx", "ny", "nz")], F.pmod(F.xxhash64("point_id"), "slices").alias("slice"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
+    all_of = dealt.select("model_id", F.col("point_id").alias("dst"), *[F.col(c).alias(f"d{c}") for c in ("x", "y", "z", "nx", "ny", "nz")], every)
     v = [F.col(f"d{c}") - F.col(f"s{c}") for c in "xyz"]
     sn, dn = [F.col(f"sn{c}") for c in "xyz"], [F.col(f"dn{c}") for c in "xyz"]
     d = F.sqrt(G.dot(v, v))

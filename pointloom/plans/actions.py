@@ -10,14 +10,27 @@ from ..operators import learning, mrf, parts, solids, spatial
 from ..sources import formats
 
 
-def open_models(spark: SparkSession, path: str, kind: str = "off") -> DataFrame:
-    """Points (model_id, point_id, x, y, z, nx, ny, nz) in the unit ball."""
+def open_models(spark: SparkSession, path: str, kind: str = "off", seg: str | None = None, sdff: str | None = None) -> DataFrame:
+    """Points (model_id, point_id, x, y, z, nx, ny, nz) in the unit ball.
+
+    With ``seg`` (face labels, files named like the meshes) also part_label, null where no
+    face tells; with ``sdff`` (values by vertex) also sdf.
+    """
     if kind == "xyz":
         return solids.normalize(formats.read_xyz(spark, path, rotate=True))
-    vertices, _ = formats.read_off(spark, path)
-    points = vertices.withColumnRenamed("vertex_id", "point_id")
-    normals = solids.jet_normals(points)
-    return solids.normalize(solids.orient_normals(points.join(normals, ["model_id", "point_id"])))
+    vertices, faces = formats.read_off(spark, path)
+    points = spatial.checkpointed(spark, vertices.withColumnRenamed("vertex_id", "point_id"))
+    normals = solids.radius_normals(points) if kind == "plain" else solids.jet_normals(points)
+    if kind != "plain":
+        normals = solids.orient_normals(points.join(normals, ["model_id", "point_id"])).select("model_id", "point_id", "nx", "ny", "nz")
+    points = solids.normalize(points.join(normals, ["model_id", "point_id"]))
+    if seg:
+        labels = solids.vertex_labels(faces, formats.read_seg(spark, seg)).select("model_id", F.col("vertex_id").alias("point_id"), F.col("label").alias("part_label"))
+        points = points.join(labels, ["model_id", "point_id"], "left")
+    if sdff:
+        values = formats.read_sdff(spark, sdff).withColumnRenamed("vertex_id", "point_id")
+        points = points.join(values, ["model_id", "point_id"], "left")
+    return points
 
 
 def save_models(points: DataFrame, path: str) -> None:
@@ -81,6 +94,7 @@ def infer_structure(points: DataFrame, dist: DataFrame, priors: DataFrame, symme
     dist has the null label, which is its last.
     """
     spark = points.sparkSession
+    dist = spatial.checkpointed(spark, dist.select("model_id", "point_id", "label", "prob"))
     labels = dist.select("label").distinct()
     null_label = labels.agg(F.max("label")).collect()[0][0]
     clouds = parts.assign_clouds(dist.where(F.col("label") < null_label), symmetry).where("part IS NOT NULL")
@@ -88,7 +102,7 @@ def infer_structure(points: DataFrame, dist: DataFrame, priors: DataFrame, symme
     cands = spatial.checkpointed(spark, parts.candidates(clustered))
     members = cands.select("model_id", "cand_id", F.explode("point_ids").alias("point_id"))
     unary = parts.unary_energy(members, dist)
-    pairwise = parts.pairwise_energy(cands, labels, parts.prior_inverses(priors), null_label)
+    pairwise = parts.pair_costs(cands, labels, parts.prior_inverses(priors), null_label)
     solved = mrf.solve(unary.withColumnRenamed("cand_id", "node"), pairwise, iterations=iterations)
     best = parts.picked(solved, null_label).join(solved.select("model_id", "node", "energy"), ["model_id", "node"])
     return best.withColumnRenamed("node", "cand_id").join(cands.select("model_id", "cand_id", "cluster_no", "right_handed", "rot", "trans", "scale", "axes"), ["model_id", "cand_id"])

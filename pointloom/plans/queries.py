@@ -128,10 +128,32 @@ def curvature(spark, sf_dir):
     return rounded(eigen(m).select("src", G.curvature("v").alias("curvature")), 4)
 
 
-@query()
+def vector_sql(source: str, name: str, values: dict[str, str]) -> str:
+    """CTEs that end in ``name``: ``source`` and a unit eigenvector (list) of each value, as in ``with_eigen``.
+
+    source has xx to zz; values: column of the vector -> column of its eigenvalue.
+    """
+    cells, longest, signed = [], [], []
+    for out, value in values.items():
+        rows = [(f"(xx - {value})", "xy", "xz"), ("xy", f"(yy - {value})", "yz"), ("xz", "yz", f"(zz - {value})")]
+        for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+            a, b = rows[i], rows[j]
+            cells.append(f"[{a[1]} * {b[2]} - {a[2]} * {b[1]}, {a[2]} * {b[0]} - {a[0]} * {b[2]}, {a[0]} * {b[1]} - {a[1]} * {b[0]}] AS {out}{k}")
+        size = [f"list_dot_product({out}{k}, {out}{k})" for k in range(3)]
+        longest.append(f"CASE WHEN {size[0]} >= {size[1]} AND {size[0]} >= {size[2]} THEN {out}0 WHEN {size[1]} >= {size[2]} THEN {out}1 ELSE {out}2 END AS {out}b")
+        top = f"CASE WHEN abs({out}b[1]) >= abs({out}b[2]) AND abs({out}b[1]) >= abs({out}b[3]) THEN {out}b[1] WHEN abs({out}b[2]) >= abs({out}b[3]) THEN {out}b[2] ELSE {out}b[3] END"
+        signed.append(f"list_transform({out}b, lambda w: w * sign({top}) / sqrt(nullif(list_dot_product({out}b, {out}b), 0))) AS {out}")
+    return f"{name}8 AS (SELECT *, {', '.join(cells)} FROM {source}), {name}9 AS (SELECT *, {', '.join(longest)} FROM {name}8), {name} AS (SELECT *, {', '.join(signed)} FROM {name}9)"
+
+
+GRAVITY = f"WITH {CLOUD}, {near(0.2)}, {moments_sql(0.2, False)}, {eigen_sql('m', 'v')}, {vector_sql('v', 'g', {'e1': 'high', 'e3': 'low'})} SELECT src, {r('-e1[2]', 'grav0', 4)}, {r('-e3[2]', 'grav1', 4)} FROM g WHERE n > 2"
+
+
+@query(GRAVITY)
 def gravity_projections(spark, sf_dir):
-    m = eigen(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2)), ("v",))
-    return m.select("src", *[(-F.get(f"v_e{e}", F.lit(1))).alias(n) for e, n in ((1, "grav0"), (3, "grav1"))])
+    """Of points with two neighbours at least: with fewer the smallest eigenvalue has no one direction."""
+    m = eigen(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2)).where("n > 2"), ("v",))
+    return rounded(m.select("src", *[(-F.get(f"v_e{e}", F.lit(1))).alias(n) for e, n in ((1, "grav0"), (3, "grav1"))]), 4)
 
 
 def _multiscale_sql() -> str:
@@ -150,9 +172,24 @@ def multiscale_quotients(spark, sf_dir):
     return rounded(rounded(out, 4).join(points.select("point_id", F.col("y").alias("height")), "point_id"))
 
 
-@query()
+def _features_sql() -> str:
+    ctes, cols, joins = [CLOUD, near(0.5)], ["p.point_id"], []
+    for s, c in enumerate(spatial.SCALES):
+        ctes += [moments_sql(c, False, f"m{s}"), eigen_sql(f"m{s}", f"v{s}"), vector_sql(f"v{s}", f"g{s}", {"e1": "high", "e3": "low"}), moments_sql(c, True, f"k{s}"), eigen_sql(f"k{s}", f"c{s}")]
+        cols += [f"g{s}.n AS n{s}", r(f"g{s}.mid / nullif(g{s}.high, 0)", f"evqu{s}0", 4), r(f"g{s}.low / nullif(g{s}.high, 0)", f"evqu{s}1", 4)]
+        cols += [f"CASE WHEN g{s}.n > 2 THEN round(-g{s}.e{e}[2], 4) + 0.0 END AS grav{s}{k}" for k, e in ((0, 1), (1, 3))]
+        share = f"c{s}.low / nullif(c{s}.high + c{s}.mid + c{s}.low, 0)"
+        cols.append(f"CASE WHEN g{s}.n > 3 THEN round(coalesce(CASE WHEN {share} BETWEEN 0 AND 1 THEN {share} END, 100.0), 4) + 0.0 END AS curvature{s}")
+        joins.append(f"JOIN g{s} ON g{s}.src = p.point_id JOIN c{s} ON c{s}.src = p.point_id")
+    return f"WITH {', '.join(ctes)} SELECT {', '.join(cols)} FROM p {' '.join(joins)}"
+
+
+@query(_features_sql())
 def multiscale_features(spark, sf_dir):
-    return spatial.multiscale(cloud(spark, sf_dir))
+    """Directions of up to two points and curvatures of up to three are rounding noise: null here."""
+    found = spatial.multiscale(cloud(spark, sf_dir)).drop("model_id")
+    steady = {f"{name}{s}{k}": F.when(F.col(f"n{s}") > least, F.col(f"{name}{s}{k}")) for s in range(5) for name, least, ks in (("grav", 2, "01"), ("curvature", 3, ("",))) for k in ks}
+    return rounded(found.withColumns(steady), 4)
 
 
 SDF = f"""WITH {CLOUD}, v AS (SELECT a.point_id AS src, b.x - a.x AS vx, b.y - a.y AS vy, b.z - a.z AS vz, a.nx, a.ny, a.nz
@@ -301,12 +338,12 @@ def dataset_counts(spark, sf_dir):
 
 # ---------------------------------------------------------------- parts
 
-EIGHT = "e AS (SELECT vec_id, label AS label1, (label + 1) % 10 AS label2, list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE)) AS feat FROM embeddings), x AS (SELECT vec_id, label1, label2, unnest(range(0, 8)) AS i, unnest(feat) AS v FROM e)"
+RELATIONS = "e AS (SELECT vec_id, label AS label1, (label + 1) % 10 AS label2, list_transform(embedding[1:32], lambda v: CAST(v AS DOUBLE)) AS feat FROM embeddings), x AS (SELECT vec_id, label1, label2, unnest(range(0, 32)) AS i, unnest(feat) AS v FROM e)"
 
 
-@query(f"WITH {EIGHT} SELECT label1, label2, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, {r('avg(a.v)', 'mean_i')}, {r('avg(b.v)', 'mean_j')}, {r('covar_samp(a.v, b.v)', 'cov')}, count(*) AS n FROM x a JOIN x b USING (vec_id, label1, label2) WHERE a.i <= b.i GROUP BY ALL")
+@query(f"WITH {RELATIONS} SELECT label1, label2, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, {r('avg(a.v)', 'mean_i')}, {r('avg(b.v)', 'mean_j')}, {r('covar_samp(a.v, b.v)', 'cov')}, count(*) AS n FROM x a JOIN x b USING (vec_id, label1, label2) WHERE a.i <= b.i GROUP BY ALL")
 def pair_priors(spark, sf_dir):
-    rel = raw(spark, sf_dir).select(F.col("label").alias("label1"), ((F.col("label") + 1) % 10).alias("label2"), F.slice("e", 1, 8).alias("feat"))
+    rel = raw(spark, sf_dir).select(F.col("label").alias("label1"), ((F.col("label") + 1) % 10).alias("label2"), F.slice("e", 1, 32).alias("feat"))
     return rounded(parts.priors(rel))
 
 
@@ -377,7 +414,9 @@ def pairwise_energy(spark, sf_dir):
 
 @query(f"WITH {CLOUD} SELECT part_label, " + ", ".join(f"{r(f'min({c})', f'low_{c}')}, {r(f'max({c})', f'high_{c}')}" for c in "xyz") + " FROM p GROUP BY part_label")
 def box_extents(spark, sf_dir):
-    return rounded(cloud(spark, sf_dir).groupBy("part_label").agg(*itertools.chain(*[(F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}")) for c in "xyz"])))
+    boxes = parts.part_boxes(cloud(spark, sf_dir), axes=[[float(i == j) for j in range(3)] for i in range(3)])
+    end = lambda i, sign: F.get("trans", F.lit(i)) + sign * F.get("scale", F.lit(i)) / 2
+    return rounded(boxes.select("part_label", *itertools.chain(*[(end(i, -1).alias(f"low_{c}"), end(i, 1).alias(f"high_{c}")) for i, c in enumerate("xyz")])))
 
 
 @query(f"WITH {CLOUD}, b AS (SELECT part_label, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by_, min(z) AS az, max(z) AS bz FROM p GROUP BY part_label) SELECT part_label, CAST(4 * i + 2 * j + k AS INTEGER) AS corner, {r('CASE WHEN i = 0 THEN ax ELSE bx END', 'x')}, {r('CASE WHEN j = 0 THEN ay ELSE by_ END', 'y')}, {r('CASE WHEN k = 0 THEN az ELSE bz END', 'z')} FROM b, (VALUES (0), (1)) a(i), (VALUES (0), (1)) c(j), (VALUES (0), (1)) d(k)")
@@ -402,9 +441,52 @@ def miniball(spark, sf_dir):
     return solids.balls(cloud(spark, sf_dir, 5))
 
 
-@query()
+def _set_axes_sql(points: str, key: str) -> str:
+    """CTEs that end in ``a``: ``key``, e1, e2, e3 (principal axes, signed as in ``principal_axes``) and the mean."""
+    cells = ", ".join(f"avg({a} * {b}) - avg({a}) * avg({b}) AS {a}{b}" for a, b in PAIRS)
+    moment = f"m AS (SELECT {key}, count(*) AS n, [avg(x), avg(y), avg(z)] AS mean, {cells} FROM {points} GROUP BY {key})"
+    middle = "[e1[2] * e3[3] - e1[3] * e3[2], e1[3] * e3[1] - e1[1] * e3[3], e1[1] * e3[2] - e1[2] * e3[1]]"
+    top = "CASE WHEN abs(e2[1]) >= abs(e2[2]) AND abs(e2[1]) >= abs(e2[3]) THEN e2[1] WHEN abs(e2[2]) >= abs(e2[3]) THEN e2[2] ELSE e2[3] END"
+    return f"{moment}, {eigen_sql('m', 'v')}, {vector_sql('v', 'g', {'e1': 'high', 'e3': 'low'})}, h AS (SELECT {key}, mean, e1, e3, {middle} AS e2 FROM g), a AS (SELECT {key}, mean, e1, e3, list_transform(e2, lambda w: w * sign({top})) AS e2 FROM h)"
+
+
+def _along_sql(framed: str, points: str, key: str, more: str) -> str:
+    """CTEs that end in ``box``: a box along the axes u0, u1, u2 of each row of ``framed``."""
+    join = " AND ".join(f"f.{k} IS NOT DISTINCT FROM p.{k}" for k in key.split(", "))
+    local = ", ".join(f"{fn}(list_dot_product(f.u{i}, [p.x - f.mean[1], p.y - f.mean[2], p.z - f.mean[3]])) AS {fn}{i}" for i in range(3) for fn in ("min", "max"))
+    centre = [f"mean[{w}] + " + " + ".join(f"(min{i} + max{i}) / 2 * u{i}[{w}]" for i in range(3)) for w in (1, 2, 3)]
+    rot = ", ".join(f"u{i}[{w}]" for w in (1, 2, 3) for i in range(3))
+    own = ", ".join(f"f.{k}" for k in [*key.split(", "), *more.split(", ")] if k)
+    names = ", ".join(k for k in [*key.split(", "), *more.split(", ")] if k)
+    return f"""ends AS (SELECT {own}, any_value(f.mean) AS mean, any_value(f.u0) AS u0, any_value(f.u1) AS u1, any_value(f.u2) AS u2, {local} FROM {framed} f JOIN {points} p ON {join} GROUP BY {own}),
+    box AS (SELECT {names}, [{rot}] AS rot, [{', '.join(centre)}] AS trans, [max0 - min0, max1 - min1, max2 - min2] AS scale,
+            [-u0[2] * (max0 - min0), -u1[2] * (max1 - min1), -u2[2] * (max2 - min2), -({centre[1]})] AS height, list_concat(u0, u1, u2) AS axes FROM ends)"""
+
+
+def listed(names, digits: int = 4) -> str:
+    return ", ".join(f"list_transform({n}, lambda w: round(w, {digits}) + 0.0) AS {n}" for n in names)
+
+
+BOX_COLUMNS = ("rot", "trans", "scale", "height", "axes")
+
+
+def rounded_boxes(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.transform(c, lambda w: F.round(w, digits) + F.lit(0.0)) for c in BOX_COLUMNS})
+
+
+FIVE = f"{CLOUD}, q AS (SELECT point_id % 5 AS model_id, point_id, part_label, x, y, z FROM p)"
+#: The signed axis most along each world axis, each axis used once: first x, then y of the two left, then z.
+_SIGNED = "list_transform({v}, lambda w: w * sign({v}[{k}]))"
+UPRIGHT = f"""w0 AS (SELECT model_id, part_label, mean, [e1, e2, e3] AS es, CASE WHEN abs(e1[1]) >= abs(e2[1]) AND abs(e1[1]) >= abs(e3[1]) THEN 1 WHEN abs(e2[1]) >= abs(e3[1]) THEN 2 ELSE 3 END AS i0 FROM a),
+w1 AS (SELECT *, list_filter([1, 2, 3], lambda i: i <> i0) AS free FROM w0),
+w2 AS (SELECT *, CASE WHEN abs(es[free[1]][2]) >= abs(es[free[2]][2]) THEN free[1] ELSE free[2] END AS i1 FROM w1),
+w3 AS (SELECT *, 6 - i0 - i1 AS i2, es[i0] AS v0, es[i1] AS v1, es[6 - i0 - i1] AS v2 FROM w2),
+f AS (SELECT model_id, part_label, mean, {", ".join(_SIGNED.format(v=f"v{k}", k=k + 1) + f" AS u{k}" for k in range(3))} FROM w3)"""
+
+
+@query(f"WITH {FIVE}, {_set_axes_sql('q', 'model_id, part_label')}, {UPRIGHT}, {_along_sql('f', 'q', 'model_id, part_label', '')} SELECT CAST(model_id AS INTEGER) AS model_id, part_label, {listed(BOX_COLUMNS)} FROM box")
 def part_boxes(spark, sf_dir):
-    return parts.part_boxes(cloud(spark, sf_dir, 5))
+    return rounded_boxes(parts.part_boxes(cloud(spark, sf_dir, 5)))
 
 
 @query()
@@ -423,35 +505,55 @@ def rf_predict(spark, sf_dir):
     return learning.with_null_label(learning.distributions(learning.train(p, ["x", "y", "z", "nx", "ny", "nz"]), p))
 
 
-@query()
+FRAME_ROWS = ", ".join(f"({n}, {ix + 1}, {sx}, {iy + 1}, {sy}, {iz + 1}, {sz}, {det})" for n, ix, sx, iy, sy, iz, sz, det in parts.FRAMES)
+CANDIDATES = f"""WITH RECURSIVE {FIVE}, big AS (SELECT model_id, part_label AS part FROM q GROUP BY ALL HAVING count(*) >= 4), b AS (SELECT q.model_id, q.point_id, big.part, x, y, z FROM q JOIN big ON big.model_id = q.model_id AND big.part = q.part_label),
+link AS (SELECT s.model_id, s.part, s.point_id AS src, t.point_id AS dst FROM b s JOIN b t ON s.model_id = t.model_id AND s.part = t.part AND (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) <= 0.2 * 0.2),
+reach(id, seen) AS (SELECT point_id, point_id FROM b UNION SELECT reach.id, link.dst FROM reach JOIN link ON link.src = reach.seen),
+own AS (SELECT id, min(seen) AS cluster FROM reach GROUP BY id), c0 AS (SELECT b.*, own.cluster FROM b JOIN own ON own.id = b.point_id), c AS (SELECT * FROM c0 WHERE cluster IN (SELECT cluster FROM c0 GROUP BY cluster HAVING count(*) >= 3)),
+{_set_axes_sql('c', 'model_id, part, cluster')}, s(frame, ix, sx, iy, sy, iz, sz, det) AS (VALUES {FRAME_ROWS}),
+f AS (SELECT model_id, part, cluster, mean, frame, list_dot_product(e1, [e2[2] * e3[3] - e2[3] * e3[2], e2[3] * e3[1] - e2[1] * e3[3], e2[1] * e3[2] - e2[2] * e3[1]]) * det > 0 AS right_handed,
+      list_transform([e1, e2, e3][ix], lambda w: w * sx) AS u0, list_transform([e1, e2, e3][iy], lambda w: w * sy) AS u1, list_transform([e1, e2, e3][iz], lambda w: w * sz) AS u2 FROM a, s),
+{_along_sql('f', 'c', 'model_id, part, cluster', 'frame, right_handed')},
+members AS (SELECT model_id, part, cluster, list(point_id ORDER BY point_id) AS point_ids FROM c GROUP BY ALL)
+SELECT CAST(box.model_id AS INTEGER) AS model_id, part, cluster, CAST(frame AS INTEGER) AS frame, right_handed, point_ids, {listed(BOX_COLUMNS)},
+       CAST(row_number() OVER (PARTITION BY box.model_id ORDER BY part, cluster, frame) - 1 AS INTEGER) AS cand_id, CAST(dense_rank() OVER (PARTITION BY box.model_id ORDER BY part, cluster) - 1 AS INTEGER) AS cluster_no
+FROM box JOIN members USING (model_id, part, cluster)"""
+
+
+@query(CANDIDATES)
 def candidate_boxes(spark, sf_dir):
     p = cloud(spark, sf_dir, 5).withColumn("part", F.col("part_label"))
-    return parts.candidates(parts.clusters(p.select("model_id", "point_id", "part", "x", "y", "z"))).drop("point_ids")
+    return rounded_boxes(parts.candidates(parts.clusters(p.select("model_id", "point_id", "part", "x", "y", "z"))))
 
 
-def _energies(spark, sf_dir):
-    d = distribution(spark, sf_dir).where("label < 4")
+def energies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Twelve nodes with five labels, the last of them null: label costs, and costs of all pairs."""
+    d = distribution(spark, sf_dir)
     members = d.select("model_id", F.pmod("point_id", F.lit(12)).cast("int").alias("cand_id"), "point_id").distinct()
     unary = parts.unary_energy(members, d).withColumnRenamed("cand_id", "node")
-    return unary, pairwise_energy(spark, sf_dir).withColumn("model_id", F.lit(0))
+    labels = d.select("label").distinct()
+    unit = [float(i == j) for i in range(32) for j in range(32)]
+    inverses = spark.createDataFrame([(a, b, [0.1 * a] * 32, unit) for a in range(4) for b in range(4) if a != b and (a, b) != (0, 2)], "label1 int, label2 int, mean array<double>, inverse array<double>")
+    return unary, parts.pair_costs(boxes(spark, sf_dir), labels, inverses, 4)
 
 
 @query()
 def trws(spark, sf_dir):
-    return mrf.solve(*_energies(spark, sf_dir), "trws")
+    return mrf.solve(*energies(spark, sf_dir), "trws")
 
 
 @query()
 def belief_propagation(spark, sf_dir):
-    return mrf.solve(*_energies(spark, sf_dir), "bp")
+    return mrf.solve(*energies(spark, sf_dir), "bp")
 
 
 @query()
 def structure_inference(spark, sf_dir):
+    """Features, forest, part relations and the boxes that explain five clouds."""
     from . import actions
 
     p = cloud(spark, sf_dir, 5)
-    model = learning.train(p, ["x", "y", "z", "nx", "ny", "nz"])
-    dist = learning.with_null_label(learning.distributions(model, p))
+    features = spatial.checkpointed(spark, actions.estimate_features(p))
+    dist = actions.test_point_cloud(actions.train_point_classifier(features), features)
     sharp = dist.withColumn("prob", F.when(F.col("prob") > 0.2, 0.8).otherwise(F.col("prob")))
-    return actions.infer_structure(p, sharp, actions.train_part_relations(p), spark.createDataFrame([], "group_id int, label int, rep_label int"))
+    return actions.infer_structure(p, sharp, actions.train_part_relations(p), symmetry(spark))

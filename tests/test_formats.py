@@ -69,7 +69,7 @@ def test_predictions_symmetry_priors_candidates(spark, tmp_path):
 def test_ply_and_thin(spark, tmp_path):
     pts = spark.createDataFrame([("m", i, float(i), 0.0, 0.0, 0.0, 0.0, 1.0) for i in range(5)], "model_id string, point_id int, x double, y double, z double, nx double, ny double, nz double")
     formats.write_ply(pts, str(tmp_path / "o"))
-    text = "".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "o" / "part*")))).splitlines()
+    text = "".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "o" / "model_id=m" / "part*")))).splitlines()
     assert text[0] == "ply" and text[2] == "element vertex 5" and text[10] == "0.0 0.0 0.0 0.0 0.0 1.0" and len(text) == 15
     assert sorted(r.point_id for r in formats.thin(pts, 2.0).collect()) == [0, 2, 4]
 

@@ -29,26 +29,27 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert flat(tuple(r) for r in got.select(*cols).collect()) == flat(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"structure_inference"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_structure_inference_does_the_whole_job(spark, sf_dir, monkeypatch):
-    """Points over 0.2 are assigned, and forest and solver run as long as they do by default."""
+    """All 27 features, the symmetry groups, points over 0.2, and forest and solver at their defaults."""
     from pyspark.sql import functions as F
 
     from pointloom.operators import learning
     from pointloom.plans import actions
 
     given = {}
-    monkeypatch.setattr(learning, "train", lambda *a, **b: given.update(train=b))
+    monkeypatch.setattr(learning, "train", lambda features, **b: given.update(train=b, features=features.columns))
     monkeypatch.setattr(learning, "distributions", lambda *a: spark.createDataFrame([(0, 1, 0, 0.22), (0, 2, 0, 0.2)], "model_id int, point_id long, label int, prob double"))
     monkeypatch.setattr(actions, "train_part_relations", lambda p: None)
-    monkeypatch.setattr(actions, "infer_structure", lambda p, dist, *a, **b: given.update(infer=b) or dist)
+    monkeypatch.setattr(actions, "infer_structure", lambda p, dist, priors, symmetry, **b: given.update(infer=b, groups=symmetry.count()) or dist)
     sharp = QUERIES["structure_inference"](spark, sf_dir).where(F.col("label") == 0)
     assert {r.point_id: r.prob for r in sharp.collect()} == {1: 0.8, 2: 0.2}
-    assert "trees" not in given["train"] and "iterations" not in given["infer"]
+    assert given["train"] == {"trees": 100} and not given["infer"] and given["groups"] == 4
+    assert set(learning.FEATURES) < set(given["features"])
 
 
 def test_rays_and_trees_are_the_operators_defaults(spark, sf_dir, monkeypatch):
