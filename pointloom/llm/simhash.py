@@ -1,8 +1,10 @@
 """SimHash near-dedup by tiled exact comparison.
 
 Fingerprints of equal documents are merged first.  Two fingerprints that differ in at most
-``radius`` bits agree in one of ``radius + 1`` bands, so bands are the candidate key; inside
-a band value fingerprints stand sorted by their number of set bits, in tiles of ``TILE``.
+``radius`` bits agree in all but ``radius`` of ``radius + m`` bands, so each choice of ``m`` bands
+is a candidate key; ``m`` grows with the number of fingerprints, so that few share a key by
+chance.  Inside a key's value fingerprints stand sorted by their number of set bits, in tiles of
+``TILE``.
 A pair of tiles is compared by numpy exclusive-or and bit counts unless their bit counts are
 further apart than the radius.  A band value with more than ``ITEM`` fingerprints is dealt
 into slices whose pairs are work items of their own.  Every work item keeps only a spanning
@@ -27,6 +29,7 @@ that has another id.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -39,6 +42,8 @@ from .common import join_checked, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 TILE, ITEM = 512, 32_768
+#: Fingerprints that may share a key's value by chance before keys get another band.
+CHANCE = 256
 #: Shingles in a slice of a group whose pairs are checked.
 PART = 1_000_000
 #: Smallest hashes in a band, and the chance that a pair of the least similarity is no candidate.
@@ -313,18 +318,28 @@ def _compare(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def bands_in_key(count: int, radius: int) -> int:
+    """How many bands make a key, so that at most about ``CHANCE`` of ``count`` fingerprints share one by chance."""
+    m = 1
+    while m < 4 and count >> (64 * m // (radius + m)) > CHANCE:
+        m += 1
+    return m
+
+
+def links(prints: DataFrame, radius: int = RADIUS, m: int | None = None) -> DataFrame:
     """Rows (a, b, bits) that connect all nodes with fingerprints within ``radius`` bits.
 
     prints: node and fp (long), and, if nodes have several fingerprints, word, which one:
-    only equal words are compared.
+    only equal words are compared.  Any ``m`` gives the same components.
     """
-    bands = radius + 1
-    width = 64 // bands
-    band = [F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)) if i + 1 < bands else F.shiftrightunsigned("fp", width * i) for i in range(bands)]
+    m = bands_in_key(prints.count(), radius) if m is None else m
+    edges = [64 * i // (radius + m) for i in range(radius + m + 1)]
+    band = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in itertools.pairwise(edges)]
     word = F.col("word") if "word" in prints.columns else F.lit(0)
-    keyed = prints.select("node", "fp", F.explode(F.array(*[F.struct(word.alias("w"), F.lit(i).alias("i"), b.alias("b")) for i, b in enumerate(band)])).alias("key"))
-    # At most words x bands x 2^width rows have a band value over the size of a work item.
+    # A hash of the chosen bands: two values with one hash only mean more to compare.
+    choices = [F.struct(word.alias("w"), F.xxhash64(F.lit(i), *own).alias("b")) for i, own in enumerate(itertools.combinations(band, m))]
+    keyed = prints.select("node", "fp", F.explode(F.array(*choices)).alias("key"))
+    # Few values are over the size of a work item: each takes that many fingerprints.
     large = written(keyed.groupBy("key").count().where(F.col("count") > ITEM).select("key", F.ceil(F.col("count") / ITEM).alias("slices")), "large")
     keyed = join_checked(keyed, large, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = F.pmod(F.xxhash64("fp", "node"), F.col("slices"))
