@@ -113,6 +113,11 @@ def n_choose_k(n, k) -> Column:
     return F.factorial(n) / (F.factorial(k) * F.factorial(n - k))
 
 
+def millis_of_day(moment) -> Column:
+    """Milliseconds since midnight in the session's time zone."""
+    return F.unix_millis(moment) - F.unix_millis(F.date_trunc("day", moment))
+
+
 def nearly_equal(a, b, eps: float = 1e-8) -> Column:
     return F.abs(a - b) < eps
 

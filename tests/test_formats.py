@@ -78,6 +78,8 @@ def test_names_and_forest(spark):
     df = spark.createDataFrame([(r"C:\data\chairs\off\12.v.off",), ("/data/chairs/off/12.v.off",)], "p string")
     got = df.select(G.model_name(F.col("p")), G.model_name_with_class(F.col("p")), G.seg_path(F.col("p"))).collect()
     assert tuple(got[0]) == ("12", "chairs_12", r"C:\data\chairs\gt\12.v.seg") and tuple(got[1]) == ("12", "chairs_12", "/data/chairs/gt/12.v.seg")
+    day = spark.sql("SELECT TIMESTAMP '2020-02-03 01:02:03.004' AS t").select(G.millis_of_day(F.col("t")).alias("ms")).collect()
+    assert day[0].ms == ((1 * 60 + 2) * 60 + 3) * 1000 + 4
     pts = spark.createDataFrame([(0, i, float(i), 3 * (i > 50) + 2 if i % 9 else None) for i in range(100)], "model_id int, point_id int, x double, part_label int")
     model = learning.train(pts, ["x"], trees=5)
     dist = learning.distributions(model, pts)
