@@ -6,8 +6,11 @@ window can match only where no number is missing.  Such windows are looked up by
 hit is verified word by word, and the words inside any hit are marked.
 
 Null texts and texts without words are never hit and, as benchmark items, hit nothing.
-Items that repeat an item_id count once; a null item_id counts as an empty string.  The
-benchmark's words are bounded by ``MAX_WORDS``; documents are not.
+Items that repeat an item_id count once; a null item_id counts as an empty string.  Repeated
+rows are scanned one by one.  What is broadcast at once is bounded by ``MAX_BYTES`` of
+benchmark text: a larger benchmark is dealt into parts by a hash of its items (a longer item
+is a part by itself), each of which scans the documents and adds to what the parts before it
+found.  A document's text is held whole, with a few numbers a word.
 """
 
 from __future__ import annotations
@@ -19,10 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+
+from .common import written
 
 WINDOW = 10
-#: Words of all benchmark texts together: bounds what is sent to every executor.
-MAX_WORDS = 5_000_000
+#: Bytes of benchmark texts whose windows are sent to every executor at once.
+MAX_BYTES = 20 << 20
+
+FOUND = StructType([StructField("__n", LongType()), StructField("__k", LongType()), StructField("__hit", BinaryType()), StructField("__items", ArrayType(StringType()))])
 
 #: Bytes that are no part of a word become blanks, A-Z become a-z.
 TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -97,35 +105,73 @@ def without(text: str, hit: np.ndarray) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(sent, with_text: bool):
+def _scan(sent, fresh: bool):
+    """Adds to the hit words (a bit each) and items that earlier parts of the benchmark found."""
+
     def run(batches):
         windows = sent.value
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
+            rows, columns = [], batch.columns if fresh else batch.columns[:-4]
+            before = [None] * len(batch) if fresh else zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)
+            for text, known in zip(batch.column(0).to_pylist(), before, strict=True):
                 ws = words(text)
                 hit, found = windows.find(ws)
+                if known:
+                    hit |= bits(known[0], len(ws))
+                    found.update(known[1])
                 n = int(hit.sum())
-                rows.append((len(ws), n, sorted(found), (without(text, hit) if n else text) if with_text else None))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
-            cols = zip(*rows, strict=True) if rows else [()] * 4
-            found = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "items", "clean", *batch.schema.names[2:]])
+                rows.append((len(ws), n, np.packbits(hit).tobytes() if n else b"", sorted(found)))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()))
+            found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *found], [*batch.schema.names[: len(columns)], *FOUND.names])
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True, hashed: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items and clean; text_hash if ``hashed``.
+def bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
+
+
+def _parts(benchmark: DataFrame, max_bytes: int) -> list[DataFrame]:
+    """Items (item, text) in parts of about ``max_bytes``."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    count = -(-size // max_bytes)
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) for k in range(count)] if count > 1 else [items]
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``docs`` (text first) with ``__n`` words, ``__k`` of them hit, ``__hit``, a bit a word (empty: none), and ``__items``."""
+    schema = StructType([*docs.schema.fields, *FOUND.fields])
+    parts, out = _parts(benchmark, max_bytes), docs
+    for k, part in enumerate(parts):
+        sent = docs.sparkSession.sparkContext.broadcast(Windows([(r["item"], words(r["text"])) for r in part.collect()], window))
+        out = (written(out, "marked") if k else out).mapInArrow(_scan(sent, not k), schema)
+    return out
+
+
+def _clean(batches):
+    for batch in batches:
+        text, sizes, hits = (batch.column(i).to_pylist() for i in range(3))
+        clean = [without(t, bits(h, n)) if h else t for t, n, h in zip(text, sizes, hits, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(clean, pa.string())], ["doc_id", "n_words", "n_hit", "items", "clean"])
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, items and clean.
 
     ``items`` are the item_ids with occurring windows, sorted as strings; ``clean`` is the
     text with hit spans removed.
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    if size > 12 * MAX_WORDS:
-        raise ValueError(f"the benchmark has {size} bytes; one set holds {12 * MAX_WORDS}. Scan it in parts.")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").collect()
-    sent = spark.sparkContext.broadcast(Windows([(r["item"], words(r["text"])) for r in items], window))
-    more = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")] if hashed else []
-    return docs.select("doc_id", "text", *more).mapInArrow(_scan(sent, with_text), "doc_id long, n_words long, n_hit long, items array<string>, clean string" + ", text_hash long" * hashed)
+    found = marked(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), benchmark, window, max_bytes)
+    out = [F.col("doc_id"), F.col("__n").alias("n_words"), F.col("__k").alias("n_hit"), F.col("__items").alias("items")]
+    if not with_text:
+        return found.select(*out, F.lit(None).cast("string").alias("clean"))
+    return found.select("text", "__n", "__hit", *out).mapInArrow(_clean, "doc_id long, n_words long, n_hit long, items array<string>, clean string")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows of ``docs`` without a hit, all columns; each row by its own verdict, without a join."""
+    own = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__rest"))
+    kept = marked(own, benchmark, window, max_bytes).where("__k = 0")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"__rest.`{c}`") for c in docs.columns])

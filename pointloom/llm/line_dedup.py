@@ -23,6 +23,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import BLANKS, BROADCAST_ROWS, ascii_lower, join_checked, join_counted, scratch, written
 
@@ -131,27 +132,31 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     return out
 
 
+def _with_drops(docs: DataFrame, own: DataFrame, *rules) -> DataFrame:
+    """``own`` (doc_id, text and more) with ``__drop``, the places of lines that go."""
+    gone = drops(docs, *rules).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__drop")
+    same = own["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(F.coalesce(own["text"], F.lit(""))) == gone["__row"])
+    # A list of places may be long: only few documents may be broadcast.
+    return join_checked(own, gone, same, "left", BROADCAST_ROWS // 25)
+
+
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_lines, n_dropped, kept (the text left), kept_sha256."""
     docs = docs.select("doc_id", "text")
-    gone = drops(docs, min_chars, min_docs, batches, fanout).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__drop")
-    # A list of places may be long: only few documents may be broadcast.
-    joined = join_checked(docs, gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__row"]), "left", BROADCAST_ROWS // 25)
+    joined = _with_drops(docs, docs, min_chars, min_docs, batches, fanout)
     return joined.select("doc_id", "text", "__drop").mapInArrow(_cut, "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string")
 
 
+def _replace(batches):
+    for batch in batches:
+        texts = [_kept(t, d)[1] if d else t for t, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "__rest"])
+
+
 def replaced(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with all its columns, texts without the lines that go, ``n_chars`` (if there) to match."""
-    gone = drops(docs, min_chars, min_docs, batches, fanout).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__drop")
-    joined = join_checked(docs, gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__row"]), "left", BROADCAST_ROWS // 25)
-    place, schema = docs.columns.index("text"), docs.schema
-
-    def cut(batches):
-        for batch in batches:
-            texts = [_kept(t, d)[1] if d else t for t, d in zip(batch.column(place).to_pylist(), batch.column(len(schema)).to_pylist(), strict=True)]
-            cols = [batch.column(i) for i in range(len(schema))]
-            cols[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, schema.names)
-
-    out = joined.select(*[docs[c] for c in docs.columns], "__drop").mapInArrow(cut, schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__rest"))
+    joined = _with_drops(docs.select("doc_id", "text"), own, min_chars, min_docs, batches, fanout)
+    out = joined.select("text", "__drop", "__rest").mapInArrow(_replace, StructType([StructField("text", StringType()), own.schema["__rest"]]))
+    size = lambda c: F.char_length("text").cast(docs.schema[c].dataType).alias(c)
+    return out.select(*[F.col("text") if c == "text" else size(c) if c == "n_chars" else F.col(f"__rest.`{c}`") for c in docs.columns])

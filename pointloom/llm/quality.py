@@ -6,6 +6,11 @@ document's score is the mean, over its n-grams, of ``ln(p_trusted / p_corpus)``.
 threshold is the point that best separates the labelled documents; every document gets a
 verdict by comparing its score with it, so equal texts get equal verdicts.
 
+Texts are split once: counts and buckets are written beside the rows, and all that follows
+reads those.  No text is shuffled.  The trusted multinomial is fit on at most about
+``MAX_TRUSTED`` trusted labels (those whose ids hash lowest), which are broadcast; corpus
+counts, scores and the threshold cover everything.
+
 Null texts have no words; documents without n-grams score 0; labels that are missing, null
 or for unknown documents are ignored; repeated rows count once each.  With no trusted or no
 rejected labels the threshold is ``-inf`` and only the base rules reject.
@@ -18,9 +23,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, written
+from .common import written
 
 BUCKETS = 10_000
+#: Trusted labels that the trusted multinomial is fit on, about: more are sampled by a hash of their ids.
+MAX_TRUSTED = 200_000
 #: Weight of a trusted document that is rejected against a bad one that is kept.
 KEEP_WEIGHT = 10.0
 #: The threshold is searched on a fixed grid, so that only its counts reach the driver.
@@ -80,27 +87,36 @@ def with_buckets(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> D
     return df.withColumn("__grams", F.concat(ones, twos)).drop("__tokens")
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text") -> list[float]:
-    """ln(p_trusted / p_corpus) of each bucket, add-one smoothed; ``buckets`` rows reach the driver."""
-    trusted = written(labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct().withColumn("__trusted", F.lit(1)), "trusted")
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    rows = with_buckets(join_checked(rows, trusted, "__id", "left"), "__text", buckets)
+def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
+    """``__id`` and ``__trusted`` (1) of about ``most`` trusted documents at most."""
+    ids = written(labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id")).distinct(), "trusted")
+    n = ids.count()
+    if n > most:
+        ids = ids.where(F.pmod(F.xxhash64("__id"), F.lit(n)) < most)
+    return ids.withColumn("__trusted", F.lit(1))
+
+
+def log_ratios(counted: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = MAX_TRUSTED) -> list[float]:
+    """ln(p_trusted / p_corpus) of each bucket, add-one smoothed; ``buckets`` rows reach the driver.
+
+    counted: ``__id`` and ``__grams`` of all documents.
+    """
+    rows = counted.select("__id", "__grams").join(F.broadcast(trusted_ids(labels, most)), "__id", "left")
     # Not explode(): its inferred size filter would be pushed below the split and inlined into every lambda.
-    counted = rows.select(F.explode_outer("__grams").alias("b"), "__trusted").where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("raw"), F.count("__trusted").alias("good"))
+    found = rows.select(F.explode_outer("__grams").alias("b"), "__trusted").where("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("raw"), F.count("__trusted").alias("good"))
     raw, good = [1.0] * buckets, [1.0] * buckets
-    for r in counted.collect():
+    for r in found.collect():
         raw[r["b"]] += r["raw"]
         good[r["b"]] += r["good"]
     all_raw, all_good = sum(raw), sum(good)
     return [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw, strict=True)]
 
 
-def with_score(df: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
-    """Adds ``llr``, the length-normalised log-likelihood ratio."""
+def llr_of(ratios: list[float]) -> Column:
+    """The length-normalised log-likelihood ratio, from ``__grams``."""
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    df = with_buckets(df, text, len(ratios))
     total = F.aggregate("__grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    return df.withColumn("llr", F.when(F.size("__grams") > 0, total / F.greatest(F.size("__grams"), F.lit(1))).otherwise(0.0)).drop("__grams")
+    return F.when(F.size("__grams") > 0, total / F.greatest(F.size("__grams"), F.lit(1))).otherwise(0.0)
 
 
 def threshold(scored: DataFrame, labels: DataFrame, keep_weight: float = KEEP_WEIGHT) -> float:
@@ -133,10 +149,28 @@ def threshold(scored: DataFrame, labels: DataFrame, keep_weight: float = KEEP_WE
     return LOW + step * ((start + end) // 2)
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, keep_weight: float = KEEP_WEIGHT, more: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, columns ``more``, the base counts, base_failed, llr, cut and kept."""
-    ratios = log_ratios(docs, labels, buckets, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *more, F.col(text).alias("__text"))
-    scored = written(with_score(base_counts(rows, "__text"), ratios, "__text").drop("__text"), "quality")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _counted(docs: DataFrame, doc_id: str, text: str, buckets: int, whole: bool) -> DataFrame:
+    """Written once: ``__id``, the base counts, base_failed, ``__grams`` and, if ``whole``, the row as ``__doc``."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")] if whole else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"), *more)
+    return written(with_buckets(base_counts(rows, "__text"), "__text", buckets).drop("__text"), "counted")
+
+
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, keep_weight: float = KEEP_WEIGHT, most: int = MAX_TRUSTED) -> DataFrame:
+    """Per row of ``docs``: doc_id, the base counts, base_failed, llr, cut and kept."""
+    counted = _counted(docs, doc_id, text, buckets, False)
+    llr = llr_of(log_ratios(counted, labels, buckets, most))
+    scored = written(counted.select(F.col("__id").alias("doc_id"), *COUNTS, "base_failed", llr.alias("llr")), "quality")
     cut = threshold(scored, labels, keep_weight)
     return scored.withColumn("cut", F.lit(cut)).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.col("cut")))
+
+
+def filtered(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, keep_weight: float = KEEP_WEIGHT, most: int = MAX_TRUSTED) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` keeps, all columns; each row by its own verdict, without a join."""
+    counted = _counted(docs, doc_id, text, buckets, True)
+    llr = llr_of(log_ratios(counted, labels, buckets, most))
+    cut = threshold(counted.select(F.col("__id").alias("doc_id"), "base_failed", llr.alias("llr")), labels, keep_weight)
+    return counted.where(~F.col("base_failed") & (llr >= cut)).select("__doc.*")

@@ -183,13 +183,15 @@ def test_links_connect_chains_groups_and_slices(spark, monkeypatch):
     signed = [p - (1 << 64) * (p >> 63) for p in prints]
     monkeypatch.setattr(simhash, "ITEM", 64)
     df = spark.createDataFrame([(p, p) for p in signed], "node long, fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
     want = brute_components(prints, signed)
     together = defaultdict(set)
     for s, w in zip(signed, want):
         together[w].add(s)
-    for members in together.values():
-        assert {roots.get(m, m) for m in members} == {min(members)}
+    for m in (1, 2, 3):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(df, m=m)).collect()}
+        for members in together.values():
+            assert {roots.get(x, x) for x in members} == {min(members)}
+    assert [simhash.bands_in_key(n, 3) for n in (0, 10**6, 10**8, 10**11)] == [1, 1, 2, 3]
 
 
 def test_more_words_find_near_copies_and_leave_others(spark):
@@ -487,3 +489,67 @@ def test_pipeline_judges_rows_with_null_and_repeated_ids_apart(spark, tmp_path):
     got = left(corpus_pipeline.near_duplicates, copies)
     assert got.total() == 4 and got[None, clean[0]] == 1 and got[5, clean[1]] == 1 and got[7, clean[3]] == 1
     assert got[7, clean[2]] + got[7, clean[2] + " more"] == 1
+
+
+ODD = ["__id", "__drop", "row", "text_hash", "__doc", "__hit", "node", "kept", "a b.c", "n_chars"]
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path, monkeypatch):
+    """Nulls, empty and long texts, repeats, clashing columns, empty tables; broadcast or shuffled alike."""
+    import corpus_pipeline
+    from pointloom.llm import common, line_dedup
+
+    rng = random.Random(14)
+    text = lambda n=80: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    line = "a line that many documents share and that is long enough to go"
+    long = text(200_000)
+    leak, one = text(), text()
+    rows = [(1, None), (2, ""), (3, long), (4, long + " x"), (5, leak), (None, one), (None, one), (6, one), (6, one), (7, "short")]
+    rows += [(10 + i, text(60) + "\n" + line + "\n" + text(60)) for i in range(6)]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ODD:
+        docs = docs.withColumn(c, F.lit(5).cast("long") if c == "n_chars" else F.lit(f"of {c}"))
+    left = {}
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            if name in ("quality_rules", "benchmark_decontamination"):
+                assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+            got = out.collect()
+            assert all(r[c] == f"of {c}" for r in got for c in ODD[:-1])
+            found = Counter((r.doc_id, r.text) for r in got)
+            assert left.setdefault(name, found) == found
+            if most:
+                assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    assert left["quality_rules"] == Counter(x for x in rows if x[1] and len(x[1].split()) >= 50)
+    assert left["benchmark_decontamination"] == Counter(x for x in rows if x[1] != leak)
+    shorter = Counter((d, t if d is None or d < 10 or d == 15 else t.replace(line + "\n", "")) for d, t in rows)
+    assert left["line_dedup"] == shorter
+    near = left["simhash_near_dedup"]
+    assert near.total() == 5 + 6 and near[6, one] == 1 and near[3, long] == 1 and near[1, None] + near[2, ""] == 1
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(d for d, _ in rows)
+    assert corpus_pipeline.pack(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_warc_and_lines_with_shuffled_sides(spark, monkeypatch):
+    """Beyond the size for a broadcast hot keys go apart, the rest by a shuffle: equal results."""
+    from pointloom.llm import common, line_dedup
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "same" if i % 3 else f"p{i // 6}") for i in range(300)], "page_id long, url string, html string")
+    line = "a line that very many documents share, long enough to be a key"
+    docs = spark.createDataFrame([(i, f"{line}\nsecond line of some documents, number {i // 6}, with forty characters\nown {i}") for i in range(300)], "doc_id long, text string")
+    runs = lambda: (as_rows(warc.page_records(pages)), Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.dedup(docs).collect()))
+    want = runs()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "SPLIT_ROWS", 0)
+    for hot in (common.HOT_KEYS, 10):
+        monkeypatch.setattr(common, "HOT_KEYS", hot)
+        assert runs() == want
+    assert want[0] == brute_warc([tuple(r) for r in pages.collect()]) and any(r[2] == 2 for r in want[1])
