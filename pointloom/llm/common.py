@@ -40,7 +40,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
