@@ -1,18 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds, for every token 1-gram and 2-gram of the training documents, the events
-(n-gram, 1) ... (n-gram, q) where q is its count's level on a logarithmic scale.  A count is
+The filter holds, for every token 1-gram and 2-gram (with ``order`` 3 also every 3-gram) of the
+training documents, the events (n-gram, 1) ... (n-gram, q) where q is its count's level on a logarithmic scale.  A count is
 read by asking for level after level until one is absent.  The filter's size follows the
 corpus at ``BITS`` a level.  Up to ``max_bytes`` it is sent to all workers; a larger one stays
 a table of blocks, and the documents' n-grams go to the block that holds them and come back
 with their levels.  Scores are the same either way.
 
 Smoothing is Dirichlet: P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu) with
-P(w) = (c(w) + 1) / (N + V + 1), all counts as the filter gives them, c(vw) at most c(v).
-The first token's context is the end token.
+P(w) = (c(w) + 1) / (N + V + 1), and with 3-grams P(w | uv) = (c(uvw) + mu3 P(w | v)) / (c(uv) + mu3);
+all counts as the filter gives them, none over that of its context.  The first token's context
+is the end token alone.  3-grams tell texts that occur elsewhere better apart, at more than twice
+the filter and the shuffled n-grams.
 
-Inside a block an n-gram is known by 40 bits of its hash: a block holds about a million, so
-one in a million shares its own with another, far fewer than the filter's own false answers.
+Inside a block an n-gram is known by 32 bits of its hash: a block holds about a million, so
+one of thousands shares its own with another, far fewer than the filter's own false answers.
 
 A base score beside it needs exact 1-gram counts, kept by 96 bits of hashes of a token.  The
 ``HEAD`` most frequent tokens at most are sent to all workers, the rest are joined; so a
@@ -46,19 +48,21 @@ from .common import written
 END = b"\n"  # no word holds it
 BASE = 1.5
 BITS, HASHES = 6, 3
-MU = 2000.0
+MU, MU3 = 2000.0, 10.0
+ORDER = 2
 HEAD = 300_000
 #: Bytes of training text that share a block of the filter.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Largest filter that is sent to all workers: each holds a copy of its own.
 MAX_BYTES = 64 << 20
 #: Bytes of text handled at once, and n-grams a worker counts before it passes them on.
-SLICE, HELD = 2 << 20, 1_500_000
+SLICE, HELD = 2 << 20, 2_000_000
 #: Documents of a chunk whose n-grams are asked for together, as a power of two; a text over ``LONG`` bytes is one by itself.
 CHUNK_BITS, LONG = 9, 1 << 16
 
-#: The part of a hash that an n-gram is known by in its block.
-OWN = np.uint64((1 << 40) - 1)
+#: The part of a hash that an n-gram is known by in its block, in bytes and as a mask.
+WIDTH = 4
+OWN = np.uint64((1 << 8 * WIDTH) - 1)
 
 #: Odd factors that make hashes differ (fixed values).
 SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -110,13 +114,22 @@ class Tokens:
     h1: np.ndarray  # by number
     h2: np.ndarray
 
-    def pairs(self) -> np.ndarray:
-        """Hashes of all 2-grams.  What stands before a text is the end token, of the text before or not."""
-        return pair_hash(self.h1[self.before()], self.h1[self.ids])
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
     def before(self) -> np.ndarray:
+        """Before each token.  What stands before a text is the end token, of the text before or not."""
         return np.concatenate((np.array([len(self.h1) - 1]), self.ids[:-1]))
 
+    def grams(self, order: int) -> np.ndarray:
+        """Hashes of the 2-grams that end in each token, then of the 3-grams, of all but a text's first token."""
+        pairs = pair_hash(self.h1[self.before()], self.h1[self.ids])
+        if order < 3:
+            return pairs
+        at = np.delete(np.arange(len(pairs)), self.starts)
+        return np.concatenate((pairs, pair_hash(pairs[at - 1], self.h1[self.ids[at]])))
+
 
 def tokenized(texts: pa.Array) -> Tokens:
     """Words with A-Z lower-cased, then the end token."""
@@ -233,7 +246,7 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
 # ---------------------------------------------------------------- counting
 
 
-def _count(blocks: int):
+def _count(blocks: int, order: int):
     """Rows (block, grams, words): 2-grams by their hash, tokens by both of theirs, and how often each occurs."""
 
     def flush(grams, words):
@@ -243,7 +256,7 @@ def _count(blocks: int):
         x, y = np.searchsorted(block_of(h, blocks), ends), np.searchsorted(block_of(h1, blocks), ends)
         for at in range(0, blocks, 64):
             some = range(at, min(at + 64, blocks))
-            first = [pack(h[x[k] : x[k + 1]], c[x[k] : x[k + 1]], 5) for k in some]
+            first = [pack(h[x[k] : x[k + 1]], c[x[k] : x[k + 1]], WIDTH) for k in some]
             second = [h2[y[k] : y[k + 1]].tobytes() + pack(h1[y[k] : y[k + 1]], n[y[k] : y[k + 1]], 8) for k in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["block", "grams", "words"])
 
@@ -253,7 +266,7 @@ def _count(blocks: int):
             for _, t in slices(batch.column(0)):
                 c = np.bincount(t.ids, minlength=len(t.h1))
                 seen = c > 0  # a blank's empty neighbour has a number and is no word
-                grams.append(np.unique(t.pairs(), return_counts=True))
+                grams.append(np.unique(t.grams(order), return_counts=True))
                 words.append((t.h1[seen], t.h2[seen], c[seen]))
                 n += len(grams[-1][0]) + 2 * len(words[-1][0])
                 if n > HELD:
@@ -302,7 +315,7 @@ def _built(each: int):
     """One block: its bits, its tokens with their exact counts, how many those are and how many kinds."""
 
     def run(key, table):
-        h, c = map(np.concatenate, zip(*(unpack(x, 5) for x in table.column("grams").to_pylist()), strict=True))
+        h, c = map(np.concatenate, zip(*(unpack(x, WIDTH) for x in table.column("grams").to_pylist()), strict=True))
         h1, h2, n = summed(*map(np.concatenate, zip(*(unpack(x, 8, 4) for x in table.column("words").to_pylist()), strict=True)))
         h, c = summed(np.concatenate((h, h1 & OWN)), np.concatenate((c, n)))
         row = [key[0].as_py(), bits_of(h, level_of(c), each), h2.tobytes() + pack(h1, n, 8), len(n), int(n.sum())]
@@ -338,11 +351,11 @@ class Learnt:
         return Filter(np.concatenate([*found, np.zeros(0, np.uint8)]), np.array([8 * len(x) for x in found]))
 
 
-def learn(texts: DataFrame, each: int = BITS) -> Learnt:
+def learn(texts: DataFrame, order: int = ORDER, each: int = BITS) -> Learnt:
     """Counts n-grams block by block and builds each block's bits in one task."""
     size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    found = texts.select("text").mapInArrow(_count(blocks), "block long, grams binary, words binary").groupBy("block")
+    found = texts.select("text").mapInArrow(_count(blocks, order), "block long, grams binary, words binary").groupBy("block")
     table = written(found.applyInArrow(_built(each), "block long, bits binary, words binary, kinds long, tokens long"), "blocks")
     vocabulary = table.select("words").mapInArrow(_words, "h1 long, h2 int, c long")
     totals = table.agg(F.sum("tokens"), F.sum("kinds"), F.sum(F.octet_length("bits")), F.count("*")).collect()[0]
@@ -353,92 +366,97 @@ def learn(texts: DataFrame, each: int = BITS) -> Learnt:
 # ---------------------------------------------------------------- asking block by block
 
 
-def _probes(blocks: int):
-    """Input chunk, text; rows (chunk, block, data): sorted hashes of a chunk's 1-grams and 2-grams."""
+def asked(texts: pa.Array, order: int) -> np.ndarray:
+    """Sorted hashes of all n-grams of some texts."""
+    return np.unique(np.concatenate([np.unique(np.concatenate((t.grams(order), t.h1))) for _, t in slices(texts)]))
+
+
+def _probes(blocks: int, order: int):
+    """Input chunk, n, text; rows (chunk, part, block, data): the n-grams of neighbours of one chunk.
+
+    A part is named by the number n of its first text.
+    """
 
     def run(batches):
         for batch in batches:
-            chunk = batch.column(0).to_numpy()
+            chunk, first = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)])) if len(chunk) else [0]
             for start, end in itertools.pairwise(edges):
-                for _, t in slices(batch.column(1).slice(start, end - start)):
-                    h = np.unique(np.concatenate((t.pairs(), t.h1)))
-                    cuts = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1))
-                    full = np.flatnonzero(np.diff(cuts))
-                    data = pa.array([short(h[cuts[k] : cuts[k + 1]]) for k in full], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), chunk[start])), pa.array(full), data], ["chunk", "block", "data"])
+                h = asked(batch.column(2).slice(start, end - start), order)
+                cuts = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                data = pa.array([np.ascontiguousarray(h[cuts[k] : cuts[k + 1]].astype(np.uint32)).tobytes() for k in full], pa.binary())
+                named = [pa.array(np.full(len(full), x[start])) for x in (chunk, first)]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(full), data], ["chunk", "part", "block", "data"])
 
     return run
 
 
-def short(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h).view(np.uint8).reshape(len(h), 8)[:, :5].tobytes()
-
-
-def unshort(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
-    return out.view(np.uint64)[:, 0]
-
-
 def _answers(key, probes, bits):
-    """The probes of one block and its bits: rows (chunk, block, data), hashes and then a byte a level."""
-    parts, out = probes.column("data").to_pylist(), []
-    data = bits.column("bits").to_pylist()
-    for part in parts:
-        h = unshort(part, len(part) // 5)
-        q = Filter(np.frombuffer(data[0], np.uint8), np.array([8 * len(data[0])])).levels(h) if data else np.zeros(len(h))
-        out.append(part + q.astype(np.uint8).tobytes())
-    return pa.table({"chunk": probes.column("chunk"), "block": probes.column("block"), "data": pa.array(out, pa.binary())})
+    """The probes of one block and its bits: rows (chunk, part, block, data), a byte a level."""
+    data, out = bits.column("bits").to_pylist(), []
+    own = Filter(np.frombuffer(data[0], np.uint8), np.array([8 * len(data[0])])) if data else Filter(np.zeros(0, np.uint8), np.zeros(0))
+    for part in probes.column("data").to_pylist():
+        out.append(own.levels(np.frombuffer(part, np.uint32).astype(np.uint64)).astype(np.uint8).tobytes())
+    return pa.table([*(probes.column(c) for c in ("chunk", "part", "block")), pa.array(out, pa.binary())], names=["chunk", "part", "block", "data"])
 
 
 class Levels:
     """Levels of known n-grams, in place of a filter."""
 
-    def __init__(self, block: list[int], parts: list[bytes], blocks: int):
-        self.blocks = blocks
-        h = np.concatenate([self.key(np.full(len(x) // 6, k, np.uint64), unshort(x, len(x) // 6)) for k, x in zip(block, parts, strict=True)])
-        q = np.concatenate([np.frombuffer(x, np.uint8, -1, len(x) // 6 * 5) for x in parts])
-        self.h, first = np.unique(h, return_index=True)
-        self.q = q[first].astype(np.int64)
-
-    @staticmethod
-    def key(block: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return (block << np.uint64(40)) | (h & OWN)
+    def __init__(self, h: np.ndarray, parts: list[bytes]):
+        self.h, self.q = h, np.concatenate([np.frombuffer(x, np.uint8) for x in parts]).astype(np.int64)
+        if len(self.q) != len(h):
+            raise RuntimeError("a part's n-grams and their answers differ")
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        return self.q[np.searchsorted(self.h, self.key(block_of(h, self.blocks), h))]
+        return self.q[np.searchsorted(self.h, h)]
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def _score_chunk(blocks: int, head, n_train: int, v_train: int, mu: float):
-    """The documents of one chunk and the answers to their probes."""
+def _score_chunk(order: int, *model):
+    """The documents of one chunk and the answers to their probes, part by part."""
 
     def run(key, docs, answers):
-        own = Levels(answers.column("block").to_pylist(), answers.column("data").to_pylist(), blocks)
-        return pa.Table.from_batches(list(_scored(docs.select(["doc_id", "text"]).to_batches(), own, head.value, n_train, v_train, mu)))
+        docs, answers = docs.sort_by("n"), answers.sort_by([("part", "ascending"), ("block", "ascending")])
+        part, data = answers.column("part").to_numpy(), answers.column("data").to_pylist()
+        firsts = np.unique(part)
+        ends = [*np.searchsorted(docs.column("n").to_numpy(), firsts[1:]).tolist(), len(docs)]
+        out, start = [], 0
+        for first, end in zip(firsts, ends, strict=True):
+            (batch,) = docs.select(["doc_id", "text"]).slice(start, end - start).combine_chunks().to_batches()
+            own = Levels(asked(batch.column(1), order), data[np.searchsorted(part, first) : np.searchsorted(part, first, "right")])
+            out += _scored([batch], own, order, *model)
+            start = end
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def _score(model, head, n_train: int, v_train: int, mu: float):
-    return lambda batches: _scored(batches, Filter(*model.value), head.value, n_train, v_train, mu)
+def _score(bloom, *model):
+    return lambda batches: _scored(batches, Filter(*bloom.value), *model)
 
 
-def _scored(batches, bloom, head: tuple[np.ndarray, np.ndarray, np.ndarray], n_train: int, v_train: int, mu: float):
-    """head: two hashes of the most frequent tokens, sorted by the first, and log10(c + 1)."""
+def _scored(batches, bloom, order: int, sent, n_train: int, v_train: int, mu: float, mu3: float):
+    """sent: two hashes of the most frequent tokens, sorted by the first, and log10(c + 1)."""
+    head = sent.value
     scale, counts = math.log10(n_train + v_train + 1), count_at()
     for batch in batches:
         for at, t in slices(batch.column(1)):
             seen = counts[bloom.levels(t.h1)]  # by number: count by the filter
             # Frequent n-grams stand on many levels: each is read once a slice.
-            grams, place = np.unique(t.pairs(), return_inverse=True)
-            before, ids = t.before(), t.ids
-            pair = np.minimum(counts[bloom.levels(grams)][place], seen[before])
+            grams, place = np.unique(t.grams(order), return_inverse=True)
+            before, ids, starts = t.before(), t.ids, t.starts
+            read = counts[bloom.levels(grams)][place]
+            pair = np.minimum(read[: len(ids)], seen[before])
             p = (pair + (mu * (seen + 1) / (n_train + v_train + 1))[ids]) / (seen + mu)[before]
-            starts = np.concatenate(([0], np.cumsum(t.sizes[:-1])))
+            if order > 2:
+                context, triple = np.concatenate((np.zeros(1), pair[:-1])), np.zeros(len(ids))
+                context[starts] = 0.0
+                triple[np.delete(np.arange(len(ids)), starts)] = read[len(ids) :]
+                p = (np.minimum(triple, context) + mu3 * p) / (context + mu3)
             scores = np.add.reduceat(np.log10(p), starts)
             logs = _frequent(t, head)
             own = logs[ids]
@@ -466,13 +484,13 @@ def _frequent(t: Tokens, head) -> np.ndarray:
     return np.where((h1[at] == t.h1) & (h2[at] == t.h2), logs[at], 0.0)
 
 
-def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MAX_BYTES, head_size: int = HEAD, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, order: int = ORDER, mu: float = MU, mu3: float = MU3, max_bytes: int = MAX_BYTES, head_size: int = HEAD, bits: int = BITS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` has the texts to learn from.  With more ``bits`` a level the filter errs less.
     """
     spark = docs.sparkSession
-    model = learn(train, bits)
+    model = learn(train, order, bits)
     vocabulary, n_train, v_train = model.vocabulary, model.tokens, model.kinds
     # The most frequent tokens, whole eighths of a power of two at a time, head_size at most.
     eighth = F.floor(F.log2("c") * 8).cast("int")
@@ -483,21 +501,22 @@ def score(docs: DataFrame, train: DataFrame, mu: float = MU, max_bytes: int = MA
         cut, taken = row["e"], taken + row["count"]
     rows = vocabulary.where(eighth >= F.lit(cut if cut is not None else 1 << 20)).toArrow()
     h1, h2, c = (rows.column(i).to_numpy() for i in range(3))
-    order = np.argsort(h1.view(np.uint64))
-    sent_head = spark.sparkContext.broadcast((h1.view(np.uint64)[order], h2.view(np.uint32)[order], np.log10(c[order] + 1)))
+    sort = np.argsort(h1.view(np.uint64))
+    sent_head = spark.sparkContext.broadcast((h1.view(np.uint64)[sort], h2.view(np.uint32)[sort], np.log10(c[sort] + 1)))
     schema = "doc_id long, n_tokens long, found long, base double, score double, rest array<struct<h1:bigint,h2:int,n:bigint>>"
     if model.size <= max_bytes:
         bloom = model.filter()
         sent = spark.sparkContext.broadcast((bloom.data, bloom.sizes))
-        scored = docs.select("doc_id", "text").mapInArrow(_score(sent, sent_head, n_train, v_train, mu), schema)
+        scored = docs.select("doc_id", "text").mapInArrow(_score(sent, order, sent_head, n_train, v_train, mu, mu3), schema)
     else:
         # Chunks of neighbours share n-grams, each asked for once.
         numbered = docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text")
         chunk = F.when(F.octet_length("text") > LONG, -1 - F.col("n")).otherwise(F.shiftright("n", CHUNK_BITS))
-        rows = written(numbered.select(chunk.alias("chunk"), "doc_id", "text"), "rows")
-        probes = rows.select("chunk", "text").mapInArrow(_probes(model.blocks), "chunk long, block long, data binary")
-        answers = probes.groupBy("block").cogroup(model.bits.groupBy("block")).applyInArrow(_answers, "chunk long, block long, data binary")
-        scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(model.blocks, sent_head, n_train, v_train, mu), schema)
+        rows = written(numbered.select(chunk.alias("chunk"), "n", "doc_id", "text"), "rows")
+        parts = "chunk long, part long, block long, data binary"
+        probes = rows.select("chunk", "n", "text").mapInArrow(_probes(model.blocks, order), parts)
+        answers = probes.groupBy("block").cogroup(model.bits.groupBy("block")).applyInArrow(_answers, parts)
+        scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(order, sent_head, n_train, v_train, mu, mu3), schema)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h1", "x.h2", "x.n")
     known = rest.join(vocabulary, ["h1", "h2"]).groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("sum"))
