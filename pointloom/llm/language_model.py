@@ -64,6 +64,9 @@ CHUNK_BITS, LONG = 9, 1 << 16
 WIDTH = 4
 OWN = np.uint64((1 << 8 * WIDTH) - 1)
 
+#: Bytes of words that are hashed at once.
+PIECE = 1 << 20
+
 #: Odd factors that make hashes differ (fixed values).
 SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -81,25 +84,41 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(SALTS[0]) + w)
 
 
-@functools.lru_cache(maxsize=2)
-def _factors(salt: int, size: int) -> np.ndarray:
-    return mix((np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(salt))
+@functools.cache
+def _factors(salt: int) -> np.ndarray:
+    """Factors of the first places of a word; those of later ones are worked out each time."""
+    return _factor(np.arange(4096), salt)
+
+
+def _factor(place: np.ndarray, salt: int) -> np.ndarray:
+    return mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(salt))
 
 
 def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each string, one of 64 and one of 32 bits: its bytes, each times a random factor of its place, summed."""
+    """Hashes of each string, one of 64 and one of 32 bits: its bytes, each times a random factor of its place, summed.
+
+    Bytes are summed a megabyte at a time, so a word of any length needs little room.
+    """
     n = len(words)
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends -= ends[0]
-    size = np.diff(ends)
-    place = np.arange(len(data)) - np.repeat(ends[:-1], size)
-    longest = 1 << int(size.max(initial=1)).bit_length()
-    out = []
-    for salt in SALTS:
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * _factors(salt, longest)[place])))
-        out.append(mix(total[ends[1:]] - total[ends[:-1]] + size.astype(np.uint64) * np.uint64(salt)))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+    sums, carry = np.zeros((2, n + 1), np.uint64), dict.fromkeys(SALTS, np.uint64(0))  # of all bytes before each end
+    for at in range(0, len(data), PIECE):
+        to = min(len(data), at + PIECE)
+        first, last = np.searchsorted(ends, at, "right") - 1, np.searchsorted(ends, to, "left")
+        here = np.diff(np.clip(ends[first : last + 1], at, to))
+        place = np.arange(at, to) - np.repeat(ends[first:last], here)
+        low, high = np.searchsorted(ends, at, "right"), np.searchsorted(ends, to, "right")
+        for total, salt in zip(sums, SALTS, strict=True):
+            factor = _factors(salt)[place] if place.max() < 4096 else _factor(place, salt)
+            part = np.cumsum((data[at:to].astype(np.uint64) + np.uint64(1)) * factor)
+            part += carry[salt]
+            total[low:high] = part[ends[low:high] - at - 1]
+            carry[salt] = part[-1]
+    size = np.diff(ends).astype(np.uint64)
+    one, two = (mix(total[1:] - total[:-1] + size * np.uint64(salt)) for total, salt in zip(sums, SALTS, strict=True))
+    return one, (two >> np.uint64(32)).astype(np.uint32)
 
 
 END_HASHES = word_hashes(pa.array([END.decode()], pa.string()))
@@ -133,7 +152,7 @@ class Tokens:
 
 def tokenized(texts: pa.Array) -> Tokens:
     """Words with A-Z lower-cased, then the end token."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     coded = split.flatten().dictionary_encode()
     words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)

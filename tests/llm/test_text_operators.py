@@ -220,7 +220,7 @@ def test_language_model_score_equals_brute_force(spark, sf_dir, order):
     assert sum(x[2] == pytest.approx(y[2], rel=1e-9) for x, y in zip(got, want)) > 0.97 * len(got)
 
 
-def test_language_model_tokens():
+def test_language_model_tokens(monkeypatch):
     import pyarrow as pa
 
     texts = ["a  B\ta", None, "", " \n\x0b\x0c\r", "x\x1cy\x85z \u00a0 É", "w" * 100_000, "b"]
@@ -238,6 +238,12 @@ def test_language_model_tokens():
     assert len(set(h1.tolist())) == len(set(h2.tolist())) == 8
     assert [x.tolist() for x in language_model.word_hashes(words.slice(2, 3))] == [h1[2:5].tolist(), h2[2:5].tolist()]
     assert language_model.tokenized(pa.array([], pa.string())).sizes.tolist() == []
+    words = pa.array(["", "ab", "c" * 5000, "", "d", "ef" * 3000, "g"], pa.string())
+    want = [x.tolist() for x in language_model.word_hashes(words)]
+    for size in (1, 7, 4096, 5003):
+        monkeypatch.setattr(language_model, "PIECE", size)
+        assert [x.tolist() for x in language_model.word_hashes(words)] == want
+    assert [x.tolist() for x in language_model.word_hashes(words.slice(2, 4))] == [x[2:6] for x in want]
 
 
 def test_language_model_without_training(spark):
