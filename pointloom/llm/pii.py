@@ -59,7 +59,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 ANCHORS = _automaton()
-#: Of other letters the lower case may have another length.
+#: For texts whose lower case has another length.
 LOWERED = str.maketrans(UPPER, LOWER)
 
 
@@ -93,7 +93,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             found[kind].append((start, end))
 
     digit, spelt = -2, 0  # the last digit seen; where the last run behind a secret's cue ends
-    for last, (size, what) in ANCHORS.iter(text.lower() if text.isascii() else text.translate(LOWERED)):
+    low = text.lower()  # never shorter, so of equal length character by character
+    for last, (size, what) in ANCHORS.iter(low if len(low) == len(text) else text.translate(LOWERED)):
         at = last - size + 1
         if what in DIGITS:
             starts_run, digit = at != digit + 1, at
