@@ -8,8 +8,10 @@ numbers from the first digit of a run, phone numbers from the plus sign, URLs wi
 credentials around the scheme, and accounts, IBANs and secrets behind their cue.
 
 Within a kind spans do not overlap, and the leftmost one wins.  Null and empty texts have no
-spans; repeated rows are searched one by one.  Places count code points, ends exclusive.
-Spans have no largest length, and a text's work grows in proportion to its length.
+spans; repeated rows are searched one by one; an empty table gives an empty one.  Columns
+other than doc_id and text are not read, whatever their names.  Places count code points,
+ends exclusive.  Spans have no largest length, and a text's work grows in proportion to its
+length: runs of blanks behind a cue are taken once and never given back.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ DOTTED = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 GROUPED = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"://[A-Za-z0-9._%+~-]+:[^\s/@:\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]{1,5})?[^\s\"'<>]*")
-IBAN = re.compile(r"[^\S\n]*(?:(?:no|nr|number)\.?)?[^\S\n]*[:=#]?[^\S\n]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-ACCOUNT = re.compile(r"[^\S\n]*(?:(?:no|nr|number|id)\.?)?[^\S\n]*[:=#]?[^\S\n]*([A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,16})(?![A-Za-z0-9])", re.I)
-SECRET = re.compile(r"(?:[_-]?(?:id|key|token|secret))?[\"']?[^\S\n]*[:=][^\S\n]*[\"']?", re.I)
+IBAN = re.compile(r"[^\S\n]*+(?:(?:no|nr|number)\.?)?[^\S\n]*+[:=#]?[^\S\n]*+([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+ACCOUNT = re.compile(r"[^\S\n]*+(?:(?:no|nr|number|id)\.?)?[^\S\n]*+[:=#]?[^\S\n]*+([A-Z]{0,3}[0-9](?:[ -]?[0-9]){5,16})(?![A-Za-z0-9])", re.I)
+SECRET = re.compile(r"(?:[_-]?(?:id|key|token|secret))?[\"']?[^\S\n]*+[:=][^\S\n]*+[\"']?", re.I)
 TOKEN = re.compile(r"([A-Za-z0-9+/_=.-]{16,})", re.I)
 
 #: Cue words and the kind behind them (fixed values), in lower case.

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -337,8 +338,6 @@ def test_pii_added_spans_and_rows(spark):
 
 
 def test_pii_long_secrets_and_logins_are_found_whole():
-    import time
-
     for value in ("a1" * 2000, "eyJhbGciOi1." + "b2" * 1500 + "." + "c3" * 1500):
         text = f"token = {value} and more"
         assert [text[s:e] for k, s, e in pii.find(text) if k == "secret"] == [value]
@@ -351,6 +350,18 @@ def test_pii_long_secrets_and_logins_are_found_whole():
     assert time.process_time() - began < 20
 
 
+def test_pii_runs_of_blanks_behind_cues_cost_no_more_than_their_length():
+    for cue in (c for cues in pii.CUES.values() for c in cues):
+        for blank in (" ", "\t", "\u00a0"):
+            run = blank * 100_000
+            began = time.perf_counter()
+            assert pii.find(cue + run + "x") == []
+            assert pii.find(cue + run + "no" + run + "=" + run + "x") == []
+            assert time.perf_counter() - began < 1, (cue, blank)
+    text = "account" + " " * 5000 + "no." + "\t" * 5000 + ":" + " " * 5000 + "12345678 end"
+    assert [text[s:e] for k, s, e in pii.find(text) if k == "account"] == ["12345678"]
+
+
 def test_pii_cues_in_any_case_and_long_schemes():
     for cue in ("ApI_kEy", "API_KEY", "api key", "sEcReT"):
         text = f"é {cue}: a1b2c3d4e5f6a7b8c9"
