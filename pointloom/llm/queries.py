@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, line_dedup, packing, pii, quality, simhash, url_filter, warc
+from . import chat, decontaminate, language_model, line_dedup, packing, pieces, pii, quality, simhash, url_filter, warc
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filter, op3_line_dedup, op4_language_model, op5_simhash, op6_packing, op7_chat, op8_quality, op9_decontaminate, op10_pii)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.code(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filter, op3_line_dedup, op4_language_model, op5_simhash, op6_packing, op7_chat, op8_quality, op9_decontaminate, op10_pii, op11_sentencepiece)}
 
 
 #: Blanks as a RE2 class.
