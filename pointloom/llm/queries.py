@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, line_dedup, packing, pieces, pii, quality, simhash, url_filter, warc
+from . import chat, decontaminate, language_model, line_dedup, packing, pieces, pii, quality, simhash, structure, url_filter, warc
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -93,7 +93,21 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filter, op3_line_dedup, op4_language_model, op5_simhash, op6_packing, op7_chat, op8_quality, op9_decontaminate, op10_pii, op11_sentencepiece)}
+def damaged(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, turn, role, text) with planted faults, and in ``n`` how often each is left."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat_ws(":", text("conv_id"), text("turn")).cast("binary")) % 20
+    return rows.select(
+        "conv_id", "turn", F.when(harm == 4, "user").otherwise(text("role")).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.translate(text("text"), ".!?", "")).otherwise(text("text")).alias("text"), F.when(harm == 0, 0).when(harm == 3, 2).otherwise(1).alias("n"),
+    )
+
+
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair(damaged(table(spark, sf_dir, "conversations")), "n", with_text=False).drop("repaired")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_url_filter, op3_line_dedup, op4_language_model, op5_simhash, op6_packing, op7_chat, op8_quality, op9_decontaminate, op10_pii, op11_sentencepiece, op12_structure)}
 
 
 #: Blanks as a RE2 class.
@@ -142,4 +156,37 @@ ORACLE = {
         SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(its.n_items, 0) AS n_items,
                sha256(coalesce(its.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id""",
+    # The automaton's four states side by side, each with its cheapest (cost, audit, lines) so far; CRC-32 bit by bit.
+    "op12_structure": r"""
+        WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+        crc AS (SELECT *, xor(4294967295, list_reduce(flatten([[4294967295]] || list_transform(range(1, length(k) + 1), lambda i: [CAST(ord(k[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                       lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)) % 20 AS harm FROM src),
+        hurt AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                        unnest(CASE harm WHEN 0 THEN CAST([] AS INTEGER[]) WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM crc),
+        seen AS (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER o AS i, lag(role[1]) OVER o AS before,
+                        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+                 FROM hurt WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+        fault AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN nth > 1 THEN 2 WHEN body[-1] NOT IN ('.', '!', '?') THEN 3 ELSE 4 END AS kind FROM seen),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 1) AS blank, count(*) FILTER (kind = 2) AS duplicate, count(*) FILTER (kind = 3) AS truncated,
+                          count(*) FILTER (i > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n,
+                          list({'r': role, 'x': text, 'q': role[1], 'must': kind < 3, 'cut': CASE WHEN kind = 3 THEN 3 ELSE 0 END} ORDER BY i) AS turns
+                   FROM fault GROUP BY conv_id),
+        walk AS (
+            SELECT conv_id, turns, n, CAST(0 AS BIGINT) AS i, {'c': 0, 'a': '', 't': ''} AS s0, {'c': 1000000000, 'a': '', 't': ''} AS s1, {'c': 3, 'a': 'I', 't': chr(10) || 'user:'} AS s2, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS s3 FROM counts
+            UNION ALL
+            SELECT conv_id, turns, n, i, s0, s1, e2, list_min([b3, {'c': e2.c + 3, 'a': e2.a || 'I', 't': e2.t || chr(10) || 'assistant:'}]) AS s3
+            FROM (SELECT *, list_min([b2] || list_transform([s0, s1, b3], lambda s: {'c': s.c + 3, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'})) AS e2
+                  FROM (SELECT conv_id, turns, n, i + 1 AS i, {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t} AS s0,
+                               list_min([{'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}, {'c': CASE WHEN NOT x.must AND x.q = 's' THEN s0.c + x.cut ELSE 1000000000 END, 'a': s0.a || 'K', 't': s0.t || keep}]) AS s1,
+                               list_min([{'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t}] || flatten(list_transform([s0, s1, s3], lambda s: [
+                                   {'c': CASE WHEN NOT x.must AND x.q = 'u' THEN s.c + x.cut ELSE 1000000000 END, 'a': s.a || 'K', 't': s.t || keep},
+                                   {'c': CASE WHEN NOT x.must THEN s.c + 3 + x.cut ELSE 1000000000 END, 'a': s.a || 'R', 't': s.t || chr(10) || 'user:' || x.x}]))) AS b2,
+                               list_min([{'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t},
+                                   {'c': CASE WHEN NOT x.must AND x.q = 'a' THEN s2.c + x.cut ELSE 1000000000 END, 'a': s2.a || 'K', 't': s2.t || keep},
+                                   {'c': CASE WHEN NOT x.must THEN s2.c + 3 + x.cut ELSE 1000000000 END, 'a': s2.a || 'R', 't': s2.t || chr(10) || 'assistant:' || x.x}]) AS b3
+                        FROM (SELECT *, turns[i + 1] AS x, chr(10) || turns[i + 1].r || ':' || turns[i + 1].x AS keep FROM walk WHERE i < n)))),
+        best AS (SELECT conv_id, list_min([s0, s3]) AS s FROM walk WHERE i = n)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(s.c, 0) AS BIGINT) AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(s.t[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
