@@ -36,7 +36,7 @@ BLANK = "▁"
 #: Pairs whose compatibility a worker remembers.
 PAIRS = 1_000_000
 #: Characters of a piece that is remembered, and bytes of all such pieces a worker.
-SHORT, REMEMBERED = 48, 64 << 20
+SHORT, REMEMBERED = 48, 128 << 20
 #: Ids in an output batch, at least.
 BATCH_IDS = 1_000_000
 
@@ -180,22 +180,26 @@ class Model:
 class _Words(dict):
     """Ids of a word and of ``front`` before it; short words are remembered, in bounded room.
 
-    ``lines``, if given, takes what follows a line feed within a word.
+    Words not met while half the room was filled are forgotten.  ``lines``, if given, takes
+    what follows a line feed within a word.
     """
 
     def __init__(self, model: Model, front: str, lines: _Words | None = None):
-        self.model, self.front, self.lines, self.room = model, front, lines, REMEMBERED
+        self.model, self.front, self.lines, self.room, self.old = model, front, lines, REMEMBERED // 2, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if self.lines is not None and "\n" in word:
             first, *rest = word.split("\n")
             return self[first] + tuple(chain.from_iterable([self.lines[x] for x in rest]))
-        ids = tuple(self.model.prefix_ids(self.front + word.replace(" ", BLANK)))
+        ids = self.old.get(word)
+        if ids is None:
+            ids = tuple(self.model.prefix_ids(self.front + word.replace(" ", BLANK)))
         if len(word) <= SHORT:
             self.room -= 200 + 4 * len(word) + 8 * len(ids)
             if self.room < 0:
+                self.old = dict(self)
                 self.clear()
-                self.room = REMEMBERED
+                self.room = REMEMBERED // 2
             self[word] = ids
         return ids
 
