@@ -62,6 +62,8 @@ class Model:
         self.automaton.make_automaton()
         self.edges: tuple[dict, dict] = {}, {}
         self.pairs: dict[int, bool] = {}
+        #: Characters next to each other in some piece: no token crosses the border of any other two.
+        self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         # No token crosses a line feed that is in no piece.
         apart = self.by_byte and not any("\n" in p for p in self.id_of)
         self.words = _Words(self, BLANK, _Words(self, "\n") if apart else None)
@@ -123,38 +125,39 @@ class Model:
     def prefix_ids(self, text: str) -> list[int]:
         """Ids of ``text``, in which blanks are already ``BLANK``, from its prefix table."""
         n = len(text)
-        table = [-1] * (n + 1)  # the last token of each prefix; -1: a character outside the model
-        size = {}
-        done = 0  # the place whose token is found
+        table = [-1] * (n + 1)  # by last character, the last token; -1: a character outside the model, and the empty prefix (at the end)
+        found = -1  # the place whose token is known
         pairs, compatible, many = self.pairs, self.compatible, self.size
         for end, (length, token) in self.automaton.iter(text):
-            end += 1
-            if end == done:
+            if end == found:
                 continue
             before = table[end - length]
-            if before < 0:
-                good = True
-            else:
+            if before >= 0:
                 good = pairs.get(before * many + token)
                 if good is None:
                     good = compatible(before, token)
-            if good:
-                table[end] = token
-                size[token] = length
-                done = end
-        out, at = [], n
-        while at:
+                if not good:
+                    continue
+            table[end] = token
+            found = end
+        out, at = [], n - 1
+        while at >= 0:
             token = table[at]
             if token < 0:
-                at -= 1
                 out += [self.bytes[b] for b in reversed(text[at].encode())] if self.by_byte else [self.unknown]
+                at -= 1
             else:
                 out.append(token)
-                at -= size[token]
+                at -= len(self.piece[token])
         if not self.by_byte:  # neighbouring unknown characters are one
             out = [t for k, t in enumerate(out) if t != self.unknown or not k or out[k - 1] != self.unknown]
         return out[::-1]
 
+    def single(self, character: str) -> tuple[int, ...]:
+        """Ids of a character that stands apart."""
+        token = self.id_of.get(character)
+        return tuple([self.bytes[b] for b in character.encode()] if token is None else [token])
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -192,7 +195,9 @@ class _Words(dict):
             first, *rest = word.split("\n")
             return self[first] + tuple(chain.from_iterable([self.lines[x] for x in rest]))
         ids = self.old.get(word)
-        if ids is None:
+        if ids is None and 1 < len(word) <= SHORT and word[-2:] not in self.model.inside and " " not in word[-2:] and self.model.by_byte:
+            ids = self[word[:-1]] + self.model.single(word[-1])
+        elif ids is None:
             ids = tuple(self.model.prefix_ids(self.front + word.replace(" ", BLANK)))
         if len(word) <= SHORT:
             self.room -= 200 + 4 * len(word) + 8 * len(ids)
