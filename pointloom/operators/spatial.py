@@ -51,21 +51,27 @@ def knn(points: DataFrame, k: int, radius: float) -> DataFrame:
         todo, radius = short, radius * 2
 
 
-def checkpointed(spark, df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder (``spark.checkpoint.dir``).
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     Only a session on one machine may go without: it gets a temporary folder.
     """
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not given and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not given:
-            import tempfile
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not given and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not given:
+        import tempfile
 
-            given = tempfile.mkdtemp(prefix="pointloom-")
+        given = tempfile.mkdtemp(prefix="pointloom-")
+    if not context.getCheckpointDir():
         context.setCheckpointDir(given)
+    return given.rstrip("/")
+
+
+def checkpointed(spark, df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder."""
+    shared_dir(spark)
     return df.checkpoint()
 
 

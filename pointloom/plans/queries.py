@@ -57,10 +57,10 @@ p AS (SELECT vec_id AS point_id, label AS part_label, e[1] AS x, e[2] AS y, e[3]
              e[6] / nullif(sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6]), 0) AS nz FROM e)"""
 
 
-def near(radius: float) -> str:
+def near(radius: float, also: str = "") -> str:
     return f"""near AS (SELECT a.point_id AS src, b.point_id AS dst, b.x AS dx, b.y AS dy, b.z AS dz,
     (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
-    FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {radius!r} * {radius!r})"""
+    FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {radius!r} * {radius!r}{also})"""
 
 
 PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
@@ -172,8 +172,8 @@ def multiscale_quotients(spark, sf_dir):
     return rounded(rounded(out, 4).join(points.select("point_id", F.col("y").alias("height")), "point_id"))
 
 
-def _features_sql() -> str:
-    ctes, cols, joins = [CLOUD, near(0.5)], ["p.point_id"], []
+def features_sql(also: str = "") -> str:
+    ctes, cols, joins = [CLOUD, near(0.5, also)], ["p.point_id"], []
     for s, c in enumerate(spatial.SCALES):
         ctes += [moments_sql(c, False, f"m{s}"), eigen_sql(f"m{s}", f"v{s}"), vector_sql(f"v{s}", f"g{s}", {"e1": "high", "e3": "low"}), moments_sql(c, True, f"k{s}"), eigen_sql(f"k{s}", f"c{s}")]
         cols += [f"g{s}.n AS n{s}", r(f"g{s}.mid / nullif(g{s}.high, 0)", f"evqu{s}0", 4), r(f"g{s}.low / nullif(g{s}.high, 0)", f"evqu{s}1", 4)]
@@ -184,16 +184,19 @@ def _features_sql() -> str:
     return f"WITH {', '.join(ctes)} SELECT {', '.join(cols)} FROM p {' '.join(joins)}"
 
 
-@query(_features_sql())
-def multiscale_features(spark, sf_dir):
+def steady(features: DataFrame) -> DataFrame:
     """Directions of up to two points and curvatures of up to three are rounding noise: null here."""
-    found = spatial.multiscale(cloud(spark, sf_dir)).drop("model_id")
-    steady = {f"{name}{s}{k}": F.when(F.col(f"n{s}") > least, F.col(f"{name}{s}{k}")) for s in range(5) for name, least, ks in (("grav", 2, "01"), ("curvature", 3, ("",))) for k in ks}
-    return rounded(found.withColumns(steady), 4)
+    return features.withColumns({f"{name}{s}{k}": F.when(F.col(f"n{s}") > least, F.col(f"{name}{s}{k}")) for s in range(5) for name, least, ks in (("grav", 2, "01"), ("curvature", 3, ("",))) for k in ks})
+
+
+@query(features_sql())
+def multiscale_features(spark, sf_dir):
+    return rounded(steady(spatial.multiscale(cloud(spark, sf_dir)).drop("model_id")), 4)
 
 
-SDF = f"""WITH {CLOUD}, v AS (SELECT a.point_id AS src, b.x - a.x AS vx, b.y - a.y AS vy, b.z - a.z AS vz, a.nx, a.ny, a.nz
-    FROM p a JOIN p b ON a.point_id <> b.point_id AND a.nx * b.nx + a.ny * b.ny + a.nz * b.nz <= 0),
+def sdf_sql(also: str = "") -> str:
+    return f"""WITH {CLOUD}, v AS (SELECT a.point_id AS src, b.x - a.x AS vx, b.y - a.y AS vy, b.z - a.z AS vz, a.nx, a.ny, a.nz
+    FROM p a JOIN p b ON a.point_id <> b.point_id AND a.nx * b.nx + a.ny * b.ny + a.nz * b.nz <= 0{also}),
 d AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS d FROM v),
 h AS (SELECT src, d, degrees(acos(greatest(least(-(vx * nx + vy * ny + vz * nz) / nullif(d * sqrt(nx * nx + ny * ny + nz * nz), 0), 1), -1))) AS angle FROM d),
 c AS (SELECT * FROM h WHERE angle > 0 AND angle <= 30),
@@ -202,7 +205,7 @@ s AS (SELECT c.src, sum(d / angle) / sum(1 / angle) AS sdf FROM c JOIN m ON c.sr
 SELECT p.point_id, {r('coalesce(s.sdf, 0)', 'sdf')} FROM p LEFT JOIN s ON s.src = p.point_id"""
 
 
-@query(SDF)
+@query(sdf_sql())
 def point_sdf(spark, sf_dir):
     return rounded(spatial.point_sdf(cloud(spark, sf_dir)).select("point_id", "sdf"))
 
