@@ -6,6 +6,8 @@ A distance join becomes an equi-join on grid cells: a point is in one cell and l
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,6 +77,14 @@ def checkpointed(spark, df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pointloom/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes: id; edges: src, dst (any direction).  Adds ``component``, its smallest id.
 
@@ -131,24 +141,26 @@ def multiscale(points: DataFrame, model_radius: float = 1.0, scales=SCALES, cent
     return solved.select("model_id", F.col("src").alias("point_id"), *[f"n{s}" for s in range(len(scales))], *out)
 
 
-def point_sdf(points: DataFrame, cone: float = 30.0, slice_points: int = 256) -> DataFrame:
+def point_sdf(points: DataFrame, cone: float = 30.0, leaf: int | None = None) -> DataFrame:
     """Shape diameter of each point: what lies opposite, inside a cone around its inward normal.
 
-    Every pair of a model is tried (a cone has no radius), in slices of about ``slice_points``
-    points a model, each met by all its points, so a slice's work grows with the model only
-    once.  Kept distances lie within one standard
-    deviation of their median and are weighted by one over the angle; without hits it is 0.
+    Only points of cells that some cone of a cell may hold are compared (``cones``).  Kept
+    distances lie within one standard deviation of their median and are weighted by one over
+    the angle; without hits it is 0.
     """
-    slices = points.groupBy("model_id").agg(F.ceil(F.count("*") / slice_points).alias("slices"))
-    dealt = points.join(slices, "model_id")
-    own = dealt.select("model_id", F.col("point_id").alias("src"), *[F.col(c).alias(f"s{c}") for c in ("x", "y", "z", "nx", "ny", "nz")], F.pmod(F.xxhash64("point_id"), "slices").alias("slice"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
-    all_of = dealt.select("model_id", F.col("point_id").alias("dst"), *[F.col(c).alias(f"d{c}") for c in ("x", "y", "z", "nx", "ny", "nz")], every)
+    from . import cones
+
+    given = stored(cones.unit_normals(points.select("model_id", "point_id", "x", "y", "z", "nx", "ny", "nz")), "points")
+    placed = cones.placed(given, leaf or cones.LEAF)
+    placed = stored(placed.select("model_id", "point_id", "x", "y", "z", "nx", "ny", "nz", "ux", "uy", "uz", "level", "ix", "iy", "iz", "side", "cell"), "placed")
+    pairs = stored(cones.cell_pairs(cones.cells(placed), None, cone, facing=True).select("model_id", "s", "t"), "pairs")
+    own = placed.select("model_id", F.col("cell").alias("s"), F.col("point_id").alias("src"), *[F.col(c).alias(f"s{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])
+    other = placed.select("model_id", F.col("cell").alias("t"), F.col("point_id").alias("dst"), *[F.col(c).alias(f"d{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])
     v = [F.col(f"d{c}") - F.col(f"s{c}") for c in "xyz"]
     sn, dn = [F.col(f"sn{c}") for c in "xyz"], [F.col(f"dn{c}") for c in "xyz"]
     d = F.sqrt(G.dot(v, v))
     cosine = -G.dot(v, sn) / F.nullif(d * F.sqrt(G.dot(sn, sn)), F.lit(0.0))
-    hits = own.join(all_of, ["model_id", "slice"]).where("src <> dst").where(G.dot(sn, dn) <= 0)
+    hits = pairs.join(own, ["model_id", "s"]).join(other, ["model_id", "t"]).where("src <> dst").where(G.dot(sn, dn) <= 0)
     hits = hits.select("model_id", "src", d.alias("d"), F.degrees(F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))).alias("angle"))
     hits = hits.where((F.col("angle") > 0) & (F.col("angle") <= cone))
     middle = hits.groupBy("model_id", "src").agg(F.median("d").alias("med"), F.stddev_pop("d").alias("sd"))
