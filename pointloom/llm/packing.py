@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 LENGTH, SEGMENTS, END_ID = 4096, 512, 2
 POOL, POOL_TOKENS = 256, 4 << 20
-#: Words whose ids a worker remembers.
-CACHE = 500_000
+#: Bytes of words and their ids that a worker remembers, and of a word that is remembered.
+CACHE, SHORT = 96 << 20, 64
 #: Bytes of texts that are split into words at once (a longer text by itself).
 SLICE = 8 << 20
 
@@ -42,13 +42,14 @@ MARKED = re.compile(rb"(?!.*<\|)(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 class _Words(dict):
-    """Ids of words, with those of the last time it was full behind it.
+    """Ids of words, with those of the last time it was half full behind it.
 
-    Words with marks at their end are put together from their two parts each time.
+    Words with marks at their end are put together from their two parts each time; words over
+    ``SHORT`` bytes are not remembered.
     """
 
     def __init__(self, encode):
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.room = encode, {}, CACHE // 2
 
     def __missing__(self, word: bytes) -> bytes:
         out = self.old.get(word)
@@ -57,10 +58,13 @@ class _Words(dict):
             if marked:
                 return self[marked[1]] + self[marked[2]]
             out = self.encode(word)
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[word] = out
+        if len(word) <= SHORT:
+            self.room -= 160 + len(word) + len(out)  # about what Python needs for both and their place
+            if self.room < 0:
+                self.old = dict(self)
+                self.clear()
+                self.room = CACHE // 2
+            self[word] = out
         return out
 
 

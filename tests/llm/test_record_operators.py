@@ -553,3 +553,18 @@ def test_warc_and_lines_with_shuffled_sides(spark, monkeypatch):
         monkeypatch.setattr(common, "HOT_KEYS", hot)
         assert runs() == want
     assert want[0] == brute_warc([tuple(r) for r in pages.collect()]) and any(r[2] == 2 for r in want[1])
+
+
+def test_packing_remembers_words_in_bounded_room(monkeypatch):
+    calls = []
+    words = packing._Words(lambda w: calls.append(w) or b"\0" * 4)
+    for i in range(300):
+        words[b"%d" % i * 10_000]
+    assert not words and not words.old
+    monkeypatch.setattr(packing, "CACHE", 20_000)
+    words = packing._Words(lambda w: calls.append(w) or b"\0" * 4)
+    for i in range(5000):
+        words[b"w%d" % i]
+        assert len(words) < 70 and len(words.old) < 70
+    del calls[:]
+    assert words[b"w4999"] == b"\0" * 4 and calls == []

@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,26 @@ def test_decontaminate(spark, sf_dir):
     bench = spark.createDataFrame([(1, "b c a")], "item_id long, text string")
     assert [r.clean for r in decontaminate.scan(docs(spark, [(1, "x, A B, c; (a) y")]), bench).collect()] == ["x, A ) y"]
     assert decontaminate.scan(docs(spark, []), bench).count() == 0
+
+
+def test_benchmark_windows_are_compact_and_verified():
+    import pickle
+    import random
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(20_000)]
+    items = [(str(i), " ".join(rng.choice(vocab) for _ in range(200))) for i in range(1500)] + [("x", "short item"), ("y", "Short, item!"), ("z", ""), ("5b", None)]
+    items.append(("again", items[3][1] + " " + items[3][1]))
+    size = sum(len(t or "") for _, t in items)
+    windows = decontaminate.Windows(items)
+    assert len(pickle.dumps(windows)) < 8 * size
+    hit, found = windows.find(decontaminate.words("a b " + items[3][1] + " c a short item"))
+    assert found == {"3", "again", "x", "y"} and int(hit.sum()) == 202
+    text = decontaminate.words(items[7][1])
+    text[9], text[19] = b"other", b"other"
+    assert windows.find(text[:29])[1] == set()
+    # Hashes alone decide nothing.
+    for own in windows.by_size:
+        own.seek = lambda words, k=own: (np.array([0]), np.array([0]))
+    assert windows.find(decontaminate.words("q " * 30))[1] == set()
+    assert decontaminate.Windows([]).find([b"a"] * 20)[1] == set()
