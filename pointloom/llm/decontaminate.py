@@ -1,25 +1,28 @@
 """Benchmark decontamination by a broadcast set of normalised word windows.
 
 Every benchmark text gives its windows of ``WINDOW`` words (a shorter text: one window of
-all its words).  Benchmark words are numbered; a document's words map to these numbers, so a
-window can match only where no number is missing.  Such windows are looked up by hash, each
-hit is verified word by word, and the words inside any hit are marked.
+all its words).  A window's hash is a weighted sum of its words' hashes, so those of all of a
+document's windows are sums of shifted arrays.  They are looked up in a bitmap, then among
+the benchmark's sorted hashes; each hit is verified against the item's own words, and the
+words inside any hit are marked.
 
 Null texts and texts without words are never hit and, as benchmark items, hit nothing.
 Items that repeat an item_id count once; a null item_id counts as an empty string.  Repeated
-rows are scanned one by one.  What is broadcast at once is bounded by ``MAX_BYTES`` of
-benchmark text: a larger benchmark is dealt into parts by a hash of its items (a longer item
-is a part by itself), each of which scans the documents and adds to what the parts before it
-found.  A document's text is held whole, with a few numbers a word.
+rows are scanned one by one; an empty table gives an empty one.  What is broadcast at once is
+bounded by ``MAX_BYTES`` of benchmark text: a larger benchmark is dealt into parts by a hash
+of its items (a longer item is a part by itself), each of which scans the documents and adds
+to what the parts before it found.  Of a part each worker holds the words, 16 to 20 bytes a
+distinct window and 4 an owner, as plain arrays: about five bytes a byte of text.  A
+document's text is held whole, with a few numbers a word.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
@@ -28,7 +31,7 @@ from .common import written
 
 WINDOW = 10
 #: Bytes of benchmark texts whose windows are sent to every executor at once.
-MAX_BYTES = 20 << 20
+MAX_BYTES = 12 << 20
 
 FOUND = StructType([StructField("__n", LongType()), StructField("__k", LongType()), StructField("__hit", BinaryType()), StructField("__items", ArrayType(StringType()))])
 
@@ -41,55 +44,104 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
+def hashed(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+
+def window_hashes(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The hash of every window of ``len(weights)`` words."""
+    many = max(len(words) - len(weights) + 1, 0)
+    out = np.zeros(many, np.uint64)
+    for i, weight in enumerate(weights):
+        out += words[i : i + many] * weight
+    return out
+
+
+class _Sorted:
+    """The distinct windows of one size: hashes in order, where each stands in the words, and its owners."""
+
+    def __init__(self, size: int, words: np.ndarray, blob: bytes, starts: np.ndarray, ranges: list[tuple[int, int, int]]):
+        self.size = size
+        at = np.concatenate([np.arange(low, high - size + 1, dtype=np.int64) for _, low, high in ranges])
+        owner = np.repeat(np.array([item for item, _, _ in ranges], np.int32), [high - low - size + 1 for _, low, high in ranges])
+        seed = size
+        while not self._sort(words, blob, starts, at, owner, seed):
+            seed += 1000  # two windows with one hash: other weights
+        bits = 16
+        while 1 << bits < 16 * len(self.hashes):
+            bits += 1
+        self.shift, self.bitmap = np.uint64(64 - bits), np.zeros(1 << bits - 3, np.uint8)
+        low = self.hashes >> self.shift
+        np.bitwise_or.at(self.bitmap, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
+
+    def _sort(self, words, blob, starts, at, owner, seed) -> bool:
+        self.weights = np.random.default_rng(seed).integers(1, 1 << 62, self.size).astype(np.uint64) | np.uint64(1)
+        h = window_hashes(words, self.weights)[at]
+        order = np.lexsort((owner, h))
+        h, at, owner = h[order], at[order], owner[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        first = np.flatnonzero(new)
+        text = lambda i: blob[starts[i] : starts[i + self.size]]
+        for i in np.flatnonzero(~new).tolist():
+            if text(at[i]) != text(at[i - 1]):
+                return False
+        # An item may hold a window twice.
+        keep = new | np.concatenate(([True], owner[1:] != owner[:-1]))
+        self.hashes, self.start = h[first], starts[at[first]]
+        self.owners = owner[keep]
+        self.first_owner = np.concatenate((np.cumsum(keep)[first] - 1, [keep.sum()])).astype(np.int64)
+        return True
+
+    def seek(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows whose hash is known, and where it stands."""
+        h = window_hashes(words, self.weights)
+        low = h >> self.shift
+        at = np.flatnonzero((self.bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
+        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        same = self.hashes[k] == h[at]
+        return at[same], k[same]
+
+
 class Windows:
-    """All benchmark windows: by length, sorted by hash."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, ws in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in ws]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                holders[tuple(ids[i : i + size])].add(item)
-        self.by_length = []
-        for size in sorted({len(k) for k in holders}):
-            keys = [k for k in holders if len(k) == size]
-            ids, seed = np.array(keys, np.int64), size
-            while True:
-                weights = np.random.default_rng(seed).integers(1, 1 << 62, size).astype(np.uint64) | np.uint64(1)
-                h = hashes(ids, weights)
-                order = np.argsort(h)
-                if len(np.unique(h)) == len(h):
-                    break
-                seed += 1000  # two windows with one hash: other weights
-            self.by_length.append((size, weights, h[order], ids[order], [tuple(sorted(holders[keys[i]])) for i in order]))
+    """All windows of a part of the benchmark (item, text), by size."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        self.items, ranges, parts, hashes, sizes = [], {}, [], [], []
+        n = 0
+        for item, text in items:
+            ws = words(text)
+            if ws:
+                size = min(window, len(ws))
+                ranges.setdefault(size, []).append((len(self.items), n, n + len(ws)))
+                self.items.append(item)
+                parts.append(b" ".join(ws))
+                hashes.append(hashed(ws))
+                sizes.append(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
+                n += len(ws)
+        self.blob = b" ".join([*parts, b""])
+        starts = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if n else np.zeros(1, np.int64)
+        every = np.concatenate(hashes) if n else np.zeros(0, np.uint64)
+        self.by_size = [_Sorted(size, every, self.blob, starts, own) for size, own in sorted(ranges.items())]
 
     def find(self, ws: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are inside a window that occurs, and whose windows occur."""
         hit, found = np.zeros(len(ws), bool), set()
-        ids = np.fromiter(map(self.numbers.get, ws, [0] * len(ws)), np.int64, len(ws))
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for size, weights, h, own, items in self.by_length:
-            if len(ws) < size:
-                continue
-            at = np.flatnonzero(known[size:] - known[:-size] == size)
-            if not len(at):
+        own = hashed(ws)
+        for sorted_ in self.by_size:
+            if len(ws) < sorted_.size:
                 continue
-            some = ids[at[:, None] + np.arange(size)]
-            k = np.minimum(np.searchsorted(h, hashes(some, weights)), len(h) - 1)
-            same = (own[k] == some).all(axis=1)  # verified, number by number
-            for i in at[same]:
-                hit[i : i + size] = True
-            for i in np.unique(k[same]):
-                found.update(items[i])
+            known = set()
+            for i, k in zip(*(x.tolist() for x in sorted_.seek(own)), strict=True):
+                text = b" ".join([*ws[i : i + sorted_.size], b""])
+                start = int(sorted_.start[k])
+                if self.blob[start : start + len(text)] == text:  # verified, word by word
+                    hit[i : i + sorted_.size] = True
+                    known.add(k)
+            for k in known:
+                found.update(self.items[o] for o in sorted_.owners[sorted_.first_owner[k] : sorted_.first_owner[k + 1]].tolist())
         return hit, found
 
 
-def hashes(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
-
-
 def without(text: str, hit: np.ndarray) -> str:
     """The text without the runs of hit words and what stands between them."""
     out, at, places = [], 0, list(WORD.finditer(text))
@@ -145,7 +197,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_byte
     schema = StructType([*docs.schema.fields, *FOUND.fields])
     parts, out = _parts(benchmark, max_bytes), docs
     for k, part in enumerate(parts):
-        sent = docs.sparkSession.sparkContext.broadcast(Windows([(r["item"], words(r["text"])) for r in part.collect()], window))
+        sent = docs.sparkSession.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in part.collect()], window))
         out = (written(out, "marked") if k else out).mapInArrow(_scan(sent, not k), schema)
     return out
 

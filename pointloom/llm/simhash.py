@@ -172,10 +172,10 @@ def candidates(prints: DataFrame) -> DataFrame:
 def _shingled(words_in: int):
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, words_in) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, words_in) for t in batch.column(2).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)])
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "again", "set"])
 
     return run
 
@@ -472,12 +472,15 @@ def similar(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def node_sets(docs: DataFrame, nodes: DataFrame, words_in: int) -> DataFrame:
     """node and set (shingle hashes) of a text of each node.
 
-    docs: doc_id, text; nodes: node and of one of its texts doc_id and text_hash.
+    docs: doc_id, text; nodes: node, of one of its texts doc_id and text_hash, and whether
+    several rows have these.  Texts stay where they are; only such rows' sets are shuffled.
     """
-    own = written(nodes.select(F.col("doc_id").alias("__id"), "text_hash", "node"), "nodes")
+    own = written(nodes.select(F.col("doc_id").alias("__id"), "text_hash", "node", "again"), "nodes")
     texts = docs.select("doc_id", "text")
     same = texts["doc_id"].eqNullSafe(own["__id"]) & (F.xxhash64(F.coalesce(texts["text"], F.lit(""))) == own["text_hash"])
-    return join_checked(texts, own, same, "inner").select("node", "text").dropDuplicates(["node"]).mapInArrow(_shingled(words_in), "node long, set array<long>")
+    sets = join_checked(texts, own, same, "inner").select("node", "again", "text").mapInArrow(_shingled(words_in), "node long, again boolean, set array<long>")
+    sets = written(sets, "sets")
+    return sets.where("NOT again").unionByName(sets.where("again").dropDuplicates(["node"])).select("node", "set")
 
 
 def _grouped(docs: DataFrame, words_in: int, radius: int, words: int, similarity: float | None, checked_words: int, with_fp: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -497,7 +500,10 @@ def _grouped(docs: DataFrame, words_in: int, radius: int, words: int, similarity
         edges = links(prints.select("node", F.posexplode("own").alias("word", "fp")) if words > 1 else prints.select("node", F.col("own").alias("fp")), radius)
     else:
         groups = written(components(candidates(prints)), "groups")
-        sets = written(node_sets(docs, prints.join(groups, "node").select("node", "first.doc_id", "first.text_hash"), checked_words), "sets")
+        # Of a node's rows those that are its first; several only where rows repeat an id and text.
+        times = rows.select("node", first.alias("row")).groupBy("node", "row").count().where("count > 1").select("node", "row").withColumn("again", F.lit(True))
+        chosen = prints.select("node", F.col("first").alias("row")).join(groups, "node").join(times, ["node", "row"], "left")
+        sets = node_sets(docs, chosen.select("node", "row.doc_id", "row.text_hash", F.coalesce("again", F.lit(False)).alias("again")), checked_words)
         edges = similar(groups, sets, similarity)
     roots = written(components(edges).withColumnRenamed("node", "__node"), "roots")
     linked = prints.join(roots, F.col("node") == F.col("__node"))
