@@ -1,4 +1,4 @@
-"""Whole-model geometry: enclosing ball, normalisation, normals, mesh shape diameter."""
+"""Whole-model geometry: enclosing ball, normalisation, normals; values of vertices from facets."""
 
 from __future__ import annotations
 
@@ -184,80 +184,6 @@ def orient_normals(points: DataFrame, k: int = 16, radius: float = 0.2) -> DataF
     return points.groupBy("model_id").cogroup(links.groupBy("model_id")).applyInPandas(flip, columns)
 
 
-def facet_sdf(vertices: np.ndarray, faces: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0, own=None) -> np.ndarray:
-    """Raw shape diameter of each facet (or of those at places ``own``): rays in a cone around its inward normal.
-
-    All facets get the same rays, so values do not depend on which are asked for together.
-    """
-    a, b, c = (vertices[faces[:, i]] for i in range(3))
-    normal = np.cross(b - a, c - a)
-    normal /= np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-300)
-    middle = (a + b + c) / 3
-    rng = np.random.default_rng(seed)
-    angle = np.radians(cone / 2) * np.sqrt(rng.random(rays))
-    turn = 2 * np.pi * rng.random(rays)
-    e1, e2 = b - a, c - a
-    own = np.arange(len(faces)) if own is None else own
-    out = np.zeros(len(own))
-    for n, f in enumerate(own):
-        w = -normal[f]
-        u = np.cross(w, np.eye(3)[np.abs(w).argmin()])
-        u /= max(np.linalg.norm(u), 1e-300)
-        ways = np.cos(angle)[:, None] * w + np.sin(angle)[:, None] * (np.cos(turn)[:, None] * u + np.sin(turn)[:, None] * np.cross(w, u))
-        s = middle[f] - a
-        # Triple products, turned so that rays meet facets by matrix products only.
-        det = ways @ np.cross(e2, e1).T
-        q = np.cross(s, e1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            x = (ways @ np.cross(e2, s).T) / det
-            y = (ways @ q.T) / det
-            t = (q * e2).sum(axis=1) / det
-            hit = (np.abs(det) > 1e-12) & (x >= 0) & (y >= 0) & (x + y <= 1) & (t > 1e-9)
-        hit[:, f] = False
-        d = np.where(hit, t, np.inf).min(axis=1)
-        got = np.isfinite(d)
-        if got.any():
-            far, at = d[got], angle[got]
-            near = np.abs(far - np.median(far)) <= far.std() + 1e-8
-            out[n] = (far[near] / np.maximum(at[near], 1e-6)).sum() / (1 / np.maximum(at[near], 1e-6)).sum()
-    return out
-
-
-def facet_values(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: float = 45.0, slice_faces: int = 500) -> DataFrame:
-    """model_id, face_id and the raw value of each facet.
-
-    A model's facets are dealt into slices of about ``slice_faces``, each a task's work of its
-    own against the whole mesh, so a large mesh is not one task.
-    """
-    place = lambda n: vertices.select("model_id", F.col("vertex_id").alias(f"v{n}"), F.array("x", "y", "z").alias(f"p{n}"))
-    whole = faces
-    for n in range(3):
-        whole = whole.join(place(n), ["model_id", f"v{n}"])
-    whole = whole.select("model_id", "face_id", F.concat("p0", "p1", "p2").alias("p"))
-    slices = faces.groupBy("model_id").agg(F.ceil(F.count("*") / slice_faces).alias("slices"))
-    dealt = whole.join(slices, "model_id").withColumn("own", F.pmod(F.xxhash64("face_id"), "slices"))
-    dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select("model_id", "slice", "face_id", (F.col("own") == F.col("slice")).alias("asked"), "p")
-    kinds = dict(faces.dtypes)
-
-    def shoot(pdf):
-        pdf = pdf.sort_values("face_id")
-        asked = np.flatnonzero(pdf.asked.to_numpy())
-        corners = np.array(pdf.p.tolist()).reshape(-1, 3)
-        value = facet_sdf(corners, np.arange(len(corners)).reshape(-1, 3), rays, cone, own=asked)
-        return pdf.iloc[asked][["model_id", "face_id"]].assign(value=value)
-
-    return dealt.groupBy("model_id", "slice").applyInPandas(shoot, f"model_id {kinds['model_id']}, face_id {kinds['face_id']}, value double")
-
-
-def mesh_sdf(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: float = 45.0) -> DataFrame:
-    """model_id, vertex_id, sdf: mean of the incident facets' values, scaled to [0, 1] a model; null without facets."""
-    raw = facet_values(vertices, faces, rays, cone)
-    span = raw.groupBy("model_id").agg(F.min("value").alias("low"), (F.max("value") - F.min("value")).alias("spread"))
-    scaled = raw.join(span, "model_id").select("model_id", "face_id", F.coalesce((F.col("value") - F.col("low")) / F.nullif("spread", F.lit(0.0)), F.lit(0.0)).alias("value"))
-    means = vertex_means(faces, scaled).withColumnRenamed("value", "sdf")
-    return vertices.select("model_id", "vertex_id").join(means, ["model_id", "vertex_id"], "left")
-
-
 def vertex_labels(faces: DataFrame, labels: DataFrame) -> DataFrame:
     """Each vertex takes the label of the last of its faces."""
     corners = faces.join(labels, ["model_id", "face_id"]).select("model_id", "face_id", "label", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"))

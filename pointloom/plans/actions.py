@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning, mrf, parts, solids, spatial
+from ..operators import learning, meshes, mrf, parts, solids, spatial
 from ..sources import formats
 
 
@@ -71,7 +71,12 @@ test_point_cloud.__test__ = False
 
 
 def compute_sdf(spark: SparkSession, path: str) -> DataFrame:
-    return solids.mesh_sdf(*formats.read_off(spark, path))
+    """Shape diameters of the vertices of valid meshes; a mesh that is none is an error that names it and its problems."""
+    vertices, faces = (spatial.stored(df, "mesh") for df in formats.read_off(spark, path))
+    wrong = meshes.problems(vertices, faces).groupBy("model_id").agg(F.array_sort(F.collect_set("problem")).alias("of")).orderBy("model_id").limit(20).collect()
+    if wrong:
+        raise ValueError("not a valid mesh: " + "; ".join(f"{r['model_id']}: {', '.join(r['of'])}" for r in wrong))
+    return meshes.mesh_sdf(vertices, faces)
 
 
 def normalize_meshes(spark: SparkSession, path: str, to: str) -> None:

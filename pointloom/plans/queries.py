@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import learning, mrf, parts, solids, spatial
+from ..operators import learning, meshes, mrf, parts, solids, spatial
 
 QUERIES, ORACLE = {}, {}
 RADIUS = 0.1
@@ -288,7 +288,29 @@ def vertex_sdf_mean(spark, sf_dir):
 @query()
 def mesh_sdf(spark, sf_dir):
     v = cloud(spark, sf_dir).select("model_id", F.col("point_id").alias("vertex_id"), "x", "y", "z")
-    return solids.mesh_sdf(v, faces(spark, sf_dir).drop("label", "value"))
+    return meshes.mesh_sdf(v, faces(spark, sf_dir).drop("label", "value"))
+
+
+NEAR_FACETS = """s AS (SELECT face_id, unnest([v0, v1, v2]) AS a, unnest([v1, v2, v0]) AS b FROM f),
+e AS (SELECT DISTINCT face_id, least(a, b) AS low, greatest(a, b) AS high FROM s WHERE a <> b),
+near AS (SELECT DISTINCT e.face_id, o.face_id AS near FROM e JOIN e o USING (low, high) WHERE e.face_id <> o.face_id)"""
+
+
+@query(f"WITH {FACES}, {NEAR_FACETS} SELECT face_id, near FROM near")
+def facet_neighbors(spark, sf_dir):
+    return meshes.neighbors(faces(spark, sf_dir)).select("face_id", "near")
+
+
+@query(f"""WITH RECURSIVE {FACES}, {NEAR_FACETS}, w AS (SELECT CAST(floor(sqrt(count(*) / 2000.0)) AS INTEGER) + 1 AS w FROM f),
+reach(face_id, near, edges) AS (SELECT face_id, face_id, 0 FROM f UNION SELECT r.face_id, n.near, r.edges + 1 FROM reach r JOIN near n ON n.face_id = r.near WHERE r.edges < (SELECT w FROM w)),
+d AS (SELECT face_id, near, min(edges) AS edges FROM reach GROUP BY face_id, near),
+v AS (SELECT d.face_id, d.edges, o.value AS other, o.value - f.value AS off FROM d JOIN f ON f.face_id = d.face_id JOIN f o ON o.face_id = d.near),
+g AS (SELECT face_id, sqrt(avg(off * off)) AS deviation FROM v GROUP BY face_id),
+k AS (SELECT v.*, exp(-0.5 * pow(edges / ((SELECT w FROM w) / 2.0), 2)) * coalesce(exp(-0.5 * pow(off / nullif(1.5 * deviation, 0), 2)), 1) AS weight FROM v JOIN g USING (face_id))
+SELECT face_id, {r("sum(other * weight) / sum(weight)", "value")} FROM k GROUP BY face_id""")
+def smoothed_facets(spark, sf_dir):
+    f = faces(spark, sf_dir)
+    return rounded(meshes.smoothed(f.select("model_id", "face_id", "value"), meshes.neighbors(f)).select("face_id", "value"))
 
 
 # ---------------------------------------------------------------- labels

@@ -110,16 +110,6 @@ def test_mesh_actions(spark, folder, tmp_path):
     assert [r.r for r in far] == pytest.approx([1.0] * 3, abs=1e-6)
 
 
-def test_sdf_does_not_depend_on_slices(spark):
-    v, f = box_mesh((0, 0, 0), (2, 1, 3))
-    vertices = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(v)], "model_id int, vertex_id int, x double, y double, z double")
-    faces = spark.createDataFrame([(0, i, *map(int, t)) for i, t in enumerate(f)], "model_id int, face_id int, v0 int, v1 int, v2 int")
-    want = solids.facet_sdf(v, f, rays=30)
-    for size in (7, 1000):
-        got = {r.face_id: r.value for r in solids.facet_values(vertices, faces, rays=30, slice_faces=size).collect()}
-        assert [got[i] for i in range(len(f))] == pytest.approx(want.tolist())
-
-
 def test_boxes_triangles_and_priors(spark, chairs, tmp_path):
     boxes = actions.compute_obb(chairs)
     assert boxes.count() == 6

@@ -53,10 +53,10 @@ def test_structure_inference_does_the_whole_job(spark, sf_dir, monkeypatch):
 
 
 def test_rays_and_trees_are_the_operators_defaults(spark, sf_dir, monkeypatch):
-    from pointloom.operators import learning, solids
+    from pointloom.operators import learning, meshes
 
     given = []
-    monkeypatch.setattr(solids, "mesh_sdf", lambda *a, **b: given.append(b))
+    monkeypatch.setattr(meshes, "mesh_sdf", lambda *a, **b: given.append(b))
     monkeypatch.setattr(learning, "train", lambda *a, **b: given.append(b))
     monkeypatch.setattr(learning, "distributions", lambda *a: None)
     monkeypatch.setattr(learning, "with_null_label", lambda *a: None)

@@ -133,6 +133,7 @@ def test_frames_and_boxes(spark):
 
 
 def test_mesh_sdf_of_a_slab():
+    from pointloom.operators import meshes
     from pointloom.operators.parts import TRIANGLES
 
     v = np.array(list(itertools.product((0.0, 10.0), (0.0, 1.0), (0.0, 10.0))))
@@ -142,7 +143,7 @@ def test_mesh_sdf_of_a_slab():
         n = np.cross(v[b] - v[a], v[c] - v[a])
         if n @ (v[[a, b, c]].mean(axis=0) - mid) < 0:
             f[i] = (a, c, b)
-    sdf = solids.facet_sdf(v, f, rays=50)
+    sdf = meshes.shoot(v[f], np.arange(len(f)), v[f], rays=50)
     flat = [i for i, t in enumerate(f) if len({v[x][1] for x in t}) == 1]
     assert len(flat) == 4 and sdf[flat] == pytest.approx([1.0] * 4, abs=0.1)
 
