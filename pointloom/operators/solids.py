@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,47 +139,25 @@ def radius_normals(points: DataFrame, radius: float = 0.1) -> DataFrame:
 
 
 def orient_normals(points: DataFrame, k: int = 16, radius: float = 0.2) -> DataFrame:
-    """Normals flipped along a minimum spanning tree of the neighbour graph, top point outward.
+    """Normals flipped along a minimum spanning forest of the neighbour graph, the top point of each tree upward.
 
-    The graph is a join; only the tree is grown inside a model's group.
+    A link costs one less the cosine between both normals' lines; its ends' normals agree.
     """
-    from .spatial import knn
+    from .forest import spanning_forest
+    from .spatial import knn, stored
 
-    kinds = dict(points.dtypes)
-    columns = ", ".join(f"{c} {kinds[c]}" for c in points.columns)
+    points = stored(points, "points")
     normal = lambda c, name: points.select("model_id", F.col("point_id").alias(c), F.array("nx", "ny", "nz").alias(name))
-    links = knn(points, k, radius).select("model_id", "src", "dst").join(normal("src", "n1"), ["model_id", "src"]).join(normal("dst", "n2"), ["model_id", "dst"])
+    links = knn(points, k, radius).select("model_id", F.col("src").alias("a"), F.col("dst").alias("b"))
+    links = links.join(normal("a", "n1"), ["model_id", "a"]).join(normal("b", "n2"), ["model_id", "b"])
     cosine = F.aggregate(F.zip_with("n1", "n2", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    # Of one plan with the points: columns of their own keep the two apart.
-    links = links.select(F.col("model_id").alias("model_id"), "src", "dst", (1 - F.abs(cosine)).alias("cost"))
-
-    def flip(key, pdf, own):
-        pdf = pdf.sort_values("point_id").reset_index(drop=True)
-        z, normals = pdf.z.to_numpy(float), pdf[["nx", "ny", "nz"]].to_numpy(float).copy()
-        ids, near = pdf.point_id.to_numpy(), [[] for _ in range(len(pdf))]
-        for i, j, cost in zip(np.searchsorted(ids, own.src).tolist(), np.searchsorted(ids, own.dst).tolist(), own.cost.tolist(), strict=True):
-            near[i].append((cost, j))
-            near[j].append((cost, i))
-        seen = np.zeros(len(pdf), bool)
-        for root in np.argsort(-z, kind="stable").tolist():
-            if seen[root]:
-                continue
-            normals[root] *= 1 if normals[root][2] >= 0 else -1
-            heap = [(0.0, root, root)]
-            while heap:
-                _, i, parent = heapq.heappop(heap)
-                if seen[i]:
-                    continue
-                seen[i] = True
-                if normals[i] @ normals[parent] < 0:
-                    normals[i] *= -1
-                for cost, j in near[i]:
-                    if not seen[j]:
-                        heapq.heappush(heap, (cost, j, i))
-        pdf[["nx", "ny", "nz"]] = normals
-        return pdf
-
-    return points.groupBy("model_id").cogroup(links.groupBy("model_id")).applyInPandas(flip, columns)
+    links = links.select("model_id", "a", "b", (1 - F.abs(cosine)).alias("cost"), (cosine < 0).alias("flip"))
+    found = spanning_forest(points, links)
+    top = F.min(F.struct((-F.col("z")).alias("depth"), "point_id", (F.col("nz") < 0).alias("down"), "flip")).alias("top")
+    tops = found.join(points.select("model_id", "point_id", "z", "nz"), ["model_id", "point_id"]).groupBy("model_id", "root").agg(top)
+    turned = found.join(tops, ["model_id", "root"]).select("model_id", "point_id", ((F.col("flip") != F.col("top.flip")) != F.col("top.down")).alias("turned"))
+    out = points.join(turned, ["model_id", "point_id"])
+    return out.withColumns({c: F.when(F.col("turned"), -F.col(c)).otherwise(F.col(c)) for c in ("nx", "ny", "nz")}).select(*points.columns)
 
 
 def vertex_labels(faces: DataFrame, labels: DataFrame) -> DataFrame:
