@@ -27,45 +27,75 @@ FRAMES = [
 ]
 
 
-def principal_axes(xyz: np.ndarray) -> np.ndarray:
-    """Rows: eigenvectors of the covariance, largest first, largest component positive."""
-    centered = xyz - xyz.mean(axis=0)
-    _, vectors = np.linalg.eigh(centered.T @ centered)
-    axes = vectors[:, ::-1].T
-    return axes * np.sign(axes[np.arange(3), np.abs(axes).argmax(axis=1)])[:, None]
+#: What a set's points add up to: the covariance's six entries in order.
+_SIX = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 
 
-def box_along(xyz: np.ndarray, axes: np.ndarray) -> tuple[list, list, list, list, list]:
-    """rot (row-major, columns are axes), centre, lengths, height vector, axes (row-major)."""
-    local = (xyz - xyz.mean(axis=0)) @ axes.T
-    low, high = local.min(axis=0), local.max(axis=0)
-    centre = (low + high) / 2 @ axes + xyz.mean(axis=0)
-    rot, scale = axes.T, high - low
-    height = [*(-rot[1] * scale), -centre[1]]
-    return rot.ravel().tolist(), centre.tolist(), scale.tolist(), [float(v) for v in height], axes.ravel().tolist()
+def principal_axes(cov: np.ndarray) -> np.ndarray:
+    """Rows of each: eigenvectors of the covariances (n, 3, 3), largest first, largest component positive."""
+    axes = np.linalg.eigh(cov)[1][:, :, ::-1].transpose(0, 2, 1)
+    top = np.take_along_axis(axes, np.abs(axes).argmax(axis=2)[:, :, None], axis=2)
+    return axes * np.where(top < 0, -1.0, 1.0)
 
 
 def upright_axes(axes: np.ndarray) -> np.ndarray:
     """For each world axis the signed eigenvector that points most along it, each used once."""
-    signed, free, out = np.vstack((axes, -axes)), list(range(3)), []
+    each, free, out = np.arange(len(axes)), np.ones(axes.shape[:2], bool), np.empty_like(axes)
     for w in range(3):
-        best = max(((signed[i + 3 * s][w], i, s) for i in free for s in (0, 1)), key=lambda t: t[0])
-        free.remove(best[1])
-        out.append(signed[best[1] + 3 * best[2]])
-    return np.array(out)
+        best = np.where(free, np.abs(axes[:, :, w]), -1.0).argmax(axis=1)
+        free[each, best] = False
+        out[:, w] = axes[each, best] * np.where(axes[each, best, w] < 0, -1.0, 1.0)[:, None]
+    return out
 
 
-def part_boxes(points: DataFrame, axes=None) -> DataFrame:
-    """One oriented box per model and part label (null labels have none): upright, or along given ``axes`` (rows)."""
-
-    def fit(pdf):
-        xyz = pdf[["x", "y", "z"]].to_numpy(float)
-        row = box_along(xyz, upright_axes(principal_axes(xyz)) if axes is None else np.array(axes, float))
-        return pdf.iloc[:1][["model_id", "part_label"]].assign(**{n: [v] for n, v in zip(("rot", "trans", "scale", "height", "axes"), row, strict=True)})
+def set_extents(points: DataFrame, by: list[str], axes: list | None = None, upright: bool = False) -> DataFrame:
+    """Of each set of points: ``by``, its mean, axes (row-major), the least and largest place along each, and whether they are right-handed.
 
+    Moments are sums that merge, axes follow from a set's own row, and extents are minima and
+    maxima of one projection: no task needs to see all points of a set.
+    """
+    mean = F.array(*[F.avg(c) for c in "xyz"]).alias("mean")
+    moments = points.groupBy(*by).agg(mean, F.array(*[F.covar_pop(a, b) for a, b in _SIX]).alias("cov"))
     kinds = dict(points.dtypes)
-    rows = points.where("part_label IS NOT NULL").select("model_id", "part_label", "x", "y", "z")
-    return rows.groupBy("model_id", "part_label").applyInPandas(fit, f"model_id {kinds['model_id']}, part_label {kinds['part_label']}, {BOX}")
+    names = ", ".join(f"{k} {kinds[k]}" for k in by)
+
+    def turn(batches):
+        for batch in batches:
+            six = batch.column(len(by) + 1).flatten().to_numpy().reshape(-1, 6)
+            if axes is None:
+                # Rounded, so that axes of a round or square set do not follow the order of its sums.
+                size = six[:, [0, 3, 5]].sum(axis=1, keepdims=True)
+                six = np.round(six / np.where(size > 0, size, 1), 10)
+                own = principal_axes(six[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))
+                own = upright_axes(own) if upright else own
+            else:
+                own = np.broadcast_to(np.array(axes, float), (len(six), 3, 3))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(six) + 1) * 9, pa.int32()), pa.array(np.ascontiguousarray(own).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], flat, pa.array(np.linalg.det(own) > 0)], [*by, "mean", "axes", "right_handed"])
+
+    turned = moments.mapInArrow(turn, f"{names}, mean array<double>, axes array<double>, right_handed boolean")
+    own = points.select(*by, "x", "y", "z").join(turned, by)
+    local = [G.sum_of((F.col(c) - F.get("mean", F.lit(w))) * F.get("axes", F.lit(3 * i + w)) for w, c in enumerate("xyz")) for i in range(3)]
+    ends = [agg(local[i]).alias(f"{end}{i}") for i in range(3) for end, agg in (("low", F.min), ("high", F.max))]
+    found = own.groupBy(*by).agg(*ends).join(turned, by)
+    return found.select(*by, "mean", "axes", "right_handed", F.array("low0", "low1", "low2").alias("low"), F.array("high0", "high1", "high2").alias("high"))
+
+
+def _boxed(df: DataFrame, axes, mean, middle: list, lengths: list) -> DataFrame:
+    """Adds rot (row-major, columns are axes), trans, scale, height and axes of boxes whose middle is given along their axes."""
+    axes = [F.get(axes, F.lit(k)) for k in range(9)]
+    centre = [F.get(mean, F.lit(w)) + G.sum_of(middle[i] * axes[3 * i + w] for i in range(3)) for w in range(3)]
+    out = df.withColumns({"trans": F.array(*centre), "scale": F.array(*lengths), "rot": F.array(*[axes[3 * i + w] for w in range(3) for i in range(3)]), "axes": F.array(*axes)})
+    return out.withColumn("height", G.height_vector(F.col("rot"), F.col("trans"), F.col("scale")))
+
+
+def part_boxes(points: DataFrame, axes=None) -> DataFrame:
+    """One oriented box per model and part label (null labels have none): upright, or along given ``axes`` (rows)."""
+    by = ["model_id", "part_label"]
+    found = set_extents(points.where("part_label IS NOT NULL"), by, axes, upright=True)
+    low, high = ([F.get(c, F.lit(i)) for i in range(3)] for c in ("low", "high"))
+    boxed = _boxed(found, F.col("axes"), F.col("mean"), [(a + b) / 2 for a, b in zip(low, high, strict=True)], [b - a for a, b in zip(low, high, strict=True)])
+    return boxed.select(*by, "rot", "trans", "scale", "height", "axes")
 
 
 def box_corners(boxes: DataFrame) -> DataFrame:
@@ -119,11 +149,39 @@ def pair_relations(boxes: DataFrame) -> DataFrame:
     return both.select("model_id", F.col("part_label1").alias("label1"), F.col("part_label2").alias("label2"), feat.alias("feat"))
 
 
+def _sketched(batches):
+    """Of each label pair in a batch: count, means and centred products of all pairs of numbers, in long form."""
+    for batch in batches:
+        label1, label2 = (c.to_numpy() for c in batch.columns[:2])
+        feat = batch.column(2).flatten().to_numpy().reshape(len(batch), -1)
+        i, j = np.triu_indices(feat.shape[1] if len(batch) else 0)
+        keys, which = np.unique(np.stack([label1, label2], axis=1), axis=0, return_inverse=True)
+        for k, (a, b) in enumerate(keys.tolist()):
+            own = feat[which.ravel() == k]
+            mean = own.mean(axis=0)
+            cross = (own - mean).T @ (own - mean)
+            cells = [np.full(len(i), v) for v in (a, b)] + [i, j, np.full(len(i), len(own)), mean[i], mean[j], cross[i, j]]
+            kinds = [batch.schema.types[0], batch.schema.types[1], pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], ["label1", "label2", "i", "j", "n", "mean_i", "mean_j", "m2"])
+
+
 def priors(relations: DataFrame) -> DataFrame:
-    """Mean and sample covariance of the relation vectors by label pair, in long form."""
-    one = relations.select("label1", "label2", F.monotonically_increasing_id().alias("n"), "feat")
-    cells = one.select("label1", "label2", "feat", F.posexplode("feat").alias("i", "a")).select("label1", "label2", "i", "a", F.posexplode("feat").alias("j", "b"))
-    return cells.where("i <= j").groupBy("label1", "label2", "i", "j").agg(F.avg("a").alias("mean_i"), F.avg("b").alias("mean_j"), F.covar_samp("a", "b").alias("cov"), F.count("*").alias("n"))
+    """Mean and sample covariance of the relation vectors by label pair, in long form.
+
+    Each Arrow batch gives one matrix product a label pair, so what is shuffled follows the
+    pairs and batches, not the relations.  Relations without a vector or a label are left out.
+    """
+    whole = relations.where("feat IS NOT NULL AND label1 IS NOT NULL AND label2 IS NOT NULL").select("label1", "label2", "feat")
+    kinds = dict(whole.dtypes)
+    found = whole.mapInArrow(_sketched, f"label1 {kinds['label1']}, label2 {kinds['label2']}, i int, j int, n long, mean_i double, mean_j double, m2 double")
+    keys = ["label1", "label2", "i", "j"]
+    mean = lambda c: (F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"all_{c}")
+    whole = found.groupBy(*keys).agg(F.sum("n").alias("all_n"), mean("mean_i"), mean("mean_j"))
+    # About the common mean: each batch's products and how far its own mean is off.
+    off = F.col("n") * (F.col("mean_i") - F.col("all_mean_i")) * (F.col("mean_j") - F.col("all_mean_j"))
+    sums = found.join(whole, keys).groupBy(*keys, "all_n", "all_mean_i", "all_mean_j").agg(F.sum(F.col("m2") + off).alias("m2"))
+    cov = F.when(F.col("all_n") > 1, F.col("m2") / (F.col("all_n") - 1))
+    return sums.select(*keys, F.col("all_mean_i").alias("mean_i"), F.col("all_mean_j").alias("mean_j"), cov.alias("cov"), F.col("all_n").alias("n"))
 
 
 def prior_inverses(cells: DataFrame, ridge: float = 0.0) -> DataFrame:
@@ -174,23 +232,24 @@ def clusters(cloud: DataFrame, radius: float = 0.2, least_part: int = 4, least_c
     return cloud.join(found, ["model_id", "part", "point_id"]).join(kept, ["model_id", "part", "cluster"])
 
 
-def candidates(clustered: DataFrame) -> DataFrame:
-    """24 boxes a cluster, numbered per model: cand_id, label, cluster_no, box, right_handed, point_ids."""
-    kinds = dict(clustered.dtypes)
-    schema = f"model_id {kinds['model_id']}, part {kinds['part']}, cluster {kinds['cluster']}, frame int, right_handed boolean, point_ids array<{kinds['point_id']}>, {BOX}"
-
-    def fit(pdf):
-        import pandas as pd
+def candidates(clustered: DataFrame, with_points: bool = True) -> DataFrame:
+    """24 boxes a cluster, numbered per model: cand_id, label, cluster_no, box, right_handed, and point_ids if wanted.
 
-        pdf = pdf.sort_values("point_id")
-        xyz, rows = pdf[["x", "y", "z"]].to_numpy(float), []
-        axes = principal_axes(xyz)
-        for n, ix, sx, iy, sy, iz, sz, det in FRAMES:
-            frame = np.array([axes[ix] * sx, axes[iy] * sy, axes[iz] * sz])
-            rows.append((pdf.model_id.iloc[0], pdf.part.iloc[0], pdf.cluster.iloc[0], n, bool(np.linalg.det(frame) > 0), pdf.point_id.tolist(), *box_along(xyz, frame)))
-        return pd.DataFrame(rows, columns=["model_id", "part", "cluster", "frame", "right_handed", "point_ids", "rot", "trans", "scale", "height", "axes"])
-
-    rows = clustered.groupBy("model_id", "part", "cluster").applyInPandas(fit, schema)
+    A frame is a signed permutation of a cluster's axes, so its box has the same middle and
+    permuted lengths: points are measured once a cluster.
+    """
+    by = ["model_id", "part", "cluster"]
+    found = set_extents(clustered, by)
+    frames = F.array(*[F.struct(F.lit(n).alias("frame"), F.array(F.lit(ix), F.lit(iy), F.lit(iz)).alias("of"), F.array(F.lit(float(sx)), F.lit(float(sy)), F.lit(float(sz))).alias("sign"), F.lit(det > 0).alias("even")) for n, ix, sx, iy, sy, iz, sz, det in FRAMES])
+    rows = found.withColumn("f", F.explode(frames))
+    of, sign = ([F.get(F.col(f"f.{c}"), F.lit(k)) for k in range(3)] for c in ("of", "sign"))
+    own = {"framed": F.array(*[sign[k] * F.get("axes", 3 * of[k] + w) for k in range(3) for w in range(3)])}
+    rows = rows.withColumns(own)
+    middle = [sign[k] * (F.get("low", of[k]) + F.get("high", of[k])) / 2 for k in range(3)]
+    rows = _boxed(rows, F.col("framed"), F.col("mean"), middle, [F.get("high", of[k]) - F.get("low", of[k]) for k in range(3)])
+    rows = rows.select(*by, "f.frame", (F.col("right_handed") == F.col("f.even")).alias("right_handed"), "rot", "trans", "scale", "height", "axes")
+    if with_points:
+        rows = rows.join(clustered.groupBy(*by).agg(F.sort_array(F.collect_list("point_id")).alias("point_ids")), by)
     number = Window.partitionBy("model_id").orderBy("part", "cluster", "frame")
     group = Window.partitionBy("model_id").orderBy("part", "cluster")
     return rows.withColumns({"cand_id": F.row_number().over(number) - 1, "cluster_no": F.dense_rank().over(group) - 1})

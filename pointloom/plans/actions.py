@@ -104,9 +104,12 @@ def infer_structure(points: DataFrame, dist: DataFrame, priors: DataFrame, symme
     null_label = labels.agg(F.max("label")).collect()[0][0]
     clouds = parts.assign_clouds(dist.where(F.col("label") < null_label), symmetry).where("part IS NOT NULL")
     clustered = parts.clusters(points.select("model_id", "point_id", "x", "y", "z").join(clouds, ["model_id", "point_id"]), radius)
-    cands = spatial.checkpointed(spark, parts.candidates(clustered))
-    members = cands.select("model_id", "cand_id", F.explode("point_ids").alias("point_id"))
-    unary = parts.unary_energy(members, dist)
+    clustered = spatial.stored(clustered, "clustered")
+    cands = spatial.stored(parts.candidates(clustered, with_points=False), "candidates")
+    # All boxes of a cluster have its points, and so its costs.
+    own = clustered.select("model_id", F.struct("part", "cluster").alias("cand_id"), "point_id")
+    costs = parts.unary_energy(own, dist).select("model_id", "cand_id.part", "cand_id.cluster", "label", "cost")
+    unary = cands.select("model_id", "cand_id", "part", "cluster").join(costs, ["model_id", "part", "cluster"]).select("model_id", "cand_id", "label", "cost")
     pairwise = parts.pair_costs(cands, labels, parts.prior_inverses(priors), null_label)
     solved = mrf.solve(unary.withColumnRenamed("cand_id", "node"), pairwise, iterations=iterations)
     best = parts.picked(solved, null_label).join(solved.select("model_id", "node", "energy"), ["model_id", "node"])
