@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 LENGTH, SEGMENTS, END_ID = 4096, 512, 2
 POOL, POOL_TOKENS = 256, 4 << 20
 #: Bytes of words and their ids that a worker remembers, and of a word that is remembered.
-CACHE, SHORT = 96 << 20, 64
+CACHE, SHORT = 224 << 20, 64
 #: Bytes of texts that are split into words at once (a longer text by itself).
 SLICE = 8 << 20
 
