@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,43 +91,50 @@ def normalize(points: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return joined.withColumns(out).select(*points.columns)
 
 
-def fit_normal(xyz: np.ndarray, degree: int = 2) -> np.ndarray:
-    """Normal at the first point: PCA plane, then a quadratic height field over it."""
-    centered = xyz - xyz[0]
-    _, vectors = np.linalg.eigh(np.cov((xyz - xyz.mean(axis=0)).T))
-    frame = vectors[:, ::-1].T  # two tangents, then the normal
-    u, v, h = (centered @ frame.T).T
-    if degree >= 2 and len(xyz) >= 6:
-        slope = np.linalg.lstsq(np.column_stack((np.ones_like(u), u, v, u * u, u * v, v * v)), h, rcond=None)[0][1:3]
-    else:
-        slope = np.zeros(2)
-    normal = frame[2] - slope[0] * frame[0] - slope[1] * frame[1]
-    return normal / np.linalg.norm(normal)
+def fit_normals(sets: np.ndarray, degree: int = 2) -> np.ndarray:
+    """Normals at the first points of neighbourhoods (n, size, 3): PCA planes, then quadratic height fields over them."""
+    many, size = sets.shape[:2]
+    if size < 3:
+        return np.tile([0.0, 0.0, 1.0], (many, 1))
+    centered = sets - sets.mean(axis=1, keepdims=True)
+    frame = np.linalg.eigh(centered.transpose(0, 2, 1) @ centered / (size - 1))[1][:, :, ::-1]  # columns: two tangents, then the normal
+    u, v, h = ((sets - sets[:, :1]) @ frame).transpose(2, 0, 1)
+    slope = np.zeros((many, 2))
+    if degree >= 2 and size >= 6:
+        terms = np.stack((np.ones_like(u), u, v, u * u, u * v, v * v), axis=2)
+        slope = (np.linalg.pinv(terms, rcond=np.finfo(float).eps * max(size, 6)) @ h[:, :, None])[:, 1:3, 0]
+    normal = frame[:, :, 2] - slope[:, :1] * frame[:, :, 0] - slope[:, 1:] * frame[:, :, 1]
+    return normal / np.linalg.norm(normal, axis=1, keepdims=True)
 
 
 def jet_normals(points: DataFrame, k: int = 18, radius: float = 0.2) -> DataFrame:
-    """Per point a normal from its k nearest; largest component positive until oriented."""
+    """Per point a normal from its k nearest; largest component positive until oriented.
+
+    A batch's neighbourhoods of one size are solved together.
+    """
     from .spatial import knn
 
-    near = knn(points, k, radius).groupBy("model_id", "src").agg(F.collect_list(F.struct("rank", "dst")).alias("near"))
-    place = points.select("model_id", F.col("point_id").alias("dst"), F.struct("x", "y", "z").alias("p"))
-    links = near.select("model_id", "src", F.explode("near").alias("n")).select("model_id", "src", F.col("n.dst").alias("dst"))
-    links = links.unionByName(points.select("model_id", F.col("point_id").alias("src"), F.col("point_id").alias("dst")))
-    sets = links.join(place, ["model_id", "dst"]).groupBy("model_id", "src").agg(F.sort_array(F.collect_list(F.struct((F.col("dst") != F.col("src")).alias("other"), "p"))).alias("set"))
+    links = knn(points, k, radius).select("model_id", "src", "dst", "rank")
+    links = links.unionByName(points.select("model_id", F.col("point_id").alias("src"), F.col("point_id").alias("dst"), F.lit(0).alias("rank")))
+    place = points.select("model_id", F.col("point_id").alias("dst"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    near = F.sort_array(F.collect_list(F.struct("rank", "x", "y", "z")))
+    sets = links.join(place, ["model_id", "dst"]).groupBy("model_id", "src").agg(near.alias("near"))
+    sets = sets.select("model_id", F.col("src").alias("point_id"), F.flatten(F.transform("near", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("near"))
     kinds = dict(points.dtypes)
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for m, s, own in zip(pdf.model_id, pdf.src, pdf.set, strict=True):
-                xyz = np.array([[q["p"]["x"], q["p"]["y"], q["p"]["z"]] for q in own])
-                n = fit_normal(xyz) if len(xyz) > 2 else np.array([0.0, 0.0, 1.0])
-                rows.append((m, s, *(n * np.sign(n[np.abs(n).argmax()]))))
-            yield pd.DataFrame(rows, columns=["model_id", "point_id", "nx", "ny", "nz"])
-
-    return sets.mapInPandas(run, f"model_id {kinds['model_id']}, point_id {kinds['point_id']}, nx double, ny double, nz double")
+        for batch in batches:
+            near = batch.column(2)
+            size, flat = near.value_lengths().to_numpy() // 3, near.flatten().to_numpy()
+            start = np.concatenate(([0], np.cumsum(3 * size)))[:-1]
+            out = np.empty((len(size), 3))
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                out[own] = fit_normals(flat[start[own][:, None] + np.arange(3 * n)].reshape(-1, n, 3))
+            out *= np.sign(np.take_along_axis(out, np.abs(out).argmax(axis=1)[:, None], axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(out[:, i]) for i in range(3)]], ["model_id", "point_id", "nx", "ny", "nz"])
+
+    return sets.mapInArrow(run, f"model_id {kinds['model_id']}, point_id {kinds['point_id']}, nx double, ny double, nz double")
 
 
 def radius_normals(points: DataFrame, radius: float = 0.1) -> DataFrame:

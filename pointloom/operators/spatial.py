@@ -104,6 +104,28 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def thinned(points: DataFrame, distance: float) -> DataFrame:
+    """Points no two of which are nearer than ``distance``, while every point left out has a kept one nearer.
+
+    In order of their ids' hashes a point is kept unless a nearer one is kept already.  That
+    order needs no walk: in each round the points that come before all their neighbours are
+    kept and those neighbours left out, and a round deals with a share of all that remain.
+    """
+    place = F.struct(F.md5(F.col("point_id").cast("string").cast("binary")).alias("hash"), F.col("point_id").alias("id"))
+    order = lambda c: points.select("model_id", F.col("point_id").alias(c), place.alias(f"{c}_at"))
+    near = radius_join(points, distance).where((F.col("src") != F.col("dst")) & (F.col("d2") < distance * distance)).select("model_id", "src", "dst")
+    links = stored(near.join(order("src"), ["model_id", "src"]).join(order("dst"), ["model_id", "dst"]), "links")
+    out = points.select("model_id", "point_id").where("false")
+    while not links.isEmpty():
+        first = links.groupBy("model_id", "src", "src_at").agg(F.min("dst_at").alias("other")).where("src_at < other").select("model_id", "src")
+        gone = stored(links.join(first, ["model_id", "src"], "left_semi").select("model_id", F.col("dst").alias("point_id")).distinct(), "gone")
+        out = out.unionByName(gone)
+        for c in ("src", "dst"):
+            links = links.join(gone.withColumnRenamed("point_id", c), ["model_id", c], "left_anti")
+        links = stored(links, "links")
+    return points.join(out, ["model_id", "point_id"], "left_anti")
+
+
 def moments(near: DataFrame, centered: bool = False) -> DataFrame:
     """Per point the 3 x 3 second moment of its neighbours: about the origin, or centred."""
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]

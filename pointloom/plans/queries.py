@@ -122,10 +122,11 @@ def eigen_quotients(spark, sf_dir):
     return rounded(m.select("src", q[0].alias("evqu0"), q[1].alias("evqu1")), 4)
 
 
-@query(f"WITH {CLOUD}, {near(0.3)}, {moments_sql(0.3, True)}, {eigen_sql('m', 'v')} SELECT src, {r(CURVATURE, 'curvature', 4)} FROM v WHERE n > 3")
+@query(f"WITH {CLOUD}, {near(0.3)}, {moments_sql(0.3, True)}, {eigen_sql('m', 'v')} SELECT src, CASE WHEN n > 3 THEN round({CURVATURE}, 4) + 0.0 END AS curvature FROM v")
 def curvature(spark, sf_dir):
-    m = spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.3), centered=True).where("n > 3")
-    return rounded(eigen(m).select("src", G.curvature("v").alias("curvature")), 4)
+    """Null with fewer than four points: up to three lie in a plane, and their smallest eigenvalue is rounding noise."""
+    m = spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.3), centered=True)
+    return rounded(eigen(m).select("src", F.when(F.col("n") > 3, G.curvature("v")).alias("curvature")), 4)
 
 
 def vector_sql(source: str, name: str, values: dict[str, str]) -> str:
@@ -146,14 +147,14 @@ def vector_sql(source: str, name: str, values: dict[str, str]) -> str:
     return f"{name}8 AS (SELECT *, {', '.join(cells)} FROM {source}), {name}9 AS (SELECT *, {', '.join(longest)} FROM {name}8), {name} AS (SELECT *, {', '.join(signed)} FROM {name}9)"
 
 
-GRAVITY = f"WITH {CLOUD}, {near(0.2)}, {moments_sql(0.2, False)}, {eigen_sql('m', 'v')}, {vector_sql('v', 'g', {'e1': 'high', 'e3': 'low'})} SELECT src, {r('-e1[2]', 'grav0', 4)}, {r('-e3[2]', 'grav1', 4)} FROM g WHERE n > 2"
+GRAVITY = f"WITH {CLOUD}, {near(0.2)}, {moments_sql(0.2, False)}, {eigen_sql('m', 'v')}, {vector_sql('v', 'g', {'e1': 'high', 'e3': 'low'})} SELECT src, CASE WHEN n > 2 THEN round(-e1[2], 4) + 0.0 END AS grav0, CASE WHEN n > 2 THEN round(-e3[2], 4) + 0.0 END AS grav1 FROM g"
 
 
 @query(GRAVITY)
 def gravity_projections(spark, sf_dir):
-    """Of points with two neighbours at least: with fewer the smallest eigenvalue has no one direction."""
-    m = eigen(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2)).where("n > 2"), ("v",))
-    return rounded(m.select("src", *[(-F.get(f"v_e{e}", F.lit(1))).alias(n) for e, n in ((1, "grav0"), (3, "grav1"))]), 4)
+    """Null with fewer than two neighbours: the smallest eigenvalue has then no one direction."""
+    m = eigen(spatial.moments(spatial.radius_join(cloud(spark, sf_dir), 0.2)), ("v",))
+    return rounded(m.select("src", *[F.when(F.col("n") > 2, -F.get(f"v_e{e}", F.lit(1))).alias(n) for e, n in ((1, "grav0"), (3, "grav1"))]), 4)
 
 
 def _multiscale_sql() -> str:
@@ -210,6 +211,15 @@ def point_sdf(spark, sf_dir):
     return rounded(spatial.point_sdf(cloud(spark, sf_dir)).select("point_id", "sdf"))
 
 
+@query(f"""WITH RECURSIVE {CLOUD}, o AS (SELECT point_id, x, y, z, row_number() OVER (ORDER BY md5(CAST(point_id AS VARCHAR)), point_id) AS i FROM p),
+walk(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[]) UNION ALL
+SELECT o.i, CASE WHEN len(list_filter(kept, lambda k: (o.x - k.x) * (o.x - k.x) + (o.y - k.y) * (o.y - k.y) + (o.z - k.z) * (o.z - k.z) < 0.15 * 0.15)) = 0
+    THEN list_append(kept, {{'id': o.point_id, 'x': o.x, 'y': o.y, 'z': o.z}}) ELSE kept END FROM walk JOIN o ON o.i = walk.i + 1)
+SELECT unnest(list_transform(kept, lambda k: k.id)) AS point_id FROM walk WHERE i = (SELECT max(i) FROM o)""")
+def thinned_points(spark, sf_dir):
+    return spatial.thinned(cloud(spark, sf_dir), 0.15).select("point_id")
+
+
 @query(f"""WITH RECURSIVE {CLOUD}, {near(RADIUS)}, reach(id, seen) AS (SELECT point_id, point_id FROM p UNION SELECT reach.id, near.dst FROM reach JOIN near ON near.src = reach.seen)
 SELECT id, min(seen) AS component FROM reach GROUP BY id""")
 def components(spark, sf_dir):
@@ -377,17 +387,15 @@ def part_pair_counts(spark, sf_dir):
     return parts.pair_relations(parts.part_boxes(cloud(spark, sf_dir, 5))).groupBy("label1", "label2").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(row_number() OVER (ORDER BY ix, sx DESC, iy, sy DESC) - 1 AS INTEGER) AS frame, ix, sx, iy, sy, 3 - ix - iy AS iz, sx * sy AS sz,
-CASE WHEN (ix + 1) % 3 = iy THEN 1 ELSE -1 END * sx * sy * sx * sy AS det FROM (VALUES (0), (1), (2)) a(ix), (VALUES (1), (-1)) b(sx), (VALUES (0), (1), (2)) c(iy), (VALUES (1), (-1)) d(sy) WHERE ix <> iy""")
-def candidate_frames(spark, sf_dir):
-    return spark.createDataFrame(parts.FRAMES, "frame int, ix int, sx int, iy int, sy int, iz int, sz int, det int")
-
-
 def boxes(spark, sf_dir) -> DataFrame:
     """Twelve boxes: means of numbers by vec_id modulo 12 (their axes are no rotation)."""
-    means = raw(spark, sf_dir).groupBy(F.pmod("vec_id", F.lit(12)).cast("int").alias("cand_id")).agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(15)]).alias("m"))
+    return _mean_boxes(raw(spark, sf_dir).groupBy(F.lit(0).alias("model_id"), F.pmod("vec_id", F.lit(12)).cast("int").alias("cand_id")))
+
+
+def _mean_boxes(grouped) -> DataFrame:
+    means = grouped.agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(15)]).alias("m"))
     cut = lambda a, n: F.slice("m", a, n)
-    out = means.select(F.lit(0).alias("model_id"), "cand_id", F.floor(F.col("cand_id") / 3).cast("int").alias("cluster_no"), cut(1, 9).alias("rot"), cut(10, 3).alias("trans"), cut(13, 3).alias("scale"))
+    out = means.select("model_id", "cand_id", F.floor(F.col("cand_id") / 3).cast("int").alias("cluster_no"), cut(1, 9).alias("rot"), cut(10, 3).alias("trans"), cut(13, 3).alias("scale"))
     return out.withColumn("height", G.height_vector(F.col("rot"), F.col("trans"), F.col("scale")))
 
 
@@ -405,6 +413,17 @@ def _relation_sql(a: str, b: str) -> list[str]:
 BOXES = f"w AS (SELECT CAST(vec_id % 12 AS INTEGER) AS cand_id, [{', '.join(f'avg(CAST(embedding[{i}] AS DOUBLE))' for i in range(1, 16))}] AS m FROM embeddings GROUP BY 1)"
 
 
+@query(f"""WITH {BOXES}, s AS (SELECT CAST(row_number() OVER (ORDER BY ix, sx DESC, iy, sy DESC) - 1 AS INTEGER) AS frame, ix, sx, iy, sy, 3 - ix - iy AS iz, sx * sy AS sz,
+CASE WHEN (ix + 1) % 3 = iy THEN 1 ELSE -1 END AS det FROM (VALUES (0), (1), (2)) a(ix), (VALUES (1), (-1)) b(sx), (VALUES (0), (1), (2)) c(iy), (VALUES (1), (-1)) d(sy) WHERE ix <> iy)
+SELECT cand_id, s.*, {", ".join(r(f"m[13 + i{c}]", f"length_{c}", 8) for c in "xyz")} FROM w, s""")
+def candidate_frames(spark, sf_dir):
+    """The 24 frames of every box: which of its axes, and which way, each axis of a frame is, and its length along it."""
+    names = ("frame", "ix", "sx", "iy", "sy", "iz", "sz", "det")
+    frames = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, f, strict=True)]) for f in parts.FRAMES])
+    each = boxes(spark, sf_dir).select("cand_id", "scale", F.explode(frames).alias("f"))
+    return rounded(each.select("cand_id", "f.*", *[F.get("scale", F.col(f"f.i{c}")).alias(f"length_{c}") for c in "xyz"]), 8)
+
+
 @query(f"WITH {BOXES} SELECT cand_id, " + ", ".join(r(h, f"h{i}", 8) for i, h in enumerate(["-m[4] * m[13]", "-m[5] * m[14]", "-m[6] * m[15]", "-m[11]"])) + " FROM w")
 def height_vector(spark, sf_dir):
     return rounded(boxes(spark, sf_dir).select("cand_id", *[F.get("height", F.lit(i)).alias(f"h{i}") for i in range(4)]), 8)
@@ -552,14 +571,16 @@ def candidate_boxes(spark, sf_dir):
 
 
 def energies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Twelve nodes with five labels, the last of them null: label costs, and costs of all pairs."""
-    d = distribution(spark, sf_dir)
+    """A model for every hundred points, of twelve nodes with five labels, the last of them null: label costs, and costs of all pairs."""
+    model = F.floor(F.col("point_id") / 100).cast("int")
+    d = distribution(spark, sf_dir).withColumn("model_id", model)
+    means = raw(spark, sf_dir).withColumn("point_id", F.col("vec_id")).groupBy(model.alias("model_id"), F.pmod("vec_id", F.lit(12)).cast("int").alias("cand_id"))
     members = d.select("model_id", F.pmod("point_id", F.lit(12)).cast("int").alias("cand_id"), "point_id").distinct()
     unary = parts.unary_energy(members, d).withColumnRenamed("cand_id", "node")
     labels = d.select("label").distinct()
     unit = [float(i == j) for i in range(32) for j in range(32)]
     inverses = spark.createDataFrame([(a, b, [0.1 * a] * 32, unit) for a in range(4) for b in range(4) if a != b and (a, b) != (0, 2)], "label1 int, label2 int, mean array<double>, inverse array<double>")
-    return unary, parts.pair_costs(boxes(spark, sf_dir), labels, inverses, 4)
+    return unary, parts.pair_costs(_mean_boxes(means), labels, inverses, 4)
 
 
 @query()

@@ -170,30 +170,48 @@ def test_inverses_and_pair_costs_equal_numpy(spark):
 
 
 def test_energies_of_the_registered_solvers(spark, sf_dir):
-    """All 5^12 labelings bound what the solvers return; its energy is the sum of its costs."""
+    """A solver's energy is the sum of its costs, and no labeling that is tried is below its bound."""
     from pointloom.plans import queries
 
     unary, pairs = queries.energies(spark, sf_dir)
-    u = np.zeros((12, 5))
+    models = {}
     for r in unary.collect():
-        u[r.node, r.label] = r.cost
-    v = {(r.i, r.j): np.reshape(r.costs, (5, 5)) for r in pairs.collect()}
-    assert len(v) == 66
+        models.setdefault(r.model_id, (np.zeros((12, 5)), {}))[0][r.node, r.label] = r.cost
+    for r in pairs.collect():
+        models[r.model_id][1][r.i, r.j] = np.reshape(r.costs, (5, 5))
+    assert len(models) == 5 and all(len(v) == 66 for _, v in models.values())
+    cost = lambda u, v, x: sum(u[i, x[i]] for i in range(12)) + sum(t[x[i], x[j]] for (i, j), t in v.items())
+    rng = np.random.default_rng(1)
     for method in ("trws", "bp"):
-        rows = sorted(mrf.solve(unary, pairs, method).collect(), key=lambda r: r.node)
-        x = [r.label for r in rows]
-        assert rows[0].energy == pytest.approx(sum(u[i, x[i]] for i in range(12)) + sum(t[x[i], x[j]] for (i, j), t in v.items()))
-        # No change of one or two nodes is cheaper by more than the bound leaves open.
-        if method == "trws":
-            best = rows[0].lower_bound
-            assert best <= rows[0].energy * (1 + 1e-9)
-            rng = np.random.default_rng(1)
-            for y in rng.integers(0, 5, (2000, 12)):
-                assert sum(u[i, y[i]] for i in range(12)) + sum(t[y[i], y[j]] for (i, j), t in v.items()) >= best * (1 - 1e-9)
-    long = spark.createDataFrame([(0, i, j, a, b, float(t[a, b])) for (i, j), t in v.items() for a in range(5) for b in range(5)], "model_id int, i int, j int, label1 int, label2 int, cost double")
+        found = mrf.solve(unary, pairs, method).toPandas()
+        for m, (u, v) in models.items():
+            own = found[found.model_id == m].sort_values("node")
+            energy = own.energy.iloc[0]
+            assert energy == pytest.approx(cost(u, v, own.label.tolist()))
+            if method == "trws":
+                bound = own.lower_bound.iloc[0]
+                assert bound <= energy + 1e-9 * abs(energy)
+                assert min(cost(u, v, y) for y in rng.integers(0, 5, (300, 12)).tolist()) >= bound - 1e-9 * abs(bound)
+    long = spark.createDataFrame([(m, i, j, a, b, float(t[a, b])) for m, (_, v) in models.items() for (i, j), t in v.items() for a in range(5) for b in range(5)], "model_id int, i int, j int, label1 int, label2 int, cost double")
     assert sorted(mrf.solve(unary, long).collect()) == sorted(mrf.solve(unary, pairs).collect())
 
 
+def test_bound_and_energy_against_all_labelings(spark):
+    """Eight nodes and three labels: the bound is below every labeling, and on a chain the solver finds the best."""
+    rng = np.random.default_rng(7)
+    u, every = rng.random((8, 3)), np.array(list(itertools.product(range(3), repeat=8)))
+    unary = spark.createDataFrame([(m, i, a, float(u[i, a])) for m in (0, 1) for i in range(8) for a in range(3)], "model_id int, node int, label int, cost double")
+    v = {(m, i, j): rng.random((3, 3)) for m in (0, 1) for i in range(8) for j in range(i + 1, 8) if m or j == i + 1}
+    pairs = spark.createDataFrame([(m, i, j, a, b, float(t[a, b])) for (m, i, j), t in v.items() for a in range(3) for b in range(3)], "model_id int, i int, j int, label1 int, label2 int, cost double")
+    found = mrf.solve(unary, pairs).toPandas()
+    for m in (0, 1):
+        costs = u[np.arange(8), every].sum(axis=1) + sum(t[every[:, i], every[:, j]] for (k, i, j), t in v.items() if k == m)
+        own = found[found.model_id == m].sort_values("node")
+        x, energy, bound = own.label.tolist(), own.energy.iloc[0], own.lower_bound.iloc[0]
+        assert energy == pytest.approx(costs[np.flatnonzero((every == x).all(axis=1))[0]])
+        assert bound <= costs.min() + 1e-9 and (m or energy == pytest.approx(costs.min()))
+
+
 def test_inference_explains_each_part_once(spark, chairs):
     """Sure labels and two clusters a chair: of each part one of its own boxes, at the least energy of all such choices."""
     dist = chairs.select("model_id", "point_id", F.explode(F.array(F.struct(F.lit(1).alias("label"), F.when(F.col("part_label") == 1, 0.9).otherwise(0.1).alias("prob")), F.struct(F.lit(4).alias("label"), F.when(F.col("part_label") == 4, 0.9).otherwise(0.1).alias("prob")))).alias("d"))
