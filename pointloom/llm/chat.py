@@ -15,7 +15,8 @@ its start.  The result does not depend on where segments end.
 Turns of one number are ordered by role, then by their text's first ``PREFIX`` characters and
 a hash of the text, null first; equal rows are all kept.  So whole texts are no sort keys of
 which samples reach the driver.  A null text is empty.  A null conv_id is a conversation of
-its own.  Other columns may have any name.
+its own.  Other columns may have any name.  An empty table gives an empty one.  A task holds its
+share of one conversation at a time, texts included, whatever their length.
 """
 
 from __future__ import annotations

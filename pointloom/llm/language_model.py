@@ -25,7 +25,8 @@ Arrow, about ``SLICE`` bytes at once (a longer text by itself); only a slice's d
 are hashed.
 
 Null or empty texts have the end token only.  Repeated rows are learnt and scored one by
-one.  With no training document every count is zero.
+one.  With no training document every count is zero.  An empty table to score gives an
+empty one; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

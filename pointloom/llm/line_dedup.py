@@ -11,7 +11,9 @@ Keys of ``min_chars`` code points or more found in ``min_docs`` documents or mor
 their lines but the owner's.  A null or empty text is one empty line.  Rows that repeat a
 doc_id count as one document and lose the same lines by key; a null doc_id counts as one
 document below all others.  Very common lines meet only as one partial sum a task, and find their
-documents by a broadcast of the few such keys.  Texts of any length are split whole.
+documents by a broadcast of the few such keys.  Texts of any length are split whole.  An empty
+table gives an empty one.  ``dedup`` reads doc_id and text alone; ``replaced`` hands other
+columns on, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Nothing is shuffled and no task holds more than twice ``POOL`` open documents, o
 
 Null texts are empty; every document ends with ``end_id``, so an empty one is one token.
 Repeated rows are packed one by one.  A column of prompt lengths (tokens at a document's
-start that bear no loss) is optional; null means 0.
+start that bear no loss) is optional; null means 0.  An empty table gives no pieces; other
+columns are not read, whatever their names.  A text of any length is split whole, about
+``SLICE`` bytes of texts at once, and its ids are held until its last piece is cut.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ counts, scores and the threshold cover everything.
 
 Null texts have no words; documents without n-grams score 0; labels that are missing, null
 or for unknown documents are ignored; repeated rows count once each.  With no trusted or no
-rejected labels the threshold is ``-inf`` and only the base rules reject.
+rejected labels the threshold is ``-inf`` and only the base rules reject.  An empty table gives an empty
+one.  ``judge`` reads doc_id and text alone; ``filtered`` hands other columns on, whatever their
+names.  A text of any length is one row that is split whole.
 """
 
 from __future__ import annotations

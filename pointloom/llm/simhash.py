@@ -23,7 +23,8 @@ that are that similar, and no such chain inside a group is missed.
 
 Null texts have no words; texts without words get fingerprint 0 and link like others.  Rows
 that repeat a doc_id are fingerprinted one by one.  A null doc_id never names a component
-that has another id.
+that has another id.  An empty table gives an empty one; columns other than doc_id and text are
+not read, whatever their names.  Texts of any length are fingerprinted whole.
 """
 
 from __future__ import annotations
