@@ -163,19 +163,27 @@ def multiscale(points: DataFrame, model_radius: float = 1.0, scales=SCALES, cent
     return solved.select("model_id", F.col("src").alias("point_id"), *[f"n{s}" for s in range(len(scales))], *out)
 
 
-def point_sdf(points: DataFrame, cone: float = 30.0, leaf: int | None = None) -> DataFrame:
+#: Points of a model up to which ``point_sdf`` compares all pairs, as choosing them would take longer.
+ALL_PAIRS = 2500
+
+
+def point_sdf(points: DataFrame, cone: float = 30.0, leaf: int | None = None, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """Shape diameter of each point: what lies opposite, inside a cone around its inward normal.
 
-    Only points of cells that some cone of a cell may hold are compared (``cones``).  Kept
-    distances lie within one standard deviation of their median and are weighted by one over
-    the angle; without hits it is 0.
+    Only points of cells that some cone of a cell may hold are compared (``cones``), unless
+    all models are small.  Kept distances lie within one standard deviation of their median
+    and are weighted by one over the angle; without hits it is 0.
     """
     from . import cones
 
     given = stored(cones.unit_normals(points.select("model_id", "point_id", "x", "y", "z", "nx", "ny", "nz")), "points")
-    placed = cones.placed(given, leaf or cones.LEAF)
-    placed = stored(placed.select("model_id", "point_id", "x", "y", "z", "nx", "ny", "nz", "ux", "uy", "uz", "level", "ix", "iy", "iz", "side", "cell"), "placed")
-    pairs = stored(cones.cell_pairs(cones.cells(placed), None, cone, facing=True).select("model_id", "s", "t"), "pairs")
+    if (given.groupBy("model_id").count().agg(F.max("count")).collect()[0][0] or 0) <= all_pairs:
+        placed = given.withColumn("cell", F.lit(0))
+        pairs = given.select("model_id", F.lit(0).alias("s"), F.lit(0).alias("t")).distinct()
+    else:
+        placed = cones.placed(given, leaf or cones.LEAF)
+        placed = stored(placed.select("model_id", "point_id", "x", "y", "z", "nx", "ny", "nz", "ux", "uy", "uz", "level", "ix", "iy", "iz", "side", "cell"), "placed")
+        pairs = stored(cones.cell_pairs(cones.cells(placed), None, cone, facing=True).select("model_id", "s", "t"), "pairs")
     own = placed.select("model_id", F.col("cell").alias("s"), F.col("point_id").alias("src"), *[F.col(c).alias(f"s{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])
     other = placed.select("model_id", F.col("cell").alias("t"), F.col("point_id").alias("dst"), *[F.col(c).alias(f"d{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])
     v = [F.col(f"d{c}") - F.col(f"s{c}") for c in "xyz"]

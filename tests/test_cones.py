@@ -38,8 +38,8 @@ def frame(spark, models):
     return spark.createDataFrame(pd.concat(parts)).withColumns({c: F.col(c).cast("long") for c in COLUMNS[:2]})
 
 
-@pytest.mark.parametrize("leaf", [1, 4, 32])
-def test_shape_diameters_equal_all_pairs(spark, leaf):
+@pytest.mark.parametrize("leaf, all_pairs", [(1, 0), (16, 0), (32, 1000)])
+def test_shape_diameters_equal_all_pairs(spark, leaf, all_pairs):
     rng = np.random.default_rng(1)
     ball = rng.normal(size=(300, 3))
     ball /= np.linalg.norm(ball, axis=1)[:, None]
@@ -47,7 +47,7 @@ def test_shape_diameters_equal_all_pairs(spark, leaf):
     odd[5, 3:] = 0  # no direction
     odd[6:9, :3] = odd[6, :3]  # coincident points
     models = {1: np.column_stack((ball, ball)), 2: slab(rng, 400), 3: rng.normal(size=(250, 6)), 4: odd, 5: rng.normal(size=(1, 6)), 6: np.tile(rng.normal(size=6), (7, 1))}
-    got = spatial.point_sdf(frame(spark, models), leaf=leaf).toPandas()
+    got = spatial.point_sdf(frame(spark, models), leaf=leaf, all_pairs=all_pairs).toPandas()
     assert len(got) == sum(map(len, models.values()))
     for m, p in models.items():
         own = got[got.model_id == m].sort_values("point_id").sdf.to_numpy()
@@ -67,5 +67,6 @@ def test_points_without_place_or_direction_are_zero(spark):
     rows = [(1, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 2, 0.0, 0.0, -1.0, 0.0, 0.0, -1.0), (1, 3, None, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 4, 0.0, 0.1, -1.0, None, 0.0, 1.0), (1, 5, float("nan"), 0.0, 0.0, 0.0, 0.0, 1.0)]
     points = spark.createDataFrame(rows, "model_id long, point_id long, x double, y double, z double, nx double, ny double, nz double")
     # Straight below is at angle 0, which does not count.
-    assert {r.point_id: r.sdf for r in spatial.point_sdf(points).collect()} == {i: 0.0 for i in range(1, 6)}
-    assert spatial.point_sdf(points.where("false")).count() == 0
+    for all_pairs in (0, 10):
+        assert {r.point_id: r.sdf for r in spatial.point_sdf(points, all_pairs=all_pairs).collect()} == {i: 0.0 for i in range(1, 6)}
+        assert spatial.point_sdf(points.where("false"), all_pairs=all_pairs).count() == 0
