@@ -17,8 +17,8 @@ from .spatial import components, stored
 
 #: Facets in a cell of the finest level, on average at least; facets of a work item, at most about.
 LEAF, ASKED = 128, 256
-#: Grid cells that facets may take up, on average.
-SPREAD = 16
+#: Grid cells that facets may take up, on average; what a ray and a facet tested as a pair cost more than in a matrix product.
+SPREAD, PAIRED = 16, 8
 CORNERS = [f"{c}{k}" for k in range(3) for c in "xyz"]
 
 
@@ -49,6 +49,19 @@ class RayGrid:
         order = np.argsort(cell, kind="stable")
         self.facets, self.cells = facet[order], cell[order]
         self.tests = 0
+        # Facets that a ray would meet, about: in large facets that cross each other cells tell little apart.
+        self.crowded = PAIRED * 1.5 * len(facet) / many**2 > len(corners)
+
+    def nearest_of_all(self, start: np.ndarray, ways: np.ndarray, skip: int) -> np.ndarray:
+        """``nearest`` for rays from one place, by matrix products with all facets."""
+        s = start - self.a
+        det, q = ways @ self.cross.T, np.cross(s, self.e1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x, y, t = ways @ np.cross(self.e2, s).T / det, ways @ q.T / det, (q * self.e2).sum(axis=1) / det
+            hit = (np.abs(det) > 1e-12) & (x >= 0) & (y >= 0) & (x + y <= 1) & (t > 1e-9)
+        if skip >= 0:
+            hit[:, skip] = False
+        return np.where(hit, t, np.inf).min(axis=1)
 
     def nearest(self, start: np.ndarray, way: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Distance along each ray to the first facet but ``skip``; infinite without one."""
@@ -95,7 +108,7 @@ class RayGrid:
         return np.where(hit, t, np.inf)
 
 
-def shoot(own: np.ndarray, skip: np.ndarray, mesh: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0) -> np.ndarray:
+def shoot(own: np.ndarray, skip: np.ndarray, mesh: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0, crowded: bool | None = None) -> np.ndarray:
     """Raw shape diameter of facets ``own`` (corners; their places in ``mesh`` or -1): nan without a hit.
 
     Rays lie in a cone around a facet's inward normal, the same for all.  Of their lengths
@@ -117,7 +130,11 @@ def shoot(own: np.ndarray, skip: np.ndarray, mesh: np.ndarray, rays: int = 100,
         live = np.repeat((w != 0).any(axis=1), rays)
         start = np.repeat(some.mean(axis=1), rays, axis=0)
         d = np.full(len(start), np.inf)
-        d[live] = grid.nearest(start[live], ways.reshape(-1, 3)[live], np.repeat(skip[low : low + ASKED], rays)[live])
+        if grid.crowded if crowded is None else crowded:
+            for n in np.flatnonzero(live[::rays]):
+                d[n * rays : (n + 1) * rays] = grid.nearest_of_all(some[n].mean(axis=0), ways[n], int(skip[low + n]))
+        elif live.any():
+            d[live] = grid.nearest(start[live], ways.reshape(-1, 3)[live], np.repeat(skip[low : low + ASKED], rays)[live])
         for n, far in enumerate(d.reshape(-1, rays)):
             got = np.isfinite(far)
             if got.any():
@@ -164,7 +181,10 @@ def facet_values(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: f
         skip = np.where(np.append(ids, -1)[np.minimum(skip, len(ids))] == asked_ids, skip, -1) if len(ids) else np.full(len(asked_ids), -1)
         return pd.DataFrame({"model_id": pdf["model_id"].iloc[0], "face_id": asked_ids, "value": shoot(corners[mine], skip, corners[~mine], rays, cone)})
 
-    found = own.unionByName(mesh).groupBy("model_id", "s", "block").applyInPandas(run, f"model_id {kinds['model_id']}, face_id {kinds['face_id']}, value double")
+    # Few bytes and much work: a count of its own, so that work items are not put together.
+    tasks = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = own.unionByName(mesh).repartition(tasks, "model_id", "s", "block")
+    found = items.groupBy("model_id", "s", "block").applyInPandas(run, f"model_id {kinds['model_id']}, face_id {kinds['face_id']}, value double")
     found = found.select("model_id", "face_id", F.when(~F.isnan("value"), F.col("value")).alias("value"))
     return faces.select("model_id", "face_id").join(found, ["model_id", "face_id"], "left")
 

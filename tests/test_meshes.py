@@ -70,7 +70,15 @@ def test_rays_through_the_grid_equal_all_facets():
     rng = np.random.default_rng(3)
     for v, f in (sphere(6), soup(rng, 60), soup(rng, 200, 0.05), (np.array([[0.0, 0, 0], [1, 0, 0], [0, 1, 0]]), np.array([[0, 1, 2]]))):
         corners = v[f]
-        np.testing.assert_allclose(meshes.shoot(corners, np.arange(len(f)), corners, rays=40), by_all_facets(corners, rays=40), atol=1e-9)
+        for crowded in (False, True):
+            np.testing.assert_allclose(meshes.shoot(corners, np.arange(len(f)), corners, rays=40, crowded=crowded), by_all_facets(corners, rays=40), atol=1e-9)
+
+
+def test_the_grid_is_used_where_it_tells_facets_apart():
+    v, f = sphere(40)
+    assert not meshes.RayGrid(v[f]).crowded
+    v, f = soup(np.random.default_rng(1), 500, 1.0)
+    assert meshes.RayGrid(v[f]).crowded
 
 
 def test_rays_meet_far_fewer_facets_than_there_are():
