@@ -139,9 +139,9 @@ def jet_normals(points: DataFrame, k: int = 18, radius: float = 0.2) -> DataFram
 
 def radius_normals(points: DataFrame, radius: float = 0.1) -> DataFrame:
     """Per point the normal of the plane through all within ``radius``, largest component positive."""
-    from .spatial import moments, radius_join
+    from .spatial import moments
 
-    flat = moments(radius_join(points, radius), centered=True)
+    flat = moments(points, radius, centered=True)
     found = G.with_eigen(flat, {"v": [F.col(c) for c in G.SIX]}, ("v",))
     return found.select("model_id", F.col("src").alias("point_id"), *[F.get("v_e3", F.lit(i)).alias(f"n{c}") for i, c in enumerate("xyz")])
 
