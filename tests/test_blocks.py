@@ -89,3 +89,40 @@ def test_only_near_blocks_are_met_by_nearest(spark, monkeypatch):
     p = np.random.default_rng(4).random((6000, 3)) * [20, 1, 1]
     assert spatial.knn(spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], POINT), 4, 5.0).count() == 24_000
     assert seen[0].count() < 0.5 * (6000 / blocks.LEAST_BLOCK + 1) ** 2
+
+
+def test_components_by_cells(spark):
+    """Chains, dense balls a little nearer or farther than the radius, boxes that tell nothing."""
+    rng = np.random.default_rng(5)
+    ball = rng.normal(size=(300, 3)) * 0.02
+    bow = np.column_stack((np.cos(np.linspace(0, 5, 40)), np.sin(np.linspace(0, 5, 40)), np.zeros(40))) * 0.7
+    comb = np.vstack([[[0, 0.01 * i, 0.0] for i in range(20)], [[0.12, 0.01 * i, 0.09] for i in range(20)]])
+    models = {0: rng.random((250, 3)) * 1.2, 1: np.vstack((ball, ball + [0.25, 0, 0], ball + [0.6, 0, 0])), 2: bow, 3: comb, 4: np.zeros((5, 3))}
+    rows = [*rows_of(models), (0, 1000, None, 0.0, 0.0)]
+    for radius in (0.1, 0.149, 0.1501, 0.2):
+        got = {(r.model_id, r.point_id): r.component for r in spatial.radius_components(spark.createDataFrame(rows, POINT), radius).collect()}
+        assert got.pop((0, 1000)) == 1000 and len(got) == len(rows) - 1
+        for m, p in models.items():
+            near, label = squares(p) <= radius * radius, np.arange(len(p))
+            while (least := np.where(near, label[None], len(p)).min(axis=1)).tolist() != label.tolist():
+                label = least
+            assert [got[m, i] for i in range(len(p))] == label.tolist()
+
+
+def test_components_make_no_pairs_of_a_dense_cloud(spark, monkeypatch):
+    seen, plain = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, label: seen.append(plain(df, label)) or seen[-1])
+    p = np.random.default_rng(6).random((4000, 3)) * 0.3
+    got = spatial.radius_components(spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], POINT), 0.1)
+    assert {r.component for r in got.collect()} == {0} and max(df.count() for df in seen) < 8000
+
+
+def test_thinning_stores_few_links_of_a_dense_cloud(spark, monkeypatch):
+    from .test_thinning import greedy
+
+    monkeypatch.setattr(spatial, "FIRST_THINNED", 100)
+    seen, plain = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, label: seen.append(plain(df, label)) or seen[-1])
+    p = np.random.default_rng(7).random((3000, 3)) * 0.5
+    got = spatial.thinned(spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], POINT), 0.2).collect()
+    assert {r.point_id for r in got} == greedy(list(enumerate(p)), 0.2) and max(df.count() for df in seen) < 20_000
