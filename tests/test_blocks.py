@@ -111,10 +111,12 @@ def test_components_by_cells(spark):
 
 def test_components_make_no_pairs_of_a_dense_cloud(spark, monkeypatch):
     seen, plain = [], spatial.stored
-    monkeypatch.setattr(spatial, "stored", lambda df, label: seen.append(plain(df, label)) or seen[-1])
+    labels = []
+    monkeypatch.setattr(spatial, "stored", lambda df, label: labels.append(label) or seen.append(plain(df, label)) or seen[-1])
     p = np.random.default_rng(6).random((4000, 3)) * 0.3
     got = spatial.radius_components(spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], POINT), 0.1)
     assert {r.component for r in got.collect()} == {0} and max(df.count() for df in seen) < 8000
+    assert seen[labels.index("doubtful")].isEmpty()
 
 
 def test_thinning_stores_few_links_of_a_dense_cloud(spark, monkeypatch):
