@@ -52,9 +52,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays, that with the smallest doc_id.
 
-    Fingerprints of radius 3 find few of the copies that share 0.8 of their shingles; so
-    candidates come from MinHash bands, which miss one of 10,000 such pairs, and a check of
-    their shingles leaves others alone.
+    Texts are near copies if their SimHash fingerprints differ in at most three bits.  Those find
+    few of the copies that share 0.8 of their shingles; so such pairs are links too: candidates
+    come from MinHash bands, which miss one of 10,000 of them, and their shingles are checked.
     """
     found = written(simhash.near_rows(docs, NEAR_SIMILARITY), "near")
     left = _but(docs, found.where("NOT first"))

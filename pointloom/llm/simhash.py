@@ -484,14 +484,14 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words_in: int) -> DataFrame:
     return sets.where("NOT again").unionByName(sets.where("again").dropDuplicates(["node"])).select("node", "set")
 
 
-def _grouped(docs: DataFrame, words_in: int, radius: int, words: int, similarity: float | None, checked_words: int, with_fp: bool = True) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, words_in: int, radius: int, words: int, similarity: float | None, checked_words: int, by_prints: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp, text_hash, node), and of each node component_id and first, the first row of its component."""
     rows = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     if similarity is None:
         rows = rows.mapInArrow(_fingerprints(words_in, words), "doc_id long, fp long, words array<long>, text_hash long")
         rows = rows.select("doc_id", "fp", "text_hash", *([F.xxhash64("words").alias("node"), "words"] if words > 1 else [F.col("fp").alias("node")]))
     else:
-        sketched = _sketched(checked_words, bands_for(similarity), words_in if with_fp else 0)
+        sketched = _sketched(checked_words, bands_for(similarity), words_in)
         rows = rows.mapInArrow(sketched, "doc_id long, fp long, keys array<long>, text_hash long, node long")
     rows = written(rows, "prints")
     own = "keys" if similarity is not None else "words" if words > 1 else "fp"
@@ -506,6 +506,8 @@ def _grouped(docs: DataFrame, words_in: int, radius: int, words: int, similarity
         chosen = prints.select("node", F.col("first").alias("row")).join(groups, "node").join(times, ["node", "row"], "left")
         sets = node_sets(docs, chosen.select("node", "row.doc_id", "row.text_hash", F.coalesce("again", F.lit(False)).alias("again")), checked_words)
         edges = similar(groups, sets, similarity)
+        if by_prints:
+            edges = edges.unionByName(links(written(rows.select("node", "fp").distinct(), "node-prints"), radius).select("a", "b"))
     roots = written(components(edges).withColumnRenamed("node", "__node"), "roots")
     linked = prints.join(roots, F.col("node") == F.col("__node"))
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("best"))
@@ -542,9 +544,12 @@ def near_components(
 def near_rows(docs: DataFrame, similarity: float, checked_words: int = 5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash and whether it is the first of its near copies.
 
+    Near copies are texts whose fingerprints differ in at most ``RADIUS`` bits, and texts whose shingles
+    have that similarity; both kinds of links count together.
+
     Rows stand in order of doc_id (nulls last), then text_hash; rows with equal ids and texts are alike.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, known = _grouped(docs, SHINGLE, RADIUS, 1, similarity, checked_words, with_fp=False)
+    rows, known = _grouped(docs, SHINGLE, RADIUS, 1, similarity, checked_words, by_prints=True)
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     return rows.join(known.select("node", "first"), "node").select("doc_id", "text_hash", own.eqNullSafe(F.col("first")).alias("first"))

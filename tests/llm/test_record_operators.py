@@ -568,3 +568,18 @@ def test_packing_remembers_words_in_bounded_room(monkeypatch):
         assert len(words) < 70 and len(words.old) < 70
     del calls[:]
     assert words[b"w4999"] == b"\0" * 4 and calls == []
+
+
+def test_near_rows_link_by_fingerprints_too(spark, monkeypatch):
+    """Texts within three bits are near copies, whatever shingles of five words they share."""
+    words = [f"w{i}" for i in range(400)]
+    other = list(words)
+    for i in range(4, 400, 40):
+        other[i] = f"x{i}"
+    a, b, apart = " ".join(words), " ".join(other), " ".join(f"y{i}" for i in range(400))
+    plain = {r.doc_id: r.fp for r in simhash.near_components(spark.createDataFrame([(1, a), (2, b), (3, apart)], "doc_id long, text string")).collect()}
+    bits = {(i, j): (plain[i] ^ plain[j]).bit_count() if plain[i] ^ plain[j] >= 0 else ((plain[i] ^ plain[j]) & (2**64 - 1)).bit_count() for i in plain for j in plain}
+    monkeypatch.setattr(simhash, "RADIUS", bits[1, 2])
+    assert bits[1, 2] < min(bits[1, 3], bits[2, 3])
+    got = simhash.near_rows(spark.createDataFrame([(1, a), (2, b), (3, apart)], "doc_id long, text string"), 0.99)
+    assert {r.doc_id: r.first for r in got.collect()} == {1: True, 2: False, 3: True}
