@@ -70,3 +70,30 @@ def test_points_without_place_or_direction_are_zero(spark):
     for all_pairs in (0, 10):
         assert {r.point_id: r.sdf for r in spatial.point_sdf(points, all_pairs=all_pairs).collect()} == {i: 0.0 for i in range(1, 6)}
         assert spatial.point_sdf(points.where("false"), all_pairs=all_pairs).count() == 0
+
+
+@pytest.mark.parametrize("met", [1 << 20, 300])
+def test_large_models_are_met_in_blocks_and_parts(spark, monkeypatch, met):
+    """Hits are never rows: blocks are compared inside tasks, in parts where a block meets many points."""
+    monkeypatch.setattr(cones, "MET", met)
+    rng = np.random.default_rng(6)
+    odd = rng.normal(size=(700, 6))
+    odd[:5, 3:] = 0
+    odd[5:9, :3] = odd[5, :3]
+    odd[9, :3] = 1e5  # far away
+    models = {1: rng.normal(size=(1500, 6)), 2: slab(rng, 900), 3: odd}
+    found = spatial.point_sdf(frame(spark, models), all_pairs=0)
+    got = found.toPandas()
+    for m, p in models.items():
+        own = got[got.model_id == m].sort_values("point_id").sdf.to_numpy()
+        np.testing.assert_allclose(own, by_all_pairs(p), atol=1e-9)
+
+
+def test_a_cloud_ten_times_as_large_makes_no_rows_of_hits(spark):
+    """Rows of a cloud where cones hold a fifteenth of all: as hits they were millions."""
+    n = 6000
+    points = np.random.default_rng(7).normal(size=(n, 6))
+    given = cones.unit_normals(frame(spark, {1: points}))
+    found = cones.diameters(given, 30.0)
+    assert found.count() <= n
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
