@@ -1,9 +1,11 @@
 """Meshes: shape diameters by rays through a grid, half-edges, validity and smoothing over edges.
 
-Rays of a cell's facets can only meet facets of cells that some cone of the cell may hold
-(``cones``); those are a work item's mesh.  In it, rays walk through a uniform grid, all at
-once, and meet only the facets of the cells they cross, so work follows the cells on their
-way and not the facets there are.
+Facets are dealt into blocks of like size.  Rays of a block can only meet facets of blocks that
+some cone of the block may hold (``cones``); those are a work item's mesh, in parts where they
+are many.  In it, rays walk through a uniform grid, all at once, and meet only the facets of
+the cells they cross, so work follows the cells on their way and not the facets there are.
+Where large facets cross each other, rays meet the facets whose planes are near their start,
+and farther ones only if they hit none of these.
 """
 
 from __future__ import annotations
@@ -12,11 +14,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cones
+from . import blocks, cones
 from .spatial import components, stored
 
-#: Facets in a cell of the finest level, on average at least; facets of a work item, at most about.
-LEAF, ASKED = 128, 256
+#: Facets of a block (by default as many as ``blocks`` says), facets that a work item meets, at most about; facets whose rays are shot together.
+LEAF, MET, ASKED = None, 1 << 18, 256
+#: Starts and facets whose distances are one matrix product, and facets of the nearest planes wanted at first.
+TILE, NEAREST = (64, 8192), 64
+#: Rays times facets of one matrix product.
+STEP = 1 << 20
 #: Grid cells that facets may take up, on average; what a ray and a facet tested as a pair cost more than in a matrix product.
 SPREAD, PAIRED = 16, 8
 CORNERS = [f"{c}{k}" for k in range(3) for c in "xyz"]
@@ -29,6 +35,7 @@ class RayGrid:
         self.a, e1, e2 = corners[:, 0], corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
         self.e1, self.e2, self.cross = e1, e2, np.cross(e2, e1)
         low, high = corners.min(axis=1), corners.max(axis=1)
+        self.low_of, self.high_of = low, high
         self.low = low.min(axis=0)
         span = max(float((high.max(axis=0) - self.low).max()), 1e-300)
         many = max(int(np.sqrt(len(corners))), 1)
@@ -52,16 +59,66 @@ class RayGrid:
         # Facets that a ray would meet, about: in large facets that cross each other cells tell little apart.
         self.crowded = PAIRED * 1.5 * len(facet) / many**2 > len(corners)
 
-    def nearest_of_all(self, start: np.ndarray, ways: np.ndarray, skip: int) -> np.ndarray:
-        """``nearest`` for rays from one place, by matrix products with all facets."""
-        s = start - self.a
-        det, q = ways @ self.cross.T, np.cross(s, self.e1)
+    def of_all(self, start: np.ndarray, ways: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Distance along rays from one place to the first of ``some`` facets, by matrix products."""
+        step = max(STEP // max(len(ways), 1), 1)
+        if len(some) > step:
+            return np.minimum.reduce([self.of_all(start, ways, some[k : k + step]) for k in range(0, len(some), step)])
+        self.tests += len(some) * len(ways)
+        a, e1, e2 = self.a[some], self.e1[some], self.e2[some]
+        s = start - a
+        det, q = ways @ self.cross[some].T, np.cross(s, e1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            x, y, t = ways @ np.cross(self.e2, s).T / det, ways @ q.T / det, (q * self.e2).sum(axis=1) / det
+            x, y, t = ways @ np.cross(e2, s).T / det, ways @ q.T / det, (q * e2).sum(axis=1) / det
             hit = (np.abs(det) > 1e-12) & (x >= 0) & (y >= 0) & (x + y <= 1) & (t > 1e-9)
-        if skip >= 0:
-            hit[:, skip] = False
-        return np.where(hit, t, np.inf).min(axis=1)
+        return np.where(hit, t, np.inf).min(axis=1, initial=np.inf)
+
+    def planes(self) -> np.ndarray:
+        """A column a facet: its plane's unit normal and offset; zero without area, so that it is near everything."""
+        normal = self.cross / np.maximum(np.linalg.norm(self.cross, axis=1), 1e-300)[:, None]
+        return np.ascontiguousarray(np.column_stack((normal, -(normal * self.a).sum(axis=1))).T)
+
+    def nearest_of_all(self, starts: np.ndarray, ways: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """``nearest`` for rays (starts, rays, 3) from each start: first facets whose planes and boxes are within a reach, farther ones for rays without a hit so near.
+
+        What is hit within the reach is the first, as all facets that near were met.
+        """
+        planes, low, high = self.planes(), self.low_of, self.high_of
+        out = np.full(ways.shape[:2], np.inf)
+        span = float(np.abs(np.concatenate((low, high, starts))).max())
+        thin = 1e-9 * span + 1e-300
+        # A first guess of the reach, from some starts; results do not depend on it.
+        few = starts[:: max(len(starts) // 4, 1)]
+        most = min(NEAREST, planes.shape[1]) - 1
+        guess = float(np.median(np.partition(np.abs(few @ planes[:3] + planes[3]), most, axis=1)[:, most])) if len(few) else 0.0
+        for first in range(0, len(starts), TILE[0]):
+            left, reach = np.arange(first, min(first + TILE[0], len(starts))), max(4 * guess, thin)
+            while len(left):
+                if reach >= 2 * span:
+                    for n in left:
+                        rays = np.flatnonzero(np.isinf(out[n]))
+                        out[n, rays] = self.of_all(starts[n], ways[n, rays], np.flatnonzero(np.arange(planes.shape[1]) != skip[n]))
+                    break
+                near = [[] for _ in left]
+                for c in range(0, planes.shape[1], TILE[1]):
+                    some = planes[:, c : c + TILE[1]]
+                    i, j = np.nonzero(np.abs(starts[left] @ some[:3] + some[3]) <= reach + thin)
+                    j += c
+                    gap = np.maximum(np.maximum(low[j] - starts[left[i]], starts[left[i]] - high[j]), 0)
+                    kept = (gap * gap).sum(axis=1) <= (reach + thin) ** 2
+                    i, j = i[kept], j[kept]
+                    for k, own in enumerate(np.split(j, np.searchsorted(i, np.arange(1, len(left))))):
+                        near[k].append(own)
+                again = []
+                for k, n in enumerate(left):
+                    some = np.concatenate(near[k])
+                    rays = np.flatnonzero(np.isinf(out[n]))
+                    d = self.of_all(starts[n], ways[n, rays], some[some != skip[n]])
+                    out[n, rays] = np.where(d <= reach, d, np.inf)
+                    if np.isinf(out[n]).any():
+                        again.append(n)
+                left, reach = np.array(again, np.int64), reach * 4
+        return out
 
     def nearest(self, start: np.ndarray, way: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Distance along each ray to the first facet but ``skip``; infinite without one."""
@@ -108,17 +165,19 @@ class RayGrid:
         return np.where(hit, t, np.inf)
 
 
-def shoot(own: np.ndarray, skip: np.ndarray, mesh: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0, crowded: bool | None = None) -> np.ndarray:
-    """Raw shape diameter of facets ``own`` (corners; their places in ``mesh`` or -1): nan without a hit.
+def cone_of_rays(rays: int, cone: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Angle to the cone's axis and turn around it of each ray, the same for all facets."""
+    rng = np.random.default_rng(seed)
+    return np.radians(cone / 2) * np.sqrt(rng.random(rays)), 2 * np.pi * rng.random(rays)
+
 
-    Rays lie in a cone around a facet's inward normal, the same for all.  Of their lengths
-    those within one standard deviation of the median are averaged, weighted by one over the angle.
+def first_hits(own: np.ndarray, skip: np.ndarray, mesh: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0, crowded: bool | None = None):
+    """For ``ASKED`` facets ``own`` (corners; their places in ``mesh`` or -1) at a time: where they start and how far each of their rays goes, infinite without a hit.
+
+    Rays lie in a cone around a facet's inward normal.
     """
     grid = RayGrid(mesh) if len(mesh) else None
-    rng = np.random.default_rng(seed)
-    angle = np.radians(cone / 2) * np.sqrt(rng.random(rays))
-    turn = 2 * np.pi * rng.random(rays)
-    out = np.full(len(own), np.nan)
+    angle, turn = cone_of_rays(rays, cone, seed)
     for low in range(0, len(own) if grid else 0, ASKED):
         some = own[low : low + ASKED]
         normal = np.cross(some[:, 1] - some[:, 0], some[:, 2] - some[:, 0])
@@ -127,20 +186,33 @@ def shoot(own: np.ndarray, skip: np.ndarray, mesh: np.ndarray, rays: int = 100,
         u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
         v = np.cross(w, u)
         ways = np.cos(angle)[None, :, None] * w[:, None] + np.sin(angle)[None, :, None] * (np.cos(turn)[None, :, None] * u[:, None] + np.sin(turn)[None, :, None] * v[:, None])
-        live = np.repeat((w != 0).any(axis=1), rays)
-        start = np.repeat(some.mean(axis=1), rays, axis=0)
-        d = np.full(len(start), np.inf)
-        if grid.crowded if crowded is None else crowded:
-            for n in np.flatnonzero(live[::rays]):
-                d[n * rays : (n + 1) * rays] = grid.nearest_of_all(some[n].mean(axis=0), ways[n], int(skip[low + n]))
+        live = (w != 0).any(axis=1)
+        d = np.full((len(some), rays), np.inf)
+        if live.any() and (grid.crowded if crowded is None else crowded):
+            d[live] = grid.nearest_of_all(some[live].mean(axis=1), ways[live], skip[low : low + ASKED][live])
         elif live.any():
-            d[live] = grid.nearest(start[live], ways.reshape(-1, 3)[live], np.repeat(skip[low : low + ASKED], rays)[live])
-        for n, far in enumerate(d.reshape(-1, rays)):
-            got = np.isfinite(far)
-            if got.any():
-                far, at = far[got], np.maximum(angle[got], 1e-6)
-                near = np.abs(far - np.median(far)) <= far.std() + 1e-8
-                out[low + n] = (far[near] / at[near]).sum() / (1 / at[near]).sum()
+            start = np.repeat(some[live].mean(axis=1), rays, axis=0)
+            d[live] = grid.nearest(start, ways[live].reshape(-1, 3), np.repeat(skip[low : low + ASKED][live], rays)).reshape(-1, rays)
+        yield low, d
+
+
+def averaged(d: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """Raw shape diameters from rays' lengths: those within one standard deviation of the median, weighted by one over the angle; nan without a hit."""
+    out = np.full(len(d), np.nan)
+    for n, far in enumerate(d):
+        got = np.isfinite(far)
+        if got.any():
+            far, at = far[got], np.maximum(angle[got], 1e-6)
+            near = np.abs(far - np.median(far)) <= far.std() + 1e-8
+            out[n] = (far[near] / at[near]).sum() / (1 / at[near]).sum()
+    return out
+
+
+def shoot(own: np.ndarray, skip: np.ndarray, mesh: np.ndarray, rays: int = 100, cone: float = 45.0, seed: int = 0, crowded: bool | None = None) -> np.ndarray:
+    """Raw shape diameter of facets ``own`` (corners; their places in ``mesh`` or -1): nan without a hit."""
+    out, (angle, _) = np.full(len(own), np.nan), cone_of_rays(rays, cone, seed)
+    for low, d in first_hits(own, skip, mesh, rays, cone, seed, crowded):
+        out[low : low + len(d)] = averaged(d, angle)
     return out
 
 
@@ -152,39 +224,50 @@ def with_corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return out.select("model_id", "face_id", *CORNERS)
 
 
-def facet_values(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: float = 45.0, leaf: int = LEAF, asked: int = ASKED) -> DataFrame:
-    """model_id, face_id and the raw value of each facet, null where no ray meets another facet."""
+def facet_values(vertices: DataFrame, faces: DataFrame, rays: int = 100, cone: float = 45.0, leaf: int | None = LEAF, asked: int | None = None) -> DataFrame:
+    """model_id, face_id and the raw value of each facet, null where no ray meets another facet.
+
+    ``leaf``: facets of a block; ``asked``: facets that a work item meets, at most about.
+    """
     facets = with_corners(vertices, faces)
     e1, e2 = ([F.col(f"{c}{k}") - F.col(f"{c}0") for c in "xyz"] for k in (1, 2))
     cross = [e1[i] * e2[j] - e1[j] * e2[i] for i, j in ((1, 2), (2, 0), (0, 1))]
-    box = {f"{end}_{c}": agg(*[f"{c}{k}" for k in range(3)]) for c in "xyz" for end, agg in (("low", F.least), ("high", F.greatest))}
     middle = {c: (F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2")) / 3 for c in "xyz"}
-    items = cones.unit_normals(stored(facets.withColumns(box | middle | {f"n{c}": x for c, x in zip("xyz", cross, strict=True)}), "facets"))
-    placed = stored(cones.placed(items, leaf).drop("nx", "ny", "nz"), "placed")
-    pairs = cones.cell_pairs(cones.cells(placed), cones.cells(placed, box=True), cone / 2, facing=False)
-    # A full cell's facets are asked for in several work items.
-    pairs = pairs.withColumn("blocks", F.ceil(F.col("s_n") / asked))
-    pairs = stored(pairs.select("model_id", "s", "t", "blocks"), "pairs")
-    own = placed.join(pairs.select("model_id", F.col("s").alias("cell"), "blocks").distinct(), ["model_id", "cell"])
-    own = own.select("model_id", F.col("cell").alias("s"), F.pmod(F.xxhash64("face_id"), "blocks").alias("block"), F.lit(True).alias("own"), "face_id", *CORNERS)
-    mesh = pairs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(placed.withColumnRenamed("cell", "t"), ["model_id", "t"])
-    mesh = mesh.select("model_id", "s", "block", F.lit(False).alias("own"), "face_id", *CORNERS)
-    kinds = dict(faces.dtypes)
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["own", "face_id"])
-        mine, corners = pdf["own"].to_numpy(), pdf[CORNERS].to_numpy().reshape(-1, 3, 3)
-        ids, asked_ids = pdf["face_id"].to_numpy()[~mine], pdf["face_id"].to_numpy()[mine]
-        skip = np.searchsorted(ids, asked_ids)
-        skip = np.where(np.append(ids, -1)[np.minimum(skip, len(ids))] == asked_ids, skip, -1) if len(ids) else np.full(len(asked_ids), -1)
-        return pd.DataFrame({"model_id": pdf["model_id"].iloc[0], "face_id": asked_ids, "value": shoot(corners[mine], skip, corners[~mine], rays, cone)})
-
-    # Few bytes and much work: a count of its own, so that work items are not put together.
-    tasks = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    items = own.unionByName(mesh).repartition(tasks, "model_id", "s", "block")
-    found = items.groupBy("model_id", "s", "block").applyInPandas(run, f"model_id {kinds['model_id']}, face_id {kinds['face_id']}, value double")
+    items = cones.unit_normals(stored(facets.withColumns(middle | {f"n{c}": x for c, x in zip("xyz", cross, strict=True)}), "facets"))
+    items = items.withColumnRenamed("face_id", "point_id").withColumn("apart", cones.by_side())
+    made = blocks.Blocks(items, ("ux", "uy", "uz", *CORNERS), leaf, apart="apart")
+    box = [agg(pick(*[f"{c}{k}" for k in range(3)])).alias(f"to_{end}_{c}") for c in "xyz" for end, agg, pick in (("low", F.min, F.least), ("high", F.max, F.greatest))]
+    turn = [agg(c).alias(f"{end}_{c}") for c in ("ux", "uy", "uz") for end, agg in (("low", F.min), ("high", F.max))]
+    bounds = made.boxes.join(made.placed.groupBy("model_id", "block").agg(*box, *turn), ["model_id", "block"])
+    pairs = cones.block_pairs(made, bounds, cone / 2, False, asked or MET)
+    kind, angle = made.kinds["point_id"], cone_of_rays(rays, cone)[0]
+
+    def run(one):
+        def work(own, other, middle, block):
+            ids, asked_ids = (x[0].to_numpy(zero_copy_only=False) for x in (other, own))
+            order = np.argsort(ids, kind="stable")
+            at = np.minimum(np.searchsorted(ids, asked_ids, sorter=order), len(ids) - 1)
+            skip = np.where(ids[order[at]] == asked_ids, order[at], -1)
+            corners, mesh = (x[1][:, 6:].reshape(-1, 3, 3) for x in (own, other))
+            for low, d in first_hits(corners, skip, mesh, rays, cone):
+                yield [own[0].slice(low, len(d)), averaged(d, angle) if one else list(d)]
+
+        return made.each(pairs, work, f"face_id {kind}, {'value double' if one else 'd array<double>'}")
+
+    if pairs.where("part > 0").isEmpty():
+        found = run(True)
+    else:
+        # Of each ray the shortest of all parts.
+        shortest = run(False).groupBy("model_id", "face_id").agg(F.array(*[F.min(F.get("d", F.lit(k))) for k in range(rays)]).alias("d"))
+
+        def join(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                d = batch.column(2).flatten().to_numpy().reshape(len(batch), -1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(averaged(d, angle))], ["model_id", "face_id", "value"])
+
+        found = shortest.mapInArrow(join, f"model_id {made.kinds['model_id']}, face_id {kind}, value double")
     found = found.select("model_id", "face_id", F.when(~F.isnan("value"), F.col("value")).alias("value"))
     return faces.select("model_id", "face_id").join(found, ["model_id", "face_id"], "left")
 

@@ -172,3 +172,25 @@ def test_missing_values_come_from_neighbours(spark):
     values = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (0, 2, 3.0), (1, 0, None)], "model_id int, face_id int, value double")
     got = {(r.model_id, r.face_id): r.value for r in meshes.filled(values, meshes.neighbors(faces)).collect()}
     assert got == {(0, 0): 1.0, (0, 1): 2.0, (0, 2): 3.0, (1, 0): 0.0}
+
+
+def test_rays_in_a_crowd_meet_only_facets_near_their_start():
+    """Large facets that cross each other: of 3,000 a ray meets a few (all of them before)."""
+    rng = np.random.default_rng(8)
+    v, f = soup(rng, 3000, 1.0)
+    grid, n = meshes.RayGrid(v[f]), 200
+    ways = rng.normal(size=(n, 20, 3))
+    ways /= np.linalg.norm(ways, axis=2)[:, :, None]
+    starts = v[f][:n].mean(axis=1)
+    got = grid.nearest_of_all(starts, ways, np.arange(n))
+    assert grid.crowded and grid.tests < 0.2 * len(f) * n * 20
+    for i in range(n):
+        np.testing.assert_allclose(got[i], grid.of_all(starts[i], ways[i], np.flatnonzero(np.arange(len(f)) != i)))
+
+
+def test_facets_met_in_parts_give_the_same_values(spark):
+    models = {0: soup(np.random.default_rng(9), 400, 1.0), 1: sphere(10)}
+    whole, parts = (meshes.facet_values(*tables(spark, models), rays=30, leaf=64, asked=asked).toPandas().sort_values(["model_id", "face_id"]) for asked in (None, 100))
+    np.testing.assert_allclose(whole.value.to_numpy(float), parts.value.to_numpy(float))
+    v, f = models[0]
+    np.testing.assert_allclose(whole[whole.model_id == 0].value.to_numpy(float), by_all_facets(v[f], rays=30), atol=1e-9)
