@@ -19,8 +19,8 @@ def rows_of(models):
     return [(m, i, *map(float, p)) for m, own in models.items() for i, p in enumerate(own)]
 
 
-def squares(p):
-    d = p[:, None] - p[None]
+def squares(p, others=None):
+    d = p[:, None] - (p if others is None else others)[None]
     return (d[..., 0] ** 2 + d[..., 1] ** 2) + d[..., 2] ** 2
 
 
@@ -59,6 +59,23 @@ def test_leaves_inside_a_radius_count_by_their_sums(monkeypatch):
     assert (got[:64, 1, 0] == (plain(p[:64], p) <= 0.5).sum(axis=1)).all()
 
 
+def test_sums_compare_pairs_by_products_and_ties_exactly(monkeypatch):
+    """Points of a lattice far from the origin, many just at a radius: no array of differences is made, and none is lost."""
+    p = np.round(np.random.default_rng(8).random((3000, 3)) * 8) / 8 + [1000.1, -3.3, 0.7]
+    want = np.stack([squares(p[:100], p) <= r2 for r2 in (0.0625, 0.25)], axis=1).sum(axis=2)
+    monkeypatch.setattr(blocks, "squares", None)
+    p = np.vstack((p[:100], p[100:][np.argsort(blocks.z_order(p[100:]), kind="stable")]))
+    assert (blocks.ball_sums(p[:100], p, np.ones((len(p), 1)), [0.0625, 0.25])[:, :, 0] == want).all()
+
+
+def test_work_items_are_few_rows(spark, small):
+    """A row for each block that an item meets, not for each point in it."""
+    rows = rows_of({0: np.random.default_rng(9).random((400, 3))})
+    made = blocks.Blocks(spark.createDataFrame(rows, POINT))
+    pairs = made.pairs(None)
+    assert made.items(pairs).count() == pairs.count() + pairs.select("s", "part").distinct().count()
+
+
 def test_pairs_within_a_radius(spark, small):
     models = clouds(np.random.default_rng(2))
     got = spatial.radius_join(spark.createDataFrame(rows_of(models), POINT), 0.25).toPandas()
