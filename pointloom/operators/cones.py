@@ -36,7 +36,7 @@ LEAF, FINEST = 32, 10
 #: Radians by which angles of cells may be wrong.
 SLACK = 1e-6
 #: Points that a work item of ``diameters`` meets, points met in one step, pairs of a run of sources and what it meets, and marks that tell where a median is.
-MET, TOGETHER, HITS, MARKS = 1 << 20, 4096, 1 << 24, 128
+MET, TOGETHER, HITS, MARKS = 1 << 20, 1024, 1 << 24, 128
 BOUNDS = [f"{end}_{c}" for c in ("x", "y", "z", "ux", "uy", "uz") for end in ("low", "high")]
 
 
@@ -199,70 +199,78 @@ def by_normal(side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return ids.take(pa.array(order)), numbers[order], unit[order]
 
 
-def hits(own, other, cone: float, leaf: int):
-    """For each run of own points: where it starts, its length, and own place in it, distance and angle (degrees) of all that its cones hold, by own place.
+def each_source(own, other, cone: float, leaf: int):
+    """Place in own, distances and angles (degrees) of all that its cone holds, of each source that holds something.
 
-    Matrix products tell, with some slack, what cones may hold; only that is looked at exactly.
+    Matrix products tell, with some slack, what cones of a run of sources may hold; source by
+    source only that is looked at exactly, so no more than one source's hits are held.
     """
     (ids, p, u), (other_ids, q, w) = own, other
     if not len(p) or not len(q):
         return
     known, other_known = ids.to_numpy(zero_copy_only=False), other_ids.to_numpy(zero_copy_only=False)
+    by_id = np.argsort(other_known, kind="stable")
+    same = [np.searchsorted(other_known, known, side, sorter=by_id) for side in ("left", "right")]
     middle = (q[:, :3].min(axis=0) + q[:, :3].max(axis=0)) / 2
     scale = max(float(np.abs(x[:, :3] - middle).max()) for x in (p, q)) or 1.0
     a, b = (p[:, :3] - middle) / scale, (q[:, :3] - middle) / scale
     # Halves of the digits do where most places are not close together for the scale.
     kind, slack = (np.float32, 2e-6) if np.median(np.abs(b)) > 0.02 else (np.float64, 1e-12)
     cos2 = math.cos(math.radians(cone)) ** 2
-    along = np.column_stack((-u, (u * a).sum(axis=1))).astype(kind)
-    square = (cos2 * np.column_stack((-2 * a, (a * a).sum(axis=1), np.ones(len(a))))).astype(kind)
+    # With the slack taken in: how far ahead something is, and the square of how far it must be.
+    ahead = np.column_stack((-u, (u * a).sum(axis=1) + slack)).astype(kind)
+    least = np.column_stack((-2 * cos2 * a, cos2 * (a * a).sum(axis=1) - 10 * slack, np.full(len(a), cos2))).astype(kind)
     unit = u.astype(kind)
     met = np.ascontiguousarray(np.column_stack((b, np.ones(len(b)), (b * b).sum(axis=1), w)).T, kind)
-    exact, mine = np.ascontiguousarray(q[:, :6].T), np.ascontiguousarray(p[:, :6].T)
+    exact = np.ascontiguousarray(q[:, :6].T)
     leaves, size = Faced(q[:, :3], w, leaf), int(min(max(HITS // len(q), 8), blocks.RUN))
     runs = Faced(p[:, :3], u, size)
+    # All steps write into the same arrays, as new ones of this size cost more than what is done with them.
+    space, bits, held = np.empty((2, size * TOGETHER), kind), np.empty((2, size * TOGETHER), bool), np.empty(size * len(q), bool)
+    of_run, near_run, of_source = np.empty(len(met) * len(q), kind), np.empty(6 * len(q)), np.empty(6 * len(q))
+    columns = lambda rows, at, into: rows.take(at, axis=1, out=into[: len(rows) * len(at)].reshape(len(rows), -1), mode="clip")
     dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
     for k, start in enumerate(runs.starts):
-        rows, found = slice(start, start + runs.sizes[k]), []
-        chosen = runs.may_meet(k, leaves, cone, facing=True)
-        step = max(TOGETHER // leaf, 1)
-        for few in np.split(chosen, range(step, len(chosen), step)):
-            at = leaves.points(few)
-            if not len(at):
-                continue
-            some = met.take(at, axis=1)
-            mask = unit[rows] @ some[5:] <= slack
+        rows, n = slice(start, start + runs.sizes[k]), runs.sizes[k]
+        chosen = leaves.points(runs.may_meet(k, leaves, cone, facing=True))
+        if not len(chosen):
+            continue
+        may, some, near = held[: n * len(chosen)].reshape(n, -1), columns(met, chosen, of_run), columns(exact, chosen, near_run)
+        for at in range(0, len(chosen), TOGETHER):
+            part = some[:, at : at + TOGETHER]
+            x, y, behind, beside = (v[: n * part.shape[1]].reshape(n, -1) for v in (*space, *bits))
+            np.matmul(unit[rows], part[5:], out=x)
+            np.greater(x, kind(slack), out=behind)
             if cone < 90:
-                ahead = along[rows] @ some[:4]
-                mask &= ahead >= -slack
-                ahead *= ahead
-                ahead -= square[rows] @ some[:5]
-                mask &= ahead >= -10 * slack
-            many = np.count_nonzero(mask, axis=1)
-            i = np.repeat(np.arange(len(many)), many)
-            j = np.flatnonzero(mask.ravel()) - np.repeat(np.arange(len(many)) * len(at), many)
-            own_rows, other_rows = (np.repeat(c, many) for c in mine[:, rows]), (c.take(j) for c in exact.take(at, axis=1))
-            x, y = list(own_rows), list(other_rows)
+                np.matmul(ahead[rows], part[:4], out=x)
+                np.matmul(least[rows], part[:5], out=y)
+                with np.errstate(invalid="ignore"):
+                    # Of what is near enough for the slack to matter there is no root, and it stays.
+                    np.less(x, np.sqrt(y, out=y), out=beside)
+                np.logical_or(behind, beside, out=behind)
+            np.logical_not(behind, out=may[:, at : at + TOGETHER])
+        for i in range(start, start + n):
+            its = by_id[same[0][i] : same[1][i]]
+            at = np.minimum(np.searchsorted(chosen, its), len(chosen) - 1)
+            may[i - start, at[chosen[at] == its]] = False
+            j = np.flatnonzero(may[i - start])
+            if not len(j):
+                continue
+            x, y = p[i], columns(near, j, of_source)
             v = [y[c] - x[c] for c in range(3)]
             d = np.sqrt(dot(v, v))
             with np.errstate(divide="ignore", invalid="ignore"):
                 angle = np.degrees(np.arccos(np.clip(-dot(v, x[3:]) / (d * np.sqrt(dot(x[3:], x[3:]))), -1, 1)))
             good = np.flatnonzero((angle > 0) & (angle <= cone) & (dot(x[3:], y[3:]) <= 0))
-            good = good[known[start + i[good]] != other_known[at[j[good]]]]
-            found.append((i[good].astype(np.uint8), d[good], angle[good]))
-        if found:
-            i, d, angle = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.argsort(i, kind="stable")
-            yield start, runs.sizes[k], i[order], d[order], angle[order]
+            if len(good):
+                yield i, d.take(good), angle.take(good)
 
 
-def each_source(own, other, cone: float, leaf: int):
-    """Place in own, distances and angles of each source that holds something."""
-    for start, size, i, d, angle in hits(own, other, cone, leaf):
-        ends = np.searchsorted(i, np.arange(size + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            at = slice(ends[k], ends[k + 1])
-            yield start + k, d[at], angle[at]
+def middle_of(d: np.ndarray) -> float:
+    """The median."""
+    k = len(d) // 2
+    parted = np.partition(d, k)
+    return parted[k] if len(d) % 2 else (parted[:k].max() + parted[k]) / 2
 
 
 def diameters(given: DataFrame, cone: float, leaf: int = LEAF) -> DataFrame:
@@ -295,11 +303,12 @@ def diameters(given: DataFrame, cone: float, leaf: int = LEAF) -> DataFrame:
         return made.each(pairs, work, f"src {kind}, {schema}")
 
     def near(d, angle, median, deviation):
-        kept = np.abs(d - median) <= deviation + 1e-8
-        return (d[kept] / angle[kept]).sum(), (1 / angle[kept]).sum()
+        kept = np.flatnonzero(np.abs(d - median) <= deviation + 1e-8)
+        angle = angle.take(kept)
+        return (d.take(kept) / angle).sum(), (1 / angle).sum()
 
     def whole(own, d, angle):
-        a, b = near(d, angle, np.median(d), d.std())
+        a, b = near(d, angle, middle_of(d), d.std())
         return [a / b]
 
     if pairs.where("part > 0").isEmpty():

@@ -68,6 +68,22 @@ def test_sums_compare_pairs_by_products_and_ties_exactly(monkeypatch):
     assert (blocks.ball_sums(p[:100], p, np.ones((len(p), 1)), [0.0625, 0.25])[:, :, 0] == want).all()
 
 
+def test_half_of_the_digits_tell_distances_where_own_points_are_close(monkeypatch):
+    """Others lie in doubt, a hair inside and outside a radius, or far off; own points far apart need all digits."""
+    kinds, plain = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: kinds.append(out.dtype) or plain(a, b, out=out))
+    rng = np.random.default_rng(10)
+    own, way = rng.random((50, 3)) * 0.1 + [7.0, -3.0, 1e3], rng.normal(size=(4000, 3))
+    way *= (0.2 + rng.choice([-1e-9, 0, 1e-9, 1e-3], (4000, 1))) / np.linalg.norm(way, axis=1)[:, None]
+    for apart, kind in ((0.0, np.float32), (40.0, np.float64)):
+        kinds.clear()
+        p = np.vstack((own, own[:1] + apart))
+        others = np.asfortranarray(np.vstack((p[rng.integers(0, len(p), 4000)] + way, [[1e9, 0, 0]])))
+        got = blocks.ball_sums(p, others, np.ones((len(others), 1)), [0.04, 0.09])[:, :, 0]
+        assert (got == np.stack([squares(p, others) <= r2 for r2 in (0.04, 0.09)], axis=1).sum(axis=2)).all()
+        assert set(kinds) == {np.dtype(kind)}
+
+
 def test_work_items_are_few_rows(spark, small):
     """A row for each block that an item meets, not for each point in it."""
     rows = rows_of({0: np.random.default_rng(9).random((400, 3))})

@@ -1,7 +1,10 @@
 """Cone search by pruned cells against all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,24 @@ def test_a_cloud_ten_times_as_large_makes_no_rows_of_hits(spark):
     found = cones.diameters(given, 30.0)
     assert found.count() <= n
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
+def test_no_more_than_one_sources_hits_are_held():
+    """Cones of a run of sources hold 640,000 points in all; one with a source's id is none of its hits."""
+    q = np.random.default_rng(8).normal(size=(40_000, 6))
+    ids = np.arange(len(q))
+    ids[1000:1100] = 3
+    side = lambda at: cones.by_normal((pa.array(ids[at]), q[at]))
+    own, other = side(slice(0, 64)), side(slice(None))
+    tracemalloc.start()
+    got = {own[0][int(i)].as_py(): len(d) for i, d, _ in cones.each_source(own, other, 89.0, 32)}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {}
+    for i in range(64):
+        v = q[:, :3] - q[i, :3]
+        with np.errstate(invalid="ignore"):
+            angle = np.degrees(np.arccos(-(v @ q[i, 3:]) / (np.linalg.norm(v, axis=1) * np.linalg.norm(q[i, 3:]))))
+        want[i] = int(((angle <= 89) & (q[:, 3:] @ q[i, 3:] <= 0) & (ids != i)).sum())
+    assert got == want and sum(want.values()) > 500_000
+    assert most < 30e6
