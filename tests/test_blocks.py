@@ -48,6 +48,22 @@ def test_moments_within_radii(spark, small):
                 np.testing.assert_allclose(own[f"mid{k}{c}"], raw - near @ p[:, a] / near.sum(axis=1) * (near @ p[:, b] / near.sum(axis=1)), atol=1e-9)
 
 
+@pytest.mark.parametrize("raw, mid", [(False, False), (True, False), (False, True)])
+def test_only_what_is_wanted_is_summed(spark, small, raw, mid):
+    """Counts alone, raw or centred moments alone are what all together give."""
+    models, squared = clouds(np.random.default_rng(11)), [0.04, 0.25]
+    points = spark.createDataFrame(rows_of(models), POINT)
+    got = blocks.around(points, squared, raw=raw, mid=mid).toPandas().set_index(["model_id", "src"]).sort_index()
+    want = blocks.around(points, squared).toPandas().set_index(["model_id", "src"]).sort_index()
+    names = [c for c in want.columns if c[0] == "n" or (raw and c[:3] == "raw") or (mid and c[:3] == "mid")]
+    assert sorted(got.columns) == sorted(names)
+    for c in names:
+        np.testing.assert_allclose(got[c], want[c], atol=1e-9)
+    for m, p in models.items():
+        for k, r2 in enumerate(squared):
+            assert (got.loc[m][f"n{k}"].to_numpy() == (squares(p) <= r2).sum(axis=1)).all()
+
+
 def test_leaves_inside_a_radius_count_by_their_sums(monkeypatch):
     """Of all pairs of a dense cloud and its radii few are met."""
     p = np.random.default_rng(1).random((20_000, 3))
