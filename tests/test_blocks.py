@@ -117,6 +117,26 @@ def test_pairs_within_a_radius(spark, small):
         assert (own.d2.to_numpy() == d2[own.src, own.dst]).all() and (own[["dx", "dy", "dz"]].to_numpy() == p[own.dst]).all()
 
 
+def test_pairs_are_rounded_where_they_are_found(spark, small):
+    """As SQL rounds; Spark adds neither a rounding nor another column to each of the pairs."""
+    duckdb = pytest.importorskip("duckdb")
+    p = np.concatenate((np.random.default_rng(12).random(20_000) * 0.01, (np.arange(4000) + 0.5) * 1e-6, np.nextafter((np.arange(400) + 0.5) * 1e-6, 0), [0.0, 1e300, 5e-324, 0.49999999999999994e-6]))
+    want = duckdb.sql("SELECT round(v, 6) + 0.0 FROM (SELECT unnest($v) AS v)", params={"v": p.tolist()}).fetchall()
+    assert blocks.half_up(p, 6).tolist() == [v for (v,) in want]
+    own = clouds(np.random.default_rng(2))[1]
+    got = spatial.radius_join(spark.createDataFrame(rows_of({0: own / 3}), POINT), 0.25, places=False, digits=3, models=False)
+    d2 = squares(own / 3)
+    assert got.columns == ["src", "dst", "d2"]
+    assert sorted(map(tuple, got.collect())) == [(i, j, float(blocks.half_up(d2[i : i + 1, j], 3)[0])) for i, j in zip(*np.nonzero(d2 <= 0.25 * 0.25))]
+
+
+def test_query_of_pairs_leaves_nothing_to_do_a_pair(spark, sf_dir):
+    from pointloom.plans.queries import QUERIES
+
+    plan = QUERIES["radius_neighbors"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "FlatMapGroupsInArrow"
+
+
 @pytest.mark.parametrize("named", [int, "p{:04d}".format])
 def test_nearest_with_ties(spark, small, named):
     models = clouds(np.random.default_rng(3))
