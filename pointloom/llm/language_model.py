@@ -162,8 +162,9 @@ def tokenized(texts: pa.Array) -> Tokens:
     if len(none):  # before a blank at the start, after one at the end, and of empty texts
         own, keep = np.repeat(np.arange(len(sizes)), sizes), ids != none[0]
         sizes, ids = np.bincount(own[keep], minlength=len(sizes)), ids[keep]
-    out = np.full(len(ids) + len(sizes), len(h1))
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    out, word = np.full(len(ids) + len(sizes), len(h1)), np.ones(len(ids) + len(sizes), bool)
+    word[np.cumsum(sizes + 1) - 1] = False
+    out[word] = ids
     return Tokens(sizes + 1, out, np.concatenate((h1, END_HASHES[0])), np.concatenate((h2, END_HASHES[1])))
 
 
@@ -239,6 +240,11 @@ class Filter:
             out[live] = level
         return out
 
+    def each(self, h: np.ndarray) -> np.ndarray:
+        """``levels`` where many are equal: frequent n-grams stand on many levels, so each is read once."""
+        kinds, place = np.unique(h, return_inverse=True)
+        return self.levels(kinds)[place]
+
     def _holds(self, h: np.ndarray, start: np.ndarray, size: np.ndarray, level: int) -> np.ndarray:
         """Places of those n-grams all of whose bits are set, one hash after the other."""
         (a, b), keep = self.hashed(h, level), np.arange(len(h))
@@ -270,7 +276,7 @@ def _count(blocks: int, order: int):
     """Rows (block, grams, words): 2-grams by their hash, tokens by both of theirs, and how often each occurs."""
 
     def flush(grams, words):
-        h, c = summed(*map(np.concatenate, zip(*grams, strict=True)))
+        h, c = counted(np.concatenate(grams))
         h1, h2, n = summed(*map(np.concatenate, zip(*words, strict=True)))
         ends = np.arange(blocks + 1)
         x, y = np.searchsorted(block_of(h, blocks), ends), np.searchsorted(block_of(h1, blocks), ends)
@@ -286,9 +292,9 @@ def _count(blocks: int, order: int):
             for _, t in slices(batch.column(0)):
                 c = np.bincount(t.ids, minlength=len(t.h1))
                 seen = c > 0  # a blank's empty neighbour has a number and is no word
-                grams.append(np.unique(t.grams(order), return_counts=True))
+                grams.append(t.grams(order))
                 words.append((t.h1[seen], t.h2[seen], c[seen]))
-                n += len(grams[-1][0]) + 2 * len(words[-1][0])
+                n += len(grams[-1]) + 2 * len(words[-1][0])
                 if n > HELD:
                     yield from flush(grams, words)
                     grams, words, n = [], [], 0
@@ -300,14 +306,25 @@ def _count(blocks: int, order: int):
     return run
 
 
+def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, sorted, and how often each occurs.  (numpy's ``unique`` puts them into a hash table first, which takes much longer.)"""
+    h = np.sort(h)
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1])))
+    return h[starts], np.diff(starts, append=len(h))
+
+
 def summed(*cols: np.ndarray) -> list[np.ndarray]:
     """Rows with equal keys as one, counts (the last column) added; sorted by the first key."""
-    order = np.argsort(cols[0]) if len(cols) == 2 else np.lexsort(cols[-2::-1])
+    order = np.argsort(cols[0])
     *keys, c = (x[order] for x in cols)
     if not len(c):
         return [*keys, c]
-    new = functools.reduce(np.logical_or, (x[1:] != x[:-1] for x in keys))
-    starts = np.flatnonzero(np.concatenate(([True], new)))
+    new = [x[1:] != x[:-1] for x in keys]
+    if any((x & ~new[0]).any() for x in new[1:]):  # the first key alone does not tell
+        order = np.lexsort(cols[-2::-1])
+        *keys, c = (x[order] for x in cols)
+        new = [x[1:] != x[:-1] for x in keys]
+    starts = np.flatnonzero(np.concatenate(([True], functools.reduce(np.logical_or, new))))
     return [*(x[starts] for x in keys), np.add.reduceat(c, starts)]
 
 
@@ -386,9 +403,14 @@ def learn(texts: DataFrame, order: int = ORDER, each: int = BITS) -> Learnt:
 # ---------------------------------------------------------------- asking block by block
 
 
-def asked(texts: pa.Array, order: int) -> np.ndarray:
+def asked(tokens: list[Tokens], order: int) -> np.ndarray:
     """Sorted hashes of all n-grams of some texts."""
-    return np.unique(np.concatenate([np.unique(np.concatenate((t.grams(order), t.h1))) for _, t in slices(texts)]))
+    return counted(np.concatenate([x for t in tokens for x in (t.grams(order), t.h1)]))[0]
+
+
+def pieces(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Bytes of the numbers between each cut and the next."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _probes(blocks: int, order: int):
@@ -402,10 +424,10 @@ def _probes(blocks: int, order: int):
             chunk, first = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             edges = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)])) if len(chunk) else [0]
             for start, end in itertools.pairwise(edges):
-                h = asked(batch.column(2).slice(start, end - start), order)
-                cuts = np.searchsorted(block_of(h, blocks), np.arange(blocks + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                data = pa.array([np.ascontiguousarray(h[cuts[k] : cuts[k + 1]].astype(np.uint32)).tobytes() for k in full], pa.binary())
+                h = asked([t for _, t in slices(batch.column(2).slice(start, end - start))], order)
+                block = block_of(h, blocks)
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(h)]))
+                full, data = block[cuts[:-1]].astype(np.int64), pieces(h.astype(np.uint32), cuts)
                 named = [pa.array(np.full(len(full), x[start])) for x in (chunk, first)]
                 yield pa.RecordBatch.from_arrays([*named, pa.array(full), data], ["chunk", "part", "block", "data"])
 
@@ -413,24 +435,27 @@ def _probes(blocks: int, order: int):
 
 
 def _answers(key, probes, bits):
-    """The probes of one block and its bits: rows (chunk, part, block, data), a byte a level."""
-    data, out = bits.column("bits").to_pylist(), []
-    own = Filter(np.frombuffer(data[0], np.uint8), np.array([8 * len(data[0])])) if data else Filter(np.zeros(0, np.uint8), np.zeros(0))
-    for part in probes.column("data").to_pylist():
-        out.append(own.levels(np.frombuffer(part, np.uint32).astype(np.uint64)).astype(np.uint8).tobytes())
-    return pa.table([*(probes.column(c) for c in ("chunk", "part", "block")), pa.array(out, pa.binary())], names=["chunk", "part", "block", "data"])
-
+    """The probes of one block and its bits: rows (chunk, part, block, data), a byte a level.
 
-class Levels:
-    """Levels of known n-grams, in place of a filter."""
+    Chunks ask for the same n-grams; each is read once.
+    """
+    data, found = bits.column("bits").to_pylist(), probes.column("data").to_pylist()
+    own = Filter(np.frombuffer(data[0], np.uint8), np.array([8 * len(data[0])])) if data else Filter(np.zeros(0, np.uint8), np.zeros(0))
+    cuts, h = np.cumsum([0, *map(len, found)]) // WIDTH, np.frombuffer(b"".join(found), np.uint32)
+    kinds = counted(h)[0]
+    levels = own.levels(kinds.astype(np.uint64)).astype(np.uint8)[np.searchsorted(kinds, h)]
+    return pa.table([*(probes.column(c) for c in ("chunk", "part", "block")), pieces(levels, cuts)], names=["chunk", "part", "block", "data"])
 
-    def __init__(self, h: np.ndarray, parts: list[bytes]):
-        self.h, self.q = h, np.concatenate([np.frombuffer(x, np.uint8) for x in parts]).astype(np.int64)
-        if len(self.q) != len(h):
-            raise RuntimeError("a part's n-grams and their answers differ")
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        return self.q[np.searchsorted(self.h, h)]
+def told(tokens: list[Tokens], order: int, answers: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Levels of the words and of the n-grams of each of some ``tokens``, from the answers to what is ``asked``."""
+    parts = [x for t in tokens for x in (t.h1, t.grams(order))]
+    kinds, place = np.unique(np.concatenate(parts), return_inverse=True)
+    levels = np.concatenate([np.frombuffer(x, np.uint8) for x in answers])
+    if len(levels) != len(kinds):
+        raise RuntimeError("a part's n-grams and their answers differ")
+    found = np.split(levels[place], np.cumsum([len(x) for x in parts])[:-1])
+    return zip(found[::2], found[1::2], strict=True)
 
 
 # ---------------------------------------------------------------- scoring
@@ -447,52 +472,60 @@ def _score_chunk(order: int, *model):
         out, start = [], 0
         for first, end in zip(firsts, ends, strict=True):
             (batch,) = docs.select(["doc_id", "text"]).slice(start, end - start).combine_chunks().to_batches()
-            own = Levels(asked(batch.column(1), order), data[np.searchsorted(part, first) : np.searchsorted(part, first, "right")])
-            out += _scored([batch], own, order, *model)
+            named, tokens = zip(*_split([batch]), strict=True)
+            levels = told(tokens, order, data[np.searchsorted(part, first) : np.searchsorted(part, first, "right")])
+            out += _scored(((n, t, *q) for n, t, q in zip(named, tokens, levels, strict=True)), order, *model)
             start = end
         return pa.Table.from_batches(out)
 
     return run
 
 
-def _score(bloom, *model):
-    return lambda batches: _scored(batches, Filter(*bloom.value), *model)
+def _score(bloom, order: int, *model):
+    def run(batches):
+        own = Filter(*bloom.value)
+        return _scored(((named, t, own.levels(t.h1), own.each(t.grams(order))) for named, t in _split(batches)), order, *model)
 
+    return run
 
-def _scored(batches, bloom, order: int, sent, n_train: int, v_train: int, mu: float, mu3: float):
-    """sent: two hashes of the most frequent tokens, sorted by the first, and log10(c + 1)."""
-    head = sent.value
-    scale, counts = math.log10(n_train + v_train + 1), count_at()
+
+def _split(batches) -> Iterator[tuple[pa.Array, Tokens]]:
+    """Ids and tokens of a slice of texts at once."""
     for batch in batches:
         for at, t in slices(batch.column(1)):
-            seen = counts[bloom.levels(t.h1)]  # by number: count by the filter
-            # Frequent n-grams stand on many levels: each is read once a slice.
-            grams, place = np.unique(t.grams(order), return_inverse=True)
-            before, ids, starts = t.before(), t.ids, t.starts
-            read = counts[bloom.levels(grams)][place]
-            pair = np.minimum(read[: len(ids)], seen[before])
-            p = (pair + (mu * (seen + 1) / (n_train + v_train + 1))[ids]) / (seen + mu)[before]
-            if order > 2:
-                context, triple = np.concatenate((np.zeros(1), pair[:-1])), np.zeros(len(ids))
-                context[starts] = 0.0
-                triple[np.delete(np.arange(len(ids)), starts)] = read[len(ids) :]
-                p = (np.minimum(triple, context) + mu3 * p) / (context + mu3)
-            scores = np.add.reduceat(np.log10(p), starts)
-            logs = _frequent(t, head)
-            own = logs[ids]
-            found = np.add.reduceat((own > 0).astype(np.int64), starts)
-            base = np.add.reduceat(own, starts) - scale * t.sizes
-            # The other tokens of each document, with their number in it.
-            rare = np.flatnonzero(own == 0)
-            kinds, docs = len(t.h1), len(starts)
-            rest, times = np.unique((np.searchsorted(starts, rare, "right") - 1) * kinds + ids[rare], return_counts=True)
-            doc, rest = np.divmod(rest, kinds)
-            cuts = np.searchsorted(doc, np.arange(docs + 1))
-            pairs = pa.StructArray.from_arrays([pa.array(t.h1[rest].view(np.int64)), pa.array(t.h2[rest].view(np.int32)), pa.array(times, pa.int64())], ["h1", "h2", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, docs), pa.array(t.sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)],
-                ["doc_id", "n_tokens", "found", "base", "score", "rest"],
-            )
+            yield batch.column(0).slice(at, len(t.sizes)), t
+
+
+def _scored(texts, order: int, sent, n_train: int, v_train: int, mu: float, mu3: float):
+    """texts: ids, tokens, levels of words and of n-grams; sent: two hashes of the most frequent tokens, sorted by the first, and log10(c + 1)."""
+    head = sent.value
+    scale, counts = math.log10(n_train + v_train + 1), count_at()
+    for named, t, of_words, of_grams in texts:
+        seen, read = counts[of_words], counts[of_grams]  # counts by the filter, of words by number
+        before, ids, starts = t.before(), t.ids, t.starts
+        pair = np.minimum(read[: len(ids)], seen[before])
+        p = (pair + (mu * (seen + 1) / (n_train + v_train + 1))[ids]) / (seen + mu)[before]
+        if order > 2:
+            context, triple = np.concatenate((np.zeros(1), pair[:-1])), np.zeros(len(ids))
+            context[starts] = 0.0
+            triple[np.delete(np.arange(len(ids)), starts)] = read[len(ids) :]
+            p = (np.minimum(triple, context) + mu3 * p) / (context + mu3)
+        scores = np.add.reduceat(np.log10(p), starts)
+        logs = _frequent(t, head)
+        own = logs[ids]
+        found = np.add.reduceat((own > 0).astype(np.int64), starts)
+        base = np.add.reduceat(own, starts) - scale * t.sizes
+        # The other tokens of each document, with their number in it.
+        rare = np.flatnonzero(own == 0)
+        kinds, docs = len(t.h1), len(starts)
+        rest, times = np.unique((np.searchsorted(starts, rare, "right") - 1) * kinds + ids[rare], return_counts=True)
+        doc, rest = np.divmod(rest, kinds)
+        cuts = np.searchsorted(doc, np.arange(docs + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(t.h1[rest].view(np.int64)), pa.array(t.h2[rest].view(np.int32)), pa.array(times, pa.int64())], ["h1", "h2", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [named, pa.array(t.sizes, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)],
+            ["doc_id", "n_tokens", "found", "base", "score", "rest"],
+        )
 
 
 def _frequent(t: Tokens, head) -> np.ndarray:
@@ -500,7 +533,8 @@ def _frequent(t: Tokens, head) -> np.ndarray:
     h1, h2, logs = head
     if not len(h1):
         return np.zeros(len(t.h1))
-    at = np.minimum(np.searchsorted(h1, t.h1), len(h1) - 1)
+    order, at = np.argsort(t.h1), np.empty(len(t.h1), np.int64)
+    at[order] = np.minimum(np.searchsorted(h1, t.h1[order]), len(h1) - 1)
     return np.where((h1[at] == t.h1) & (h2[at] == t.h2), logs[at], 0.0)
 
 

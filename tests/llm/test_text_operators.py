@@ -185,6 +185,56 @@ def test_language_model_scores_do_not_depend_on_the_filters_place(spark, sf_dir,
     assert [x for r in kept for x in r[3:]] == pytest.approx([x for r in sent for x in r[3:]], rel=1e-9)
 
 
+def test_language_model_blocks_read_each_ngram_once(monkeypatch):
+    """However many chunks ask for it; a block without bits knows none."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    h, c = rng.choice(1 << 32, 500, replace=False).astype(np.uint64), rng.integers(1, 3000, 500)
+    bits = language_model.bits_of(h, language_model.level_of(c))
+    parts = [np.sort(rng.choice(h, n, replace=False)).astype(np.uint32) for n in (300, 0, 400, 500)]
+    probes = pa.table({"chunk": [0, 1, 2, 2], "part": [0, 5, 10, 12], "block": [7] * 4, "data": pa.array([x.tobytes() for x in parts], pa.binary())})
+    read, plain = [], language_model.Filter.levels
+    monkeypatch.setattr(language_model.Filter, "levels", lambda self, x: read.append(len(x)) or plain(self, x))
+    got = language_model._answers((7,), probes, pa.table({"bits": pa.array([bits], pa.binary())}))
+    assert sum(read) == len(h)
+    own = language_model.Filter(np.frombuffer(bits, np.uint8), np.array([8 * len(bits)]))
+    assert got.column("data").to_pylist() == [plain(own, x.astype(np.uint64)).astype(np.uint8).tobytes() for x in parts]
+    assert got.select(["chunk", "part", "block"]).equals(probes.select(["chunk", "part", "block"]))
+    none = language_model._answers((7,), probes, pa.table({"bits": pa.array([], pa.binary())}))
+    assert none.column("data").to_pylist() == [bytes(len(x)) for x in parts]
+
+
+def test_language_model_chunks_are_split_once(monkeypatch):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_model, "SLICE", 8)  # several slices
+    texts = pa.array(["a b", None, "b c d e f g", "", "a a b"], pa.string())
+    ((chunk, part, block, data),) = (x.columns for x in language_model._probes(1, 3)(iter([pa.RecordBatch.from_arrays([pa.array([4] * 5), pa.array(range(5)), texts], ["chunk", "n", "text"])])))
+    answers = pa.table({"chunk": chunk, "part": part, "block": block, "data": pa.array([bytes(len(x) // 4) for x in data.to_pylist()], pa.binary())})
+    split, plain = [], language_model.tokenized
+    monkeypatch.setattr(language_model, "tokenized", lambda x: split.append(len(x)) or plain(x))
+    head = types.SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0)))
+    docs = pa.table({"chunk": [4] * 5, "n": range(5), "doc_id": range(5), "text": texts})
+    got = language_model._score_chunk(3, head, 10, 5, 2000.0, 10.0)((4,), docs, answers)
+    assert got.column("doc_id").to_pylist() == list(range(5)) and got.column("n_tokens").to_pylist() == [3, 1, 7, 1, 4]
+    assert len(split) > 1 and sum(split) == 5
+
+
+def test_language_model_sums_rows_of_equal_keys():
+    import numpy as np
+
+    x, y, n = np.array([5, 1, 5, 5, 1], np.uint64), np.array([2, 9, 1, 2, 9], np.uint32), np.array([1, 10, 100, 1000, 10000])
+    assert [c.tolist() for c in language_model.summed(x, y, n)] == [[1, 5, 5], [9, 1, 2], [10010, 100, 1001]]
+    assert [c.tolist() for c in language_model.summed(x[:3:2], y[:3:2], n[:3:2])] == [[5, 5], [1, 2], [100, 1]]
+    assert [c.tolist() for c in language_model.counted(x)] == [[1, 5], [2, 3]]
+    assert [c.tolist() for c in language_model.counted(x[:0])] == [[], []]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_language_model_score_equals_brute_force(spark, sf_dir, order):
     """The same quantised counts from a dictionary.
